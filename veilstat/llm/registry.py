@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from veilstat.llm import bpe, lang_id, media_columns, toxicity, url_filter
+from veilstat.llm import bpe, lang_id, media_columns, pii, toxicity, url_filter
 
 QUERIES = {
+    "op6_pii": (pii.query, None),
     "op2_bpe": (bpe.query, None),
     "op3_toxicity": (toxicity.query, None),
     "op7_lang_id": (lang_id.query, None),
