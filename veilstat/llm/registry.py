@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from veilstat.llm import bpe, lang_id, media_columns, pii, toxicity, url_filter
+from veilstat.llm import bpe, lang_id, media_columns, packing, pii, topk, toxicity, url_filter
 
 QUERIES = {
+    "op4_packing": (packing.query, None),
+    "op5_topk": (topk.query, topk.ORACLE_SQL),
     "op6_pii": (pii.query, None),
     "op2_bpe": (bpe.query, None),
     "op3_toxicity": (toxicity.query, None),
