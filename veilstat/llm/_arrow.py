@@ -32,7 +32,8 @@ def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of values between consecutive offsets along axis 0; empty rows give 0."""
     starts, ends = offsets[:-1], offsets[1:]
-    out = np.zeros((len(starts), *values.shape[1:]), np.result_type(values.dtype, np.int64) if values.dtype.kind in "biu" else values.dtype)
+    small = values.dtype.kind in "biu" and values.dtype != np.uint64  # 64-bit words wrap around
+    out = np.zeros((len(starts), *values.shape[1:]), np.int64 if small else values.dtype)
     full = np.flatnonzero(ends > starts)
     if len(full):
         out[full] = np.add.reduceat(values, starts[full], axis=0, dtype=out.dtype)
