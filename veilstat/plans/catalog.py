@@ -1 +1,3 @@
 """Imports the modules that register queries."""
+
+from veilstat.plans import resampling, statistics  # noqa: F401
