@@ -35,7 +35,7 @@ def long_form(df: DataFrame, keys: list[str], methods: list[str]) -> DataFrame:
 def summary(df: DataFrame, by: list[str], x: str, center: str = "mean") -> DataFrame:
     """Mean or median per group with the standard error of the mean."""
     mid = {"mean": F.avg, "median": F.median}[center](x)
-    return df.groupBy(*by).agg(mid.alias("value"), (F.stddev_samp(x) / F.sqrt(F.count(x))).alias("se"), F.count(x).alias("n"))
+    return df.groupBy(*by).agg(mid.alias("value"), (F.stddev_samp(x) / F.sqrt(F.count(x))).alias("se"), F.count(x).alias("rows"))
 
 
 def write_run(df: DataFrame, path: str, run_id: str, kind: str) -> None:

@@ -3,13 +3,12 @@
 `sample(spark, n, seed)` gives (row_id, x). Rows are made by `spark.range` where they are needed; nothing is shipped.
 """
 
-from __future__ import annotations
-
 import math
 from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,13 +41,11 @@ class Distribution:
 
 def inverse_normal(u: Column) -> Column:
     """Normal quantile as an Arrow function; Spark has no such built-in."""
-    import pandas as pd
+    return F.pandas_udf(_quantile, "double")(u)
 
-    @F.pandas_udf("double")
-    def quantile(p: pd.Series) -> pd.Series:
-        return p.map(_unit.inv_cdf)
 
-    return quantile(u)
+def _quantile(p: pd.Series) -> pd.Series:
+    return p.map(NormalDist().inv_cdf)
 
 
 @dataclass
