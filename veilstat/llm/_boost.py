@@ -78,20 +78,19 @@ def fit_boosted(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, r
 
 
 def isotonic(scores: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators fit: (scores, probabilities) to interpolate between; two pseudo-rows keep it off 0 and 1."""
-    order = np.argsort(scores, kind="stable")
-    s, t = scores[order], y[order].astype(float)
-    values: list[list[float]] = []
-    for a, b in zip(s, t, strict=True):
-        values.append([b, 1.0, a, a])
-        while len(values) > 1 and values[-2][0] >= values[-1][0]:
-            v, w, _, hi = values.pop()
-            u = values[-1]
-            values[-1] = [(u[0] * u[1] + v * w) / (u[1] + w), u[1] + w, u[2], hi]
-    xs, ys = [], []
-    for v, w, lo, hi in values:
-        v = (v * w + 0.5) / (w + 1) if v in (0.0, 1.0) else v
-        xs += [lo, hi]
-        ys += [v, v]
-    ys = np.maximum.accumulate(ys) if ys else np.array([])
-    return np.array(xs), np.asarray(ys)
+    """Pool-adjacent-violators fit: (scores, probabilities) to interpolate between.
+
+    Equal scores are one point. A block's share is smoothed by one pseudo-row of the overall share, so none is 0 or 1.
+    """
+    xs, inverse = np.unique(scores, return_inverse=True)
+    hits, rows = np.bincount(inverse, y.astype(float), len(xs)), np.bincount(inverse, minlength=len(xs)).astype(float)
+    blocks: list[list[float]] = []  # hits, rows, first score, last score
+    for point in zip(hits.tolist(), rows.tolist(), xs.tolist(), xs.tolist(), strict=True):
+        blocks.append(list(point))
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            h, n, _, last = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + h, blocks[-1][1] + n, blocks[-1][2], last]
+    share = float(y.mean()) if len(y) else 0.0
+    ends = np.array([x for b in blocks for x in (b[2], b[3])])
+    values = np.array([(b[0] + share) / (b[1] + 1) for b in blocks for _ in range(2)])
+    return ends, np.maximum.accumulate(values) if len(values) else values

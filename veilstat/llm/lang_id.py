@@ -27,7 +27,7 @@ from veilstat.sources.tables import table
 
 BUCKETS, DIM = 1 << 13, 16
 TRAIN_ROWS = 2000
-EPOCHS, BATCH, RATE = 12, 32, 1.0
+EPOCHS, STEPS, BATCH, RATE = 12, 1000, 32, 1.0
 REJECT_SHARE = 0.001
 SLICE_BYTES = 1 << 19
 ADDED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
@@ -124,8 +124,10 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     held, train = np.split(shuffled, [len(rows) // 5])
     embed = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     weight, bias = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
-    steps, step = EPOCHS * max(1, -(-len(train) // BATCH)), 0
-    for _ in range(EPOCHS):
+    each = max(1, -(-len(train) // BATCH))
+    epochs = max(EPOCHS, -(-STEPS // each))
+    steps, step = epochs * each, 0
+    for _ in range(epochs):
         order = rng.permutation(train)
         for at in range(0, len(order), BATCH):
             own = order[at : at + BATCH]

@@ -6,7 +6,7 @@ letters broken by signs or digits (obfuscation), tripled characters, and the log
 
 The lexicon is learned from labels: words and word beginnings whose log odds of a toxic document are high. Labels
 come from at most TRAIN_ROWS labelled documents outside the held-out fold (smallest hash of the id). Documents that
-are near copies of each other (same smallest word hash) count once. They are dealt by that hash into three parts:
+are near copies of each other (same smallest hash of five words in a row) count once. They are dealt by that hash into three parts:
 one for the lexicon, one for the trees, one for the isotonic fit, so that no part sees what it is measured on.
 
 Nulls and empty texts are scored like any text without words. Without labels of both kinds every score is the
@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -157,13 +158,16 @@ class Model:
         return (0.999 * np.interp(margin, self.xs, self.ys) + 0.001 * raw) if len(self.xs) else raw
 
 
-def _word_key(batches):
-    """(doc_id, smallest hash of a word) of each row."""
-    import xxhash
+def copy_key(words: list[bytes]) -> int:
+    """The smallest hash of five words in a row, which near copies share and other texts do not."""
+    return min((xxhash.xxh64_intdigest(b" ".join(words[i : i + 5])) >> 1 for i in range(max(1, len(words) - 4))))
 
+
+def _copy_keys(batches):
+    """(doc_id, copy key) of each row."""
     for batch in batches:
         data, offsets = byte_view(batch.column(1))
-        keys = [min((xxhash.xxh64_intdigest(w) >> 1 for w in set(data[a:b].tobytes().translate(PLAIN).split())), default=0) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        keys = [copy_key(data[a:b].tobytes().translate(PLAIN).split()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64())], names=["doc_id", "key"])
 
 
@@ -206,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     ids = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     # At most train_rows ids are broadcast.
     sample = checkpointed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text"))
-    keys = sample.select("doc_id", "text").mapInArrow(_word_key, "doc_id long, key long").join(F.broadcast(ids), "doc_id").collect()
+    keys = sample.select("doc_id", "text").mapInArrow(_copy_keys, "doc_id long, key long").join(F.broadcast(ids), "doc_id").collect()
     seen: dict[int, tuple[int, int]] = {}
     for r in sorted(keys, key=lambda r: r["doc_id"]):
         seen.setdefault(r["key"], (r["doc_id"], r["toxic"]))
