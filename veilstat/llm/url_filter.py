@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veilstat.llm._spark import checkpointed
 from veilstat.sources.tables import table
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -55,9 +56,9 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 def general(segment: Column) -> Column:
     """A segment with what varies by form replaced by a wildcard that keeps the form."""
-    s = F.regexp_replace(segment, r"^[0-9]+(?=(\.[A-Za-z]{1,5})?$)", "{n}")
-    s = F.regexp_replace(s, r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?(?=(\.[A-Za-z]{1,5})?$)", "{d}")
-    s = F.regexp_replace(s, r"^(?=[0-9A-Fa-f-]*[0-9])[0-9A-Fa-f-]{8,}(?=(\.[A-Za-z]{1,5})?$)", "{x}")
+    s = F.regexp_replace(segment, r"^[0-9]+(\.[A-Za-z]{1,5})?$", "{n}$1")
+    s = F.regexp_replace(s, r"^[0-9]{4}-[0-9]{2}(?:-[0-9]{2})?(\.[A-Za-z]{1,5})?$", "{d}$1")
+    s = F.when(s.rlike("[0-9]"), F.regexp_replace(s, r"^[0-9A-Fa-f-]{8,}(\.[A-Za-z]{1,5})?$", "{x}$1")).otherwise(s)
     return F.regexp_replace(s, r"[0-9]{3,}", "{n}")
 
 
@@ -68,14 +69,14 @@ def with_parts(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame
     parts = F.transform(F.split(F.col("path"), "/"), general)
     piece = lambda i: F.coalesce(F.try_element_at(F.col("parts"), F.lit(i)), F.lit(""))
     df = df.withColumns({"rule": rule, "verdict": verdict, "parts": parts})
-    rest = F.concat_ws("/", F.slice("parts", DEPTH + 1, 64))
+    rest = F.concat_ws("/", F.slice("parts", DEPTH + 1, F.greatest(F.size("parts"), F.lit(1))))
     return df.select("page_id", "host", "path", "rule", "verdict", piece(2).alias("s1"), piece(3).alias("s2"), rest.alias("s3"))
 
 
 def template_verdicts(parts: DataFrame) -> DataFrame:
     """(host, s1, s2, s3) of every template row with its method verdict; as many rows as there are different templates."""
     leaves = parts.groupBy("host", "s1", "s2", "s3").agg(F.count("*").alias("n"), F.sum(F.when(F.col("verdict") == "block", 1).otherwise(0)).alias("blocked"))
-    tree = leaves
+    tree = checkpointed(leaves)  # a row a template: the pages are not read again for each level
     for name, to, node in (("s1", "g1", ["host"]), ("s2", "g2", ["host", "g1"]), ("s3", "g3", ["host", "g1", "g2"])):
         tree = starred(tree, name, to, node)
     # The tree after generalisation: one row per host and template, however many pages a host has.
@@ -120,4 +121,38 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
 
-ORACLE_SQL = None
+def _sql() -> str:
+    """The whole filter as SQL for another engine."""
+    g = "regexp_replace(x, '^[0-9]+(\\.[A-Za-z]{1,5})?$', '{n}\\1')"
+    g = f"regexp_replace({g}, '^[0-9]{{4}}-[0-9]{{2}}(?:-[0-9]{{2}})?(\\.[A-Za-z]{{1,5}})?$', '{{d}}\\1')"
+    g = f"CASE WHEN regexp_matches({g}, '[0-9]') THEN regexp_replace({g}, '^[0-9A-Fa-f-]{{8,}}(\\.[A-Za-z]{{1,5}})?$', '{{x}}\\1') ELSE {g} END"
+    g = f"regexp_replace({g}, '[0-9]{{3,}}', '{{n}}', 'g')"
+    rule, verdict = "NULL", "NULL"
+    for h, p, v in sorted(RULES, key=lambda r: (len(r[0]), len(r[1]))):
+        fits = f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+        rule, verdict = f"CASE WHEN {fits} THEN '{h + p}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{v}' ELSE {verdict} END"
+    ctes = [
+        f"u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages)",
+        f"r AS (SELECT page_id, host, path, {rule} AS rule, {verdict} AS verdict, list_transform(string_split(path, '/'), lambda x: {g}) AS parts FROM u)",
+        "p AS (SELECT page_id, host, path, rule, verdict, coalesce(parts[2], '') AS s1, coalesce(parts[3], '') AS s2, array_to_string(parts[4:], '/') AS s3 FROM r)",
+        "t0 AS (SELECT host, s1, s2, s3, count(*) AS n, sum(CASE WHEN verdict = 'block' THEN 1 ELSE 0 END) AS blocked FROM p GROUP BY ALL)",
+    ]
+    for i, node in enumerate((["host"], ["host", "g1"], ["host", "g1", "g2"]), 1):
+        keys = ", ".join(node)
+        ctes += [
+            f"n{i} AS (SELECT {keys}, sum(n) AS _rows, count(*) AS _kinds FROM (SELECT {keys}, s{i}, sum(n) AS n FROM t{i - 1} GROUP BY ALL) GROUP BY ALL)",
+            f"t{i} AS (SELECT t{i - 1}.*, CASE WHEN _rows >= {MIN_ROWS} AND _kinds >= {VARIETY} * _rows AND s{i} <> '' THEN '*' ELSE s{i} END AS g{i} FROM t{i - 1} JOIN n{i} USING ({keys}))",
+        ]
+    ctes += [
+        "b AS (SELECT host, g1, g2, g3, sum(n) AS n, sum(blocked) AS blocked FROM t3 GROUP BY ALL)",
+        "s AS (SELECT host, g1, n, sum(n) OVER (PARTITION BY host, g2, g3) / CAST(sum(n) OVER (PARTITION BY host) AS DOUBLE) AS pooled, sum(n) OVER (PARTITION BY host, g1) AS branch FROM b)",
+        f"m AS (SELECT host, g1, CASE WHEN 0.5 * (sum(abs(n / CAST(branch AS DOUBLE) - pooled)) + 1.0 - sum(pooled)) <= {NEAR} AND max(branch) >= {MIN_ROWS} THEN '~' ELSE g1 END AS m1 FROM s GROUP BY host, g1)",
+        f"""j AS (SELECT host, g1, g2, g3, concat_ws('/', host, m1, g2, g3) AS template,
+(sum(blocked) OVER w + CAST({PRIOR_ROWS * PRIOR_SHARE} AS DOUBLE)) / (sum(n) OVER w + CAST({PRIOR_ROWS} AS DOUBLE)) AS purity FROM b JOIN m USING (host, g1) WINDOW w AS (PARTITION BY host, m1, g2, g3))""",
+    ]
+    return f"""WITH {", ".join(ctes)}
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6) AS purity
+FROM p LEFT JOIN t3 USING (host, s1, s2, s3) LEFT JOIN j USING (host, g1, g2, g3)"""
+
+
+ORACLE_SQL = _sql()
