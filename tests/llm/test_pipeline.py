@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import corpus_pipeline
 from tests.llm.test_ngram_join import brute
-from veilstat.llm import lang_id, ngram_join, packing, pii, toxicity
+from veilstat.llm import lang_id, packing, pii, toxicity
 from veilstat.sources.tables import table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -40,4 +40,3 @@ def test_stages_and_run(spark, tmp_path):
         bins[r.shard, r.bin] += r.stop - r.start
     assert {d: max(e for _, e in p) for d, p in pieces.items()} == lengths
     assert max(bins.values()) <= packing.CAPACITY
-    assert ngram_join.ORACLE_SQL is None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from veilstat.llm import bpe, html_extract, lang_id, media_columns, ngram_join, packing, pii, topk, toxicity, url_filter
 
 QUERIES = {
-    "op9_ngram_join": (ngram_join.query, None),
+    "op9_ngram_join": (ngram_join.query, ngram_join.ORACLE_SQL),
     "op1_html_extract": (html_extract.query, None),
     "op4_packing": (packing.query, None),
     "op5_topk": (topk.query, topk.ORACLE_SQL),
