@@ -11,7 +11,7 @@ from veilstat.functions import keyed, special
 from veilstat.operators import chunking, experiment, histograms, intervals, logistic, mechanisms, private_logistic, resampling, survey, variance, zcdp
 from veilstat.operators.histograms import Bins
 from veilstat.operators.ledger import Ledger, split, study_ledger
-from veilstat.sources import distributions
+from veilstat.sources import distributions, files
 
 
 def numbers(spark, values):
@@ -205,9 +205,12 @@ def test_survey_and_results(spark, tmp_path):
     raw = spark.createDataFrame([(1, 40.0, 1.0, 12.0, 1.0, 40.0, 2.0, 40000.0), (2, 17.0, 6.0, 24.0, 5.0, 99.0, 1.0, 500.0), (3, 12.0, 6.0, 24.0, 5.0, 99.0, 1.0, 500.0)], "id long, AGEP double, COW double, SCHL double, MAR double, WKHP double, SEX double, PINCP double")
     out = {r.id: r for r in survey.prepare(raw).collect()}
     assert set(out) == {1, 2} and out[1].PINCP == 1 and out[2].PINCP == -1 and out[1].SEX == 1 and out[1].COW_private == 1 and out[2].COW_self == 1
-    survey.prepare(raw).write.option("header", True).csv(str(tmp_path / "csv"))
-    again = spark.read.schema(survey.prepare(raw).schema).option("header", True).csv(str(tmp_path / "csv"))
-    assert again.exceptAll(survey.prepare(raw)).count() == 0
+    files.write_csv(survey.prepare(raw), str(tmp_path / "csv"))
+    again = files.read_features(spark, str(tmp_path / "csv"))
+    assert again.exceptAll(survey.prepare(raw)).count() == 0 and again.count() == 2
+    assert files.read_features(spark, str(tmp_path / "csv"), ["AGEP"]).columns == ["id", "AGEP", "PINCP"]
+    files.write_csv(raw.select(*[f.name for f in survey.RAW.fields]), str(tmp_path / "raw"))
+    assert files.read_survey(spark, str(tmp_path / "raw")).count() == 3
     run = spark.createDataFrame([(300, 1, 0.5), (500, 1, 0.7)], "n int, trial int, w double")
     experiment.write_run(run, str(tmp_path / "runs"), "m1d1v0", "len")
     experiment.write_run(run, str(tmp_path / "runs"), "m1d12v0", "len")

@@ -113,3 +113,10 @@ def density(df: DataFrame, x: str, low: float, high: float, bins: int) -> DataFr
     counted = inside.groupBy("bin").agg(F.count("*").alias("ct"))
     total = counted.agg(F.sum("ct").alias("t"))
     return counted.crossJoin(F.broadcast(total)).select("bin", (F.col("ct") / (F.col("t") * F.lit(w))).alias("density"))
+
+
+def set_counts(df: DataFrame, x: str, sets: list[tuple[float, float]], by: list[str]) -> DataFrame:
+    """(by..., set, ct, total): rows in each of a short list of closed intervals, which may overlap; one aggregate."""
+    inside = [F.count_if(F.col(x).between(F.lit(float(low)), F.lit(float(high)))) for low, high in sets]
+    agg = df.groupBy(*by).agg(F.array(*inside).alias("_c"), F.count("*").alias("total"))
+    return agg.select(*by, "total", F.posexplode("_c").alias("set", "ct")).select(*by, "set", "ct", "total")

@@ -225,3 +225,18 @@ def gvdp_ci(spark, d):
     v = chunk_values(spark, d)
     out = zcdp.private_interval(v, v.count(), 1.0, 5.0, 1.0, 45.0, 30.0, 5, _rho, _b, 0.05, seed=2)
     return spark.createDataFrame([tuple(round(out[c], 4) for c in ("est", "l", "u"))], "est double, l double, u double")
+
+
+@query("study_mean")
+def study_mean(spark, d):
+    """Monte-Carlo coverage and width of every method on generated samples."""
+    from veilstat.operators.trial import Study, run_trials, study_summary
+
+    return study_summary(run_trials(spark, Study(resamples=10, max_boot=200), [300, 500], [10.0], 16))
+
+
+@query("study_median")
+def study_median(spark, d):
+    from veilstat.operators.trial import Study, run_trials, study_summary
+
+    return study_summary(run_trials(spark, Study(task="median", resamples=10, max_boot=200), [300], [10.0], 16))

@@ -179,3 +179,14 @@ def bin_edges(spark, d):
 @query("density_hist", "SELECT bin, round(ct / (sum(ct) OVER () * CAST(5 AS DOUBLE)), 9) AS density FROM (SELECT CAST(least(floor(l_quantity / 5), 9) AS INTEGER) AS bin, count(*) AS ct FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY 1)")
 def density_hist(spark, d):
     return histograms.density(table(spark, d, "lineitem"), "l_quantity", 0.0, 50.0, 10).withColumn("density", _r(F.col("density"), 9))
+
+
+_sets = [(0.0, 10.0), (5.0, 20.0), (20.0, 20.0), (0.0, float("inf"))]
+
+
+@query(
+    "set_hist",
+    "SELECT l_returnflag, CAST(i AS INTEGER) AS set, count(*) FILTER (l_quantity BETWEEN lo AND hi) AS ct, count(*) AS total FROM lineitem, (VALUES (0, 0, 10), (1, 5, 20), (2, 20, 20), (3, 0, CAST('infinity' AS DOUBLE))) s(i, lo, hi) GROUP BY 1, 2",
+)
+def set_hist(spark, d):
+    return histograms.set_counts(table(spark, d, "lineitem"), "l_quantity", _sets, ["l_returnflag"])

@@ -30,6 +30,13 @@ class Distribution:
     mean = median = std = float("nan")
     bounds = (-INF, INF)
 
+    def quantile(self, u: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
+
+    def draw(self, rng: np.random.Generator, n: int) -> np.ndarray:
+        """n draws in numpy, for trials inside one task."""
+        return self.quantile(rng.random(n))
+
     @property
     def median_std(self) -> float:
         """Asymptotic standard deviation of the sample median, times the root of n: 1 / (2 f(median))."""
@@ -63,6 +70,9 @@ class Gauss(Distribution):
     def density(self, x):
         return NormalDist(self.mu, self.sigma).pdf(x)
 
+    def draw(self, rng, n):
+        return rng.normal(self.mu, self.sigma, n)
+
 
 @dataclass
 class TruncatedGauss(Distribution):
@@ -84,6 +94,9 @@ class TruncatedGauss(Distribution):
     def expression(self, seed, key):
         return F.lit(self.mu) + F.lit(self.sigma) * inverse_normal(F.lit(self._lo) + uniform("trunc", seed, key) * F.lit(self._hi - self._lo))
 
+    def quantile(self, u):
+        return self.mu + self.sigma * np.array([_unit.inv_cdf(v) for v in self._lo + u * (self._hi - self._lo)])
+
     def density(self, x):
         return _unit.pdf((x - self.mu) / self.sigma) / self.sigma / (self._hi - self._lo)
 
@@ -107,6 +120,10 @@ class Triangular(Distribution):
         u, w = uniform("triang", seed, key), F.lit(self.right - self.left)
         return F.when(u < F.lit(self.c), F.lit(self.left) + w * F.sqrt(u * F.lit(self.c))).otherwise(F.lit(self.right) - w * F.sqrt((F.lit(1.0) - u) * F.lit(1 - self.c)))
 
+    def quantile(self, u):
+        w = self.right - self.left
+        return np.where(u < self.c, self.left + w * np.sqrt(u * self.c), self.right - w * np.sqrt((1 - u) * (1 - self.c)))
+
     def density(self, x):
         t, w = (x - self.left) / (self.right - self.left), self.right - self.left
         return (2 * t / self.c if t < self.c else 2 * (1 - t) / (1 - self.c)) / w if 0 <= t <= 1 else 0.0
