@@ -8,6 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+# Freed batches go back to the system at once; workers live from stage to stage and share an executor's memory.
+pa.set_memory_pool(pa.system_memory_pool())
+
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column (nulls empty) as one array, and the offsets of the rows in it."""

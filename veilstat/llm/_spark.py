@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 from veilstat.llm._arrow import byte_view, slices
 
 
+BATCH_ROWS = 512
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The frame with its lineage cut by a reliable checkpoint in the folder the cluster names (a temporary one in tests)."""
     spark = df.sparkSession
@@ -21,6 +24,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows, unless the session asks for other than the default; long texts fill them soon."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def fold_of(id_col: Column) -> Column:
     """crc32 of the id as text, mod 5; 0 is held out."""
     return F.crc32(id_col.cast("string")) % 5
@@ -31,6 +41,7 @@ def with_text_columns(df: DataFrame, text_col: str, added: T.StructType, compute
 
     compute(data, offsets) gets the UTF-8 bytes of a run of whole rows and returns one Arrow array a column.
     """
+    small_batches(df.sparkSession)
     kept = df.select(*[c for c in df.columns if c not in added.names or c == text_col])
     at, names = kept.columns.index(text_col), [*kept.columns, *added.names]
 

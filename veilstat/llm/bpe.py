@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from veilstat.llm._spark import small_batches
 from veilstat.sources.tables import table
 
 LEAF_CHARS, LEAF_SYMBOLS, WINDOW_CHARS = 4096, 48, 24
@@ -197,6 +198,7 @@ def codec(path: str | None) -> Codec:
 
 def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
     """One row per input row: doc_id, n_tokens, digests, and with `keep` the packed ids and the decoded text."""
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if keep else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilstat.llm._arrow import byte_view, row_sums, slices
-from veilstat.llm._spark import fold_of, shared, with_text_columns
+from veilstat.llm._spark import fold_of, shared, small_batches, with_text_columns
 from veilstat.sources.tables import table
 
 BUCKETS, DIM = 1 << 13, 16
@@ -106,6 +106,7 @@ def _counts(batches):
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Model of docs' non-null languages outside the held-out fold; ids first, so that only chosen texts are read."""
+    small_batches(docs.sparkSession)
     usable = F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id")) != 0)
     ids = docs.filter(usable).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     chosen = docs.filter(usable).join(F.broadcast(ids), "doc_id", "left_semi")  # at most train_rows ids

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilstat.llm._arrow import byte_view, row_sums, slices
+from veilstat.llm._spark import small_batches
 from veilstat.sources.tables import table
 
 BLOCK = 64
@@ -167,6 +168,7 @@ def _encode(ids: pa.Array, data: np.ndarray, offsets: np.ndarray, keep: bool) ->
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
     """One row per input row with the stored file (`media`), its 16 kHz PCM (`pcm16k`) and their digests and features."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(lambda batches: encode(batches, keep), SCHEMA + (", media binary, pcm16k binary" if keep else ""))
 

@@ -40,15 +40,15 @@ from pyspark.sql import types as T
 
 from veilstat.llm._arrow import byte_view, row_sums, slices
 from veilstat.llm._components import components
-from veilstat.llm._spark import checkpointed, shared, with_text_columns
+from veilstat.llm._spark import checkpointed, shared, small_batches, with_text_columns
 from veilstat.sources.tables import table
 
 WORDS = 5
 SLICE_BYTES = 1 << 20
-WINDOW_TOKENS = 4_000_000
+WINDOW_TOKENS = 2_000_000
 FREQUENT, FREQUENT_ROWS = 16, 1 << 20  # frequent: counted so often, and among so many most frequent
 CELLS = 128
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 GROUP_ENTRIES = 2_000_000
 BROADCAST_ROWS = 300_000
 MEMBERS = 256
@@ -519,6 +519,7 @@ def _tile(block: pa.Table) -> pa.Table:
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, fp1 and component_id of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = checkpointed(docs.mapInArrow(_first_pass, "doc_id long, n_shingles long, fp1 long, fp2 long, cells binary, token long, count long"))
     sets = first.filter("token is null").select("doc_id", "n_shingles", "fp1", "fp2")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilstat.llm._boost import Boosted, fit_boosted, isotonic
-from veilstat.llm._spark import shared
+from veilstat.llm._spark import shared, small_batches
 from veilstat.sources.tables import table
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -206,6 +206,7 @@ class Model:
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Model from weak labels; ids first, then only the chosen texts."""
+    small_batches(docs.sparkSession)
     ids = docs.filter("doc_id is not null and text is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
 
     def rows(batches):

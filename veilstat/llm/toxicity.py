@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from veilstat.llm._arrow import byte_view, row_sums, slices
 from veilstat.llm._boost import Boosted, fit_boosted, isotonic
-from veilstat.llm._spark import checkpointed, fold_of, shared, with_text_columns
+from veilstat.llm._spark import checkpointed, fold_of, shared, small_batches, with_text_columns
 from veilstat.sources.tables import table
 
 TRAIN_ROWS = 12_000
@@ -206,6 +206,7 @@ def learn_lexicon(part: DataFrame, n_toxic: int, n_clean: int, size: int = LEXIC
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Model from the labelled documents outside the held-out fold; a document labelled twice counts with its larger label."""
+    small_batches(docs.sparkSession)
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 0))
     ids = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     # At most train_rows ids are broadcast.
