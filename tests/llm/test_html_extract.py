@@ -56,3 +56,34 @@ def test_odd_markup_is_linear():
 
 def test_references_and_space():
     assert he.main_text("<main><p> a&nbsp;b\n\t c &lt;x&gt; &#233;</p><p>\n</p>d</main>", None) == "a b c <x> é\nd"
+
+
+def extracted(spark, pages):
+    df = spark.createDataFrame([(i, f"https://one.example.org/{i}", h) for i, h in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    return [r.text for r in he.extract(df).orderBy("page_id").collect()]
+
+
+def test_wrapper_decides_on_pages_with_landmarks(spark):
+    pages, want = [], []
+    for i in range(24):
+        head, texts = words(4), [words(rng.randint(3, 30)) for _ in range(rng.randint(1, 4))]
+        body = "".join(f"<p>{t}</p>" for t in texts)
+        pages.append(f"<body><nav><p>{words(3)}</p></nav><article><h1>{head}</h1>{body}<p>Write to us if you know more about this story</p><div>Printed with all rights kept</div></article></body>")
+        want.append("\n".join([head, *texts]))
+    pages += [pages[0]] * 5  # copies of a page do not make its text a template
+    want += [want[0]] * 5
+    assert extracted(spark, pages) == want
+
+
+def test_text_outside_of_a_teaser_article(spark):
+    pages, want = [], []
+    for _ in range(12):
+        head, texts = words(4), [words(30) for _ in range(3)]
+        pages.append(f'<body><article><p>{words(5)}</p></article><div class="text"><h2>{head}</h2>{"".join(f"<p>{t}</p>" for t in texts)}</div></body>')
+        want.append("\n".join([head, *texts]))
+    assert extracted(spark, pages) == want
+
+
+def test_copies_do_not_make_a_template(spark):
+    page = f"<article><h1>{words(3)}</h1><p>{words(9)}</p></article>"
+    assert extracted(spark, [page] * 6) == [he.main_text(page, None)] * 6 != [""] * 6

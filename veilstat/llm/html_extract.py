@@ -1,16 +1,20 @@
 """Main text of web pages by wrappers: union-free regular expressions over the token streams of a host's pages.
 
 A page becomes a stream of structural tokens: block-level tags with their class and id, and text. Inline tags are
-transparent and end tags that HTML may leave out are dropped, so `<p><b>a<br><p>b</p>` is `<p # <p #`. Per host, at
-most SAMPLE_PAGES pages (smallest hash; others only use the wrapper) are aligned one after another with the wrapper
-so far: equal tags stay, differing texts become slots, adjacent repetitions become a repeated group, and any other
-mismatch an optional group. Each text of the wrapper then gets a role: boilerplate if it lies in a menu, header,
-footer, sidebar, notice, advert, form, script, style or comments, or if every page has the same words outside of the
-article; content if it lies in the article, or, where pages have none, in the container with most slot text.
-
-A page is read against its host's wrapper in one deterministic pass (a union-free expression needs one token of
-look-ahead); tokens the wrapper does not know are skipped and judged by the tags around them. Content texts make
-blocks: character references decoded, white space as one space, trimmed, joined by line feeds.
+transparent and end tags that HTML may leave out are dropped, so `<p><b>a<br><p>b</p>` is `<p # <p #`. All pages of a
+host take part: those of one skeleton (the stream with adjacent repetitions as repeated groups) become one structure,
+skeletons are dealt into templates by their containers (half of them shared, and an article in both or in neither),
+and each template's skeletons are aligned one after another with the wrapper so far: equal tags stay, texts become
+slots, and any other mismatch an optional group. Each text of the wrapper then gets a role: boilerplate if it lies in a
+menu, header, footer, sidebar, notice, advert, form, script, style or comments; boilerplate if every page that has the
+slot or group has the same words there, in the article too (seen on LEAST_INVARIANT pages whose texts differ, so copies
+of a page count once); content if it lies in the article, where the articles hold at least half of the open text, or
+else in the container with most open text. Landmarks decide nothing on a page; they are evidence for the roles.
+
+A page is read against its template's wrapper in one deterministic pass (a union-free expression needs one token of
+look-ahead); a text that this pass does not meet is content if it lies within the elements around the wrapper's
+content, however short it is. Content texts make blocks: character references decoded, white space as one space,
+trimmed, joined by line feeds.
 
 Null or empty html: empty text. A host with one page has a wrapper of that page. Repeated rows stay, extra columns
 are ignored, an empty table gives an empty result.
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import bisect
 import difflib
+import hashlib
 import html as entities
 import json
 import re
@@ -27,17 +32,16 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilstat.llm._spark import checkpointed, small_batches
 from veilstat.llm.url_filter import host_of
 from veilstat.sources.tables import table
 
-SAMPLE_PAGES, DRAWN_PAGES = 12, 48
-LEAST_INVARIANT = 3
+LEAST_INVARIANT, LEAST_ALIKE = 3, 0.5
 BROADCAST_BYTES = 64 << 20
-SAMPLE_TOKENS = 4096
+ALIGN_CELLS, HELD_NODES, SALTS = 1 << 20, 1 << 18, 16
 
 # HTML element names by how they shape text.
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes")
@@ -45,6 +49,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 IMPLIED_END = frozenset("p li dt dd tr td th thead tbody tfoot option optgroup colgroup html head body".split())
 APART = frozenset("head nav footer aside form script style noscript iframe textarea title select button svg canvas template dialog object audio video menu".split())
+BLOCKS = frozenset("address blockquote dl figcaption figure h1 h2 h3 h4 h5 h6 ol pre ul".split())
 MAIN = frozenset(("article", "main"))
 APART_WORDS = re.compile(
     r"(?:^|[^a-z])(?:ad|ads|advert\w*|adsense|adbox|banner\w*|promo\w*|sponsor\w*|cookie\w*|consent|notice\w*|alert|newsletter|subscri\w*|signup|login|comments?|comment[-_]?(?:list|section|area)|disqus|replies|"
@@ -158,6 +163,8 @@ def tokens(page: str) -> list[Token]:
         if name == "header" and hint != 1:
             apart = True
         main = name in MAIN or (names and MAIN_WORDS.search(names))
+        if apart:
+            out[-1].hint = -1
         if hint >= 0 and (apart or main):
             stack.append((name, hint))
             hint = -1 if apart else 1
@@ -168,18 +175,37 @@ def tokens(page: str) -> list[Token]:
     return out
 
 
-# A wrapper is a list of nodes: ["t", key], ["x", text hash or null, role hint, length, pages], ["r", nodes], ["o", nodes].
+# A wrapper is a list of nodes: ["t", key], ["r", nodes], ["o", nodes] and texts, ["x", common, role hint, length, pages,
+# contents, only, role]: hashes of the texts that every page has there, the texts' length, the pages, at most LEAST_INVARIANT
+# hashes of the open text of those pages (so that copies of a page count once), the hash if all texts are the same,
+# and in a settled wrapper 1 for content or -1 for boilerplate.
 
 
 def shape(node: list) -> str:
     kind = node[0]
-    return node[1] if kind == "t" else "#" if kind == "x" else kind + "(" + shape(node[1][0]) + ")"
+    return node[1] if kind == "t" else ("#-" if node[2] == -1 else "#") if kind == "x" else kind + "(" + shape(node[1][0]) + ")"
+
+
+def skeleton(nodes: list[list]) -> str:
+    """The whole form of nodes, without what their texts say."""
+    return " ".join(shape(n) if n[0] in "tx" else f"{n[0]}({skeleton(n[1])})" for n in nodes)
+
+
+def text_hash(text: str) -> int:
+    return zlib.crc32(" ".join(text.split()).encode())
 
 
 def structure(stream: list[Token]) -> list[list]:
     """The nodes of one page, adjacent repetitions collapsed."""
-    nodes = [["t", t.key] if t.key != "#" else ["x", zlib.crc32(" ".join(t.text.split()).encode()), t.hint, len(t.text), 1] for t in stream if t.key != "|"]
-    return collapse(nodes[:SAMPLE_TOKENS])
+    content = zlib.crc32("\n".join(t.text for t in stream if t.key == "#" and t.hint != -1).encode())
+    nodes = []
+    for t in stream:
+        if t.key == "#":
+            h = text_hash(t.text) if t.hint != -1 else 0
+            nodes.append(["x", [h] if h else [], t.hint, len(t.text), 1, [content] if h else [], h])
+        elif t.key != "|":
+            nodes.append(["t", t.key])
+    return collapse(nodes)
 
 
 def collapse(nodes: list[list], width: int = 12) -> list[list]:
@@ -193,7 +219,7 @@ def collapse(nodes: list[list], width: int = 12) -> list[list]:
                 group = [json.loads(json.dumps(n)) for n in nodes[i : i + w]]
                 i += w
                 while keys[i : i + w] == body:
-                    group = [merge_node(a, b) for a, b in zip(group, nodes[i : i + w], strict=True)]
+                    group = [merge_node(a, b, True) for a, b in zip(group, nodes[i : i + w], strict=True)]
                     i += w
                 out.append(["r", group])
             else:
@@ -203,19 +229,53 @@ def collapse(nodes: list[list], width: int = 12) -> list[list]:
     return nodes
 
 
-def merge_node(a: list, b: list) -> list:
+def merge_node(a: list, b: list, within: bool = False) -> list:
+    """One node for two of the same shape, of two sets of pages or within one page."""
     if a[0] == "t":
         return a
     if a[0] == "x":
-        return ["x", a[1] if a[1] == b[1] else None, min(a[2], b[2]) if -1 in (a[2], b[2]) else max(a[2], b[2]), a[3] + b[3], a[4] + b[4]]
+        common = set(a[1]) | set(b[1]) if within else set(a[1]) & set(b[1])
+        contents = sorted({*a[5], *b[5]})[:LEAST_INVARIANT] if common else []
+        return ["x", sorted(common), max(a[2], b[2]), a[3] + b[3], max(a[4], b[4]) if within else a[4] + b[4], contents, a[6] if a[6] == b[6] else 0]
+    if len(a[1]) == len(b[1]) and skeleton(a[1]) == skeleton(b[1]):
+        return [a[0], [merge_node(x, y, within) for x, y in zip(a[1], b[1], strict=True)]]
     return [a[0], align(a[1], b[1])]
 
 
+def absorb(a: list, b: list) -> list:
+    """A repeated node with a further repetition of pages it has already met."""
+    if a[0] != "x":
+        return a if a[0] == "t" else [a[0], [absorb(x, y) for x, y in zip(a[1], b[1], strict=False)] + a[1][len(b[1]) :]]
+    return ["x", a[1], max(a[2], b[2]), a[3] + b[3], a[4], a[5], a[6] if a[6] == b[6] else 0] if b[0] == "x" else a
+
+
+def matched(a: list[str], b: list[str], i: int = 0, k: int = 0) -> Iterator[tuple[str, int, int, int, int]]:
+    """Opcodes of two key lists; equal ends are taken off and what is left too large for one table is halved."""
+    lead = 0
+    while lead < min(len(a), len(b)) and a[lead] == b[lead]:
+        lead += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - lead and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    if lead:
+        yield "equal", i, i + lead, k, k + lead
+    x, y = a[lead : len(a) - tail], b[lead : len(b) - tail]
+    if len(x) * len(y) > ALIGN_CELLS:
+        h, m = len(x) // 2, len(y) // 2
+        yield from matched(x[:h], y[:m], i + lead, k + lead)
+        yield from matched(x[h:], y[m:], i + lead + h, k + lead + m)
+    else:
+        for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+            yield op, i + lead + i1, i + lead + i2, k + lead + j1, k + lead + j2
+    if tail:
+        yield "equal", i + len(a) - tail, i + len(a), k + len(b) - tail, k + len(b)
+
+
 def align(a: list[list], b: list[list]) -> list[list]:
     """One wrapper for what two node lists stand for."""
     keys_a, keys_b = [shape(n).removeprefix("o(").removeprefix("r(").rstrip(")") for n in a], [shape(n).removeprefix("o(").removeprefix("r(").rstrip(")") for n in b]
     out: list[list] = []
-    for op, i, j, k, m in difflib.SequenceMatcher(None, keys_a, keys_b, autojunk=False).get_opcodes():
+    for op, i, j, k, m in matched(keys_a, keys_b):
         if op == "equal":
             out += [merge_kinds(x, y) for x, y in zip(a[i:j], b[k:m], strict=True)]
             continue
@@ -223,7 +283,7 @@ def align(a: list[list], b: list[list]) -> list[list]:
             if not run:
                 continue
             if out and out[-1][0] == "r" and [shape(n) for n in run] == [shape(n) for n in out[-1][1]]:
-                out[-1] = ["r", [merge_node(x, y) for x, y in zip(out[-1][1], run, strict=True)]]
+                out[-1] = ["r", [absorb(x, y) for x, y in zip(out[-1][1], run, strict=True)]]
             else:
                 out += [n if n[0] == "o" else ["o", [n]] for n in run] if len(run) == 1 else [["o", run]]
     return out
@@ -242,20 +302,25 @@ def merge_kinds(x: list, y: list) -> list:
 
 
 def wrapper_of(pages: list[list[list]]) -> list[list]:
-    """Aligns the structures one after another and settles the role (1 content, -1 boilerplate, 0 open) of each text."""
+    """Aligns structures one after another and settles the role (1 content, -1 boilerplate) of each text.
+
+    Tags are evidence: texts apart are boilerplate; the article is the content if it holds at least half of the open
+    text that differs between pages, else the region with most such text is. Words of every page are boilerplate.
+    """
     wrapper = pages[0]
     for page in pages[1:]:
         wrapper = align(wrapper, page)
-    has_main = any(x[2] == 1 for x in texts(wrapper))
     for x in texts(wrapper):
-        if x[2] == 0:
-            same = x[1] is not None and x[4] >= LEAST_INVARIANT
-            x[2] = -1 if has_main or same else 0
-    if not has_main:
-        best = region(wrapper)
-        for x in texts(wrapper):
-            if x[2] == 0:
-                x[2] = 1 if id(x) in best else -1
+        if x[2] == -1 or len(x[5]) < LEAST_INVARIANT:
+            x[1], x[5], x[6] = None, [], 0
+    marked, other = (sum(x[3] for x in texts(wrapper) if x[2] == hint and not x[6]) for hint in (1, 0))
+    leads = marked >= other and any(x[2] == 1 for x in texts(wrapper))
+    best = set() if leads else region(wrapper)
+    for x in texts(wrapper):
+        if x[2] != -1:
+            x.append(1 if (x[2] == 1 if leads else id(x) in best) and not x[6] else -1)
+        else:
+            x.append(-1)
     return wrapper
 
 
@@ -268,20 +333,22 @@ def texts(nodes: list[list]) -> Iterator[list]:
 
 
 def region(nodes: list[list]) -> set[int]:
-    """Without an article: texts of the innermost container that holds at least two thirds of the open slot text."""
+    """Where no article leads: texts of the innermost container that holds at least two thirds of the open slot text."""
     flat: list[list] = []
+    whole: list[bool] = []  # whether a page has the node once; a repeated element is a part of the content, not all of it
 
-    def spread(ns):
+    def spread(ns, once=True):
         for n in ns:
             if n[0] in "tx":
                 flat.append(n)
+                whole.append(once)
             else:
-                spread(n[1])
+                spread(n[1], once and n[0] != "r")
 
     spread(nodes)
-    weigh = lambda x: x[3] / max(x[4], 1) if x[2] == 0 else 0.0
+    weigh = lambda x: x[3] if x[2] != -1 and not x[6] else 0.0
     total = sum(weigh(n) for n in flat if n[0] == "x")
-    best, best_size, open_at = {id(n) for n in flat if n[0] == "x" and n[2] == 0}, len(flat) + 1, {}
+    best, best_size, open_at = {id(n) for n in flat if n[0] == "x" and n[2] != -1}, len(flat) + 1, {}
     for i, n in enumerate(flat):
         if n[0] != "t":
             continue
@@ -290,8 +357,8 @@ def region(nodes: list[list]) -> set[int]:
             if starts:
                 start = starts.pop()
                 own = [m for m in flat[start:i] if m[0] == "x"]
-                if total and sum(map(weigh, own)) >= total * 2 / 3 and i - start < best_size:
-                    best, best_size = {id(m) for m in own if m[2] == 0}, i - start
+                if total and whole[start] and n[1][2:] not in BLOCKS and sum(map(weigh, own)) >= total * 2 / 3 and i - start < best_size:
+                    best, best_size = {id(m) for m in own if m[2] != -1}, i - start
         else:
             open_at.setdefault(n[1][1:].split(".")[0], []).append(i)
     return best
@@ -302,7 +369,7 @@ def first_keys(node: list) -> set[str]:
     if node[0] == "t":
         return {node[1]}
     if node[0] == "x":
-        return {"#"}
+        return {shape(node)}
     out: set[str] = set()
     for n in node[1]:
         out |= first_keys(n)
@@ -311,22 +378,89 @@ def first_keys(node: list) -> set[str]:
     return out
 
 
+def template_keys(stream: list[Token]) -> frozenset[str]:
+    """What tells templates of a host apart: containers outside of menus and the like, and whether there is an article."""
+    keys = {t.key for t in stream if t.hint != -1 and t.key[0] == "<" and t.key[1] != "/" and ("." in t.key or t.key[1:] in ("article", "main", "section"))}
+    return frozenset(keys | {"article"} if any(t.key == "#" and t.hint == 1 for t in stream) else keys)
+
+
+def template_of(keys: frozenset[str], leaders: list[frozenset[str]]) -> int | None:
+    """The most similar leader, if it shares half of the containers and has an article exactly if the page does."""
+    best, at = LEAST_ALIKE, None
+    for i, own in enumerate(leaders):
+        alike = len(keys & own) / max(len(keys | own), 1) if keys or own else 1.0
+        if ("article" in keys) == ("article" in own) and (alike > best or (at is None and alike == best)):
+            best, at = alike, i
+    return at
+
+
+def inferred(found: list[tuple[frozenset[str], list[list], int]]) -> list[list]:
+    """[leader's keys, wrapper] of each template of a host, from (keys, structure, pages) of its distinct skeletons."""
+    pages: dict[frozenset[str], int] = {}
+    for keys, _, n in found:
+        pages[keys] = pages.get(keys, 0) + n
+    leaders: list[frozenset[str]] = []
+    for keys in sorted(pages, key=lambda k: (-pages[k], sorted(k))):
+        if template_of(keys, leaders) is None:
+            leaders.append(keys)
+    own: list[list[list[list]]] = [[] for _ in leaders]
+    for keys, nodes, _ in sorted(found, key=lambda f: (-f[2], skeleton(f[1]))):
+        own[template_of(keys, leaders)].append(nodes)
+    return [[sorted(k), wrapper_of(nodes)] for k, nodes in zip(leaders, own, strict=True)]
+
+
+class Path:
+    """The open elements around a token, without those whose end tags may be left out."""
+
+    def __init__(self):
+        self.open: list[str] = []
+
+    def step(self, key: str) -> None:
+        if key[0] != "<":
+            return
+        name = key.strip("</").split(".")[0]
+        if key[1] != "/":
+            if name not in IMPLIED_END and name not in VOID:
+                self.open.append(key)
+            return
+        for i in range(len(self.open) - 1, max(-1, len(self.open) - 33), -1):
+            if self.open[i][1:].split(".")[0] == name:
+                del self.open[i:]
+                break
+
+
 class Reader:
     """A wrapper ready to read pages."""
 
     def __init__(self, wrapper: list[list]):
         self.nodes = self.prepared(wrapper)
+        self.core: list[str] | None = None  # the innermost elements around all content
+        path = Path()
+
+        def spread(nodes: list[list]) -> None:
+            for n in nodes:
+                if n[0] == "t":
+                    path.step(n[1])
+                elif n[0] != "x":
+                    spread(n[1])
+                elif n[7] == 1:
+                    if self.core is None:
+                        self.core = list(path.open)
+                    at = next((i for i, (x, y) in enumerate(zip(self.core, path.open)) if x != y), min(len(self.core), len(path.open)))  # noqa: B905
+                    del self.core[at:]
+
+        spread(wrapper)
 
     def prepared(self, nodes: list[list]) -> list[tuple]:
-        return [("t", n[1]) if n[0] == "t" else ("x", n[2]) if n[0] == "x" else (n[0], self.prepared(n[1]), first_keys(n)) for n in nodes]
+        return [("t", n[1]) if n[0] == "t" else ("x", shape(n), n[7], frozenset(n[1] or ())) if n[0] == "x" else (n[0], self.prepared(n[1]), first_keys(n)) for n in nodes]
 
-    def roles(self, stream: list[Token]) -> list[int | None]:
-        """The wrapper's role of each token; None for tokens it does not know."""
-        keys = [t.key for t in stream]
+    def roles(self, stream: list[Token]) -> list[int]:
+        """The role of each text: the wrapper's; where it does not know a text, by whether that lies around its content."""
+        keys = [t.key if t.key != "#" else "#-" if t.hint == -1 else "#" for t in stream]
         places: dict[str, list[int]] = {}
         for i, k in enumerate(keys):
             places.setdefault(k, []).append(i)
-        out: list[int | None] = [None] * len(keys)
+        out: list[int] = [0] * len(keys)
 
         def walk(nodes: list[tuple], i: int) -> int:
             for n in nodes:
@@ -344,8 +478,8 @@ class Reader:
                     if at < len(found) and (found[at] - i <= 8 or n[1].startswith(("</", "<article", "<main"))):
                         i = found[at] + 1
                 elif n[0] == "x":
-                    if keys[i] == "#":
-                        out[i] = n[1]
+                    if keys[i] == n[1]:
+                        out[i] = -1 if n[3] and text_hash(stream[i].text) in n[3] else n[2]
                         i += 1
                 elif n[0] == "o":
                     if keys[i] in n[2]:
@@ -361,23 +495,42 @@ class Reader:
             return i
 
         walk(self.nodes, 0)
+        path = Path()
+        for i, t in enumerate(stream):
+            if t.key != "#":
+                path.step(t.key)
+            elif not out[i]:
+                out[i] = 1 if t.hint != -1 and self.core is not None and path.open[: len(self.core)] == self.core else -1
         return out
 
 
-def main_text(page: str, reader: Reader | None) -> str:
-    """The content blocks of a page."""
+class Host:
+    """The readers of a host's templates."""
+
+    def __init__(self, templates: list[list]):
+        self.leaders, self.wrappers = [frozenset(k) for k, _ in templates], [w for _, w in templates]
+        self.readers: dict[int, Reader] = {}
+
+    def roles(self, stream: list[Token]) -> list[int]:
+        at = template_of(template_keys(stream), self.leaders)
+        if at not in self.readers:
+            self.readers[at] = Reader(self.wrappers[at])
+        return self.readers[at].roles(stream)
+
+
+def main_text(page: str, reader: Host | None) -> str:
+    """The content blocks of a page; without a host's wrappers, by the wrapper of the page itself."""
     stream = tokens(page)
-    roles = reader.roles(stream) if reader else [None] * len(stream)
-    has_main = any(t.hint == 1 for t in stream if t.key == "#")
+    if not stream:
+        return ""
+    roles = (reader or Reader(wrapper_of([structure(stream)]))).roles(stream)
     blocks: list[str] = []
     open_block = False
     for t, role in zip(stream, roles, strict=True):
         if t.key != "#":
             open_block = False
             continue
-        if t.hint == -1 or (has_main and t.hint != 1) or (not has_main and role == -1):
-            continue
-        if not has_main and role is None and len(t.text) < 40:
+        if role != 1:
             continue
         text = " ".join(entities.unescape(t.text).split())
         if not text:
@@ -390,40 +543,74 @@ def main_text(page: str, reader: Reader | None) -> str:
     return "\n".join(blocks)
 
 
-_readers: dict[str, Reader] = {}
+_readers: dict[str, Host] = {}
 
 
-def reader_of(wrapper: str | None) -> Reader | None:
+def reader_of(wrapper: str | None) -> Host | None:
     if wrapper is None:
         return None
     if wrapper not in _readers:
         if len(_readers) >= 512:
             _readers.clear()
-        _readers[wrapper] = Reader(json.loads(wrapper))
+        _readers[wrapper] = Host(json.loads(wrapper))
     return _readers[wrapper]
 
 
+class Skeletons:
+    """Pages of the same host and skeleton as one structure."""
+
+    def __init__(self):
+        self.found: dict[tuple[str, int], list] = {}
+        self.nodes = 0
+
+    def add(self, host: str, skel: int, keys: list[str], nodes: list[list], pages: int) -> None:
+        own = self.found.get((host, skel))
+        if own:
+            own[1], own[2] = [merge_node(x, y) for x, y in zip(own[1], nodes, strict=True)], own[2] + pages
+        else:
+            self.found[host, skel] = [keys, nodes, pages]
+            self.nodes += len(nodes)
+
+    def batch(self) -> pa.RecordBatch:
+        rows = [(host, skel, json.dumps(own, separators=(",", ":"))) for (host, skel), own in self.found.items()]
+        self.__init__()
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["host", "skel", "page"])
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) of every host; a hot host is never in one task whole."""
-    hashed = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("h"), "html")
+    """(host, wrapper) of every host, from all of its pages.
+
+    Pages of one skeleton become one structure, first where they are read, then in SALTS parts a host; one task aligns
+    a host's distinct skeletons.
+    """
+    found = "host string, skel long, page string"
 
     def skeletons(batches):
+        own = Skeletons()
         for batch in batches:
-            made = [json.dumps(structure(tokens(h.as_py() or "")), separators=(",", ":")) for h in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], names=["host", "h", "page"])
-
-    # About DRAWN_PAGES of a host by a hash threshold (all, if it has no more), so html of few pages is shuffled.
-    counts = checkpointed(pages.groupBy(host_of(F.col("url")).alias("host")).agg(F.count("*").alias("c")))
-    bytes_ = counts.agg(F.sum(F.length("host") + 32)).first()[0] or 0
-    drawn = hashed.join(F.broadcast(counts) if bytes_ <= BROADCAST_BYTES else counts, "host").filter(F.pmod("h", F.lit(1_000_003)) * F.col("c") < F.lit(DRAWN_PAGES * 1_000_003))
-    chosen = drawn.withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy("h"))).filter(F.col("k") <= SAMPLE_PAGES)
-    made = chosen.select("host", "h", "html").mapInArrow(skeletons, "host string, h long, page string")
+            for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                stream = tokens(html.as_py() or "")
+                if stream:
+                    nodes = structure(stream)
+                    skel = int.from_bytes(hashlib.blake2b(skeleton(nodes).encode(), digest_size=8).digest(), "big", signed=True)
+                    own.add(host, skel, sorted(template_keys(stream)), nodes, 1)
+                    if own.nodes > HELD_NODES:
+                        yield own.batch()
+        yield own.batch()
+
+    def folded(key: tuple, rows: pa.Table) -> pa.Table:
+        own = Skeletons()
+        for host, skel, page in zip(*(rows[c].to_pylist() for c in ("host", "skel", "page")), strict=True):
+            own.add(host, skel, *json.loads(page))
+        return pa.Table.from_batches([own.batch()])
 
     def infer(key: tuple, rows: pa.Table) -> pa.Table:
-        own = rows.sort_by("h")["page"].to_pylist()
-        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "wrapper": [json.dumps(wrapper_of([json.loads(p) for p in own]), separators=(",", ":"))]})
+        own = [(frozenset(k), nodes, n) for k, nodes, n in map(json.loads, rows["page"].to_pylist())]
+        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "wrapper": [json.dumps(inferred(own), separators=(",", ":"))]})
 
-    return made.groupBy("host").applyInArrow(infer, "host string, wrapper string")
+    made = pages.select(host_of(F.col("url")).alias("host"), "html").filter(F.col("host").isNotNull()).mapInArrow(skeletons, found)
+    parts = made.withColumn("salt", F.pmod("skel", F.lit(SALTS))).groupBy("host", "salt").applyInArrow(folded, found)
+    return parts.groupBy("host").applyInArrow(infer, "host string, wrapper string")
 
 
 def extract(pages: DataFrame) -> DataFrame:
