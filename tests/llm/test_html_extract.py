@@ -87,3 +87,26 @@ def test_text_outside_of_a_teaser_article(spark):
 def test_copies_do_not_make_a_template(spark):
     page = f"<article><h1>{words(3)}</h1><p>{words(9)}</p></article>"
     assert extracted(spark, [page] * 6) == [he.main_text(page, None)] * 6 != [""] * 6
+
+
+def test_many_templates_and_short_blocks_of_a_host(spark):
+    pages, want = [], []
+    for i in range(120):  # 40 templates, three pages each, so twelve pages cannot show them all
+        name = "".join(chr(97 + int(c)) for c in str(100 + i % 40))
+        texts = [words(2), *[words(rng.randint(1, 30)) for _ in range(rng.randint(4, 6))], words(1)]
+        cells = [words(1) for _ in range(rng.randint(2, 6))]
+        h, b, (r, c) = f"h{1 + i % 5}", ("p", "blockquote", "pre", "address", "section", "figure", "center", "h6")[i % 8], (("ul", "li"), ("ol", "li"), ("table", "td"), ("dl", "dd"))[i % 40 // 10]
+        inner = f"<{h}>{texts[0]}</{h}>" + "".join(f"<{b}>{t}</{b}>" for t in texts[1:]) + f"<{r}>" + "".join(f"<{c}>{x}</{c}>" for x in cells) + f"</{r}>"
+        pages.append(f'<body><div class="t{name}">{inner}</div><div class="end">All our offers end soon, so have a look at them now</div></body>')
+        want.append("\n".join([*texts, *cells]))
+    assert extracted(spark, pages) == want
+
+
+def test_tail_of_long_pages(spark):
+    pages, want = [], []
+    for _ in range(4):
+        rows = [words(2) for _ in range(1500)]
+        tail = words(2)
+        pages.append('<body><div class="long">' + "".join(f"<h3>{a}</h3><p>{a}</p><hr>" for a in rows) + f"<h5>{tail}</h5></div><div class='end'>The same words on every page of this host</div></body>")
+        want.append("\n".join([*[x for a in rows for x in (a, a)], tail]))
+    assert extracted(spark, pages) == want
