@@ -38,6 +38,15 @@ def test_like_brute_force(spark, blocks):
     assert sorted(tuple(r) for r in got.collect()) == brute(x, 10, 5)
 
 
+@pytest.mark.parametrize("times", [2, 7])
+def test_every_row_repeated(spark, times):
+    rng = np.random.default_rng(3)
+    x = [(i, [float(v) for v in rng.normal(size=6)], "s") for i in range(300)]  # leaves with far more than 4k hits
+    rows = [r for r in x for _ in range(times)] + [(i, [float(v) for v in rng.normal(size=6)], "s") for i in range(0, 300, 3)]
+    got = topk.top_k(spark.createDataFrame(rows, SCHEMA).repartition(3), F.coalesce(F.col("vec_id") % 10 == 0, F.lit(False)))
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, 10, 5)
+
+
 def test_empty_and_few(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert topk.top_k(none, F.col("vec_id") % 10 == 0).count() == 0
@@ -51,6 +60,15 @@ def test_large_values():
     assert topk.products(q, -q, True)[0, 0] == -(2**63)
 
 
+def test_repeated_rows_beyond_doubles():
+    rng = np.random.default_rng(4)
+    d = rng.integers(-(2**30), 2**30, (60, 2)).astype(float)
+    run = topk.Search(d[:1], np.array([0]), np.repeat(d, 2, 0), np.repeat(np.arange(60), 2), 5)
+    run.run()
+    exact = sorted((-sum(int(a) * int(b) for a, b in zip(d[0], v, strict=True)), i) for i, v in enumerate(d) if i)
+    assert run.wide and run.top[0] == exact[:5]
+
+
 def test_tree_covers():
     x = np.random.default_rng(2).normal(size=(3000, 3))
     x[:500] = x[0]

@@ -126,11 +126,16 @@ class Search:
         for i in np.flatnonzero(hit.any(1)):
             row = int(q.points[i])
             at = np.flatnonzero(hit[i])
-            own = self.q_ids[row]
-            if len(at) > 4 * self.k:  # ties at the k-th score stay in
-                cut = np.partition(scores[i, at].astype(float), len(at) - self.k - 1)[len(at) - self.k - 1]
-                at = at[scores[i, at] >= cut]
-            found = [(-int(s), int(v)) for s, v in zip(scores[i, at].tolist(), ids[at].tolist(), strict=True) if v != own]
+            at = at[ids[at] != self.q_ids[row]]
+            if len(at) > 4 * self.k:
+                # The best row of each id, then ids at least as good as the k-th; ties at the k-th score stay in.
+                at = at[np.argsort(-scores[i, at], kind="stable")]
+                at = at[np.argsort(ids[at], kind="stable")]
+                at = at[np.flatnonzero(np.append(True, ids[at][1:] != ids[at][:-1]))]
+                if len(at) > self.k:
+                    own = scores[i, at]
+                    at = at[own >= np.sort(own)[len(at) - self.k]]
+            found = [(-int(s), int(v)) for s, v in zip(scores[i, at].tolist(), ids[at].tolist(), strict=True)]
             best = sorted({*self.top[row], *found})
             seen: set[int] = set()
             self.top[row] = [t for t in best if not (t[1] in seen or seen.add(t[1]))][: self.k]
