@@ -14,6 +14,30 @@ def test_coverage(spark, task):
         assert 0.88 <= r.coverage <= 1.0 and r.rows == 320 and 0 < r.width < 5
 
 
+@pytest.mark.parametrize("task", ["mean", "median"])
+def test_zcdp_intervals(spark, task):
+    study = trial.Study(task=task, resamples=1, zcdp=True)
+    out = {r.n: r for r in trial.study_summary(trial.run_trials(spark, study, [300, 2000], [10.0], 40)).collect()}
+    sd = study.truth(study_distribution(study.dist))[1]
+    for n, r in out.items():
+        assert r.method == "gvdp" and r.rows == 40 and r.coverage >= 0.9 and r.width > 2 * 1.96 * sd / n**0.5
+    assert out[2000].width < out[300].width / 2  # the noise of few chunks is most of the width
+
+
+def test_clipped_means_without_noise():
+    x = np.random.default_rng(1).normal(7, 2, 50)
+    for r in trial.clipped_means(x, 7.0, 70.0, 4.0, [0.01] * 3, [1e12] * 3, np.random.default_rng(2)):
+        assert abs(r["est"] - x.mean()) < 1e-3 and 0 < r["noise_var"] < 1e-6
+
+
+def test_study_queries_have_every_method(spark):
+    from veilstat.plans.registry import load_all
+
+    for name, task in (("study_mean", "mean"), ("study_median", "median")):
+        found = {r.method for r in load_all()[name][0](spark, "").collect()}
+        assert found == {*trial.Study(task=task).methods, "gvdp"}
+
+
 def test_rank_distance():
     assert trial.rank_distance(np.arange(5), 4).tolist() == [2, 1, 0, 1, 2]
     assert trial.rank_distance(np.arange(6), 5).tolist() == [3, 2, 1, 1, 2, 3]

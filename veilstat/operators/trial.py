@@ -2,6 +2,9 @@
 
 A trial samples n rows, forms the interval of every method, and evaluates all of them on fresh samples. Groups are
 tiny and independent, so they fill any number of cores; the generator of a group depends on its key alone.
+
+The zCDP interval (gvdp) has a study of its own (`zcdp=True`), with its own chunks and one interval a trial, which all
+resamples of the trial repeat. The studies of logistic coefficients (all dimensions; gvdp) are not built.
 """
 
 from __future__ import annotations
@@ -14,12 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilstat.functions.special import student_quantile
-from veilstat.operators.chunking import chunk_count, sizing, variance_bound
+from veilstat.functions.special import normal_quantile, student_quantile
+from veilstat.operators.chunking import chunk_count, sizing, variance_bound, zcdp_sizing
 from veilstat.operators.resampling import weighted_mean, weighted_median
+from veilstat.operators.zcdp import budgets, eps_to_rho, gaussian_tailbound, weighted
 from veilstat.sources.distributions import Distribution, study_distribution
 
 METHODS = ("proper_unstud", "normal_proper_blb", "normal_proper_adhoc", "boot_unstud_priv")
+ZCDP_STEPS, OVERESTIMATE, FAILURE = 5, 10, 0.01
 
 
 @dataclass(frozen=True)
@@ -33,6 +38,7 @@ class Study:
     set_type: str = "symm"
     resamples: int = 20
     max_boot: int = 400
+    zcdp: bool = False
 
     def __post_init__(self):
         if self.task not in ("mean", "median"):
@@ -41,6 +47,8 @@ class Study:
 
     @property
     def methods(self) -> tuple[str, ...]:
+        if self.zcdp:
+            return ("gvdp",)
         return METHODS if self.task == "mean" else tuple(m for m in METHODS if m != "normal_proper_adhoc")
 
     def truth(self, dist: Distribution) -> tuple[float, float]:
@@ -108,6 +116,47 @@ def searched(stats: list[np.ndarray], low: float, high: float, m: int, alpha: fl
     return low, high
 
 
+def clipped_means(values: np.ndarray, c: float, r: float, cov: float, betas: list[float], rhos: list[float], rng: np.random.Generator) -> list[dict[str, float]]:
+    """zcdp.mean_iterative over an array, with a generator's noise."""
+    root, mid, s = math.sqrt(cov), float(values.mean()), len(values)
+    z, c, r, out = (values - mid) / root, c / root, r / root, []
+    for beta, rho in zip(betas, rhos, strict=True):
+        clip = r + gaussian_tailbound(1, beta / 2 / s)
+        sd = 2 * clip / s / math.sqrt(2 * rho)
+        c, r = float(np.clip(z, c - clip, c + clip).mean()) + sd * rng.normal(), gaussian_tailbound(1, beta / 2) * math.sqrt(1 / s + 2 * clip**2 / (s**2 * rho))
+        out.append({"est": c * root + mid, "noise_var": sd**2 * cov})
+    return out
+
+
+def zcdp_set(x: np.ndarray, eps: float, study: Study, dist: Distribution, rng: np.random.Generator) -> tuple[float, float]:
+    """The zCDP interval of the parameter: clipped Gaussian means of the chunks' bootstrap means and variances.
+
+    The bounds of the clipping come from a little bootstrap of its own on the same rows, as the study has it.
+    """
+    n = len(x)
+    size = zcdp_sizing(n, eps)
+    b, chunks = size["b"], chunk_count(n, size["b"], "drop")
+
+    def little() -> tuple[np.ndarray, np.ndarray]:
+        parts = rng.permutation(x)[: chunks * b].reshape(chunks, b)
+        est = [estimates(c, rng.multinomial(n, np.full(b, 1 / b), size=size["runs"]).astype(float), study, math.inf, dist, rng) for c in parts]
+        return np.array([e.mean() for e in est]), np.array([e.var(ddof=1) for e in est])
+
+    (guess_m, guess_v), (m, v) = little(), little()
+    rho, beta = eps_to_rho(eps, n**-1.1) / 2, FAILURE / 2
+    center = float(guess_v.mean())
+    releases = clipped_means(v, center, OVERESTIMATE * center, OVERESTIMATE * float(guess_v.var(ddof=1)), budgets(beta / 4, ZCDP_STEPS), budgets(rho, ZCDP_STEPS), rng)
+    est, var = weighted(releases)
+    est = max(0.0, max(0.0, est) + normal_quantile(1 - beta / 2, math.sqrt(var)))
+    releases = clipped_means(m, float(guess_m.mean()), OVERESTIMATE * float(np.abs(guess_m).max()), chunks * est, budgets(beta, ZCDP_STEPS), budgets(rho, ZCDP_STEPS), rng)
+    value, noise = weighted(releases, est)
+    half = normal_quantile(1 - study.alpha / 2, math.sqrt(est + noise))
+    return value - half, value + half
+
+
+COLUMNS = ["n", "eps", "trial", "method", "resample", "covered", "width"]
+
+
 def one_trial(n: int, eps: float, trial: int, study: Study) -> pd.DataFrame:
     """Rows (n, eps, trial, method, resample, covered, width)."""
     dist = study_distribution(study.dist)
@@ -115,6 +164,9 @@ def one_trial(n: int, eps: float, trial: int, study: Study) -> pd.DataFrame:
     draw = lambda: dist.draw(rng, n)
     truth, sd = study.truth(dist)
     low, high = dist.bounds
+    if study.zcdp:
+        lo, hi = zcdp_set(draw(), eps, study, dist, rng)
+        return pd.DataFrame([(n, eps, trial, "gvdp", k, int(lo <= truth <= hi), hi - lo) for k in range(study.resamples)], columns=COLUMNS)
     own, rest = study.share * eps, (1 - study.share) * eps
     size = sizing(n, rest)
     x, root = draw(), math.sqrt(n)
@@ -147,7 +199,7 @@ def one_trial(n: int, eps: float, trial: int, study: Study) -> pd.DataFrame:
     for k in range(study.resamples):
         est = float(estimates(draw(), np.ones((1, n)), study, own, dist, rng)[0])
         rows += [(n, eps, trial, method, k, int(est + lo / root <= truth <= est + hi / root), (hi - lo) / root) for method, (lo, hi) in found.items()]
-    return pd.DataFrame(rows, columns=["n", "eps", "trial", "method", "resample", "covered", "width"])
+    return pd.DataFrame(rows, columns=COLUMNS)
 
 
 SCHEMA = "n int, eps double, trial int, method string, resample int, covered int, width double"
