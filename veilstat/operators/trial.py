@@ -36,8 +36,8 @@ class Study:
     alpha: float = 0.05
     share: float = 0.2
     set_type: str = "symm"
-    resamples: int = 20
-    max_boot: int = 400
+    resamples: int = 100
+    max_boot: int = 10_000
     zcdp: bool = False
 
     def __post_init__(self):
