@@ -90,6 +90,21 @@ def test_odd_rows(spark):
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, None), (2, ""), (3, " \n"), (4, "a b"), (None, "a b"), (None, "z z z z z z"), (6, "x " * 5000), (8, "q" * 200_000), (8, "other words of the same id here")], key=str)
 
 
+def test_texts_of_one_id_that_both_lead(spark):
+    def fp(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return int(nj.prints(*nj.shingle_sets(data, np.array([0, len(data)])))[0][0])
+
+    texts = {side: " ".join(f"w{side}_{i}" for i in range(60)) for side in "xyz"}
+    docs = [(1, t) for t in texts.values()] + [(i, texts[side] + f" more{i}") for i, side in ((10, "x"), (11, "x"), (20, "y"), (21, "y"), (30, "z"))]
+    pairs = [(1, fp(texts[side]), i, fp(texts[side] + f" more{i}")) for i, side in ((10, "x"), (11, "x"), (20, "y"), (21, "y"), (30, "z"))]
+    pairs.append((1, fp(texts["x"]), 30, pairs[-1][3]))  # no link
+    got = nj.verify(spark.createDataFrame(pairs[:-1], "a long, fa long, b long, fb long"), spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, i) for i in (10, 11, 20, 21, 30)]
+    got = nj.verify(spark.createDataFrame(pairs[-1:], "a long, fa long, b long, fb long"), spark.createDataFrame(docs, "doc_id long, text string"))
+    assert got.count() == 0
+
+
 def test_budget_of_differences():
     for n in range(1, 400):
         for k in range(1, n + 1):

@@ -418,7 +418,7 @@ def _verified(names: list[str]):
         for batch in batches:
             a, b = [], []
             data, offsets = byte_view(batch.column(names.index("text")))
-            lead, salt, doc, want = (batch.column(names.index(c)).to_pylist() for c in ("lead", "salt", "doc_id", "fp1"))
+            lead, lead_fp, salt, doc, want = (batch.column(names.index(c)).to_pylist() for c in ("lead", "lead_fp", "salt", "doc_id", "fp1"))
             for lo, hi in slices(offsets, SLICE_BYTES):
                 own = offsets[lo : hi + 1]
                 tokens, bounds = shingle_sets(data[own[0] : own[-1]], own - own[0])
@@ -427,9 +427,9 @@ def _verified(names: list[str]):
                     x = tokens[bounds[i - lo] : bounds[i - lo + 1]]
                     if one[i - lo] != want[i]:
                         continue  # another text of the same id
-                    if lead[i] == doc[i]:
-                        group, leader = (lead[i], salt[i]), x
-                    elif group == (lead[i], salt[i]):
+                    if lead[i] == doc[i] and lead_fp[i] == want[i]:
+                        group, leader = (lead[i], lead_fp[i], salt[i]), x
+                    elif group == (lead[i], lead_fp[i], salt[i]):
                         same = len(np.intersect1d(leader, x, assume_unique=True))
                         if 4 * same >= 3 * (len(leader) + len(x) - same):
                             a.append(lead[i])
@@ -441,15 +441,16 @@ def _verified(names: list[str]):
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The (a, b) of pairs (a, fa, b, fb) that are links; each text travels once per leader and at most MEMBERS share one copy of it."""
-    counts = pairs.groupBy("a").agg(F.max("fa").alias("fa"), F.ceil(F.count("*") / MEMBERS).alias("salts"))
-    members = pairs.join(counts.select("a", "salts"), "a").select(F.col("b").alias("doc_id"), F.col("fb").alias("fp1"), F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), "salts").alias("salt"))
-    leaders = counts.select(F.col("a").alias("doc_id"), F.col("fa").alias("fp1"), F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    counts = pairs.groupBy("a", "fa").agg(F.ceil(F.count("*") / MEMBERS).alias("salts"))
+    group = [F.col("a").alias("lead"), F.col("fa").alias("lead_fp")]  # an id can come with several texts that lead
+    members = pairs.join(counts, ["a", "fa"]).select(F.col("b").alias("doc_id"), F.col("fb").alias("fp1"), *group, F.pmod(F.xxhash64("b"), "salts").alias("salt"))
+    leaders = counts.select(F.col("a").alias("doc_id"), F.col("fa").alias("fp1"), *group, F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     wanted = checkpointed(members.union(leaders))
     few = wanted.count() <= BROADCAST_ROWS
     routed = docs.join(F.broadcast(wanted) if few else wanted, "doc_id")
-    names = ["lead", "salt", "doc_id", "fp1", "text"]
-    routed = routed.select(*names, (F.col("lead") != F.col("doc_id")).alias("_after"))
-    return routed.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "_after").select(*names).mapInArrow(_verified(names), "a long, b long").distinct()
+    names = ["lead", "lead_fp", "salt", "doc_id", "fp1", "text"]
+    routed = routed.select(*names, ((F.col("lead") != F.col("doc_id")) | (F.col("lead_fp") != F.col("fp1"))).alias("_after"))
+    return routed.repartition("lead", "lead_fp", "salt").sortWithinPartitions("lead", "lead_fp", "salt", "_after").select(*names).mapInArrow(_verified(names), "a long, b long").distinct()
 
 
 def tiled(members: DataFrame) -> DataFrame:
