@@ -1,4 +1,5 @@
 import random
+from html.parser import HTMLParser
 
 from veilstat.llm import html_extract as he
 
@@ -110,3 +111,90 @@ def test_tail_of_long_pages(spark):
         pages.append('<body><div class="long">' + "".join(f"<h3>{a}</h3><p>{a}</p><hr>" for a in rows) + f"<h5>{tail}</h5></div><div class='end'>The same words on every page of this host</div></body>")
         want.append("\n".join([*[x for a in rows for x in (a, a)], tail]))
     assert extracted(spark, pages) == want
+
+
+def test_long_attributes_and_names():
+    assert he.main_text('<article><p title="' + "x" * 9000 + ' > leaked">a</p><' + "y" * 200 + ">b</article>", None) == "a\nb"
+    assert he.main_text("<main><p it's>one</p><p>two \" three</p></main>", None) == 'one\ntwo " three'
+
+
+def test_class_names_within_the_article():
+    inner = '<section class="legal">Law</section><div class="social">Club</div><div class="notice-period">Month</div>'
+    out = '<div class="notice">no</div><div class="cookie-banner">no</div><div class="site-menu">no</div><aside>no</aside><section class="comment-list">no</section>'
+    assert he.main_text(f"<main><p>Body</p>{inner}{out}</main>", None) == "Body\nLaw\nClub\nMonth"
+    assert he.main_text(f"<body>{inner}<article><p>Body of it</p></article></body>", None) == "Body of it"
+
+
+def test_title_above_the_article():
+    assert he.main_text("<body><h1>Title</h1><article><p>a</p><p>b</p></article></body>", None) == "Title\na\nb"
+    assert he.main_text("<body><header><h1>Site</h1></header><p>x</p><article><p>a</p><p>b and more</p></article></body>", None) == "a\nb and more"
+
+
+def test_rows_repeated_many_times(spark):
+    """A page 400 times among others gives its whole text each time, short blocks too."""
+    once, _ = page("bare", 1)
+    pages = [f"<body><div class='x'><h4>{words(1)}</h4><p>{words(12)}</p><p>{words(1)}</p></div><div>Our shop has offers for everyone</div></body>" for _ in range(8)]
+    got = extracted(spark, [pages[0]] * 400 + pages[1:])
+    assert len(set(got[:400])) == 1 and got[0].count("\n") == 2 and all(t.count("\n") == 2 and "offers" not in t for t in got)
+
+
+def test_wrapper_decides_where_landmarks_are_stripped(spark):
+    """Without class names and landmarks the host's pages tell template from text; one page on its own cannot."""
+    pages, want = [], []
+    for _ in range(10):
+        texts = [words(rng.randint(4, 20)) for _ in range(rng.randint(2, 5))]
+        pages.append(f"<body><div><div><p>All about trains and other things that run on rails</p>{''.join(f'<p>{t}</p>' for t in texts)}<p>Copying is allowed if you name this site</p></div></div></body>")
+        want.append("\n".join(texts))
+    assert extracted(spark, pages) == want
+    assert all(he.main_text(p, None) != w for p, w in zip(pages, want, strict=True))
+
+
+class ArticleText(HTMLParser):
+    """A plain reading of the made pages: the blocks of the article, each tag a border but the inline ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.blocks, self.open = 0, [], False
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.open &= tag in he.INLINE
+        if tag == "br" and self.open:
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.open &= tag in he.INLINE
+
+    def handle_data(self, data):
+        if self.depth > 0 and (data.strip() or self.open):
+            if self.open:
+                self.blocks[-1] += data
+            else:
+                self.blocks.append(data)
+                self.open = True
+
+
+def plain_text(html):
+    parser = ArticleText()
+    parser.feed(html)
+    parser.close()
+    return "\n".join(t for b in parser.blocks if (t := " ".join(b.split())))
+
+
+def test_same_as_a_plain_reading_of_every_page(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in he.extract(pages).collect()}
+    rows = pages.select("page_id", "html").collect()
+    assert len(got) == len(rows) and all(got[r.page_id] == plain_text(r.html or "") for r in rows)
+
+
+def test_many_skeletons_of_a_host_are_aligned_in_groups(spark):
+    """More distinct skeletons than FAN: none is left out, and the invariant text is still found."""
+    pages, want = [], []
+    for i in range(700):
+        kinds = [("h2", "p", "pre", "blockquote")[(i // 4**k) % 4] for k in range(5)]
+        texts = [words(rng.randint(3, 9)) for _ in kinds]
+        pages.append("<body><div class='text'>" + "".join(f"<{k}>{t}</{k}><hr>" for k, t in zip(kinds, texts, strict=True)) + "</div><div class='low'>The same line stands on every page</div></body>")
+        want.append("\n".join(texts))
+    assert extracted(spark, pages) == want

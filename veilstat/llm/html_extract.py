@@ -17,7 +17,8 @@ content, however short it is. Content texts make blocks: character references de
 trimmed, joined by line feeds.
 
 Null or empty html: empty text. A host with one page has a wrapper of that page. Repeated rows stay, extra columns
-are ignored, an empty table gives an empty result.
+are ignored, an empty table gives an empty result. No part of a page is cut, however long: reading is linear in its
+length, and a page is held whole with its tokens.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ from veilstat.sources.tables import table
 
 LEAST_INVARIANT, LEAST_ALIKE = 3, 0.5
 BROADCAST_BYTES = 64 << 20
-ALIGN_CELLS, HELD_NODES, SALTS = 1 << 20, 1 << 18, 16
+ALIGN_CELLS, HELD_NODES, SALTS, FAN = 1 << 20, 1 << 18, 16, 256
 
 # HTML element names by how they shape text.
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes")
@@ -51,14 +52,18 @@ IMPLIED_END = frozenset("p li dt dd tr td th thead tbody tfoot option optgroup c
 APART = frozenset("head nav footer aside form script style noscript iframe textarea title select button svg canvas template dialog object audio video menu".split())
 BLOCKS = frozenset("address blockquote dl figcaption figure h1 h2 h3 h4 h5 h6 ol pre ul".split())
 MAIN = frozenset(("article", "main"))
-APART_WORDS = re.compile(
-    r"(?:^|[^a-z])(?:ad|ads|advert\w*|adsense|adbox|banner\w*|promo\w*|sponsor\w*|cookie\w*|consent|notice\w*|alert|newsletter|subscri\w*|signup|login|comments?|comment[-_]?(?:list|section|area)|disqus|replies|"
-    r"side-?bar\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|share|sharing|social|related|recommend\w*|footer|masthead|popup|modal|overlay|widget\w*|toolbar|pagination|pager|skip-?link|legal|disclaimer)(?:$|[^a-z])"
+# Class and id names of what is no article: such a word alone, last in the name, or first before a word for a box.
+APART_KINDS = (
+    r"(?:ad|ads|advert\w*|adsense|adbox|banner|promo|promotion|sponsor\w*|cookies?|consent|notices?|alert|newsletter|subscribe|subscription|signup|login|comments?|disqus|replies|"
+    r"side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|popup|modal|skip-?link)"
 )
+APART_WORDS = re.compile(rf"(?:^| )(?:[a-z]+[-_])*{APART_KINDS}(?:[-_]?(?:box|bar|banner|list|section|area|slot|wrap|wrapper|container|block|unit|form|panel|links?|buttons?|item|inner|thread|count|popup))?[-_]*(?= |$)")
+# These are apart outside of the article only; within it, the wrapper decides.
+OUTER_WORDS = re.compile(r"(?:^| )(?:[a-z]+[-_])*(?:share|sharing|social|related|recommend\w*|overlay|widgets?|toolbar|pagination|pager|legal|disclaimer)(?:[-_][a-z]+)*[-_]*(?= |$)")
 MAIN_WORDS = re.compile(r"(?:^|[^a-z])(?:article|article-?body|entry-?content|post-?content|main-?content|story-?body)(?:$|[^a-z])")
 
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]{0,63})((?:[^>"']++|"[^"]{0,8192}+"|'[^']{0,8192}+')*+)>""")
-LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]{0,63})([^>]*+)>")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+VALUE = re.compile(r"""[^>=]*+(?:(>)|=\s*+(["'])?)""")
 MARK = re.compile(r"""(?i)\b(class|id|role|style|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
@@ -87,11 +92,53 @@ def marks(attributes: str) -> tuple[str, bool]:
     return " ".join(sorted(set(names))), hidden
 
 
+class Open:
+    """A stack of open elements that closes the topmost of a name, with all above it, in constant time each."""
+
+    def __init__(self):
+        self.items: list[tuple[str, object]] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, name: str, what: object) -> None:
+        self.places.setdefault(name, []).append(len(self.items))
+        self.items.append((name, what))
+
+    def has(self, name: str) -> bool:
+        return bool(self.places.get(name))
+
+    def close(self, name: str):
+        """What came with the closed element, or None if none of the name is open."""
+        if not self.has(name):
+            return None
+        what = self.items[self.places[name][-1]][1]
+        for _ in range(len(self.items) - self.places[name][-1]):
+            self.places[self.items.pop()[0]].pop()
+        return what
+
+
+def tag_end(page: str, at: int, unclosed: set[str]) -> int:
+    """The place after the tag whose attributes start at `at`, or -1: quoted values may hold `>`.
+
+    A quotation mark that is never closed is none; it stays in `unclosed`, so the page is searched for it only once.
+    """
+    while m := VALUE.match(page, at):
+        at = m.end()
+        if m[1]:
+            return at
+        if m[2] and m[2] not in unclosed:
+            end = page.find(m[2], at)
+            if end < 0:
+                unclosed.add(m[2])
+            else:
+                at = end + 1
+    return -1
+
+
 def tokens(page: str) -> list[Token]:
     """The structural token stream of a page; linear in its length."""
     out: list[Token] = []
-    stack: list[tuple[str, int]] = []  # open elements that change the hint
-    hint, text, at, size = 0, [], 0, len(page)
+    stack = Open()  # open elements that change the hint, with the hint before them
+    hint, text, at, size, unclosed, loose = 0, [], 0, len(page), set(), False
 
     def flush() -> None:
         if text:
@@ -118,12 +165,15 @@ def tokens(page: str) -> list[Token]:
             end = page.find(">", lt)
             at = size if end < 0 else end + 1
             continue
-        m = TAG.match(page, lt) or LOOSE_TAG.match(page, lt)
-        if not m:
+        m = TAG.match(page, lt)
+        end = tag_end(page, m.end(), unclosed) if m and not loose else -1
+        if m and end < 0:  # all further `>` are in quoted values: from here on tags end at their first one
+            loose, end = True, page.find(">", m.end()) + 1
+        if not m or not end:
             text.append("<")
             at = lt + 1
             continue
-        at, closing, name = m.end(), m[1], m[2].lower()
+        at, closing, name, attributes = end, m[1], m[2].lower(), page[m.end() : end - 1]
         if name in RAW and not closing:
             end = re.compile(f"(?i)</{name}").search(page, at)
             gt = page.find(">", end.end()) if end else -1
@@ -133,48 +183,53 @@ def tokens(page: str) -> list[Token]:
             if name in ("br", "img", "wbr"):
                 text.append(" ")
             # Inline elements can be apart too (a hidden span, a link of class ad).
-            if not closing and name not in VOID and m[3]:
-                names, hidden = marks(m[3])
-                if hidden or (names and APART_WORDS.search(names)):
+            if not closing and name not in VOID and attributes:
+                names, hidden = marks(attributes)
+                if hidden or (names and apart_names(names, hint)):
                     flush()
-                    stack.append((name, hint))
+                    stack.push(name, hint)
                     hint = -1
-            elif closing and stack and stack[-1][0] == name and hint == -1:
+                elif stack.has(name):
+                    stack.push(name, hint)
+            elif not closing and name not in VOID and stack.has(name):
+                stack.push(name, hint)
+            elif closing and stack.has(name) and stack.items[-1][0] == name:
                 flush()
-                hint = stack.pop()[1]
+                hint = stack.close(name)
             continue
         flush()
         if closing:
-            for i in range(len(stack) - 1, max(-1, len(stack) - 33), -1):
-                if stack[i][0] == name:
-                    hint = stack[i][1]
-                    del stack[i:]
-                    break
+            if stack.has(name):
+                hint = stack.close(name)
             if name not in IMPLIED_END:
                 out.append(Token(f"</{name}", hint))
             elif out and out[-1].key == "#":
                 out.append(Token("|", hint))  # the block ends here, though the wrapper does not ask for it
             continue
-        names, hidden = marks(m[3])
+        names, hidden = marks(attributes)
         out.append(Token(f"<{name}.{names}" if names else f"<{name}", hint))
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
-        apart = name in APART or hidden or (names and APART_WORDS.search(names) and not MAIN_WORDS.search(names) and name not in ("body", "html"))
+        apart = name in APART or hidden or (names and apart_names(names, hint) and not MAIN_WORDS.search(names) and name not in ("body", "html"))
         if name == "header" and hint != 1:
             apart = True
         main = name in MAIN or (names and MAIN_WORDS.search(names))
         if apart:
             out[-1].hint = -1
         if hint >= 0 and (apart or main):
-            stack.append((name, hint))
+            stack.push(name, hint)
             hint = -1 if apart else 1
-        elif stack or apart:  # the same name inside must close before the element that set the hint
-            if any(s[0] == name for s in stack[-8:]):
-                stack.append((name, hint))
+        elif stack.has(name):  # the same name inside must close before the element that set the hint
+            stack.push(name, hint)
     flush()
     return out
 
 
+def apart_names(names: str, hint: int) -> bool:
+    """Whether class and id names say that an element is no part of the article."""
+    return bool(APART_WORDS.search(names) or (hint != 1 and OUTER_WORDS.search(names)))
+
+
 # A wrapper is a list of nodes: ["t", key], ["r", nodes], ["o", nodes] and texts, ["x", common, role hint, length, pages,
 # contents, only, role]: hashes of the texts that every page has there, the texts' length, the pages, at most LEAST_INVARIANT
 # hashes of the open text of those pages (so that copies of a page count once), the hash if all texts are the same,
@@ -315,15 +370,34 @@ def wrapper_of(pages: list[list[list]]) -> list[list]:
             x[1], x[5], x[6] = None, [], 0
     marked, other = (sum(x[3] for x in texts(wrapper) if x[2] == hint and not x[6]) for hint in (1, 0))
     leads = marked >= other and any(x[2] == 1 for x in texts(wrapper))
-    best = set() if leads else region(wrapper)
+    best = {id(x) for x in texts(wrapper) if x[2] == 1} | title(wrapper) if leads else region(wrapper)
     for x in texts(wrapper):
-        if x[2] != -1:
-            x.append(1 if (x[2] == 1 if leads else id(x) in best) and not x[6] else -1)
-        else:
-            x.append(-1)
+        x.append(1 if x[2] != -1 and id(x) in best and not x[6] else -1)
     return wrapper
 
 
+def title(nodes: list[list]) -> set[int]:
+    """The text of a first-level heading that differs between pages and is the last open one before the article."""
+    found, heading = set(), False
+    for n in leaves(nodes):
+        if n[0] == "t":
+            heading = n[1].split(".")[0] == "<h1" or (heading and n[1][1] != "/")
+        elif n[2] == 1:
+            return found
+        elif n[2] == 0 and not n[6]:
+            found = {id(n)} if heading else set()
+    return set()
+
+
+def leaves(nodes: list[list]) -> Iterator[list]:
+    """Tags and texts in order."""
+    for n in nodes:
+        if n[0] in "tx":
+            yield n
+        else:
+            yield from leaves(n[1])
+
+
 def texts(nodes: list[list]) -> Iterator[list]:
     for n in nodes:
         if n[0] == "x":
@@ -394,8 +468,8 @@ def template_of(keys: frozenset[str], leaders: list[frozenset[str]]) -> int | No
     return at
 
 
-def inferred(found: list[tuple[frozenset[str], list[list], int]]) -> list[list]:
-    """[leader's keys, wrapper] of each template of a host, from (keys, structure, pages) of its distinct skeletons."""
+def templates(found: list[tuple[frozenset[str], list[list], int]]) -> list[tuple[frozenset[str], list[tuple[list[list], int]]]]:
+    """(leader's keys, [(structure, pages)]) of each template, from (keys, structure, pages); the most frequent first."""
     pages: dict[frozenset[str], int] = {}
     for keys, _, n in found:
         pages[keys] = pages.get(keys, 0) + n
@@ -403,30 +477,35 @@ def inferred(found: list[tuple[frozenset[str], list[list], int]]) -> list[list]:
     for keys in sorted(pages, key=lambda k: (-pages[k], sorted(k))):
         if template_of(keys, leaders) is None:
             leaders.append(keys)
-    own: list[list[list[list]]] = [[] for _ in leaders]
-    for keys, nodes, _ in sorted(found, key=lambda f: (-f[2], skeleton(f[1]))):
-        own[template_of(keys, leaders)].append(nodes)
-    return [[sorted(k), wrapper_of(nodes)] for k, nodes in zip(leaders, own, strict=True)]
+    own: list[list[tuple[list[list], int]]] = [[] for _ in leaders]
+    for keys, nodes, n in sorted(found, key=lambda f: (-f[2], skeleton(f[1]))):
+        own[template_of(keys, leaders)].append((nodes, n))
+    return list(zip(leaders, own, strict=True))
+
+
+def inferred(found: list[tuple[frozenset[str], list[list], int]]) -> list[list]:
+    """[leader's keys, wrapper] of each template of a host, from (keys, structure, pages) of its distinct skeletons."""
+    return [[sorted(keys), wrapper_of([nodes for nodes, _ in group])] for keys, group in templates(found)]
 
 
 class Path:
-    """The open elements around a token, without those whose end tags may be left out."""
+    """The open elements around a token, without those whose end tags may be left out; how many of them, from the
+    outermost on, are those of `core`, and how few were open since `low` was last set."""
 
-    def __init__(self):
-        self.open: list[str] = []
+    def __init__(self, core: list[str] | None = None):
+        self.elements, self.core, self.shared, self.low = Open(), core or [], 0, 0
 
     def step(self, key: str) -> None:
         if key[0] != "<":
             return
-        name = key.strip("</").split(".")[0]
-        if key[1] != "/":
-            if name not in IMPLIED_END and name not in VOID:
-                self.open.append(key)
-            return
-        for i in range(len(self.open) - 1, max(-1, len(self.open) - 33), -1):
-            if self.open[i][1:].split(".")[0] == name:
-                del self.open[i:]
-                break
+        name, depth = key.strip("</").split(".")[0], len(self.elements.items)
+        if key[1] == "/":
+            self.elements.close(name)
+            self.shared, self.low = min(self.shared, len(self.elements.items)), min(self.low, len(self.elements.items))
+        elif name not in IMPLIED_END and name not in VOID:
+            self.elements.push(name, key)
+            if self.shared == depth < len(self.core) and key == self.core[depth]:
+                self.shared += 1
 
 
 class Reader:
@@ -445,9 +524,10 @@ class Reader:
                     spread(n[1])
                 elif n[7] == 1:
                     if self.core is None:
-                        self.core = list(path.open)
-                    at = next((i for i, (x, y) in enumerate(zip(self.core, path.open)) if x != y), min(len(self.core), len(path.open)))  # noqa: B905
-                    del self.core[at:]
+                        self.core = [key for _, key in path.elements.items]
+                    else:
+                        del self.core[path.low :]
+                    path.low = len(path.elements.items)
 
         spread(wrapper)
 
@@ -495,12 +575,12 @@ class Reader:
             return i
 
         walk(self.nodes, 0)
-        path = Path()
+        path = Path(self.core)
         for i, t in enumerate(stream):
             if t.key != "#":
                 path.step(t.key)
             elif not out[i]:
-                out[i] = 1 if t.hint != -1 and self.core is not None and path.open[: len(self.core)] == self.core else -1
+                out[i] = 1 if t.hint != -1 and self.core is not None and path.shared == len(self.core) else -1
         return out
 
 
@@ -577,11 +657,16 @@ class Skeletons:
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["host", "skel", "page"])
 
 
+def skeleton_id(nodes: list[list]) -> int:
+    return int.from_bytes(hashlib.blake2b(skeleton(nodes).encode(), digest_size=8).digest(), "big", signed=True)
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper) of every host, from all of its pages.
 
-    Pages of one skeleton become one structure, first where they are read, then in SALTS parts a host; one task aligns
-    a host's distinct skeletons.
+    Pages of one skeleton become one structure, first where they are read, then in SALTS parts a host. While a host has
+    more than FAN distinct skeletons, groups of about FAN are aligned into one structure a template; the last task of
+    a host aligns what is left of them.
     """
     found = "host string, skel long, page string"
 
@@ -592,8 +677,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 stream = tokens(html.as_py() or "")
                 if stream:
                     nodes = structure(stream)
-                    skel = int.from_bytes(hashlib.blake2b(skeleton(nodes).encode(), digest_size=8).digest(), "big", signed=True)
-                    own.add(host, skel, sorted(template_keys(stream)), nodes, 1)
+                    own.add(host, skeleton_id(nodes), sorted(template_keys(stream)), nodes, 1)
                     if own.nodes > HELD_NODES:
                         yield own.batch()
         yield own.batch()
@@ -604,12 +688,29 @@ def wrappers(pages: DataFrame) -> DataFrame:
             own.add(host, skel, *json.loads(page))
         return pa.Table.from_batches([own.batch()])
 
+    def aligned(key: tuple, rows: pa.Table) -> pa.Table:
+        out = Skeletons()
+        for keys, group in templates([(frozenset(k), nodes, n) for k, nodes, n in map(json.loads, rows["page"].to_pylist())]):
+            nodes = group[0][0]
+            for other, _ in group[1:]:
+                nodes = align(nodes, other)
+            out.add(key[0].as_py(), skeleton_id(nodes), sorted(keys), nodes, sum(n for _, n in group))
+        return pa.Table.from_batches([out.batch()])
+
     def infer(key: tuple, rows: pa.Table) -> pa.Table:
         own = [(frozenset(k), nodes, n) for k, nodes, n in map(json.loads, rows["page"].to_pylist())]
         return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "wrapper": [json.dumps(inferred(own), separators=(",", ":"))]})
 
     made = pages.select(host_of(F.col("url")).alias("host"), "html").filter(F.col("host").isNotNull()).mapInArrow(skeletons, found)
-    parts = made.withColumn("salt", F.pmod("skel", F.lit(SALTS))).groupBy("host", "salt").applyInArrow(folded, found)
+    parts = checkpointed(made.withColumn("salt", F.pmod("skel", F.lit(SALTS))).groupBy("host", "salt").applyInArrow(folded, found))
+    held = None
+    while True:
+        sizes = parts.groupBy("host").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+        if (sizes[0] or 0) <= FAN or sizes[1] == held:
+            break  # few, or as many as before: no two of them are of one template
+        held = sizes[1]
+        groups = parts.groupBy("host").agg(F.ceil(F.count("*") / FAN).alias("groups"))
+        parts = checkpointed(parts.join(groups, "host").withColumn("salt", F.pmod(F.xxhash64("skel"), "groups")).groupBy("host", "salt").applyInArrow(aligned, found))
     return parts.groupBy("host").applyInArrow(infer, "host string, wrapper string")
 
 
