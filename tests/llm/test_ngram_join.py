@@ -125,3 +125,62 @@ def test_runs_of_rows_hash_alike():
         alone, _ = nj.shingle_sets(own, np.array([0, len(own)]))
         assert alone.tolist() == tokens[bounds[i] : bounds[i + 1]].tolist()
         assert len(alone) == len(shingles(t))
+
+
+def thue_morse(steps):
+    word = "a"
+    for _ in range(steps):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_words_that_share_hashes_modulo_powers_of_two(spark):
+    """A Thue-Morse word and its complement agree under every polynomial modulo 2^64."""
+    one = thue_morse(11)
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, two), (3, f"x {one} y z u v"), (4, f"x {two} y z u v"), (5, one)]
+    got = nj.link(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id")
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
+
+
+def test_words_across_blocks():
+    """The hash of a word does not depend on where blocks of bytes end."""
+    size = nj.BLOCK_BYTES
+    word = "".join(random.Random(3).choice("abcdefg") for _ in range(3 * size + 17))
+    hashes = lambda text: nj.word_hashes(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0].tolist()
+    for pad in (0, 1, size - 1, size, size + 1, 2 * size - 5):
+        text = "q" * pad + " " + word + " tail"
+        got = hashes(text)
+        assert got[-2:] == hashes(word + " tail") and len(got) == 2 + (pad > 0)
+    rows = ["k" * (size - 3), "abcdef", "g" * size, "", "hi there"]  # rows that start where others end
+    data = np.frombuffer("".join(rows).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    words, at = nj.word_hashes(data, offsets)
+    for r, lo, hi in zip(rows, at[:-1], at[1:], strict=True):
+        assert words[lo:hi].tolist() == hashes(r)
+
+
+def test_sets_whose_coarse_segments_do_not_suffice(spark):
+    """With a tenth of the segments many sets go the longer way; the links are the same."""
+    rng = random.Random(4)
+    passages = [[f"p{k}_{i}" for i in range(40)] for k in range(4)]
+    rows = []
+    for i in range(300):
+        own = [w for p in rng.sample(passages, 3) for w in p]
+        for _ in range(rng.randint(0, 3)):
+            own[rng.randrange(len(own))] = f"y{rng.randint(0, 9)}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = nj.link(df, coarse=0.1).select("doc_id", "n_shingles", "component_id")
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
+    data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    sets = nj.shingle_sets(data, np.concatenate([[0], np.cumsum([len(t) for _, t in rows])]))
+    frequent = np.unique(sets[0])
+    assert len(nj.signatures(*sets, frequent, 0.1)[2]) > 0 and len(nj.signatures(*sets, frequent)[2]) == 0
+
+
+def test_repeated_shingles_across_very_long_texts(spark):
+    base = " ".join(f"v{i % 5000}" for i in range(300_000))
+    rows = [(1, base), (2, base + " end"), (3, " ".join(f"u{i}" for i in range(200_000)))]
+    got = nj.link(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 1), (3, 3)]

@@ -9,8 +9,8 @@ that differs costs at least one of the H allowed differences. Which segments a s
 - A set with fewer cheap segments (near copies, texts made of common passages) indexes all of them, which meets every
   partner of the first kind. To meet its like it also indexes a partition coarse enough to hold rarer combinations:
   every subset, and every subset of two or more shingles with each one left out, so that a segment without a match
-  costs two differences. It checks that these pay for H + 1; if not (chances under 1e-10), the job stops instead
-  of losing a link. Under 64 shingles frequent ones simply come last in the order.
+  costs two differences. It checks that these pay for H + 1; a set for which they do not (chances under 1e-10) meets
+  all others by its single shingles instead. Under 64 shingles frequent ones simply come last in the order.
 
 Sets are indexed once per distinct set, so exact copies never pair up. Index entries travel as packed arrays. A bucket
 within another of the same smallest member adds nothing and is left out. Each bucket's hub is its member that lies in
@@ -23,6 +23,8 @@ are verified on the texts:
    the shingles that sets of different components share by postings and returns a spanning set of links, never pairs.
 Links within a component are implied and not tested; no candidate in different components stays untested.
 
+A text is read in blocks, so a long one costs about its shingles' 8 bytes each, a few times over.
+
 A document without words (null, empty) has the empty set and links with nothing. Rows with a null id get a null
 component. Repeated rows are copies. Extra columns are ignored; an empty table gives an empty result.
 """
@@ -44,7 +46,7 @@ from veilstat.llm._spark import checkpointed, shared, small_batches, with_text_c
 from veilstat.sources.tables import table
 
 WORDS = 5
-SLICE_BYTES = 1 << 20
+SLICE_BYTES, BLOCK_BYTES = 1 << 20, 1 << 16
 WINDOW_TOKENS = 2_000_000
 FREQUENT, FREQUENT_ROWS = 16, 1 << 20  # frequent: counted so often, and among so many most frequent
 CELLS = 128
@@ -53,18 +55,31 @@ GROUP_ENTRIES = 2_000_000
 BROADCAST_ROWS = 300_000
 MEMBERS = 256
 KEPT = 64
-TILE_MEMBERS, TILE_TOKENS = 1024, 1_000_000
+TILE_MEMBERS, TILE_TOKENS, SALTS = 1024, 1_000_000, 32
 
 _rng = np.random.default_rng(20240229)
-_byte_code = _rng.integers(1, 2**63, 256).astype(np.uint64)
-_byte_code[65:91] = _byte_code[97:123]
-_base = np.uint64(int(_rng.integers(2**62, 2**63)) | 5)
+PRIME = 2**31 - 1
+BASES = [int(b) for b in _rng.integers(2**16, PRIME, 2)]
 _place = _rng.integers(2**62, 2**63, WORDS).astype(np.uint64) | np.uint64(1)
 _seeds = _rng.integers(2**62, 2**63, 8).astype(np.uint64)
-_blank = np.zeros(256, bool)
-_blank[[9, 10, 11, 12, 13, 32]] = True
-_powers = np.ones(1, np.uint64)
-_inverse_powers = np.ones(1, np.uint64)
+_code = np.arange(1, 257, dtype=np.uint64)  # of each byte: capitals as small letters, 0 for blanks
+_code[65:91] = _code[97:123]
+_code[[9, 10, 11, 12, 13, 32]] = 0
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of the base modulo PRIME."""
+    out = np.ones(n, np.uint64)
+    done = 1
+    while done < n:
+        step = min(done, n - done)
+        out[done : done + step] = out[:step] * np.uint64(pow(base, done, PRIME)) % np.uint64(PRIME)
+        done += step
+    return out
+
+
+_power = [_powers(b, BLOCK_BYTES) for b in BASES]
+_inverse = [_powers(pow(b, -1, PRIME), BLOCK_BYTES) for b in BASES]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -77,39 +92,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2^64."""
-    if len(_powers) < n:
-        size = 1 << (n - 1).bit_length()
-        for table_, factor in ((_powers, int(_base)), (_inverse_powers, pow(int(_base), -1, 1 << 64))):
-            steps = np.full(size, factor, np.uint64)
-            steps[0] = 1
-            table_.resize(size, refcheck=False)
-            table_[:] = steps.cumprod(dtype=np.uint64)
-    return _powers[:n], _inverse_powers[:n]
-
-
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every word of a run of rows, and the offsets of the rows in them."""
-    n = len(data)
-    if n == 0:
+    """A hash of every word of a run of rows, and the offsets of the rows in them.
+
+    A word is a polynomial of its bytes, modulo a prime, at two points: different words of L bytes share a hash for at
+    most L^2 of the PRIME^2 pairs of points. Bytes are read in blocks; the parts of a word in several blocks are joined.
+    """
+    firsts = np.unique(offsets[:-1][np.diff(offsets) > 0])
+    starts: list[np.ndarray] = []
+    values: list[tuple[np.ndarray, np.ndarray]] = []
+    length, inside = 0, False  # bytes so far of the word that the last block ended in
+    for lo in range(0, len(data), BLOCK_BYTES):
+        code = _code[data[lo : lo + BLOCK_BYTES]]
+        solid = code > 0
+        start = solid.copy()
+        start[1:] &= ~solid[:-1]
+        own = firsts[np.searchsorted(firsts, lo) : np.searchsorted(firsts, lo + len(code))] - lo
+        start[own] = solid[own]
+        at = np.flatnonzero(start)
+        if len(at):
+            parts = [np.add.reduceat(code * power[: len(code)], at) % np.uint64(PRIME) * inverse[at] % np.uint64(PRIME) for power, inverse in zip(_power, _inverse, strict=True)]
+            going = inside and solid[0] and not (len(own) and own[0] == 0)
+            if going:
+                end = int(at[1]) if len(at) > 1 else len(code)
+                gap = np.flatnonzero(~solid[:end])
+                for value, part, base in zip(values[-1], parts, BASES, strict=True):
+                    value[-1] = (int(value[-1]) + pow(base, length, PRIME) * int(part[0])) % PRIME
+                length += int(gap[0]) if len(gap) else end
+                at, parts = at[1:], [p[1:] for p in parts]
+            if len(at):
+                starts.append(at + lo)
+                values.append(tuple(parts))
+                length = len(code) - int(at[-1])
+        inside = bool(solid[-1])
+    if not starts:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    solid = ~_blank[data]
-    start = solid.copy()
-    start[1:] &= ~solid[:-1]
-    firsts = offsets[:-1][np.diff(offsets) > 0]
-    start[firsts] = solid[firsts]
-    end = solid.copy()  # the last byte of a word
-    end[:-1] &= ~solid[1:]
-    lasts = firsts[1:] - 1
-    end[lasts] = solid[lasts]
-    end[-1] = solid[-1]
-    power, inverse = powers(n)
-    total = np.cumsum(_byte_code[data] * power, dtype=np.uint64)
-    a, b = np.flatnonzero(start), np.flatnonzero(end)
-    before = np.where(a > 0, total[a - 1], np.uint64(0))
-    words = mix((total[b] - before) * inverse[a] + (b - a + 1).astype(np.uint64) * _seeds[0])
-    return words, np.searchsorted(a, offsets)
+    one, two = (np.concatenate([v[k] for v in values]) for k in (0, 1))
+    return mix(one | two << np.uint64(31)), np.searchsorted(np.concatenate(starts), offsets)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,8 +248,11 @@ def tag_of(kind: int, band: int) -> np.uint64:
     return np.uint64((1000 * kind + band + 1) * int(_seeds[7]) % 2**64)
 
 
-def signatures(tokens: np.ndarray, bounds: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of every index entry of the rows' sets."""
+def signatures(tokens: np.ndarray, bounds: np.ndarray, frequent: np.ndarray, coarse: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, signature) of every index entry of the rows' sets, and the rows whose coarse segments pay too little.
+
+    `coarse`: share of the usual number of coarse segments.
+    """
     sizes = np.diff(bounds)
     by_band: dict[int, list[int]] = {}
     for i, n in enumerate(sizes.tolist()):
@@ -239,6 +261,7 @@ def signatures(tokens: np.ndarray, bounds: np.ndarray, frequent: np.ndarray) ->
     rows_out: list[np.ndarray] = []
     out: list[np.ndarray] = []
     dear: set[int] = set()
+    stuck: set[int] = set()
 
     def of(chosen: np.ndarray):
         n = sizes[chosen]
@@ -279,20 +302,20 @@ def signatures(tokens: np.ndarray, bounds: np.ndarray, frequent: np.ndarray) ->
     for c, members in by_coarse.items():
         own = np.array(members)
         row, t = of(own)
-        m, tag = coarse_segments(c), tag_of(1, c)
+        m, tag = max(1, int(coarse * coarse_segments(c))), tag_of(1, c)
         _, first, owner, place, total, part = grouped(row, t, m, c + 1)
         width = np.diff(np.append(first, len(t)))
         need = np.array([coarse_allowed(int(k), c) + 1 for k in sizes[own]])
-        if (np.bincount(owner, np.minimum(width, 2), len(own)) < need).any():
-            raise RuntimeError("a set's segments are too few for its differences; change the seed of the partition")
+        stuck.update(own[np.bincount(owner, np.minimum(width, 2), len(own)) < need].tolist())
         base = place * _seeds[4] + tag
         group = np.repeat(np.arange(len(first)), width)
         less = width[group] > 1
         rows_out += [own[owner], own[owner[group[less]]]]
         out += [mix(total + base), mix(total[group[less]] - part[less] + base[group[less]])]
+    left = np.array(sorted(stuck), np.int64)
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(rows_out), np.concatenate(out)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), left
+    return np.concatenate(rows_out), np.concatenate(out), left
 
 
 SET_FIELDS = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("fp1", T.LongType()), T.StructField("fp2", T.LongType())])
@@ -330,13 +353,14 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield frequent()
 
 
-def _index_pass(frequent, groups: int):
-    """Packed index entries of each distinct set of a partition: (group, signatures, fingerprints)."""
+def _index_pass(frequent, groups: int, coarse: float):
+    """Packed index entries of each distinct set of a partition: (group, signatures, fingerprints); group -1 holds the sets to be compared by single shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         sigs: list[np.ndarray] = []
         owners: list[np.ndarray] = []
+        stuck: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
             s, f = np.concatenate(sigs), np.concatenate(owners)
@@ -362,19 +386,26 @@ def _index_pass(frequent, groups: int):
                     continue
                 picked = np.concatenate([tokens[bounds[i] : bounds[i + 1]] for i in fresh])
                 own_bounds = np.concatenate([[0], np.cumsum([bounds[i + 1] - bounds[i] for i in fresh])])
-                row, sig = signatures(picked, own_bounds, frequent.value)
+                row, sig, left = signatures(picked, own_bounds, frequent.value, coarse)
                 sigs.append(sig)
                 owners.append(one[fresh][row])
+                if len(left):
+                    stuck.append(one[fresh][left])
             if sum(map(len, sigs)) >= FLUSH:
                 yield flush()
         if sum(map(len, sigs)):
             yield flush()
+        if stuck:
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([b""], pa.binary()), pa.array([np.concatenate(stuck).tobytes()], pa.binary())], names=["g", "sigs", "owners"])
 
     return run
 
 
-def _buckets(block: pa.Table) -> pa.Table:
-    """The distinct buckets of two or more sets of one group of signatures, members ascending."""
+def _buckets(key: tuple, block: pa.Table) -> pa.Table:
+    """The distinct buckets of two or more sets of one group of signatures, members ascending; in group -1, each set on its own."""
+    if key[0].as_py() < 0:
+        alone = np.unique(np.frombuffer(b"".join(block["owners"].to_pylist()), np.int64))
+        return pa.table({"members": pa.array([[x] for x in alone.tolist()], pa.list_(pa.int64()))})
     join = lambda name, kind: np.frombuffer(b"".join(block[name].to_pylist()), kind)
     sig, owner = join("sigs", np.uint64), join("owners", np.int64)
     order = np.lexsort((owner, sig))
@@ -403,7 +434,7 @@ def _maximal(key: tuple, block: pa.Table) -> pa.Table:
     kept: list[tuple[int, ...]] = []
     large: list[set[int]] = []
     for x in lists:
-        if not any(s.issuperset(x) for s in large):
+        if len(x) == 1 or not any(s.issuperset(x) for s in large):
             kept.append(x)
             if len(large) < KEPT:
                 large.append(set(x))
@@ -453,10 +484,34 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return routed.repartition("lead", "lead_fp", "salt").sortWithinPartitions("lead", "lead_fp", "salt", "_after").select(*names).mapInArrow(_verified(names), "a long, b long").distinct()
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, fp1, n, token) of every shingle of (doc_id, text) rows."""
+    for batch in batches:
+        data, offsets = byte_view(batch.column(1))
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for lo, hi in slices(offsets, SLICE_BYTES):
+            own = offsets[lo : hi + 1]
+            tokens, bounds = shingle_sets(data[own[0] : own[-1]], own - own[0])
+            n = np.diff(bounds)
+            each = [np.repeat(x, n) for x in (ids[lo:hi], prints(tokens, bounds)[0], n)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in each), pa.array(tokens.view(np.int64))], names=["doc_id", "fp1", "n", "token"])
+
+
+def by_single_shingles(docs: DataFrame, classes: DataFrame, stuck: DataFrame) -> DataFrame:
+    """The links (a, b) of the sets `stuck` (fp1) with any other, by the shingles they share."""
+    rows = docs.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_tokens, "doc_id long, fp1 long, n long, token long").distinct()
+    own = rows.join(stuck, "fp1", "left_semi").select("token", F.col("doc_id").alias("a"), F.col("fp1").alias("fa"), F.col("n").alias("na"))
+    met = own.join(rows, "token").filter(F.col("fa") != F.col("fp1")).groupBy("a", "fa", "na", F.col("doc_id").alias("b"), "fp1", "n").agg(F.count("*").alias("c"))
+    return met.filter("4 * c >= 3 * (na + n - c) and a <> b").select("a", "b").distinct()
+
+
 def tiled(members: DataFrame) -> DataFrame:
     """Rows (main, rep, fp1, n, l) of groups, each in every tile (i, j) that holds its block; a group has as many blocks as bound a tile."""
     size = members.groupBy("main").agg(F.greatest(F.ceil(F.count("*") / TILE_MEMBERS), F.ceil(F.sum("n") / TILE_TOKENS)).cast("int").alias("blocks"))
-    placed = members.join(size, "main").withColumn("block", F.pmod(F.xxhash64("rep", "fp1"), F.col("blocks")).cast("int"))
+    # A large group is dealt over SALTS keys on its way to its number of blocks.
+    size = size.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("fp1", "rep"), F.lit(SALTS)).cast("int"))
+    placed = salted.join(size, ["main", "salt"]).drop("salt").withColumn("block", F.pmod(F.xxhash64("rep", "fp1"), F.col("blocks")).cast("int"))
     other = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return other.withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o")).drop("o", "blocks")
 
@@ -517,8 +572,11 @@ def _tile(block: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fp1 and component_id of every row of docs (doc_id, text)."""
+def link(docs: DataFrame, coarse: float = 1.0) -> DataFrame:
+    """doc_id, n_shingles, fp1 and component_id of every row of docs (doc_id, text).
+
+    `coarse`: share of the usual number of coarse segments; sets for which they do not suffice take a longer way.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -539,13 +597,15 @@ def link(docs: DataFrame) -> DataFrame:
         least = FREQUENT
     frequent = np.sort(counted.filter(F.col("c") >= least).select("token").toArrow()["token"].to_numpy().view(np.uint64))
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * GROUP_ENTRIES)))
-    entries = docs.select("text").mapInArrow(_index_pass(shared(spark, frequent), groups), "g long, sigs binary, owners binary")
+    entries = docs.select("text").mapInArrow(_index_pass(shared(spark, frequent), groups, coarse), "g long, sigs binary, owners binary")
     found = entries.groupBy("g").applyInArrow(_buckets, "members array<long>")
     maximal = found.groupBy(F.col("members")[0].alias("hub")).applyInArrow(_maximal, "hub long, no int, members array<long>")
     buckets = checkpointed(maximal.withColumn("key", F.xxhash64("hub", "no", "members")))
+    stuck = buckets.filter(F.size("members") == 1).select(F.col("members")[0].alias("fp1")).distinct()
+    longer = None if stuck.isEmpty() else by_single_shingles(docs, classes, stuck)
     # Members as class representatives. Two classes with one fp1 both stand for it; verification tells them apart.
     who = classes.filter("rep is not null").select("fp1", "rep", "n")
-    held = checkpointed(buckets.select("key", F.size("members").alias("size"), F.explode("members").alias("fp1")).join(who, "fp1").select("key", "size", "fp1", "rep", "n"))
+    held = checkpointed(buckets.filter(F.size("members") > 1).select("key", F.size("members").alias("size"), F.explode("members").alias("fp1")).join(who, "fp1").select("key", "size", "fp1", "rep", "n"))
     # One order of all candidates, the most central first; of a pair, `a` comes first and leads in verification.
     often = held.groupBy("rep", "fp1").agg(F.count("*").alias("_k"))
     held = checkpointed(held.join(often, ["rep", "fp1"]).select("key", "size", F.struct((-F.col("_k")).alias("k"), "rep", "fp1").alias("o"), "n"))
@@ -556,7 +616,7 @@ def link(docs: DataFrame) -> DataFrame:
     star = star.groupBy("a", "fa", "ka", "b", "fb").agg(F.max("two").alias("two"))
     pool = checkpointed(plausible(star, classes))
     fresh = checkpointed(pool.groupBy("b", "fb").agg(F.min(F.struct("ka", "a", "fa")).alias("m")).select("m.a", "m.fa", "b", "fb"))
-    edges = checkpointed(verify(fresh, docs))
+    edges = checkpointed(verify(fresh, docs) if longer is None else verify(fresh, docs).union(longer))
     labels = checkpointed(components(edges))
     label = lambda df, c, to: df.withColumn("_c", c).join(labels.withColumnRenamed("node", "_c"), "_c", "left").withColumn(to, F.coalesce("label", "_c")).drop("_c", "label")
     rest = label(label(pool.filter("two"), F.col("a"), "la"), F.col("b"), "lb").filter("la <> lb").select("a", "fa", "b", "fb").join(fresh, ["a", "fa", "b", "fb"], "left_anti")
