@@ -26,15 +26,16 @@ def brute(rows, every, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("blocks", [(8192, 32768), (64, 16)])
-def test_like_brute_force(spark, blocks):
+@pytest.mark.parametrize("blocks", [(1 << 22, 64), (256, 3)])
+def test_like_brute_force(spark, blocks, monkeypatch):
+    monkeypatch.setattr(topk, "CELL_ROWS", 20)
     rng = np.random.default_rng(1)
     centers = rng.normal(size=(6, 8))
     x = [(i, [float(v) for v in centers[i % 6] + 0.1 * rng.normal(size=8)], "s") for i in range(500)]
     x += [(1000 + i, x[3][1], "s") for i in range(120)]  # many copies: ties
     x += [(3, x[3][1], "s"), (2001, None, "s"), (2002, [1.0, None], "s"), (2003, [float("nan")] * 8, "s"), (2004, [float("inf")] * 8, "s"), (2010, [1.0, 2.0], "s"), (2011, [2.0, 1.0], "s"), (None, [1.0] * 8, "s"), (2020, [], "s")]
     df = spark.createDataFrame(x, SCHEMA).repartition(3)
-    got = topk.top_k(df, F.coalesce(F.col("vec_id") % 10 == 0, F.lit(False)), block_rows=blocks[0], block_queries=blocks[1])
+    got = topk.top_k(df, F.coalesce(F.col("vec_id") % 10 == 0, F.lit(False)), block_values=blocks[0], cells=blocks[1])
     assert sorted(tuple(r) for r in got.collect()) == brute(x, 10, 5)
 
 
@@ -83,3 +84,39 @@ def test_tree_covers():
 
     walk(topk.cover_tree(x, leaf=16, width=5))
     assert sorted(seen) == list(range(3000))
+
+
+def test_share_of_pairs_scored():
+    """Clusters are pruned; vectors spread evenly over many dimensions cannot be."""
+    rng = np.random.default_rng(6)
+
+    def share(x):
+        run = topk.Search(x[::5], np.arange(0, len(x), 5), x, np.arange(len(x)), 5)
+        run.run()
+        exact = np.argsort(-(x[::5] @ x.T), axis=1, kind="stable")
+        assert [[v for _, v in t] for t in run.top] == [[int(v) for v in row if v != i][:5] for i, row in zip(range(0, len(x), 5), exact, strict=True)]
+        return run.scored / (len(x[::5]) * len(x))
+
+    centers = rng.normal(size=(40, 16))
+    centers /= np.linalg.norm(centers, axis=1)[:, None]
+    tight = np.floor(256 * (centers[rng.integers(0, 40, 6000)] + 0.02 * rng.normal(size=(6000, 16))))
+    flat = rng.normal(size=(2000, 64))
+    assert share(tight) < 0.15
+    assert share(np.floor(256 * rng.normal(size=(6000, 2)))) < 0.2
+    assert share(np.floor(256 * flat / np.linalg.norm(flat, axis=1)[:, None])) > 0.9
+
+
+def test_cells_are_pruned(spark, monkeypatch):
+    """The k-th score of the own block keeps queries out of cells that cannot hold better rows."""
+    monkeypatch.setattr(topk, "CELL_ROWS", 20)
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(12, 8))
+    centers /= np.linalg.norm(centers, axis=1)[:, None]
+    x = [(i, [float(v) for v in centers[i % 12] + 0.01 * rng.normal(size=8)], "s") for i in range(1200)]
+    df = spark.createDataFrame(x, SCHEMA).repartition(4)
+    sent = []
+    whole = topk.search
+    monkeypatch.setattr(topk, "search", lambda rows, asks, k: sent.append(asks.count()) or whole(rows, asks, k))
+    got = topk.top_k(df, F.col("vec_id") % 10 == 0)
+    assert sorted(tuple(r) for r in got.collect()) == brute(x, 10, 5)
+    assert sent[0] == 120 and sent[1] < 120 * 59 / 5  # 60 cells
