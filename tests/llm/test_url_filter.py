@@ -63,6 +63,8 @@ def test_same_in_another_engine(spark, tmp_path):
     for i in range(3000):
         segs = [rng.choice(["en", "de", "fr"]), rng.choice(["a", "b", f"s{rng.choice('abcdefgh')}{rng.choice('ijklmnop')}x"]), rng.choice(["list", "view", str(i)]), f"{i}.html"][: rng.randint(0, 4)]
         rows.append((i, f"http://{rng.choice(['x.example.com', 'y.example.com', 'z.org', 'w.example.net'])}/{'/'.join(segs)}{rng.choice(['', '/', '?q=1'])}"))
+    rows += [(3000 + i, f"http://v.example.com/{rng.choice(['en', 'de', 'fr'])}/{i}") for i in range(150)]
+    rows += [(4000 + i, f"http://u.org/post/{rng.choice('abcdefgh')}{rng.choice('ijklmnop')}{rng.choice('qrstuvwx')}/{rng.choice('yz')}") for i in range(150)]
     spark.createDataFrame(rows, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
