@@ -7,9 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 
-# Freed batches go back to the system at once; workers live from stage to stage and share an executor's memory.
-pa.set_memory_pool(pa.system_memory_pool())
+# In workers, freed batches go back to the system at once: they live from stage to stage and share an executor's memory.
+if TaskContext.get() is not None:
+    pa.set_memory_pool(pa.system_memory_pool())
 
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -10,20 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilstat.functions.session import checkpointed  # noqa: F401
 from veilstat.llm._arrow import byte_view, slices
 
-
 BATCH_ROWS = 512
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame with its lineage cut by a reliable checkpoint in the folder the cluster names (a temporary one in tests)."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilstat-"))
-    return df.checkpoint(eager=True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most BATCH_ROWS rows, unless the session asks for other than the default; long texts fill them soon."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -36,6 +27,21 @@ def fold_of(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 5
 
 
+def held_out(id_col: Column) -> Column:
+    """Whether an id is held out; rows without an id are not, and no fit uses them."""
+    return F.coalesce(fold_of(id_col) == 0, F.lit(False))
+
+
+def one_row_an_id(docs: DataFrame, ids: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
+    """(doc_id, columns...) of the rows with a chosen id, one an id: the smallest by hash of the text and the columns.
+
+    The bounded `ids` are broadcast. However often an id comes, its rows meet in partial aggregates; the result has at
+    most as many rows as there are ids.
+    """
+    order = F.struct(F.xxhash64(text_col), F.xxhash64(*columns))
+    return docs.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*columns), order).alias("r")).select("doc_id", "r.*")
+
+
 def with_text_columns(df: DataFrame, text_col: str, added: T.StructType, compute: Callable, slice_bytes: int = 1 << 20) -> DataFrame:
     """df with columns computed from the bytes of a text column; columns of those names in df are replaced.
 

@@ -4,15 +4,21 @@ A text's subwords are its byte n-grams (2 to 4) after ASCII lower-casing, non-le
 to a row of an embedding table; the mean of the rows goes through a linear softmax. After training, table and
 softmax fold into one table of per-language logits, so prediction is one gather a subword over the whole text.
 
-Training: at most TRAIN_ROWS labelled rows (smallest hash of the id) outside the held-out fold; a fifth of them
-calibrates the temperature and the rejection threshold, the confidence under which REJECT_SHARE of those rows fall.
-
-Null texts, and texts without a letter: `und`, score 0, rejected. No usable labels: all `und`. Repeated rows stay;
-columns of the result's names in the input are replaced; an empty table gives an empty result.
+Training: at most TRAIN_ROWS labelled documents (smallest hash of the id, one row an id) outside the held-out fold. A
+fifth of them (by a hash of the text) calibrates. The temperature fits the confidence to their labels. The threshold of
+rejection is set against errors: texts identified wrongly, and the same texts with their letters shuffled, which are of
+no language. It is the lowest that rejects all of these it can, up to MARGIN of the confidence that all but
+REJECT_SHARE of the rightly identified texts reach.
+
+Null texts, and texts without a letter: `und`, score 0, rejected. No usable labels: all `und`. Of equally likely
+languages the first by name. A null id is not held out and not learned from. Repeated rows stay; columns of the
+result's names in the input are replaced; an empty table gives an empty result. Texts are read in slices of whole rows
+of SLICE_BYTES; a longer text costs about a hundred bytes of memory a byte.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,13 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilstat.llm._arrow import byte_view, row_sums, slices
-from veilstat.llm._spark import fold_of, shared, small_batches, with_text_columns
+from veilstat.llm._spark import fold_of, held_out, one_row_an_id, shared, small_batches, with_text_columns
 from veilstat.sources.tables import table
 
 BUCKETS, DIM = 1 << 13, 16
 TRAIN_ROWS = 2000
 EPOCHS, STEPS, BATCH, RATE = 12, 1000, 32, 1.0
-REJECT_SHARE = 0.001
+REJECT_SHARE, MARGIN = 0.001, 0.9
 SLICE_BYTES = 1 << 19
 ADDED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
@@ -88,30 +94,53 @@ class Model:
         return langs, score, ~some | (score < self.threshold)
 
 
-def _counts(batches):
-    """(lang, buckets, counts) of each training row: at most BUCKETS entries a row."""
+def shuffled(text: bytes, seed: int) -> bytes:
+    """The text with its characters in another order, spaces in place."""
+    points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), "<u4").copy()
+    moved = np.flatnonzero((points != 32) & ((points < 9) | (points > 13)))
+    points[moved] = points[np.random.default_rng(seed).permutation(moved)]
+    return points.tobytes().decode("utf-32-le").encode()
+
+
+def _counted(data: np.ndarray) -> tuple[bytes, bytes]:
+    """Buckets and counts of a text's subwords: at most BUCKETS entries."""
+    c = np.zeros(BUCKETS, np.int64)
+    for lo in range(0, len(data), SLICE_BYTES):
+        for _, bucket in subwords(data[lo : lo + SLICE_BYTES]):
+            c += np.bincount(bucket, minlength=BUCKETS)
+    full = np.flatnonzero(c)
+    return full.astype("<u2").tobytes(), c[full].astype("<f4").tobytes()
+
+
+SAMPLE = "lang string, held boolean, noise boolean, buckets binary, counts binary"
+
+
+def _samples(batches):
+    """Rows of SAMPLE for each training row, and for each that calibrates also one of its shuffled text."""
     for batch in batches:
         data, offsets = byte_view(batch.column(1))
-        out = {"lang": batch.column(0).to_pylist(), "buckets": [], "counts": []}
-        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-            c = np.zeros(BUCKETS, np.int64)
-            for lo, hi in ((x, min(x + SLICE_BYTES, b)) for x in range(int(a), int(b), SLICE_BYTES)):
-                for _, bucket in subwords(data[lo:hi]):
-                    c += np.bincount(bucket, minlength=BUCKETS)
-            full = np.flatnonzero(c)
-            out["buckets"].append(full.astype("<u2").tobytes())
-            out["counts"].append(c[full].astype("<f4").tobytes())
-        yield pa.RecordBatch.from_pydict(out, pa.schema([("lang", pa.string()), ("buckets", pa.binary()), ("counts", pa.binary())]))
+        out: list[tuple] = []
+        for lang, a, b in zip(batch.column(0).to_pylist(), offsets[:-1], offsets[1:], strict=True):
+            seed = zlib.crc32(data[a:b])
+            out.append((lang, seed % 5 == 0, False, *_counted(data[a:b])))
+            if seed % 5 == 0:
+                out.append((lang, True, True, *_counted(np.frombuffer(shuffled(data[a:b].tobytes(), seed), np.uint8))))
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        kinds = [pa.string(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "held", "noise", "buckets", "counts"])
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """Model of docs' non-null languages outside the held-out fold; ids first, so that only chosen texts are read."""
+    """Model of docs' non-null languages outside the held-out fold; ids first, so that only chosen texts are read.
+
+    The driver gets at most 1.2 * train_rows rows of at most BUCKETS counts.
+    """
     small_batches(docs.sparkSession)
     usable = F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id")) != 0)
     ids = docs.filter(usable).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    chosen = docs.filter(usable).join(F.broadcast(ids), "doc_id", "left_semi")  # at most train_rows ids
-    rows = chosen.select("lang", "text").mapInArrow(_counts, "lang string, buckets binary, counts binary").collect()
-    rows.sort(key=lambda r: (r["lang"], bytes(r["buckets"]), bytes(r["counts"])))
+    chosen = one_row_an_id(docs.filter(usable), ids, ["lang", "text"])
+    rows = chosen.select("lang", "text").mapInArrow(_samples, SAMPLE).collect()
+    rows.sort(key=lambda r: (r["noise"], r["lang"], bytes(r["buckets"]), bytes(r["counts"])))
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
@@ -120,9 +149,10 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
         c = np.frombuffer(r["counts"], "<f4")
         x[i, np.frombuffer(r["buckets"], "<u2")] = c / max(c.sum(), 1)
     y = np.array([langs.index(r["lang"]) for r in rows])
+    noise, calibrates = (np.array([r[c] for r in rows]) for c in ("noise", "held"))
+    held, wild = np.flatnonzero(calibrates & ~noise), np.flatnonzero(noise)
+    train = np.flatnonzero(~calibrates) if not calibrates.all() else held  # a few rows may all calibrate
     rng = np.random.default_rng(7)
-    shuffled = rng.permutation(len(rows))
-    held, train = np.split(shuffled, [len(rows) // 5])
     embed = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     weight, bias = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
     each = max(1, -(-len(train) // BATCH))
@@ -152,11 +182,18 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
         return float(np.mean(np.log(np.exp(s).sum(1)) - s[np.arange(len(held)), y[held]])) if len(held) else 0.0
 
     temperature = min((0.5 * 1.25**k for k in range(16)), key=loss) if len(held) else 1.0
-    threshold = 0.0
-    if len(held):
-        s = np.exp(z / temperature - (z / temperature).max(1, keepdims=True))
-        threshold = 0.9 * float(np.quantile((s / s.sum(1, keepdims=True)).max(1), REJECT_SHARE))
-    return Model(langs, logits.astype(np.float32), bias.astype(np.float64), float(temperature), min(threshold, 0.5))
+    sure = lambda own: np.exp(own / temperature - np.logaddexp.reduce(own / temperature, 1, keepdims=True)).max(1)
+    right = z.argmax(1) == y[held]
+    return Model(langs, logits.astype(np.float32), bias.astype(np.float64), float(temperature), rejection(sure(z[right]), np.concatenate([sure(z[~right]), sure(x[wild] @ logits + bias)])))
+
+
+def rejection(right: np.ndarray, wrong: np.ndarray) -> float:
+    """The lowest confidence to accept, from the confidences of texts identified rightly and of those to reject."""
+    if not len(right):
+        return 0.0
+    top = MARGIN * float(np.quantile(right, REJECT_SHARE))
+    below = wrong[wrong < top]
+    return float(np.nextafter(below.max(), 1)) if len(below) else 0.0
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -174,7 +211,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's predicted language."""
     docs = table(spark, sf_dir, "documents")
     out = identify(docs.select("doc_id", "text"), fit(docs))
-    return out.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,13 +5,14 @@ second-person word, shares of capitals, runs of capitals, exclamation and questi
 letters broken by signs or digits (obfuscation), tripled characters, and the log of the word count.
 
 The lexicon is learned from labels: words and word beginnings whose log odds of a toxic document are high. Labels
-come from at most TRAIN_ROWS labelled documents outside the held-out fold (smallest hash of the id). Documents that
+come from at most TRAIN_ROWS labelled documents outside the held-out fold (smallest hash of the id, one row an id). Documents that
 are near copies of each other (same smallest hash of five words in a row) count once. They are dealt by that hash into three parts:
 one for the lexicon, one for the trees, one for the isotonic fit, so that no part sees what it is measured on.
 
 Nulls and empty texts are scored like any text without words. Without labels of both kinds every score is the
-smoothed share of toxic labels. Repeated rows stay; columns of the result's names in the input are replaced; an
-empty table gives an empty result.
+smoothed share of toxic labels. A null id is not held out and not learned from. Repeated rows stay; columns of the
+result's names in the input are replaced; an empty table gives an empty result. Texts are read in slices of whole rows
+of SLICE_BYTES; a longer text costs about thirty bytes of memory a byte.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from veilstat.llm._arrow import byte_view, row_sums, slices
 from veilstat.llm._boost import Boosted, fit_boosted, isotonic
-from veilstat.llm._spark import checkpointed, fold_of, shared, small_batches, with_text_columns
+from veilstat.llm._spark import checkpointed, fold_of, held_out, one_row_an_id, shared, small_batches, with_text_columns
 from veilstat.sources.tables import table
 
 TRAIN_ROWS = 12_000
@@ -209,8 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     small_batches(docs.sparkSession)
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 0))
     ids = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    # At most train_rows ids are broadcast.
-    sample = checkpointed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sample = checkpointed(one_row_an_id(texts, ids, ["text"]).join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text"))  # at most train_rows rows
     keys = sample.select("doc_id", "text").mapInArrow(_copy_keys, "doc_id long, key long").join(F.broadcast(ids), "doc_id").collect()
     seen: dict[int, tuple[int, int]] = {}
     for r in sorted(keys, key=lambda r: r["doc_id"]):
@@ -258,7 +259,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity."""
     docs = table(spark, sf_dir, "documents")
     out = score(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
