@@ -1,7 +1,9 @@
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from veilstat.llm import media_columns as mc
 
@@ -56,3 +58,30 @@ def test_rows(spark):
         assert len(r.pcm16k) == 4 * len(payload)
     assert len({r.feature for r in got if r.doc_id in (1, 2)}) == 1
     assert mc.media_columns(docs.limit(0)).count() == 0
+
+
+def test_long_rows_in_windows(monkeypatch):
+    """A long row measured in windows gives what one pass gives."""
+    rng = np.random.default_rng(3)
+    stored = rng.integers(0, 256, 64 * 257).astype(np.uint8)
+    whole = mc.signal(stored, np.array([0, len(stored)]))
+    for size in (64, 640, 64 * 100, 1 << 20):
+        monkeypatch.setattr(mc, "SLICE_BYTES", size)
+        parts = mc.signal_of_one(stored)
+        assert [int(e[0]) for e in parts.energies] == [int(e[0]) for e in whole.energies]
+        assert (int(parts.crossings[0]), int(parts.peak[0])) == (int(whole.crossings[0]), int(whole.peak[0]))
+        assert parts.pcm.tobytes() == whole.pcm.tobytes()
+
+
+def test_memory_of_a_long_text():
+    text = np.random.default_rng(4).integers(32, 127, 8 << 20).astype(np.uint8)
+    tracemalloc.start()
+    mc._encode(pa.array([1]), text, np.array([0, len(text)]), True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(text)
+
+
+def test_the_query_stores_the_pcm(spark):
+    got = mc.query(spark, "/root/testdata/sf0.001").collect()
+    assert got and all(hashlib.sha256(r.media).hexdigest() == r.media_sha256 and f"pcm16k_crc32={zlib.crc32(r.pcm16k)}" in r.feature and len(r.pcm16k) == 4 * r.payload_bytes for r in got)

@@ -5,8 +5,11 @@ byte a sample, so it comes back byte for byte. Features are read from the stored
 expansion by lookup tables, the same bytes decoded as 64-byte IMA ADPCM blocks (all blocks of a slice advance one
 nibble at a time together), and the mu-law signal resampled from 8 to 16 kHz 16-bit PCM.
 
+The file (`media`) and the resampled PCM (`pcm16k`) are columns of the result, beside their digests.
+
 Nulls and empty texts: payload of 64 zero bytes, n_bytes 0. Equal texts give equal values. Repeated rows and ids
-stay repeated rows, extra columns are ignored, an empty table gives an empty result.
+stay repeated rows, extra columns are ignored, an empty table gives an empty result. A long text is measured in windows
+of SLICE_BYTES; it costs its file and its PCM, about eight bytes of memory a byte.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -105,19 +109,60 @@ def adpcm_blocks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return energy, peak
 
 
-def resampled(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Mu-law bytes as 16 kHz PCM: each sample, then the mean with its follower in the same row (the last repeats)."""
+def resampled(data: np.ndarray, offsets: np.ndarray, after: int | None = None) -> np.ndarray:
+    """Mu-law bytes as 16 kHz PCM: each sample, then the mean with its follower in the same row (the last repeats, or meets `after`)."""
     pcm = MULAW[data]
     follower = np.empty_like(pcm)
     follower[:-1] = pcm[1:]
     last = offsets[1:] - 1
     follower[last] = pcm[last]
-    out = np.empty(2 * len(pcm), np.int16)
+    if after is not None:
+        follower[-1] = MULAW[after]
+    out = np.empty(2 * len(pcm), "<i2")
     out[0::2] = pcm
     out[1::2] = (pcm.astype(np.int32) + follower) >> 1
     return out
 
 
+@dataclass
+class Signal:
+    """Sums over the samples of each row, and the rows' PCM one after another."""
+
+    energies: list[np.ndarray]  # by mu-law, A-law and ADPCM decoding
+    crossings: np.ndarray
+    peak: np.ndarray
+    pcm: np.ndarray
+
+
+def signal(stored: np.ndarray, bounds: np.ndarray, before: int | None = None, after: int | None = None) -> Signal:
+    """The measures of rows in one array; `before` and `after`: the bytes next to it, if it is a window of one row."""
+    flips = np.zeros(len(stored), np.uint8)
+    flips[1:] = (stored[1:] ^ stored[:-1]) >> 7
+    flips[bounds[:-1]] = 0
+    if before is not None:
+        flips[0] = (int(stored[0]) ^ before) >> 7
+    energy, peak = adpcm_blocks(stored)
+    energies = [row_sums(square[stored], bounds) for square in (MULAW_SQUARE, ALAW_SQUARE)] + [row_sums(energy, bounds // BLOCK)]
+    return Signal(energies, row_sums(flips, bounds), np.maximum.reduceat(peak, bounds[:-1] // BLOCK), resampled(stored, bounds, after))
+
+
+def signal_of_one(stored: np.ndarray) -> Signal:
+    """The measures of one long row, window by window."""
+    total = Signal([np.zeros(1, np.int64) for _ in range(3)], np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(2 * len(stored), "<i2"))
+    for lo in range(0, len(stored), SLICE_BYTES):
+        hi = min(lo + SLICE_BYTES, len(stored))
+        own = signal(stored[lo:hi], np.array([0, hi - lo]), int(stored[lo - 1]) if lo else None, int(stored[hi]) if hi < len(stored) else None)
+        total.energies = [a + b for a, b in zip(total.energies, own.energies, strict=True)]
+        total.crossings, total.peak = total.crossings + own.crossings, np.maximum(total.peak, own.peak)
+        total.pcm[2 * lo : 2 * hi] = own.pcm
+    return total
+
+
+def binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Consecutive ranges of an array's bytes as a binary column, without a copy."""
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(values)]).cast(pa.binary())
+
+
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -134,22 +179,15 @@ def _encode(ids: pa.Array, data: np.ndarray, offsets: np.ndarray, keep: bool) ->
     padded = np.maximum((n_bytes + BLOCK - 1) // BLOCK, 1) * BLOCK
     files = [wave(data[a : a + n].tobytes() + bytes(int(p - n))) for a, n, p in zip(offsets[:-1].tolist(), n_bytes.tolist(), padded.tolist(), strict=True)]
     back = [samples(f) for f in files]
-    stored, bounds = np.frombuffer(b"".join(back), np.uint8), np.concatenate([[0], np.cumsum(padded)])
-    count = np.diff(bounds)
-    rms = [np.sqrt(row_sums(square[stored], bounds) / count).round().astype(int).tolist() for square in (MULAW_SQUARE, ALAW_SQUARE)]
-    flips = np.zeros(len(stored), np.uint8)
-    flips[1:] = (stored[1:] ^ stored[:-1]) >> 7
-    flips[bounds[:-1]] = 0
-    crossings = row_sums(flips, bounds).tolist()
-    energy, peak = adpcm_blocks(stored)
-    block_bounds = bounds // BLOCK
-    coded = np.sqrt(row_sums(energy, block_bounds) / ((block_bounds[1:] - block_bounds[:-1]) * 121)).round().astype(int).tolist()
-    peaks = np.maximum.reduceat(peak, block_bounds[:-1]).tolist() if len(peak) else []
-    pcm = resampled(stored, bounds)
-    pieces = [pcm[2 * a : 2 * b].astype("<i2", copy=False).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    stored, bounds = np.frombuffer(back[0] if len(back) == 1 else b"".join(back), np.uint8), np.concatenate([[0], np.cumsum(padded)])
+    s = signal_of_one(stored) if len(back) == 1 else signal(stored, bounds)
+    rms = lambda energy, count: np.sqrt(energy / count).round().astype(int).tolist()
+    mulaw, alaw, coded = rms(s.energies[0], padded), rms(s.energies[1], padded), rms(s.energies[2], padded // BLOCK * 121)
+    pcm = s.pcm.view(np.uint8)
+    crcs = [zlib.crc32(pcm[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
     feature = [
-        f"mulaw_rms={m};alaw_rms={a};crossings={c};adpcm_rms={d};adpcm_peak={p};pcm16k_samples={len(x) // 2};pcm16k_crc32={zlib.crc32(x)}"
-        for m, a, c, d, p, x in zip(*rms, crossings, coded, peaks, pieces, strict=True)
+        f"mulaw_rms={m};alaw_rms={a};crossings={c};adpcm_rms={d};adpcm_peak={p};pcm16k_samples={2 * n};pcm16k_crc32={x}"
+        for m, a, c, d, p, n, x in zip(mulaw, alaw, s.crossings.tolist(), coded, s.peak.tolist(), padded.tolist(), crcs, strict=True)
     ]
     columns = {
         "doc_id": ids.cast(pa.int64()),
@@ -162,7 +200,7 @@ def _encode(ids: pa.Array, data: np.ndarray, offsets: np.ndarray, keep: bool) ->
         "feature": feature,
     }
     if keep:
-        columns |= {"media": pa.array(files, pa.binary()), "pcm16k": pa.array(pieces, pa.binary())}
+        columns |= {"media": pa.array(files, pa.binary()), "pcm16k": binaries(pcm, 4 * bounds)}
     return pa.RecordBatch.from_pydict(columns)
 
 
@@ -174,5 +212,5 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every document's recording; no shuffle, one pass."""
-    return media_columns(table(spark, sf_dir, "documents"), keep=False)
+    """Every document's recording and its resampled PCM, with their digests; no shuffle, one pass."""
+    return media_columns(table(spark, sf_dir, "documents"))
