@@ -64,3 +64,27 @@ def test_rows(spark):
     assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 1), (1, 0), (2, 0), (3, 2), (3, 2)]
     assert all(r.ids_sha256 == r.decoded_sha256 == empty for r in got if r.doc_id in (1, 2))
     assert bpe.encode_decode(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_long_texts_by_pieces(spark, library):
+    """Pieces encoded as rows of their own, joined: the library's ids, for every copy of a row."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    made = [(9001, "x<|endoftext|>" + "Hello world's été 12! " * 60 + "<|endoftext|>"), (9001, "ΑΣ ﬁ 日本 " * 90), (9002, "q" * 3000), (9002, "q" * 3000), (None, "one two " * 100)]
+    docs = docs.union(spark.createDataFrame(made, "doc_id long, text string")).repartition(4)
+    got = bpe.encode_decode(docs, long_chars=200, piece_chars=64).collect()
+    want = []
+    for r in docs.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        want.append((r.doc_id, struct.pack(f"<{len(ids)}I", *ids), library.decode(ids, skip_special_tokens=False)))
+    assert sorted(((r.doc_id, bytes(r.ids), r.decoded) for r in got), key=str) == sorted(want, key=str)
+    assert all(r.n_tokens == len(r.ids) // 4 and r.ids_sha256 == hashlib.sha256(r.ids).hexdigest() for r in got)
+
+
+def test_words_of_the_documents_go_through_the_tree(spark, own, monkeypatch):
+    """Words beyond a leaf are common in the documents, so halves are merged and joined there."""
+    words = {w for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() for w in own.plain_words(r.text or "")}
+    long = [w for w in words if len(w.encode()) > bpe.LEAF_SYMBOLS]
+    assert len(long) > 100
+    for w in long:
+        shown = "".join(own.shown[b] for b in w.encode())
+        assert own.merge_tree([*shown[:-1], shown[-1] + own.suffix]) == [t.value for t in own.library.model.tokenize(shown)]

@@ -8,10 +8,15 @@ same tree one level down: halves are merged on their own, and windows of tokens
 until the outer token on either side agrees. BPE encodings are those token strings whose adjacent pairs are all
 encodings of their own text, so agreement of one token on each side makes the join exact.
 
+Texts of more than LONG_CHARS characters are halved down to PIECE_CHARS, and the pieces are rows of their own: other
+tasks encode them at the same time, and one task a text joins them, encoding only the words of the windows. Shorter
+texts are encoded where they are read, by the same tree.
+
 Decoding joins the token strings by one space, as a tokenizer file without a decoder asks for.
 
 Nulls and empty texts: no tokens, hashes of the empty string. Special tokens in a text are kept as such. Repeated
-rows stay, extra columns are ignored, an empty table gives an empty result.
+rows stay, extra columns are ignored, an empty table gives an empty result. A long text costs its words and tokens in
+the task that joins it.
 """
 
 from __future__ import annotations
@@ -32,7 +37,8 @@ from tokenizers import Tokenizer
 from veilstat.llm._spark import small_batches
 from veilstat.sources.tables import table
 
-LEAF_CHARS, LEAF_SYMBOLS, WINDOW_CHARS = 4096, 48, 24
+LEAF_CHARS, LEAF_SYMBOLS, WINDOW_CHARS = 4096, 12, 24
+LONG_CHARS, PIECE_CHARS = 32_768, 8192
 CACHE_WORDS = 300_000
 BLANK = " \t\n\x0b\x0c\r"
 # Code points whose lower case, normal form and class do not depend on a Unicode version or on their neighbours.
@@ -152,22 +158,32 @@ class Codec:
         self.cache[w] = found
         return found
 
+    def prepared(self, text: str) -> tuple[bool, str]:
+        """Whether a text holds plain code points only, and the text in normal form."""
+        return (False, self.library.normalizer.normalize_str(text)) if OTHER.search(text) else (True, text.lower())
+
+    def scan(self, plain: bool) -> Scan:
+        return self.scan_plain if plain else self.scan_other
+
     def plain_words(self, text: str) -> list[str]:
-        if OTHER.search(text):
-            text, scan = self.library.normalizer.normalize_str(text), self.scan_other
-        else:
-            text, scan = text.lower(), self.scan_plain
-        return tree_words(scan, text, 0, len(text))
+        plain, text = self.prepared(text)
+        return tree_words(self.scan(plain), text, 0, len(text))
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Packed ids and the decoded text."""
-        parts: list[tuple[bytes, str]] = []
+    def segments(self, text: str) -> Iterator[tuple[str, str]]:
+        """(text, special token after it or the empty string) from left to right."""
         at = 0
         for m in self.split_special.finditer(text) if "<" in text else ():
-            parts += self._words(self.plain_words(text[at : m.start()]))
-            parts.append((struct.pack("<I", self.special[m[0]]), m[0]))
+            yield text[at : m.start()], m[0]
             at = m.end()
-        parts += self._words(self.plain_words(text[at:] if at else text))
+        yield text[at:], ""
+
+    def encode(self, text: str) -> tuple[bytes, str]:
+        """Packed ids and the decoded text."""
+        parts: list[tuple[bytes, str]] = []
+        for own, special in self.segments(text):
+            parts += self._words(self.plain_words(own))
+            if special:
+                parts.append((struct.pack("<I", self.special[special]), special))
         return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
 
     def _words(self, words: list[str]) -> list[tuple[bytes, str]]:
@@ -196,7 +212,105 @@ def codec(path: str | None) -> Codec:
     return _codecs[path]
 
 
-def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
+NAMES = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
+KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
+
+
+def finished(doc_ids: list, done: list[tuple[bytes, str]], keep: bool) -> list[pa.Array]:
+    """The columns of encoded texts."""
+    rows = [(i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ids, decoded) for i, (ids, decoded) in zip(doc_ids, done, strict=True)]
+    columns = list(zip(*rows, strict=True)) or [()] * 6
+    return [pa.array(c, k) for c, k in zip(columns, KINDS, strict=True)][: 6 if keep else 4]
+
+
+def halves(lo: int, hi: int, size: int) -> list[tuple[int, int]]:
+    """The range, halved until no part is larger than size."""
+    if hi - lo <= size:
+        return [(lo, hi)]
+    mid = (lo + hi) // 2
+    return halves(lo, mid, size) + halves(mid, hi, size)
+
+
+CUT = "doc_id long, key string, segment int, piece int, plain boolean, special string, text string"
+
+
+def _cut(path: str | None, size: int):
+    """The pieces (CUT) of each (doc_id, text) row: the segments between special tokens in normal form, halved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        for batch in batches:
+            for i, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = value.as_py()
+                key, rows = hashlib.sha256(text.encode()).hexdigest(), []
+                for n, (segment, special) in enumerate(own.segments(text)):
+                    plain, segment = own.prepared(segment)
+                    rows += [(i, key, n, p, plain, special, segment[a:b]) for p, (a, b) in enumerate(halves(0, len(segment), size))]
+                columns = list(zip(*rows, strict=True))
+                kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in CUT.split(", ")])
+
+    return run
+
+
+WORDS = CUT + ", words array<string>, ids array<binary>, shown array<string>, at array<int>"
+
+
+def _encoded(path: str | None):
+    """Pieces with their distinct words, these words' ids and tokens, and the sequence of the words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        for batch in batches:
+            out = []
+            for plain, text in zip(batch.column(4).to_pylist(), batch.column(6).to_pylist(), strict=True):
+                words = tree_words(own.scan(plain), text, 0, len(text))
+                place = {w: k for k, w in enumerate(dict.fromkeys(words))}
+                done = own._words(list(place))
+                out.append((list(place), [d[0] for d in done], [d[1] for d in done], [place[w] for w in words]))
+            kinds = [pa.list_(pa.string()), pa.list_(pa.binary()), pa.list_(pa.string()), pa.list_(pa.int32())]
+            made = [pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 4, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "words", "ids", "shown", "at"])
+
+    return run
+
+
+def _joined(path: str | None, size: int, keep: bool):
+    """One text from its pieces, as many rows as the pieces come in copies."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        own = codec(path)
+        segments: dict[int, dict[int, dict]] = {}
+        copies = 0
+        for r in rows.to_pylist():
+            copies += r["segment"] == r["piece"] == 0
+            segments.setdefault(r["segment"], {})[r["piece"]] = r
+        parts: list[tuple[bytes, str]] = []
+        for _, pieces in sorted(segments.items()):
+            ordered = [pieces[p] for p in sorted(pieces)]
+            text, known = "".join(r["text"] for r in ordered), {}
+            for r in ordered:
+                known.update(zip(r["words"], zip(r["ids"], r["shown"], strict=True), strict=True))
+            scan, left = own.scan(ordered[0]["plain"]), iter(ordered)
+
+            def joined(lo: int, hi: int, text=text, scan=scan, left=left) -> list[str]:
+                if hi - lo <= size:
+                    r = next(left)
+                    return [r["words"][k] for k in r["at"]]
+                mid = (lo + hi) // 2
+                one = joined(lo, mid)
+                return join_words(scan, text, one, joined(mid, hi), lo, mid, hi)
+
+            parts += [known.get(w) or own.word(w) for w in joined(0, len(text))]
+            if special := ordered[0]["special"]:
+                parts.append((struct.pack("<I", own.special[special]), special))
+        done = b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+        return pa.Table.from_arrays(finished([key[0].as_py()] * copies, [done] * copies, keep), names=NAMES[: 6 if keep else 4])
+
+    return run
+
+
+def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: bool = True, long_chars: int = LONG_CHARS, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """One row per input row: doc_id, n_tokens, digests, and with `keep` the packed ids and the decoded text."""
     small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if keep else "")
@@ -204,19 +318,15 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            done = []
-            for text in batch.column(1):
-                ids, decoded = own.encode(text.as_py() or "")
-                row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                done.append((*row, ids, decoded) if keep else row)
-            columns = list(zip(*done, strict=True)) if done else [()] * (5 if keep else 3)
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
-            arrays = [batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(arrays)])
+            done = [own.encode(text.as_py() or "") for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(finished(batch.column(0).to_pylist(), done, keep), names=NAMES[: 6 if keep else 4])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    is_long = F.coalesce(F.length("text") > long_chars, F.lit(False))
+    pieces = rows.filter(is_long).mapInArrow(_cut(path, piece_chars), CUT).repartition("key", "segment", "piece").mapInArrow(_encoded(path), WORDS)
+    return rows.filter(~is_long).mapInArrow(run, schema).union(pieces.groupBy("doc_id", "key").applyInArrow(_joined(path, piece_chars, keep), schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every document's ids and of their decoding; no shuffle, one pass."""
+    """Digests of every document's ids and of their decoding; only pieces of long texts are shuffled."""
     return encode_decode(table(spark, sf_dir, "documents"), keep=False)
