@@ -35,7 +35,7 @@ from veilstat.sources.tables import table
 
 K, EVERY = 5, 50
 SAMPLE, CELLS, CELL_ROWS = 4096, 64, 512
-BLOCK_VALUES = 1 << 22
+BLOCK_VALUES, BROADCAST_ROWS = 1 << 22, 100_000
 LEAF, MAX_CHILDREN = 128, 24
 QUERY_BATCH, QUERY_LEAF = 4096, 16
 
@@ -333,7 +333,9 @@ def top_k(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vect
     dealt = checkpointed(usable.mapInArrow(_dealt(shared(spark, seen)), f"id long, v {kind}, asks boolean, dim int, cell int, far double, place long"))
     blocks = F.ceil(F.count("*") * F.col("dim") / F.lit(block_values)).cast("long")
     sizes = checkpointed(dealt.groupBy("dim", "cell").agg(blocks.alias("blocks"), F.max("far").alias("radius")))
-    rows = dealt.join(sizes.select("dim", "cell", "blocks"), ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("place"), "blocks"))
+    # A row a cell: broadcast under a checked size, so that a cell with most rows is not dealt to one task.
+    small = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
+    rows = dealt.join(small.select("dim", "cell", "blocks"), ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("place"), "blocks"))
     asks = rows.filter("asks").groupBy("dim", "cell", "id", "v").agg(F.min("block").alias("block"))
     first = checkpointed(search(rows, asks.withColumn("home", F.col("cell")).withColumn("kth", F.lit(float("-inf"))), k))
     # The k-th of the own block is a bound for a query's row; an id with several vectors takes the bounds of all for each.
@@ -347,7 +349,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vect
     route = f"dim int, cell int, block long, id long, v {kind}, kth double, home int"
     further = known.filter("cell >= 0").mapInArrow(_routed(shared(spark, found)), route)
     # Vectors of a dimension that the sample lacks: one cell, all blocks.
-    other = known.filter("cell < 0").join(sizes.select("dim", "cell", "blocks"), ["dim", "cell"]).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).filter("o <> block")
+    other = known.filter("cell < 0").join(small.select("dim", "cell", "blocks"), ["dim", "cell"]).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).filter("o <> block")
     second = search(rows, further.unionByName(other.select("dim", "cell", F.col("o").alias("block"), "id", "v", "kth", F.col("cell").alias("home"))), k)
     best = first.union(second).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return best.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
