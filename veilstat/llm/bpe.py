@@ -28,6 +28,7 @@ import re
 import struct
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +38,7 @@ from tokenizers import Tokenizer
 from veilstat.llm._spark import small_batches
 from veilstat.sources.tables import table
 
-LEAF_CHARS, LEAF_SYMBOLS, WINDOW_CHARS = 4096, 12, 24
+LEAF_CHARS, LEAF_SYMBOLS, WINDOW_CHARS = 4096, 16, 24
 LONG_CHARS, PIECE_CHARS = 32_768, 8192
 CACHE_WORDS = 300_000
 BLANK = " \t\n\x0b\x0c\r"
@@ -97,6 +98,7 @@ class Codec:
         self.shown = byte_symbols()
         self.raw = {c: b for b, c in enumerate(self.shown)}
         self.cache: dict[str, tuple[bytes, str]] = {}
+        self.tokens = {i: t for t, i in (*self.vocab.items(), *self.special.items())}
 
     def scan_plain(self, text: str, lo: int, hi: int) -> list[str]:
         return self.find(text, lo, hi)
@@ -108,6 +110,8 @@ class Codec:
     def merge(self, symbols: list[str]) -> list[str]:
         """BPE of a symbol string: the lowest-ranked pair first, leftmost among equals."""
         n = len(symbols)
+        if n <= LEAF_SYMBOLS:
+            return self.merge_few(symbols)
         part, nxt, prv, alive = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = [(r, i, part[i], part[i + 1]) for i in range(n - 1) if (r := self.ranks.get((part[i], part[i + 1]))) is not None]
         heapq.heapify(heap)
@@ -125,6 +129,18 @@ class Codec:
                     heapq.heappush(heap, (r, x, part[x], part[nxt[x]]))
         return [p for p, ok in zip(part, alive, strict=True) if ok]
 
+    def merge_few(self, symbols: list[str]) -> list[str]:
+        """The same for few symbols, looking at all pairs each time."""
+        part, rank, none = list(symbols), self.ranks.get, len(self.ranks)
+        while len(part) > 1:
+            ranks = [rank(pair, none) for pair in zip(part, part[1:])]  # noqa: B905
+            best = min(ranks)
+            if best == none:
+                break
+            i = ranks.index(best)
+            part[i : i + 2] = [part[i] + part[i + 1]]
+        return part
+
     def symbols(self, token: str) -> list[str]:
         """The base symbols of a token."""
         if self.suffix and token.endswith(self.suffix):
@@ -186,6 +202,9 @@ class Codec:
                 parts.append((struct.pack("<I", self.special[special]), special))
         return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
 
+    def tokens_of(self, ids: bytes) -> str:
+        return " ".join([self.tokens[i] for i in struct.unpack(f"<{len(ids) // 4}I", ids)])
+
     def _words(self, words: list[str]) -> list[tuple[bytes, str]]:
         get = self.cache.get
         return [get(w) or self.word(w) for w in words]
@@ -253,11 +272,22 @@ def _cut(path: str | None, size: int):
     return run
 
 
-WORDS = CUT + ", words array<string>, ids array<binary>, shown array<string>, at array<int>"
+WORDS = CUT + ", lengths binary, counts binary, ids binary"
+
+
+def words_in(text: str, lengths: bytes) -> list[str]:
+    """The words of a piece, of these lengths, with blanks between them."""
+    out, at = [], 0
+    for n in np.frombuffer(lengths, "<u2").tolist():
+        while text[at] in BLANK:
+            at += 1
+        out.append(text[at : at + n])
+        at += n
+    return out
 
 
 def _encoded(path: str | None):
-    """Pieces with their distinct words, these words' ids and tokens, and the sequence of the words."""
+    """Pieces with the lengths of their words, the numbers of the words' ids, and the ids; all packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -265,12 +295,10 @@ def _encoded(path: str | None):
             out = []
             for plain, text in zip(batch.column(4).to_pylist(), batch.column(6).to_pylist(), strict=True):
                 words = tree_words(own.scan(plain), text, 0, len(text))
-                place = {w: k for k, w in enumerate(dict.fromkeys(words))}
-                done = own._words(list(place))
-                out.append((list(place), [d[0] for d in done], [d[1] for d in done], [place[w] for w in words]))
-            kinds = [pa.list_(pa.string()), pa.list_(pa.binary()), pa.list_(pa.string()), pa.list_(pa.int32())]
-            made = [pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 4, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "words", "ids", "shown", "at"])
+                ids = [d[0] for d in own._words(words)]
+                out.append((np.array([len(w) for w in words], "<u2").tobytes(), np.array([len(i) for i in ids], "<u4").tobytes(), b"".join(ids)))
+            made = [pa.array(c, pa.binary()) for c in list(zip(*out, strict=True)) or [()] * 3]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "lengths", "counts", "ids"])
 
     return run
 
@@ -285,26 +313,28 @@ def _joined(path: str | None, size: int, keep: bool):
         for r in rows.to_pylist():
             copies += r["segment"] == r["piece"] == 0
             segments.setdefault(r["segment"], {})[r["piece"]] = r
-        parts: list[tuple[bytes, str]] = []
+        parts: list[bytes] = []
         for _, pieces in sorted(segments.items()):
             ordered = [pieces[p] for p in sorted(pieces)]
-            text, known = "".join(r["text"] for r in ordered), {}
+            text, known, words = "".join(r["text"] for r in ordered), {}, []
             for r in ordered:
-                known.update(zip(r["words"], zip(r["ids"], r["shown"], strict=True), strict=True))
-            scan, left = own.scan(ordered[0]["plain"]), iter(ordered)
+                words.append(words_in(r["text"], r["lengths"]))
+                ends = np.frombuffer(r["counts"], "<u4").cumsum().tolist()
+                known.update((w, r["ids"][a:b]) for w, a, b in zip(words[-1], [0, *ends], ends))  # noqa: B905
+            scan, left = own.scan(ordered[0]["plain"]), iter(words)
 
             def joined(lo: int, hi: int, text=text, scan=scan, left=left) -> list[str]:
                 if hi - lo <= size:
-                    r = next(left)
-                    return [r["words"][k] for k in r["at"]]
+                    return next(left)
                 mid = (lo + hi) // 2
                 one = joined(lo, mid)
                 return join_words(scan, text, one, joined(mid, hi), lo, mid, hi)
 
-            parts += [known.get(w) or own.word(w) for w in joined(0, len(text))]
+            parts += [known.get(w) or own.word(w)[0] for w in joined(0, len(text))]
             if special := ordered[0]["special"]:
-                parts.append((struct.pack("<I", own.special[special]), special))
-        done = b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+                parts.append(struct.pack("<I", own.special[special]))
+        ids = b"".join(parts)
+        done = ids, own.tokens_of(ids)
         return pa.Table.from_arrays(finished([key[0].as_py()] * copies, [done] * copies, keep), names=NAMES[: 6 if keep else 4])
 
     return run
