@@ -31,7 +31,7 @@ from veilstat.sources.tables import table
 
 BLOCK = 64
 RATE = 8000
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 # Fixed values of the IMA ADPCM format: the quantizer's steps and the index moves by code magnitude.
 STEPS = [
