@@ -220,9 +220,10 @@ def test_survey_and_results(spark, tmp_path):
 
 def test_ledger(spark):
     assert split(10.0, 0.3) == (3.0, 7.0)
-    book = study_ledger(8.0, 0.5, 10, dims=5)
+    book = study_ledger(8.0, 0.5, 10, dims=5, fixed=True)
     assert book.total_eps() == pytest.approx(40.0)
-    assert book.table(spark).count() == 4
+    assert book.table(spark).count() == 3
+    assert study_ledger(8.0, 0.5, 10, dims=5).total_eps() == pytest.approx(5 * (4 + 10 * 2 + 2))  # each redraw is charged
     with pytest.raises(ValueError):
         Ledger().spend("x", "y", eps=-1)
 

@@ -14,15 +14,20 @@ from pyspark.sql import functions as F
 
 from veilstat.functions.keyed import digest
 
-BUCKET_DIGITS = 3  # 16^3 buckets
+BUCKET_DIGITS, BUCKET_ROWS = 3, 1_000_000  # 16^3 buckets; more digits where buckets would hold more rows
 
 
-def permutation_rank(df: DataFrame, id_col: str, seed: int = 0, purpose: str = "perm") -> DataFrame:
-    """df with `pos`, the 0-based rank of each row in a keyed permutation; ids are unique."""
-    keyed = df.withColumn("_h", digest(purpose, seed, F.col(id_col))).withColumn("_bucket", F.substring("_h", 1, BUCKET_DIGITS))
+def bucket_digits(n: int) -> int:
+    """Leading digits that make buckets of about BUCKET_ROWS rows at most."""
+    return max(BUCKET_DIGITS, math.ceil(math.log(max(n / BUCKET_ROWS, 1), 16)))
+
+
+def permutation_rank(df: DataFrame, id_col: str, seed: int = 0, purpose: str = "perm", n: int = 0) -> DataFrame:
+    """df with `pos`, the 0-based rank of each row in a keyed permutation; ids are unique. `n`: about how many rows there are."""
+    keyed = df.withColumn("_h", digest(purpose, seed, F.col(id_col))).withColumn("_bucket", F.substring("_h", 1, bucket_digits(n)))
     sizes = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))  # at most 4096 rows
+    offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))  # a row a bucket
     within = Window.partitionBy("_bucket").orderBy("_h", id_col)
     return keyed.join(F.broadcast(offsets), "_bucket").withColumn("pos", F.col("_offset") + F.row_number().over(within) - 1).drop("_h", "_bucket", "_offset")
 
@@ -42,13 +47,19 @@ def chunk_count(n: int, b: int, rule: str = "one_dim") -> int:
 def chunk(df: DataFrame, id_col: str, n: int, b: int, seed: int = 0, rule: str = "one_dim") -> DataFrame:
     """df with `chunk` and `slot`; the last chunk takes all that remains, except under the rule `drop`."""
     s = chunk_count(n, b, rule)
-    ranked = permutation_rank(df, id_col, seed)
+    ranked = permutation_rank(df, id_col, seed, n=n)
     if rule == "drop":
         ranked = ranked.filter(F.col("pos") < s * b)
     number = F.least(F.floor(F.col("pos") / b), F.lit(s - 1)).cast("int")
     return ranked.withColumn("chunk", number).withColumn("slot", (F.col("pos") - number * b).cast("bigint")).drop("pos")
 
 
+def whole_chunks(df: DataFrame, id_col: str, n: int, b: int, seed: int = 0, rule: str = "one_dim") -> DataFrame:
+    """df once for each chunk, with `chunk` and `slot`: the ablation in which every chunk holds all rows."""
+    ranked = permutation_rank(df, id_col, seed, n=n).withColumnRenamed("pos", "slot")
+    return ranked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunk_count(n, b, rule) - 1))))
+
+
 def chunk_subset(chunked: DataFrame, k: int, chunks: int, seed: int = 0, repeats: int = 1) -> DataFrame:
     """(repeat, chunk) and rows of k chunks drawn without replacement, for each repeat; keyed by chunk id throughout."""
     spark = chunked.sparkSession
@@ -63,9 +74,9 @@ def random_sample(df: DataFrame, id_col: str, n: int, seed: int = 0) -> DataFram
     return df.withColumn("_h", digest("sample", seed, F.col(id_col))).orderBy("_h", id_col).limit(n).drop("_h")
 
 
-def sizing(n: int, eps_cdf: float, sd: float = 1.0) -> dict[str, float]:
-    """Sizes of the one-dimensional study: chunks, rows a chunk, resamples, bootstrap runs, bin width."""
-    s = math.ceil(10 * math.log(n) / eps_cdf)
+def sizing(n: int, eps_cdf: float, set_type: str = "symm") -> dict[str, float]:
+    """Sizes of the one-dimensional study: chunks (twice as many for two sides), rows a chunk, resamples, bootstrap runs, bin width."""
+    s = math.ceil((20 if set_type == "eqtail" else 10) * math.log(n) / eps_cdf)
     b = n // s
     clamp = lambda x: int(min(max(x, 100), 10_000))
     return {"chunks": s, "b": b, "runs": clamp(math.sqrt(n) * b / math.log(n)), "boot_runs": clamp(n**1.5 / math.log(n)), "precision": 1 / math.sqrt(n)}
@@ -78,10 +89,15 @@ def zcdp_sizing(n: int, eps: float) -> dict[str, int]:
     return {"chunks": s, "b": b, "runs": int(math.sqrt(n) * b / math.log(n))}
 
 
+# Half widths of the survey study's search ranges, by coefficient, the intercept last.
+SURVEY_RANGES = (70.0, 100.0, 120.0, 20.0, 100.0)
+
+
 def survey_sizing(n: int, eps_cdf: float) -> dict[str, float]:
-    """Sizes of the survey study: fewer runs, wider bins."""
-    base = sizing(n, eps_cdf)
-    return base | {"runs": int(min(base["runs"], 1e6 * base["b"] / n)), "precision": 10 / math.sqrt(n)}
+    """Sizes of the survey study: runs up to a million in all, without a floor, and wider bins."""
+    s = math.ceil(10 * math.log(n) / eps_cdf)
+    b = n // s
+    return {"chunks": s, "b": b, "runs": int(min(math.sqrt(n) * b / math.log(n), 1e6 * b / n)), "boot_runs": int(min(n**1.5 / math.log(n), 1e6)), "precision": 10 / math.sqrt(n)}
 
 
 def variance_bound(n: int, sd: float | None = None, width: float | None = None) -> float:

@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from veilstat.operators.mechanisms import in_interval
 
 
+MOST_METHODS = 1000
+
+
 def evaluate(estimates: DataFrame, intervals: DataFrame, on: list[str], truth: float, n: int, method: str = "method") -> DataFrame:
     """Per estimate and method: covered (truth in est + [l, u] / sqrt(n)) and width."""
     root = F.lit(float(n) ** 0.5)
-    joined = estimates.join(intervals, on) if on else estimates.crossJoin(F.broadcast(intervals))  # one interval a method
+    if not on and intervals.limit(MOST_METHODS + 1).count() > MOST_METHODS:
+        raise ValueError(f"without keys there is one interval a method, at most {MOST_METHODS}")
+    joined = estimates.join(intervals, on) if on else estimates.crossJoin(F.broadcast(intervals))
     return joined.select(
         *estimates.columns, method, in_interval(F.lit(float(truth)), F.col("est") + F.col("l") / root, F.col("est") + F.col("u") / root).alias("covered"), ((F.col("u") - F.col("l")) / root).alias("width")
     )

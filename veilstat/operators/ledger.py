@@ -40,12 +40,15 @@ def split(eps: float, share: float) -> tuple[float, float]:
     return share * eps, (1 - share) * eps
 
 
-def study_ledger(eps: float, share: float, search_candidates: int, dims: int = 1) -> Ledger:
-    """The estimate, the search (threshold noise once, or at every candidate as the compared method draws it), per dimension."""
+def study_ledger(eps: float, share: float, search_candidates: int, dims: int = 1, fixed: bool = False) -> Ledger:
+    """The estimate and the search, per dimension.
+
+    With `fixed` the noise of the threshold is drawn once. Without it is drawn at every candidate, as the compared
+    method does, and each of these draws is charged: the program then spends more than eps.
+    """
     own, rest = split(eps, share)
     book = Ledger()
     book.spend("estimate", "inverse sensitivity", own, uses=dims)
-    book.spend("threshold", "AboveThreshold", rest / 2, uses=dims)
-    book.spend("threshold redraws", "AboveThreshold", 0.0, uses=max(1, search_candidates))
+    book.spend("threshold", "AboveThreshold", rest / 2, uses=dims if fixed else dims * max(1, search_candidates))
     book.spend("queries", "AboveThreshold", rest / 2, uses=dims)
     return book

@@ -6,6 +6,8 @@ intercept is a last constant coordinate.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,7 +128,7 @@ def weighted_newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, start: np.ndarr
         m = y * (b @ x.T)
         s = 1 / (1 + np.exp(np.clip(-m, -700, 700)))
         g = -((w[active] * (1 - s) * y) @ x) / n[active]
-        h = np.einsum("rb,bi,bj->rij", w[active] * s * (1 - s), x, x) / n[active][:, :, None] + ridge * np.eye(x.shape[1])
+        h = np.einsum("rb,bi,bj->rij", w[active] * s * (1 - s), x, x, optimize=True) / n[active][:, :, None] + ridge * np.eye(x.shape[1])
         step = np.linalg.solve(h, g[:, :, None])[:, :, 0]
         beta[active] = b - step
         active = active[np.linalg.norm(step, axis=1) > tolerance]
@@ -135,6 +137,41 @@ def weighted_newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, start: np.ndarr
     return beta
 
 
+def private_weighted(x: np.ndarray, y: np.ndarray, w: np.ndarray, start: np.ndarray, eps: float, norm_bound: float, rng: np.random.Generator) -> np.ndarray:
+    """Released estimates of each row of weights: (2 norm_bound / (n eps)) r H^-1 v is added, r ~ Gamma(d, 1), v uniform on the sphere."""
+    beta = weighted_newton(x, y, w, start)
+    runs, d = beta.shape
+    n = w.sum(1)
+    s = 1 / (1 + np.exp(np.clip(-(beta @ x.T), -700, 700)))
+    h = np.einsum("rb,bi,bj->rij", w * s * (1 - s), x, x, optimize=True) / n[:, None, None] + 1e-7 * np.eye(d)
+    v = rng.normal(size=(runs, d))
+    v *= (2 * norm_bound / (n * eps) * rng.gamma(d, size=runs) / np.linalg.norm(v, axis=1))[:, None]
+    return beta + np.linalg.solve(h, v[:, :, None])[:, :, 0]
+
+
+def private_estimator(start: list[float], eps: float, norm_bound: float):
+    """The released form of `weighted_estimator`."""
+
+    def run(rows: np.ndarray, w: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        return private_weighted(rows[:, :-1], rows[:, -1], w, np.array(start), eps, norm_bound, rng)
+
+    return run
+
+
+def weighted_deviation(start: list[float]):
+    """Roots of the sandwich at each row of weights' estimate, whose last column of rows is y: (runs, d, d)."""
+
+    def run(rows: np.ndarray, w: np.ndarray) -> np.ndarray:
+        x, y = rows[:, :-1], rows[:, -1]
+        beta, n = weighted_newton(x, y, w, np.array(start)), w.sum(1)[:, None, None]
+        s = 1 / (1 + np.exp(np.clip(-y * (beta @ x.T), -700, 700)))
+        inverse = np.linalg.inv(np.einsum("rb,bi,bj->rij", w * s * (1 - s), x, x, optimize=True) / n + 1e-10 * np.eye(x.shape[1]))
+        middle = np.einsum("rb,bi,bj->rij", w * (1 - s) ** 2, x, x, optimize=True) / n
+        return np.stack([symmetric_root(m) for m in inverse @ middle @ inverse])
+
+    return run
+
+
 def weighted_estimator(start: list[float]):
     """An estimator for `resampling.weighted_stats` whose last column is y."""
 
@@ -144,26 +181,62 @@ def weighted_estimator(start: list[float]):
     return run
 
 
-def projected_sgd(df: DataFrame, d: int, radius: float, seed: int = 0, order: str = "row_id") -> DataFrame:
-    """(dim, value): one sequential pass with the step halved at n - ceil(n / 2^k), each iterate projected to the ball; the mean iterate.
+def halvings(n: int) -> Iterator[int]:
+    """The rows after which a pass over n rows halves its step: n - ceil(n / 2^k) for k = 1, 2, ..., each once."""
+    k, last = 1, -1
+    while (at := n - -(-n // 2**k)) > last:
+        yield at
+        k, last = k + 1, at
+
 
-    A pass in order is sequential by definition: all rows of the one group are read by one task.
+def projected_sgd(df: DataFrame, d: int, radius: float, order: str = "row_id", step: float | None = None, start: list[float] | None = None, center: list[float] | None = None) -> DataFrame:
+    """(dim, value): the mean iterate of one sequential pass, each iterate projected to the ball of the radius around the centre.
+
+    The step (1 / sqrt(n) if none is given) is halved after the rows of `halvings`. A pass in order is sequential by
+    definition: all rows of the one group are read by one task.
     """
     import pandas as pd
 
+    begin, middle = np.array(start or [0.0] * d, float), np.array(center or [0.0] * d, float)
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
         x, y = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy()
         n = len(y)
-        halve = {n - -(-n // 2**k) for k in range(1, n.bit_length() + 1)}
-        beta, total, rate = np.zeros(d), np.zeros(d), 1 / np.sqrt(n)
+        halve = set(halvings(n))
+        beta, total, rate = begin, np.zeros(d), 1 / np.sqrt(n) if step is None else step
         for i in range(n):
-            if i in halve:
-                rate /= 2
             beta = beta + rate * y[i] * x[i] / (1 + np.exp(y[i] * (beta @ x[i])))
-            norm = np.linalg.norm(beta)
-            beta = beta * min(1.0, radius / norm) if norm else beta
+            far = np.linalg.norm(beta - middle)
+            if far > radius:
+                beta = middle + (beta - middle) / far * radius
             total += beta
+            if i in halve:
+                rate /= 2
         return pd.DataFrame({"dim": np.arange(d), "value": total / n})
 
     return df.select(order, "x", "y").groupBy().applyInPandas(run, "dim int, value double")
+
+
+def gradients(df: DataFrame, betas: np.ndarray) -> DataFrame:
+    """(step, dim, value): the mean gradient at each of many points, by one pass of partial sums."""
+    import pyarrow as pa
+
+    points = np.asarray(betas, float)
+    steps, d = points.shape
+
+    def run(batches):
+        total, n = np.zeros((steps, d)), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = np.array(batch.column(0).to_pylist(), float), batch.column(1).to_numpy(zero_copy_only=False)
+            for lo in range(0, len(y), 4096):
+                own, label = x[lo : lo + 4096], y[lo : lo + 4096]
+                m = (own @ points.T) * label[:, None]
+                total -= (label[:, None] / (1 + np.exp(np.clip(m, -700, 700)))).T @ own
+            n += len(y)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(steps), d), pa.int32()), pa.array(np.tile(np.arange(d), steps), pa.int32()), pa.array(total.ravel()), pa.array(np.full(steps * d, n), pa.int64())], names=["step", "dim", "g", "n"])
+
+    sums = df.select("x", "y").mapInArrow(run, "step int, dim int, g double, n long")
+    return sums.groupBy("step", "dim").agg((F.sum("g") / F.sum("n")).alias("value"))

@@ -36,11 +36,24 @@ def private_mean(df: DataFrame, x: str, low: float, high: float, eps: float, by:
 
 def private_std(df: DataFrame, x: str, low: float, high: float, eps: float, by: list[str], seed: int = 0) -> DataFrame:
     """Sample deviation per group + Laplace; the sensitivity is M^2/n + 2M(high - low)/(n(n - 1)), M the larger bound. May be negative."""
-    m = max(abs(low), abs(high))
     agg = df.groupBy(*by).agg(F.stddev_samp(x).alias("_s"), F.count(x).alias("_n"))
-    n = F.col("_n").cast("double")
-    sensitivity = F.lit(float(m * m)) / n + F.lit(2.0 * m * (high - low)) / (n * (n - F.lit(1.0)))
-    return agg.select(*by, noisy(F.col("_s"), eps, sensitivity, "std", seed, *map(F.col, by)).alias("value"))
+    return agg.select(*by, noisy(F.col("_s"), eps, std_sensitivity(low, high, F.col("_n").cast("double")), "std", seed, *map(F.col, by)).alias("value"))
+
+
+def std_sensitivity(low: float, high: float, n):
+    """M^2 / n + 2 M (high - low) / (n (n - 1)) of the sample deviation, M the larger bound; n is a number or a column."""
+    m = max(abs(low), abs(high))
+    return float(m * m) / n + 2.0 * m * (high - low) / (n * (n - 1.0))
+
+
+def below(high: Column, x: Column) -> Column:
+    """An interval as a whole is below a number: its upper end is."""
+    return (high < x).cast("int")
+
+
+def above(low: Column, x: Column) -> Column:
+    """An interval as a whole is above a number: its lower end is."""
+    return (low > x).cast("int")
 
 
 def ordered(df: DataFrame, x: str, by: list[str], low: float, high: float, bins: int = 1024) -> DataFrame:
@@ -96,17 +109,39 @@ def noisy_index(n: Column, global_eps: float, local_eps: float, seed: int, *keys
     return truncated(n / F.lit(2.0) + laplace(1 / global_eps, "order-g", seed, *(() if fixed else keys)) + laplace(1 / local_eps, "order-l", seed, *keys))
 
 
-def noisy_order_statistic(df: DataFrame, x: str, by: list[str], global_eps: float, local_eps: float, top: float, seed: int = 0, fixed: bool = False) -> DataFrame:
-    """Per group the order statistic at a noisy median rank: below 1 gives 0, above n gives `top`; the plain median if global_eps is infinite."""
+def noisy_order_statistic(df: DataFrame, x: str, by: list[str], global_eps: float, local_eps: float, top: float, seed: int = 0, fixed: bool = False, bins: int = 0) -> DataFrame:
+    """Per group the order statistic at a noisy median rank: below 1 gives 0, above n gives `top`; the plain median if global_eps is infinite.
+
+    With `bins`, for groups of any size: equal values are counted first, the counts of equal-width bins of a group's
+    range tell the bin of the rank, and only that bin's distinct values are sorted. Else each group is sorted whole.
+    """
     if math.isinf(global_eps):
         return df.groupBy(*by).agg(F.median(x).alias("value"))
     counts = df.groupBy(*by).agg(F.count(x).alias("_n"))
     index = counts.select(*by, "_n", noisy_index(F.col("_n"), global_eps, local_eps, seed, *map(F.col, by), fixed=fixed).alias("_ix"))
+    if bins:
+        hit = _ranked_by_bins(df.select(*by, F.col(x).cast("double").alias("_x")).filter("_x is not null"), index, by, bins)
+        return index.join(hit, by, "left").select(*by, F.when(F.col("_ix") < 1, F.lit(0.0)).when(F.col("_ix") > F.col("_n"), F.lit(float(top))).otherwise(F.col("_x")).alias("value"))
     ranked = df.select(*by, F.col(x).alias("_x"), F.row_number().over(Window.partitionBy(*by).orderBy(x)).alias("_r"))
     hit = ranked.join(index, by).filter(F.col("_r") == F.col("_ix")).select(*by, "_x")
     return index.join(hit, by, "left").select(*by, F.when(F.col("_ix") < 1, F.lit(0.0)).when(F.col("_ix") > F.col("_n"), F.lit(float(top))).otherwise(F.col("_x").cast("double")).alias("value"))
 
 
+def _ranked_by_bins(df: DataFrame, index: DataFrame, by: list[str], bins: int) -> DataFrame:
+    """(by..., _x): the value at rank _ix of each group, by counts of bins and of the distinct values of one bin."""
+    counts = df.groupBy(*by, "_x").agg(F.count("*").alias("_k"))
+    ends = df.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi")).join(index, by)  # a row a group
+    number = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))).otherwise(F.lit(0)).cast("int")
+    binned = counts.join(ends, by).withColumn("_bin", number)
+    sizes = binned.groupBy(*by, "_bin", "_ix").agg(F.sum("_k").alias("_m"))
+    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # at most `bins` rows a group
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    own = sizes.filter((F.col("_ix") > F.col("_before")) & (F.col("_ix") <= F.col("_before") + F.col("_m"))).select(*by, "_bin", "_before")
+    upto = Window.partitionBy(*by).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)  # the distinct values of one bin
+    reached = binned.join(own, [*by, "_bin"]).withColumn("_upto", F.col("_before") + F.sum("_k").over(upto))
+    return reached.filter((F.col("_ix") <= F.col("_upto")) & (F.col("_ix") > F.col("_upto") - F.col("_k"))).select(*by, "_x")
+
+
 def in_interval(x: Column, low: Column, high: Column) -> Column:
     """1 if x lies in the closed interval, else 0."""
     return x.between(low, high).cast("int")
@@ -122,7 +157,12 @@ def clip_variance(v: Column, top: float) -> Column:
     return F.least(F.greatest(F.nanvl(F.coalesce(v, F.lit(top)), F.lit(top)), F.lit(0.0)), F.lit(float(top)))
 
 
-def to_ball(x: Column, radius: float) -> Column:
-    """The vector, scaled to the radius if longer."""
-    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
-    return F.when(norm > F.lit(radius), F.transform(x, lambda v: v * F.lit(radius) / norm)).otherwise(x)
+def to_ball(x: Column, radius: float, center: list[float] | None = None) -> Column:
+    """The vector, moved to the sphere of the radius around the centre (0 if none is given) if it lies beyond."""
+    if center is None:
+        norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
+        return F.when(norm > F.lit(radius), F.transform(x, lambda v: v * F.lit(radius) / norm)).otherwise(x)
+    middle = F.array(*[F.lit(float(c)) for c in center])
+    far = F.zip_with(x, middle, lambda v, c: v - c)
+    norm = F.sqrt(F.aggregate(far, F.lit(0.0), lambda a, v: a + v * v))
+    return F.when(norm > F.lit(radius), F.zip_with(far, middle, lambda v, c: c + v / norm * F.lit(radius))).otherwise(x)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from veilstat.functions.keyed import normal_py, uniform_py
-from veilstat.operators.logistic import derivatives, fit, with_intercept
+from veilstat.operators.logistic import derivatives, fit, gradients, with_intercept
 
 
 def sphere(d: int, *key) -> np.ndarray:
@@ -42,50 +42,44 @@ def metropolis(df: DataFrame, d: int, eps: float, norm_bound: float, steps: int
 
     Proposals: with probability `mix` a point of the whole domain ball, else one in the region of radius 4 n^(-5/6)
     around the estimate, by a Gamma radius through the inverse Hessian. The region test maps the offset by the Hessian as
-    a matrix. Steps are sequential and each needs a gradient over all rows, so the rows go to one task; `limit`
-    rejections in a row are an error.
+    a matrix. Proposals do not depend on the current point, so all of them are drawn first and their gradients come from
+    one pass over the rows; the chain itself runs over `steps` numbers. `limit` rejections in a row are an error.
     """
-    import pandas as pd
-
-    rows_in = with_intercept(df) if intercept else df
+    rows = with_intercept(df) if intercept else df
     dim = d + intercept
-    beta = np.array(fit(rows_in, dim, tolerance=1e-6))
-    _, h = derivatives(rows_in, beta.tolist())
+    beta = np.array(fit(rows, dim, tolerance=1e-6))
+    _, h = derivatives(rows, beta.tolist())
     middle = np.zeros(dim) if center is None else np.array(center, float)
     if len(middle) != dim:
         raise ValueError("the centre of the domain has one coordinate a dimension, the intercept's last")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy()
-        n = len(y)
-        region = 4 * n ** (-5 / 6)
-        rng = np.random.default_rng([seed, dim])
-        inverse = np.linalg.inv(h + 1e-7 * np.eye(dim))
-
-        def cost(b: np.ndarray) -> float:
-            g = -((y / (1 + np.exp(np.clip(y * (x @ b), -700, 700)))) @ x) / n
-            return eps / 2 * math.ceil(np.linalg.norm(g) * n / norm_bound)
-
-        scale = 2 * norm_bound / (n * eps)
-
-        def log_proposal(b: np.ndarray) -> float:
-            v = h @ (b - beta)
-            inside = np.linalg.norm(v) / scale if np.linalg.norm(b - beta) <= region else math.inf
-            wide = math.log(mix) - dim * math.log(radius)
-            return wide if math.isinf(inside) else np.logaddexp(wide, math.log(1 - mix) - inside - dim * math.log(scale))
-
-        at, rejected = beta, 0
-        for _ in range(steps):
-            v = rng.normal(size=dim)
-            v /= np.linalg.norm(v)
-            new = middle + radius * rng.random() ** (1 / dim) * v if rng.random() < mix else beta + scale * rng.gamma(dim) * (inverse @ v)
-            ratio = cost(at) - cost(new) + log_proposal(at) - log_proposal(new)
-            if np.linalg.norm(new - middle) <= radius and math.log(rng.random()) < ratio:
-                at, rejected = new, 0
-            else:
-                rejected += 1
-                if rejected > limit:
-                    raise ValueError(f"more than {limit} proposals in a row were rejected")
-        return pd.DataFrame({"dim": np.arange(dim), "value": at})
-
-    return rows_in.select("x", "y").groupBy().applyInPandas(run, "dim int, value double")
+    n = rows.count()
+    region, scale = 4 * n ** (-5 / 6), 2 * norm_bound / (n * eps)
+    inverse = np.linalg.inv(h + 1e-7 * np.eye(dim))
+    rng = np.random.default_rng([seed, dim])
+
+    def log_proposal(b: np.ndarray) -> float:
+        v = h @ (b - beta)
+        inside = np.linalg.norm(v) / scale if np.linalg.norm(b - beta) <= region else math.inf
+        wide = math.log(mix) - dim * math.log(radius)
+        return wide if math.isinf(inside) else np.logaddexp(wide, math.log(1 - mix) - inside - dim * math.log(scale))
+
+    proposals, coins = [beta], []
+    for _ in range(steps):
+        v = rng.normal(size=dim)
+        v /= np.linalg.norm(v)
+        proposals.append(middle + radius * rng.random() ** (1 / dim) * v if rng.random() < mix else beta + scale * rng.gamma(dim) * (inverse @ v))
+        coins.append(rng.random())
+    grads = np.zeros((steps + 1, dim))
+    for r in gradients(rows, np.array(proposals)).collect():  # (steps + 1) x dim numbers
+        grads[r["step"], r["dim"]] = r["value"]
+    cost = eps / 2 * np.ceil(np.linalg.norm(grads, axis=1) * n / norm_bound)
+    at, rejected = 0, 0
+    for k, coin in enumerate(coins, 1):
+        ratio = cost[at] - cost[k] + log_proposal(proposals[at]) - log_proposal(proposals[k])
+        if np.linalg.norm(proposals[k] - middle) <= radius and math.log(coin) < ratio:
+            at, rejected = k, 0
+        else:
+            rejected += 1
+            if rejected > limit:
+                raise ValueError(f"more than {limit} proposals in a row were rejected")
+    return df.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(proposals[at])], "dim int, value double")

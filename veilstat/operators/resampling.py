@@ -7,33 +7,59 @@ the estimator on weights, so a resample of size n costs O(b).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilstat.functions.keyed import index
+from veilstat.operators.mechanisms import noisy, std_sensitivity
+
+DRAWS = 65_536
 
 
 def draws(chunked: DataFrame, n: int, runs: int, seed: int = 0) -> DataFrame:
-    """(chunk, run, slot): n uniform slots of each chunk for each run."""
+    """(chunk, run, slot): n uniform slots of each chunk for each run. No row holds more than DRAWS numbers at a time."""
     spark = chunked.sparkSession
     sizes = chunked.groupBy("chunk").agg(F.count("*").alias("nb"))
     grid = sizes.crossJoin(F.broadcast(spark.range(runs).select(F.col("id").cast("int").alias("run"))))
-    each = grid.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    parts = grid.withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(DRAWS))))
+    each = parts.withColumn("k", F.explode(F.sequence(F.col("_first"), F.least(F.col("_first") + DRAWS, F.lit(n)) - 1)))
     return each.select("chunk", "run", index(F.col("nb"), "boot", seed, F.col("chunk"), F.col("run"), F.col("k")).alias("slot"))
 
 
-def boot_stats(chunked: DataFrame, x: str, n: int, runs: int, seed: int = 0) -> DataFrame:
-    """(chunk, run, est, stat) with stat = sqrt(n) (mean of the chunk - mean of the resample)."""
+@dataclass(frozen=True)
+class Release:
+    """How the estimate of a resample is released: the bounds of the values, the budget of the estimate (infinite: as it
+    is), whether the statistic is divided by the resample's deviation, and the budget of that."""
+
+    low: float = 0.0
+    high: float = 1.0
+    eps: float = math.inf
+    studentize: bool = False
+    eps_sigma: float = math.inf
+
+
+def boot_stats(chunked: DataFrame, x: str, n: int, runs: int, seed: int = 0, release: Release = Release()) -> DataFrame:
+    """(chunk, run, est, stat) with stat = sqrt(n) (mean of the chunk - released mean of the resample), over its released deviation if asked for.
+
+    The chunk's own mean is never private: the bootstrap puts it in the place of the truth. Noise is keyed by chunk and run.
+    """
     theta = chunked.groupBy("chunk").agg(F.avg(x).alias("theta"))
-    est = draws(chunked, n, runs, seed).join(chunked.select("chunk", "slot", x), ["chunk", "slot"]).groupBy("chunk", "run").agg(F.avg(x).alias("est"))
-    return est.join(theta, "chunk").select("chunk", "run", "est", (F.lit(float(n) ** 0.5) * (F.col("theta") - F.col("est"))).alias("stat"))
+    rows = draws(chunked, n, runs, seed).join(chunked.select("chunk", "slot", x), ["chunk", "slot"])
+    est = rows.groupBy("chunk", "run").agg(F.avg(x).alias("_m"), F.stddev_samp(x).alias("_s"))
+    keys = (seed, F.col("chunk"), F.col("run"))
+    est = est.select("chunk", "run", noisy(F.col("_m"), release.eps, (release.high - release.low) / n, "boot-est", *keys).alias("est"), noisy(F.col("_s"), release.eps_sigma, std_sensitivity(release.low, release.high, n), "boot-std", *keys).alias("_s"))
+    gap = F.lit(float(n) ** 0.5) * (F.col("theta") - F.col("est"))
+    return est.join(theta, "chunk").select("chunk", "run", "est", (gap / F.col("_s") if release.studentize else gap).alias("stat"))
 
 
 Weighted = Callable[[np.ndarray, np.ndarray], np.ndarray]
+Private = Callable[[np.ndarray, np.ndarray, np.random.Generator], np.ndarray]
 
 
 def weighted_mean(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -50,8 +76,12 @@ def weighted_median(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return ((v[lower] + v[upper]) / 2)[:, None]
 
 
-def weighted_stats(chunked: DataFrame, columns: list[str], n: int, runs: int, estimator: Weighted = weighted_mean, seed: int = 0, block: int = 256, scale: Weighted | None = None) -> DataFrame:
-    """(chunk, run, dim, est, stat) by multinomial weights; with `scale`, stat is divided by that estimate of the deviation.
+def weighted_stats(chunked: DataFrame, columns: list[str], n: int, runs: int, estimator: Weighted = weighted_mean, seed: int = 0, block: int = 256, scale: Weighted | None = None, private: Private | None = None) -> DataFrame:
+    """(chunk, run, dim, est, stat) by multinomial weights.
+
+    `private`: the released estimates of the resamples, in place of the estimator's (which still gives the chunk's own).
+    `scale`: estimates of the deviation that the statistic is multiplied by the inverse of: a number, or a matrix in
+    several dimensions.
 
     A group is a chunk and a block of runs, so chunks fewer than cores still fill them. The generator of a group depends
     on its key alone.
@@ -67,11 +97,12 @@ def weighted_stats(chunked: DataFrame, columns: list[str], n: int, runs: int, es
         count = min(block, runs - first)
         rng = np.random.default_rng([seed, c, k])
         w = rng.multinomial(n, np.full(len(x), 1 / len(x)), size=count).astype(float)
-        est = estimator(x, w)
+        est = estimator(x, w) if private is None else private(x, w, rng)
         theta = estimator(x, np.ones((1, len(x))))
         stat = np.sqrt(n) * (theta - est)
         if scale is not None:
-            stat = stat / scale(x, w)
+            sd = scale(x, w)
+            stat = np.linalg.solve(sd, stat[:, :, None])[:, :, 0] if sd.ndim == 3 else stat / sd
         d = est.shape[1]
         return pd.DataFrame({"chunk": c, "run": np.repeat(np.arange(first, first + count), d), "dim": np.tile(np.arange(d), count), "est": est.ravel(), "stat": stat.ravel()})
 
@@ -98,8 +129,3 @@ def quantile_interval(stats: DataFrame, alpha: float, kind: str, by: list[str] |
 def means_and_variances(stats: DataFrame, by: list[str]) -> DataFrame:
     """Mean and sample variance of the bootstrap estimates per group."""
     return stats.groupBy(*by).agg(F.avg("est").alias("m"), F.var_samp("est").alias("v"))
-
-
-def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row of each key, the first in a stated order."""
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_k = 1").drop("_k")

@@ -13,8 +13,9 @@ GROUPS = {"MAR_married": ("MAR", (1, 2)), "MAR_divorced": ("MAR", (3, 4)), "COW_
 
 
 def adult_filter(df: DataFrame) -> DataFrame:
-    """Persons over 16 with income over 100 who work."""
-    return df.filter((F.col("AGEP") > 16) & (F.col("PINCP") > 100) & (F.col("WKHP") > 0))
+    """Persons over 16 with income over 100 who work; where the table has person weights, those of weight 1 or more."""
+    kept = (F.col("AGEP") > 16) & (F.col("PINCP") > 100) & (F.col("WKHP") > 0)
+    return df.filter(kept & (F.col("PWGTP") >= 1) if "PWGTP" in df.columns else kept)
 
 
 def fill(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -40,7 +41,7 @@ def prepare(raw: DataFrame) -> DataFrame:
     df = fill(adult_filter(raw), [f.name for f in RAW.fields])
     df = guarded_scale(df, SCALES, {"SEX": 1.0})
     label = (F.when(F.col("PINCP") > 30000, 1).otherwise(-1)).alias("PINCP")
-    keys = [c for c in raw.columns if c not in RAW.names]
+    keys = [c for c in raw.columns if c not in RAW.names and c != "PWGTP"]
     return df.select(*keys, "AGEP", "SCHL", "WKHP", "SEX", *[one_hot(F.col(c), codes).alias(name) for name, (c, codes) in GROUPS.items()], label)
 
 

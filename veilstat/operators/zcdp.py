@@ -8,22 +8,33 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilstat.functions.keyed import normal_py
 from veilstat.functions.special import normal_quantile
 
 
-def eps_to_rho(eps: float, delta: float) -> float:
-    a = math.log(1 / delta)
-    return (math.sqrt(eps + a) - math.sqrt(a)) ** 2
+LEAST = 1e-9
 
 
-def gaussian_tailbound(d: int, b: float) -> float:
-    """Norm that a d-dimensional standard normal exceeds with probability at most b."""
-    a = math.log(1 / b)
-    return math.sqrt(d + 2 * math.sqrt(d * a) + 2 * a)
+def _functions(*values) -> tuple:
+    """Logarithm and square root for numbers, or for columns if one of the values is."""
+    return (F.log, F.sqrt) if any(isinstance(v, Column) for v in values) else (math.log, math.sqrt)
+
+
+def eps_to_rho(eps, delta):
+    """The rho that gives eps at delta; numbers or columns."""
+    log, sqrt = _functions(eps, delta)
+    a = log(1.0 / delta)
+    return (sqrt(eps + a) - sqrt(a)) ** 2
+
+
+def gaussian_tailbound(d: int, b):
+    """Norm that a d-dimensional standard normal exceeds with probability at most b, a number or a column."""
+    log, sqrt = _functions(b)
+    a = log(1.0 / b)
+    return sqrt(d + 2.0 * sqrt(d * a) + 2.0 * a)
 
 
 def inverse_variance(df: DataFrame, by: list[str], m: str = "m", v: str = "v") -> DataFrame:
@@ -74,15 +85,19 @@ def weighted(releases: list[dict[str, float]], extra: float = 0.0) -> tuple[floa
     return sum(a * x["est"] for a, x in zip(w, releases, strict=True)) / sum(w), 1 / sum(w)
 
 
-def private_interval(chunks: DataFrame, s: int, cov_c: float, cov_r: float, cov_cov: float, mean_c: float, mean_r: float, steps: int, rho: float, beta: float, alpha: float, rho_mean: float = 0.5, beta_mean: float = 0.5, seed: int = 0) -> dict[str, float]:
-    """Interval of the mean from (m, v), a mean and a variance of bootstrap estimates a chunk."""
+def private_interval(chunks: DataFrame, s: int, cov_c: float, cov_r: float, cov_cov: float, mean_c: float, mean_r: float, steps: int, rho: float, beta: float, alpha: float, rho_mean: float = 0.5, beta_mean: float = 0.5, seed: int = 0, center: float | None = None, cov_center: float | None = None) -> dict[str, float]:
+    """Interval of the mean from (m, v), a mean and a variance of bootstrap estimates a chunk.
+
+    `center` and `cov_center` centre the means and the variances by given values instead of their own mean, which is not
+    private. A released variance of 0 counts as the square of LEAST times the radius of the means.
+    """
     if not 0 < rho_mean < 1 or not 0 < beta_mean < 1:
         raise ValueError("the shares of the budgets must lie between 0 and 1")
     beta_cov = beta * (1 - beta_mean) / 2
-    cov = mean_iterative(chunks, "v", cov_c, cov_r, cov_cov, budgets(beta_cov / 2, steps), budgets(rho * (1 - rho_mean), steps), s, seed, "cov")
+    cov = mean_iterative(chunks, "v", cov_c, cov_r, cov_cov, budgets(beta_cov / 2, steps), budgets(rho * (1 - rho_mean), steps), s, seed, "cov", center=cov_center)
     est, var = weighted(cov)
-    est = max(0.0, max(0.0, est) + normal_quantile(1 - beta_cov, math.sqrt(var)))
-    mean = mean_iterative(chunks, "m", mean_c, mean_r, s * est, budgets(beta * beta_mean, steps), budgets(rho * rho_mean, steps), s, seed, "mean")
+    est = max((LEAST * mean_r) ** 2, max(0.0, est) + normal_quantile(1 - beta_cov, math.sqrt(var)))
+    mean = mean_iterative(chunks, "m", mean_c, mean_r, s * est, budgets(beta * beta_mean, steps), budgets(rho * rho_mean, steps), s, seed, "mean", center=center)
     value, noise = weighted(mean, est)
     half = normal_quantile(1 - alpha / 2, math.sqrt(est + noise))
     return {"est": value, "noise_var": noise, "cov": est, "l": value - half, "u": value + half}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilstat.functions.keyed import KeyedSql as K
+from veilstat.functions.session import checkpointed
 from veilstat.functions.special import normal_quantile
 from veilstat.operators import chunking, intervals, logistic, private_logistic, resampling, variance, zcdp
 from veilstat.operators.histograms import Bins
@@ -137,7 +138,7 @@ def blb_logreg_alldim(spark, d):
 
 @query("abthresh_alldim")
 def abthresh_alldim(spark, d):
-    stats = logistic_stats(spark, d).persist()
+    stats = checkpointed(logistic_stats(spark, d))
     bins = {0: Bins(-40.0, 40.0, 64), 1: Bins(-20.0, 20.0, 64)}
     return intervals.search_dims(stats, bins, 24, S.ALPHA, S.EPS, "symm", seed=4)
 
@@ -154,7 +155,7 @@ def boot_ci_alldim(spark, d):
 
 # zCDP: one value a chunk.
 
-_vals = f"{S.STATS}, mv AS (SELECT chunk, avg(est) AS m, var_samp(est) AS v FROM stats GROUP BY chunk), k AS (SELECT CAST(count(*) AS DOUBLE) AS s FROM mv)"
+_vals = f"{S.statistics(source=S.DROPPED)}, mv AS (SELECT chunk, avg(est) AS m, var_samp(est) AS v FROM stats GROUP BY chunk), k AS (SELECT CAST(count(*) AS DOUBLE) AS s FROM mv)"
 _tail = lambda b: f"sqrt(1 + 2 * sqrt(ln(1 / ({b}))) + 2 * ln(1 / ({b})))"
 
 
@@ -176,7 +177,7 @@ max({_tail(half)} * sqrt(1 / p.s + 2 * p.clip * p.clip / (p.s * p.s * {rho!r})))
 
 
 def chunk_values(spark, d):
-    return resampling.means_and_variances(R.stats(spark, d), ["chunk"]).persist()
+    return checkpointed(resampling.means_and_variances(R.dropped_stats(spark, d), ["chunk"]))
 
 
 _three = (zcdp.budgets(0.01, 3), zcdp.budgets(0.5, 3))
@@ -202,12 +203,10 @@ def inverse_variance(spark, d):
     return out.select("event_type", _r(F.col("est")).alias("est"), _r(F.col("var"), 9).alias("var"))
 
 
-@query("zcdp_scalars", "SELECT c_custkey, round(pow(sqrt(8 + ln(1.0 * c_custkey + 2)) - sqrt(ln(1.0 * c_custkey + 2)), 2), 9) AS rho, round(sqrt(3 + 2 * sqrt(3 * ln(1.0 * c_custkey + 2)) + 2 * ln(1.0 * c_custkey + 2)), 9) AS tail FROM customer")
+@query("zcdp_scalars", "SELECT c_custkey, round(pow(sqrt(8 + ln(1.0 * c_custkey + 2)) - sqrt(ln(1.0 * c_custkey + 2)), 2), 7) AS rho, round(sqrt(3 + 2 * sqrt(3 * ln(1.0 * c_custkey + 2)) + 2 * ln(1.0 * c_custkey + 2)), 7) AS tail FROM customer")
 def zcdp_scalars(spark, d):
-    log = F.log(F.col("c_custkey").cast("double") + F.lit(2.0))
-    rho = F.pow(F.sqrt(F.lit(8.0) + log) - F.sqrt(log), F.lit(2.0))
-    tail = F.sqrt(F.lit(3.0) + F.lit(2.0) * F.sqrt(F.lit(3.0) * log) + F.lit(2.0) * log)
-    return table(spark, d, "customer").select("c_custkey", _r(rho, 9).alias("rho"), _r(tail, 9).alias("tail"))
+    chance = F.lit(1.0) / (F.col("c_custkey").cast("double") + F.lit(2.0))
+    return table(spark, d, "customer").select("c_custkey", _r(zcdp.eps_to_rho(8.0, chance), 7).alias("rho"), _r(zcdp.gaussian_tailbound(3, chance), 7).alias("tail"))
 
 
 _rho, _b = 0.8, 0.01

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilstat.functions.keyed import KeyedSql as K
+from veilstat.functions.session import checkpointed
 from veilstat.operators import chunking, intervals, resampling, variance
-from veilstat.operators.histograms import Bins, dyadic, flat
+from veilstat.operators.histograms import Bins, dyadic, flat, normalized, totals
 from veilstat.plans import sqltext as S
 from veilstat.plans.registry import query
 from veilstat.plans.statistics import median_sql
@@ -35,9 +36,27 @@ def chunked(spark, d):
     return chunking.chunk(df, "id", n, b, S.SEED), n
 
 
-def stats(spark, d):
+PRIVATE = resampling.Release(S.VALUE_LOW, S.VALUE_HIGH, S.EPS_PARAM)
+STUDENT = resampling.Release(S.VALUE_LOW, S.VALUE_HIGH, S.EPS_PARAM, True, S.EPS_SIGMA)
+
+
+def stats(spark, d, release=resampling.Release()):
     df, n = chunked(spark, d)
-    return resampling.boot_stats(df, "v", n, S.RUNS, S.SEED)
+    return resampling.boot_stats(df, "v", n, S.RUNS, S.SEED, release)
+
+
+def dropped_stats(spark, d):
+    """Statistics of the chunks without a remainder."""
+    df = base(spark, d)
+    n, b = sized(df)
+    return resampling.boot_stats(chunking.chunk(df, "id", n, b, S.SEED, "drop"), "v", n, S.RUNS, S.SEED)
+
+
+def ablation_stats(spark, d):
+    """Statistics with the whole table in the place of each chunk."""
+    df = base(spark, d)
+    n, b = sized(df)
+    return resampling.boot_stats(chunking.whole_chunks(df, "id", n, b, S.SEED), "v", n, S.RUNS, S.SEED, PRIVATE)
 
 
 @query("chunk_assign", f"WITH {S.CHUNKED} SELECT id, chunk, slot FROM chunked")
@@ -45,6 +64,16 @@ def chunk_assign(spark, d):
     return chunked(spark, d)[0].select("id", "chunk", "slot")
 
 
+_alldim = S.CHUNKED.replace("(n // b) * b < n - 1 THEN", "(n // b) * b < n - b / 2.0 THEN")
+
+
+@query("chunk_sizes_alldim", f"WITH {_alldim} SELECT chunk, count(*) AS n, round(avg(v), 6) AS mean FROM chunked GROUP BY chunk")
+def chunk_sizes_alldim(spark, d):
+    df = base(spark, d)
+    n, b = sized(df)
+    return chunking.chunk(df, "id", n, b, S.SEED, "all_dim").groupBy("chunk").agg(F.count("*").alias("n"), _r(F.avg("v")).alias("mean"))
+
+
 @query("chunk_sizes", f"WITH {S.CHUNKED} SELECT chunk, count(*) AS n, round(avg(v), 6) AS mean FROM chunked GROUP BY chunk")
 def chunk_sizes(spark, d):
     return chunked(spark, d)[0].groupBy("chunk").agg(F.count("*").alias("n"), _r(F.avg("v")).alias("mean"))
@@ -78,6 +107,16 @@ def bootstrap_stats(spark, d):
     return stats(spark, d).select("chunk", "run", _r(F.col("est")).alias("est"), _r(F.col("stat")).alias("stat"))
 
 
+@query("bootstrap_stats_private", f"WITH {S.PRIVATE} SELECT chunk, run, round(est, 6) AS est, round(stat, 5) AS stat FROM stats")
+def bootstrap_stats_private(spark, d):
+    return stats(spark, d, PRIVATE).select("chunk", "run", _r(F.col("est")).alias("est"), _r(F.col("stat"), 5).alias("stat"))
+
+
+@query("bootstrap_stats_studentized", f"WITH {S.statistics(True, True)} SELECT chunk, run, round(est, 6) AS est, round(stat, 5) AS stat FROM stats")
+def bootstrap_stats_studentized(spark, d):
+    return stats(spark, d, STUDENT).select("chunk", "run", _r(F.col("est")).alias("est"), _r(F.col("stat"), 5).alias("stat"))
+
+
 _q = lambda p, x: f"quantile_disc({x}, {p})"
 _inf = "CAST('infinity' AS DOUBLE)"
 _kinds = {
@@ -89,10 +128,10 @@ _kinds = {
 for _kind, (_low, _high) in _kinds.items():
 
     def boot_ci(spark, d, kind=_kind):
-        out = resampling.quantile_interval(stats(spark, d), S.ALPHA, kind, ["chunk"])
-        return out.select("chunk", _r(F.col("l")).alias("l"), _r(F.col("u")).alias("u"))
+        out = resampling.quantile_interval(stats(spark, d, PRIVATE), S.ALPHA, kind, ["chunk"])
+        return out.select("chunk", _r(F.col("l"), 5).alias("l"), _r(F.col("u"), 5).alias("u"))
 
-    query(f"boot_ci_{_kind}", f"WITH {S.STATS} SELECT chunk, round({_low}, 6) AS l, round({_high}, 6) AS u FROM stats GROUP BY chunk")(boot_ci)
+    query(f"boot_ci_{_kind}", f"WITH {S.PRIVATE} SELECT chunk, round({_low}, 5) AS l, round({_high}, 5) AS u FROM stats GROUP BY chunk")(boot_ci)
 
 
 @query("blb_hist", f"WITH {S.HIST} SELECT chunk, bin, ct FROM hist")
@@ -100,29 +139,50 @@ def blb_hist(spark, d):
     return flat(stats(spark, d), "stat", BINS, ["chunk"])
 
 
+@query("blb_hist_private", f"WITH {S.PRIVATE_HIST} SELECT chunk, bin, ct FROM hist")
+def blb_hist_private(spark, d):
+    return flat(stats(spark, d, PRIVATE), "stat", BINS, ["chunk"])
+
+
+@query("blb_hist_normalized", f"WITH {S.PRIVATE_HIST} SELECT chunk, bin, round(ct / CAST({S.RUNS} AS DOUBLE), 9) AS p FROM hist")
+def blb_hist_normalized(spark, d):
+    st = stats(spark, d, PRIVATE)
+    out = normalized(flat(st, "stat", BINS, ["chunk"]), totals(st, ["chunk"]), ["chunk"])
+    return out.withColumn("p", _r(F.col("p"), 9))
+
+
 @query("blb_hist_pooled", f"WITH {S.HIST} SELECT bin, CAST(sum(ct) AS BIGINT) AS ct FROM hist GROUP BY bin")
 def blb_hist_pooled(spark, d):
     return flat(stats(spark, d), "stat", BINS, [])
 
 
-@query("blb_means_covs", f"WITH {S.STATS} SELECT chunk, round(avg(est), 6) AS m, round(var_samp(est), 6) AS v FROM stats GROUP BY chunk")
+@query("blb_means_covs", f"WITH {S.statistics(source=S.DROPPED)} SELECT chunk, round(avg(est), 6) AS m, round(var_samp(est), 6) AS v FROM stats GROUP BY chunk")
 def blb_means_covs(spark, d):
-    return resampling.means_and_variances(stats(spark, d), ["chunk"]).select("chunk", _r(F.col("m")).alias("m"), _r(F.col("v")).alias("v"))
+    return resampling.means_and_variances(dropped_stats(spark, d), ["chunk"]).select("chunk", _r(F.col("m")).alias("m"), _r(F.col("v")).alias("v"))
 
 
 TOP = 5000.0
-_std_sql = median_sql(f"WITH {S.STATS} SELECT 'all' AS side, least(greatest(var_samp(stat), 0), {TOP}) AS v FROM stats GROUP BY chunk", "v", "side", 0.0, TOP, 4.0, 0.01)
+_std_sql = median_sql(f"WITH {S.PRIVATE} SELECT 'all' AS side, least(greatest(var_samp(stat), 0), {TOP}) AS v FROM stats GROUP BY chunk", "v", "side", 0.0, TOP, 4.0, 0.01)
 
 
 @query("blb_std", f"SELECT side, round(sqrt(value), 3) AS value FROM ({_std_sql})")
 def blb_std(spark, d):
-    out = variance.private_deviation(stats(spark, d).withColumn("side", F.lit("all")), ["side"], TOP, 4.0, 0.01)
+    out = variance.private_deviation(stats(spark, d, PRIVATE).withColumn("side", F.lit("all")), ["side"], TOP, 4.0, 0.01)
+    return out.withColumn("value", _r(F.col("value"), 3))
+
+
+_std_whole = median_sql(f"WITH {S.statistics(True, source=S.WHOLE)} SELECT 'all' AS side, least(greatest(var_samp(stat), 0), {TOP}) AS v FROM stats GROUP BY chunk", "v", "side", 0.0, TOP, 4.0, 0.01)
+
+
+@query("blb_std_ablation", f"SELECT side, round(sqrt(value), 3) AS value FROM ({_std_whole})")
+def blb_std_ablation(spark, d):
+    out = variance.private_deviation(ablation_stats(spark, d).withColumn("side", F.lit("all")), ["side"], TOP, 4.0, 0.01)
     return out.withColumn("value", _r(F.col("value"), 3))
 
 
-def _search(kind: str, tree: bool):
+def _search(kind: str, tree: bool, source=lambda spark, d: stats(spark, d, PRIVATE)):
     def run(spark, d):
-        st = stats(spark, d)
+        st = checkpointed(source(spark, d))  # a row a run: read for the counts, the chunks and the search
         hist = dyadic(st, "stat", BINS, ["chunk"]) if tree else flat(st, "stat", BINS, ["chunk"])
         out = intervals.search(st, hist, BINS, S.RUNS, S.ALPHA, S.EPS, kind, seed=S.SEED, tree=tree)
         return out.withColumn("released", _r(F.col("released")))
@@ -136,12 +196,13 @@ for _kind in ("symm", "short", "low", "up", "eqtail"):
         _first, _last = "low", "up"
     else:
         _ctes, _first, _last = S.searched(_kind, _kind), _kind, _kind
-    _sql = f"""WITH {S.HIST}, {_ctes}
+    _sql = f"""WITH {S.PRIVATE_HIST}, {_ctes}
 SELECT coalesce((SELECT {S.left_edge('f')} FROM best_{_first}), CAST({S.LOW} AS DOUBLE)) AS l, coalesce((SELECT {S.left_edge('(l + 1)')} FROM best_{_last}), CAST({S.HIGH} AS DOUBLE)) AS u,
 (SELECT ord FROM best_{_first}) AS ord, (SELECT round(released, 6) FROM best_{_first}) AS released"""
     query(f"abthresh_{_kind}", _sql)(_search(_kind, False))
-    if _kind in ("symm", "short"):
-        query(f"abthresh_dyadic_{_kind}", _sql)(_search(_kind, True))
+    query(f"abthresh_dyadic_{_kind}", _sql)(_search(_kind, True))
+    if _kind == "symm":
+        query("abthresh_ablation_symm", _sql.replace(S.PRIVATE_HIST, S.ABLATION_HIST))(_search(_kind, False, ablation_stats))
 
 # Confidence sets of one histogram: quantities of all lines.
 Q = Bins(0.0, 64.0, 32)

@@ -4,28 +4,48 @@ from __future__ import annotations
 
 from veilstat.functions.keyed import KeyedSql as K
 
-CHUNKS, RUNS, SEED = 12, 40, 0
+CHUNKS, RUNS, SEED = 12, 100, 0  # 100 runs: the least of the sizing rule
 LOW, HIGH, BINS = -160.0, 160.0, 64
 ALPHA, EPS = 0.05, 20.0
+VALUE_LOW, VALUE_HIGH, EPS_PARAM, EPS_SIGMA = -10.0, 100.0, 0.5, 0.5
 
 BASE = "base AS (SELECT c_custkey AS id, floor(c_acctbal / 100) AS v FROM customer), size AS (SELECT count(*) AS n, CAST(floor(count(*) / 12) AS BIGINT) AS b FROM base)"
 POS = f"pos AS (SELECT id, v, row_number() OVER (ORDER BY {K.digest('perm', str(SEED), 'id')}, id) - 1 AS pos FROM base)"
 CHUNKED = f"""{BASE}, {POS}, sized AS (SELECT n, b, n // b + CASE WHEN (n // b) * b < n - 1 THEN 1 ELSE 0 END AS s FROM size),
 chunked AS (SELECT id, v, CAST(least(pos // b, s - 1) AS INTEGER) AS chunk, pos - b * least(pos // b, s - 1) AS slot FROM pos, sized)"""
-STATS = f"""{CHUNKED}, chunk_stat AS (SELECT chunk, avg(v) AS theta, count(*) AS nb FROM chunked GROUP BY chunk),
+DROPPED = f"{BASE}, {POS}, chunked AS (SELECT id, v, CAST(pos // b AS INTEGER) AS chunk, pos % b AS slot FROM pos, size WHERE pos < (n // b) * b)"
+WHOLE = f"""{BASE}, {POS}, sized AS (SELECT n // b + CASE WHEN (n // b) * b < n - 1 THEN 1 ELSE 0 END AS s FROM size),
+chunked AS (SELECT id, v, CAST(chunk AS INTEGER) AS chunk, pos AS slot FROM pos, (SELECT unnest(generate_series(0, (SELECT s - 1 FROM sized))) AS chunk))"""
+
+
+def statistics(private: bool = False, studentize: bool = False, source: str = CHUNKED) -> str:
+    """CTEs up to `stats` (chunk, run, est, stat) of the drawn resamples of the mean; private: the estimate and the deviation are released."""
+    m = max(abs(VALUE_LOW), abs(VALUE_HIGH))
+    width = f"CAST({VALUE_HIGH - VALUE_LOW} AS DOUBLE) / n"
+    deviation = f"({m * m} / CAST(n AS DOUBLE) + {2 * m * (VALUE_HIGH - VALUE_LOW)} / (CAST(n AS DOUBLE) * (n - CAST(1 AS DOUBLE))))"
+    noise = lambda scale, eps, purpose: f" + {K.laplace(f'({scale}) / CAST({eps} AS DOUBLE)', purpose, str(SEED), 'chunk', 'run')}" if private else ""
+    return f"""{source}, chunk_stat AS (SELECT chunk, avg(v) AS theta, count(*) AS nb FROM chunked GROUP BY chunk),
 draw AS (SELECT chunk, run, {K.index('nb', 'boot', str(SEED), 'chunk', 'run', 'k')} AS slot
   FROM chunk_stat, (SELECT CAST(unnest(generate_series(0, {RUNS - 1})) AS INTEGER) AS run), (SELECT CAST(unnest(generate_series(0, (SELECT n - 1 FROM size))) AS INTEGER) AS k)),
-est AS (SELECT d.chunk, d.run, avg(c.v) AS est FROM draw d JOIN chunked c ON d.chunk = c.chunk AND d.slot = c.slot GROUP BY d.chunk, d.run),
-stats AS (SELECT e.chunk, e.run, e.est, sqrt(CAST((SELECT n FROM size) AS DOUBLE)) * (t.theta - e.est) AS stat FROM est e JOIN chunk_stat t ON e.chunk = t.chunk)"""
+raw_est AS (SELECT d.chunk, d.run, avg(c.v) AS m, stddev_samp(c.v) AS s FROM draw d JOIN chunked c ON d.chunk = c.chunk AND d.slot = c.slot GROUP BY d.chunk, d.run),
+est AS (SELECT chunk, run, m{noise(width, EPS_PARAM, 'boot-est')} AS est, s{noise(deviation, EPS_SIGMA, 'boot-std')} AS s FROM raw_est, size),
+stats AS (SELECT e.chunk, e.run, e.est, sqrt(CAST((SELECT n FROM size) AS DOUBLE)) * (t.theta - e.est){" / e.s" if studentize else ""} AS stat FROM est e JOIN chunk_stat t ON e.chunk = t.chunk)"""
+
+
+STATS = statistics()
+PRIVATE = statistics(True)
 
 
 def bin_of(x: str, low: float = LOW, high: float = HIGH, count: int = BINS) -> str:
     return f"CAST(floor(({x} - CAST({low} AS DOUBLE)) * CAST({count} AS DOUBLE) / CAST({high - low} AS DOUBLE)) AS INTEGER)"
 
 
-HIST = f"""{STATS}, hist AS (SELECT chunk, {bin_of('stat')} AS bin, count(*) AS ct FROM stats WHERE stat >= {LOW} AND stat < {HIGH} GROUP BY 1, 2),
+HISTOGRAM = f"""hist AS (SELECT chunk, {bin_of('stat')} AS bin, count(*) AS ct FROM stats WHERE stat >= {LOW} AND stat < {HIGH} GROUP BY 1, 2),
 grid AS (SELECT c.chunk, CAST(g AS INTEGER) AS bin FROM (SELECT DISTINCT chunk FROM stats) c, (SELECT unnest(generate_series(0, {BINS - 1})) AS g)),
 cum AS (SELECT grid.chunk, grid.bin, CAST(sum(coalesce(ct, 0)) OVER (PARTITION BY grid.chunk ORDER BY grid.bin) AS BIGINT) AS cum FROM grid LEFT JOIN hist ON grid.chunk = hist.chunk AND grid.bin = hist.bin)"""
+HIST = f"{STATS}, {HISTOGRAM}"
+PRIVATE_HIST = f"{PRIVATE}, {HISTOGRAM}"
+ABLATION_HIST = f"{statistics(True, source=WHOLE)}, {HISTOGRAM}"
 
 
 def candidates(kind: str, m: int = BINS) -> str:

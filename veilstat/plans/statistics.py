@@ -97,7 +97,7 @@ i AS (SELECT event_type, n, CAST(CASE WHEN z < 0 THEN ceil(z) ELSE floor(z) END
 SELECT i.event_type, round(CASE WHEN ix < 1 THEN CAST(0 AS DOUBLE) WHEN ix > n THEN CAST(500 AS DOUBLE) ELSE r.value END, 6) AS value FROM i LEFT JOIN r ON r.event_type = i.event_type AND r.r = i.ix""",
 )
 def noisy_order_stat(spark, d):
-    return mechanisms.noisy_order_statistic(table(spark, d, "events"), "value", ["event_type"], 0.05, 0.025, 500.0).withColumn("value", _r(F.col("value")))
+    return mechanisms.noisy_order_statistic(table(spark, d, "events"), "value", ["event_type"], 0.05, 0.025, 500.0, bins=1024).withColumn("value", _r(F.col("value")))
 
 
 @query("interval_membership", "SELECT event_type, CAST(sum(CASE WHEN value BETWEEN 50 AND 100 THEN 1 ELSE 0 END) AS BIGINT) AS inside FROM events GROUP BY event_type")
