@@ -144,18 +144,49 @@ def search(stats: DataFrame, hist: DataFrame, bins: Bins, runs: int, alpha: floa
     )
 
 
-def search_dims(stats: DataFrame, bins: dict[int, Bins], runs: int, alpha: float, eps: float, kind: str, least: dict[int, int] | None = None, error: float = 0.0, seed: int = 0) -> DataFrame:
-    """(dim, l, u) from (chunk, run, dim, stat): every dimension with its own bins and least length; each spends the whole eps."""
+def search_dims(
+    stats: DataFrame, bins: dict[int, Bins], runs: int, alpha: float, eps: float, kind: str, least: dict[int, int] | None = None, error: float = 0.0, seed: int = 0, tree: bool = False, fixed: bool = False
+) -> DataFrame:
+    """(dim, l, u, ord, released) from (chunk, dim, stat): every dimension with its own bins and least length; each spends the whole eps.
+
+    All dimensions go through the same aggregates, keyed by `dim`; with `tree` the coverages come from dyadic histograms.
+    """
     if kind not in ("symm", "short"):
         raise ValueError(f"set type {kind!r} is not for all dimensions")
-    from veilstat.operators.histograms import flat
-
-    out = None
-    for d, own in sorted(bins.items()):
-        mine = stats.filter(F.col("dim") == d)
-        row = search(mine, flat(mine, "stat", own, ["chunk"]), own, runs, alpha, eps, kind, (least or {}).get(d, 0), error, seed * 1000 + d).select(F.lit(d).alias("dim"), "l", "u")
-        out = row if out is None else out.union(row)
-    return out
+    spark = stats.sparkSession
+    dims = F.broadcast(spark.createDataFrame([(d, float(b.low), float(b.high), b.count, b.depth) for d, b in sorted(bins.items())], "dim int, low double, high double, bins int, depth int"))
+    cand = nodes = None
+    for d, own in sorted(bins.items()):  # a bounded table of candidates each
+        mine = candidates(spark, kind, own.count, (least or {}).get(d, 0))
+        one = mine.select(F.lit(d).alias("dim"), "ord", "first", "last")
+        cand = one if cand is None else cand.union(one)
+        if tree:
+            one = cover_nodes(mine, own).select(F.lit(d).alias("dim"), "ord", "level", "bin")
+            nodes = one if nodes is None else nodes.union(one)
+    known = stats.join(dims, "dim").filter((F.col("stat") >= F.col("low")) & (F.col("stat") < F.col("high")))
+    number = F.floor((F.col("stat") - F.col("low")) * F.col("bins") / (F.col("high") - F.col("low"))).cast("int")
+    hist = known.groupBy("dim", "chunk", "depth", number.alias("bin")).agg(F.count("*").alias("ct"))
+    groups = stats.join(dims, "dim").select("dim", "chunk", "bins").distinct()
+    if tree:
+        each = hist.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("depth") - 1)))
+        levels = each.groupBy("dim", "chunk", "level", F.expr("shiftright(bin, depth - 1 - level)").alias("_b")).agg(F.sum("ct").alias("ct")).withColumnRenamed("_b", "bin")
+        hit = nodes.join(levels, ["dim", "level", "bin"]).groupBy("dim", "ord", "chunk").agg(F.sum("ct").alias("mass"))
+        cov = cand.join(groups, "dim").join(hit, ["dim", "ord", "chunk"], "left")
+    else:
+        full = groups.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1))).join(hist, ["dim", "chunk", "bin"], "left")
+        upto = Window.partitionBy("dim", "chunk").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # a row a bin
+        cum = full.select("dim", "chunk", "bin", F.sum(F.coalesce("ct", F.lit(0))).over(upto).alias("cum"))
+        end = cum.select("dim", "chunk", F.col("bin").alias("last"), F.col("cum").alias("_hi"))
+        start = cum.select("dim", "chunk", (F.col("bin") + 1).alias("first"), F.col("cum").alias("_lo"))
+        cov = cand.join(end, ["dim", "last"]).join(start, ["dim", "chunk", "first"], "left").withColumn("mass", F.col("_hi") - F.coalesce("_lo", F.lit(0)))
+    cov = cov.select("dim", "ord", "chunk", (F.coalesce("mass", F.lit(0)) / F.lit(float(runs))).alias("cov"))
+    released = noisy_order_statistic(cov, "cov", ["dim", "ord"], eps / 2, eps / 4, 1.0, seed, fixed).filter(F.col("value") > F.lit(1 - alpha + error))
+    best = released.join(cand, ["dim", "ord"]).groupBy("dim").agg(F.min(F.struct("ord", "first", "last", "value")).alias("b"))
+    width = (F.col("high") - F.col("low")) / F.col("bins")
+    edge = lambda b: F.round(F.col("low") + b * width, 13)
+    return dims.join(best, "dim", "left").select(
+        "dim", F.coalesce(edge(F.col("b.first")), F.col("low")).alias("l"), F.coalesce(edge(F.col("b.last") + 1), F.col("high")).alias("u"), F.col("b.ord").alias("ord"), F.col("b.value").alias("released")
+    )
 
 
 def symmetric_set(hist: DataFrame, bins: Bins, total: int, alpha: float, least: int = 0, error: float = 0.0) -> DataFrame:

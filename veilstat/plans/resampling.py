@@ -257,3 +257,53 @@ SELECT CAST(coalesce((SELECT f FROM o), 0) * 2 AS DOUBLE) AS l, CAST(coalesce((S
 def conf_symm(spark, d):
     hist, total = _one(spark, d)
     return intervals.symmetric_set(hist, Q, total, 0.4)
+
+
+# All dimensions at once: two columns of the customers as the statistics of two dimensions, ten chunks of equal size.
+DIMS = {0: Bins(-64.0, 64.0, 64), 1: Bins(-16.0, 16.0, 32)}
+_dim_stats = """st AS (SELECT CAST(c_custkey % 10 AS INTEGER) AS chunk, CAST(0 AS INTEGER) AS dim, floor(c_acctbal / 100) - 45 AS stat FROM customer
+UNION ALL SELECT CAST(c_custkey % 10 AS INTEGER), 1, CAST(c_nationkey - 12 AS DOUBLE) FROM customer), runs AS (SELECT count(*) / CAST(10 AS DOUBLE) AS r FROM customer)"""
+
+
+def dim_stats(spark, d):
+    c = table(spark, d, "customer")
+    rows = F.explode(F.array(F.struct(F.lit(0).alias("dim"), (F.floor(F.col("c_acctbal") / 100) - 45).cast("double").alias("stat")), F.struct(F.lit(1).alias("dim"), (F.col("c_nationkey") - 12).cast("double").alias("stat"))))
+    return c.select((F.col("c_custkey") % 10).cast("int").alias("chunk"), rows.alias("r")).select("chunk", "r.dim", "r.stat")
+
+
+def _dims_sql(kind: str, alpha: float, eps: float) -> str:
+    each = " UNION ALL ".join(f"SELECT CAST({d} AS INTEGER) AS dim, ord, f, l FROM ({S.candidates(kind, b.count)})" for d, b in DIMS.items())
+    table_ = ", ".join(f"({d}, {b.low}, {b.high}, {b.count})" for d, b in DIMS.items())
+    noise = f"(n / CAST(2 AS DOUBLE) + {K.laplace(repr(2 / eps), 'order-g', '4', 'dim', 'ord')} + {K.laplace(repr(4 / eps), 'order-l', '4', 'dim', 'ord')})"
+    return f"""WITH {_dim_stats}, dims AS (SELECT CAST(dim AS INTEGER) AS dim, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, m FROM (VALUES {table_}) v(dim, low, high, m)), cand AS ({each}),
+h AS (SELECT dim, chunk, CAST(floor((stat - low) * m / (high - low)) AS INTEGER) AS bin FROM st JOIN dims USING (dim) WHERE stat >= low AND stat < high),
+cov AS (SELECT c.dim, c.ord, k.chunk, (SELECT count(*) FROM h WHERE h.dim = c.dim AND h.chunk = k.chunk AND h.bin BETWEEN c.f AND c.l) / (SELECT r FROM runs) AS cov FROM cand c, (SELECT DISTINCT chunk FROM st) k),
+ranked AS (SELECT dim, ord, cov, row_number() OVER (PARTITION BY dim, ord ORDER BY cov) AS r FROM cov),
+ix AS (SELECT dim, ord, n, CAST(CASE WHEN z < 0 THEN ceil(z) ELSE floor(z) END AS BIGINT) AS i FROM (SELECT dim, ord, n, {noise} AS z FROM (SELECT dim, ord, count(*) AS n FROM cov GROUP BY dim, ord))),
+rel AS (SELECT ix.dim, ix.ord, CASE WHEN i < 1 THEN CAST(0 AS DOUBLE) WHEN i > n THEN CAST(1 AS DOUBLE) ELSE cov END AS released FROM ix LEFT JOIN ranked ON ranked.dim = ix.dim AND ranked.ord = ix.ord AND r = i),
+best AS (SELECT rel.dim, rel.ord, f, l, released, row_number() OVER (PARTITION BY rel.dim ORDER BY rel.ord) AS k FROM rel JOIN cand ON rel.dim = cand.dim AND rel.ord = cand.ord WHERE released > CAST({1 - alpha!r} AS DOUBLE))
+SELECT dims.dim, coalesce(round(low + f * (high - low) / m, 13), low) AS l, coalesce(round(low + (l + 1) * (high - low) / m, 13), high) AS u, ord, round(released, 6) AS released FROM dims LEFT JOIN best ON best.dim = dims.dim AND k = 1"""
+
+
+for _kind in ("symm", "short"):
+    for _tree in (False, True):
+
+        def dims_search(spark, d, kind=_kind, tree=_tree):
+            st = dim_stats(spark, d)
+            out = intervals.search_dims(st, DIMS, table(spark, d, "customer").count() / 10, 0.2, S.EPS, kind, seed=4, tree=tree)
+            return out.withColumn("released", _r(F.col("released")))
+
+        query(f"abthresh_dims_{'dyadic_' if _tree else ''}{_kind}", _dims_sql(_kind, 0.2, S.EPS))(dims_search)
+
+
+@query("boot_ci_dims", f"WITH {_dim_stats} SELECT chunk, dim, {_q(0.025, 'stat')} AS l, {_q(0.975, 'stat')} AS u FROM st GROUP BY chunk, dim")
+def boot_ci_dims(spark, d):
+    return resampling.quantile_interval(dim_stats(spark, d), S.ALPHA, "eqtail", ["chunk", "dim"])
+
+
+_dim_var = median_sql(f"WITH {_dim_stats} SELECT dim, var_samp(stat) AS v FROM st GROUP BY dim, chunk", "v", "dim", 0.0, TOP, 4.0, 0.01, 5)
+
+
+@query("blb_std_dims", f"SELECT dim, round(sqrt(value), 3) AS value FROM ({_dim_var})")
+def blb_std_dims(spark, d):
+    return variance.private_deviation(dim_stats(spark, d), ["dim"], TOP, 4.0, 0.01, 5).withColumn("value", _r(F.col("value"), 3))

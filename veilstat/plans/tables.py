@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from veilstat.functions.keyed import KeyedSql as K
+from veilstat.functions.special import normal_quantile_sql
 from veilstat.operators import experiment, survey
 from veilstat.plans.registry import query
 from veilstat.sources import distributions as D
@@ -34,9 +35,13 @@ def dist_samples(spark, d):
     return spark.range(ROWS).select(F.col("id").alias("row_id"), *[_r(k.expression(5, F.col("id"))).alias(name) for name, k in kinds.items()])
 
 
-@query("truncated_gauss")
+_trunc = D.study_distribution("truncnorm_assym")
+_trunc_u = f"(CAST({_trunc._lo!r} AS DOUBLE) + {_u('trunc')} * CAST({_trunc._hi - _trunc._lo!r} AS DOUBLE))"
+
+
+@query("truncated_gauss", f"SELECT row_id, round({_trunc.mu!r} + {_trunc.sigma!r} * ({normal_quantile_sql('p')}), 6) AS x FROM (SELECT row_id, {_trunc_u} AS p FROM (SELECT unnest(generate_series(0, {ROWS - 1})) AS row_id))")
 def truncated_gauss(spark, d):
-    return D.study_distribution("truncnorm_assym").sample(spark, ROWS, 5)
+    return _trunc.sample(spark, ROWS, 5).withColumn("x", _r(F.col("x")))
 
 
 @query("gauss_vectors", f"SELECT row_id, round(1 + {K.normal('gauss-d', '5', '0', 'row_id')}, 6) AS x0, round(0.5 * {K.normal('gauss-d', '5', '0', 'row_id')} + {math.sqrt(0.75)!r} * {K.normal('gauss-d', '5', '1', 'row_id')}, 6) AS x1 FROM (SELECT unnest(generate_series(0, {ROWS - 1})) AS row_id)")

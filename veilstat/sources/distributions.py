@@ -8,11 +8,11 @@ from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilstat.functions.keyed import normal, uniform
+from veilstat.functions.special import normal_quantile_column
 
 _unit = NormalDist()
 INF = float("inf")
@@ -46,15 +46,6 @@ class Distribution:
         raise NotImplementedError
 
 
-def inverse_normal(u: Column) -> Column:
-    """Normal quantile as an Arrow function; Spark has no such built-in."""
-    return F.pandas_udf(_quantile, "double")(u)
-
-
-def _quantile(p: pd.Series) -> pd.Series:
-    return p.map(NormalDist().inv_cdf)
-
-
 @dataclass
 class Gauss(Distribution):
     mu: float = 0.0
@@ -92,7 +83,7 @@ class TruncatedGauss(Distribution):
         self.bounds = (self.mu + self.a * self.sigma, self.mu + self.b * self.sigma)
 
     def expression(self, seed, key):
-        return F.lit(self.mu) + F.lit(self.sigma) * inverse_normal(F.lit(self._lo) + uniform("trunc", seed, key) * F.lit(self._hi - self._lo))
+        return F.lit(self.mu) + F.lit(self.sigma) * normal_quantile_column(F.lit(self._lo) + uniform("trunc", seed, key) * F.lit(self._hi - self._lo))
 
     def quantile(self, u):
         return self.mu + self.sigma * np.array([_unit.inv_cdf(v) for v in self._lo + u * (self._hi - self._lo)])
