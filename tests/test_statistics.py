@@ -243,13 +243,149 @@ def test_search_covers(spark, kind):
 
 
 def test_coverage_of_the_mean_interval(spark):
-    """Little-bootstrap quantile intervals of the mean cover it about as often as asked."""
-    dist, hits, trials = distributions.study_distribution("truncnorm_assym"), 0, 40
+    """Private intervals by the engine's own chunks, resamples and search cover the mean about as often as asked."""
+    dist, hits, trials, n = distributions.study_distribution("truncnorm_assym"), 0, 5, 240
+    bins = Bins(-10.0, 10.0, 128)
     for t in range(trials):
-        df = dist.sample(spark, 200, 100 + t)
-        rows = np.array([r.x for r in df.collect()])
-        rng = np.random.default_rng(t)
-        means = [np.sqrt(200) * (c.mean() - (rng.multinomial(200, np.full(len(c), 1 / len(c)), size=200) @ c) / 200) for c in np.array_split(rng.permutation(rows), 4)]
-        l_, u = np.median([np.quantile(m, 0.025) for m in means]), np.median([np.quantile(m, 0.975) for m in means])
-        hits += rows.mean() + l_ / np.sqrt(200) <= dist.mean <= rows.mean() + u / np.sqrt(200)
-    assert hits / trials >= 0.8
+        df = dist.sample(spark, n, 100 + t)
+        chunked = chunking.chunk(df, "row_id", n, 30, t)
+        release = lambda x, w, rng: resampling.weighted_mean(x, w) + rng.laplace(0, 10 / (n * 5.0), (len(w), 1))
+        stats = resampling.weighted_stats(chunked, ["x"], n, 150, seed=t, private=release).cache()
+        got = intervals.search(stats, histograms.flat(stats, "stat", bins, ["chunk"]), bins, 150, 0.05, 20.0, "symm", seed=t).first()
+        est = df.agg(F.avg("x")).first()[0] + keyed.laplace_py(10 / (n * 5.0), "t", t)
+        hits += est + got.l / math.sqrt(n) <= dist.mean <= est + got.u / math.sqrt(n)
+        assert 2 * 1.96 * dist.std * 0.7 < got.u - got.l < 2 * 1.96 * dist.std * 2
+    assert hits / trials >= 0.95 - 4 * math.sqrt(0.95 * 0.05 / trials)
+
+
+def test_normal_quantile_as_a_column(spark):
+    p = [1e-300, 1e-20, 1e-9, 0.001, 0.074, 0.0751, 0.3, 0.5, 0.7, 0.925, 0.99, 1 - 1e-12]
+    got = spark.createDataFrame([(v,) for v in p], "p double").select(special.normal_quantile_column(F.col("p"))).collect()
+    for v, r in zip(p, got, strict=True):
+        assert r[0] == pytest.approx(special.normal_quantile(v), rel=1e-9, abs=1e-12)
+
+
+def test_halvings_come_after_the_row():
+    assert list(logistic.halvings(10)) == [5, 7, 8, 9] and list(logistic.halvings(1)) == [0]
+
+
+def plain_sgd(x, y, step, start, center, radius):
+    beta, total, rate, k, n = np.array(start, float), np.zeros(len(start)), step, 1, len(y)
+    for i in range(n):
+        beta = beta + rate * y[i] * x[i] / (1 + math.exp(y[i] * float(beta @ x[i])))
+        far = np.linalg.norm(beta - center)
+        beta = center + (beta - center) * min(1, radius / far) if far else beta
+        total += beta
+        if i == n - math.ceil(n / 2**k):
+            rate, k = rate / 2, k + 1
+    return total / n
+
+
+def test_projected_sgd(spark):
+    rows = distributions.logistic_rows(spark, 57, [1.0, -2.0], 0.0, "normal", 3).cache()
+    local = rows.orderBy("row_id").collect()
+    x, y = np.array([r.x for r in local]), np.array([r.y for r in local])
+    for args in ({}, {"step": 0.5, "start": [1.0, 1.0], "center": [0.5, 0.5]}):
+        got = [r.value for r in logistic.projected_sgd(rows, 2, 0.8, **args).orderBy("dim").collect()]
+        want = plain_sgd(x, y, args.get("step", 1 / math.sqrt(57)), args.get("start", [0, 0]), np.array(args.get("center", [0, 0])), 0.8)
+        assert got == pytest.approx(want.tolist())
+
+
+def test_gradients_of_many_points(spark):
+    rows = distributions.logistic_rows(spark, 300, [1.0, -2.0], 0.0, "normal", 1).repartition(3).cache()
+    points = np.array([[0.0, 0.0], [1.0, -2.0], [0.3, 0.1]])
+    got = {(r.step, r.dim): r.value for r in logistic.gradients(rows, points).collect()}
+    for k, b in enumerate(points.tolist()):
+        g = logistic.gradient(rows, b).first()
+        assert [got[k, i] for i in range(2)] == pytest.approx([g.g0, g.g1])
+
+
+def test_metropolis_stays_near_the_estimate(spark):
+    rows = distributions.logistic_rows(spark, 500, [1.0, -1.0], 0.0, "uniform", 1).cache()
+    beta = logistic.fit(rows, 2, tolerance=1e-8)
+    near = [r.value for r in private_logistic.metropolis(rows, 2, 1e5, 1.5, steps=30, seed=1).orderBy("dim").collect()]
+    assert near == pytest.approx(beta, abs=0.01)
+    with pytest.raises(ValueError):
+        private_logistic.metropolis(rows, 2, 8.0, 1.5, center=[0.0])
+
+
+def test_remainder_of_the_zcdp_chunks(spark):
+    """1,510 rows in chunks of 125: twelve chunks and ten rows left, which the means and variances do without."""
+    df = numbers(spark, range(1510))
+    chunked = chunking.chunk(df, "id", 1510, 125, 1, "drop")
+    assert chunked.groupBy("chunk").count().filter("count = 125").count() == 12 and chunked.count() == 1500
+    stats = resampling.boot_stats(chunked, "x", 1510, 3, 1)
+    assert resampling.means_and_variances(stats, ["chunk"]).count() == 12
+
+
+def test_zcdp_without_variance_and_with_a_centre(spark):
+    chunks = spark.createDataFrame([(5.0, 0.0)] * 20, "m double, v double").cache()
+    out = zcdp.private_interval(chunks, 20, 0.0, 1e-9, 1e-12, 0.0, 10.0, 3, 1e9, 0.01, 0.05)
+    assert math.isfinite(out["l"]) and out["l"] <= 5.0 <= out["u"]
+    rng = np.random.default_rng(4)
+    chunks = spark.createDataFrame([(float(v), 0.04) for v in rng.normal(1.0, 0.2, 40)], "m double, v double").cache()
+    mean = chunks.agg(F.avg("m")).first()[0]
+    far = zcdp.private_interval(chunks, 40, 0.0, 1.0, 0.01, 0.0, 10.0, 5, 1e6, 0.01, 0.05, center=0.5, cov_center=0.04)
+    assert far["est"] == pytest.approx(mean, abs=0.1) and far["l"] < 1.0 < far["u"]
+
+
+def test_columns_and_numbers_of_the_zcdp_scalars(spark):
+    row = spark.range(1).select(zcdp.eps_to_rho(F.lit(3.0), F.lit(1e-6)), zcdp.gaussian_tailbound(2, F.lit(0.01))).first()
+    assert row[0] == pytest.approx(zcdp.eps_to_rho(3.0, 1e-6)) and row[1] == pytest.approx(zcdp.gaussian_tailbound(2, 0.01))
+
+
+def test_order_statistics_by_bins(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(v)) for g in range(3) for v in ([7.0] * 400 if g == 0 else rng.integers(0, 50, 333) if g == 1 else rng.lognormal(0, 3, 501))]
+    df = spark.createDataFrame(rows, "g int, x double").repartition(4)
+    for seed in range(4):
+        one = mechanisms.noisy_order_statistic(df, "x", ["g"], 0.02, 0.02, 99.0, seed).orderBy("g").collect()
+        two = mechanisms.noisy_order_statistic(df, "x", ["g"], 0.02, 0.02, 99.0, seed, bins=16).orderBy("g").collect()
+        assert one == two
+
+
+def test_ball_around_a_centre(spark):
+    got = spark.createDataFrame([([4.0, 1.0],), ([1.5, 1.0],)], "x array<double>").select(mechanisms.to_ball(F.col("x"), 2.0, [1.0, 1.0])).collect()
+    assert [r[0] for r in got] == [[3.0, 1.0], [1.5, 1.0]]
+
+
+def test_released_statistics(spark):
+    """Infinite budgets change nothing; a small one spreads the statistic by the noise of the mean."""
+    chunked = chunking.chunk(numbers(spark, np.random.default_rng(2).normal(0, 2, 60)), "id", 60, 20, 1)
+    plain = resampling.boot_stats(chunked, "x", 60, 50, 1)
+    same = resampling.boot_stats(chunked, "x", 60, 50, 1, resampling.Release(-9, 9))
+    assert plain.exceptAll(same).count() == 0
+    noisy = resampling.boot_stats(chunked, "x", 60, 50, 1, resampling.Release(-9, 9, 0.5))
+    v = lambda df: df.agg(F.var_samp("stat")).first()[0]
+    assert v(noisy) - v(plain) == pytest.approx(60 * 2 * (18 / (60 * 0.5)) ** 2, rel=0.6)
+    student = resampling.boot_stats(chunked, "x", 60, 50, 1, resampling.Release(-9, 9, studentize=True))
+    assert 0.5 < v(student) < 2
+
+
+def test_studentized_coefficients(spark):
+    """Divided by the root of the sandwich, the coefficients of all dimensions have about unit deviation."""
+    rows = distributions.logistic_rows(spark, 600, [1.0, -1.0], 0.0, "uniform", 1).select("row_id", F.col("x")[0].alias("a"), F.col("x")[1].alias("b"), "y")
+    chunked = rows.withColumn("chunk", F.lit(0)).withColumn("slot", F.col("row_id"))
+    out = resampling.weighted_stats(chunked, ["a", "b", "y"], 600, 200, logistic.weighted_estimator([0.0, 0.0]), scale=logistic.weighted_deviation([0.0, 0.0]))
+    assert all(0.6 < r.v < 1.6 for r in out.groupBy("dim").agg(F.var_samp("stat").alias("v")).collect())
+    private = resampling.weighted_stats(chunked, ["a", "b", "y"], 600, 200, logistic.weighted_estimator([0.0, 0.0]), private=logistic.private_estimator([0.0, 0.0], 0.5, 1.5))
+    plain = resampling.weighted_stats(chunked, ["a", "b", "y"], 600, 200, logistic.weighted_estimator([0.0, 0.0]))
+    spread = lambda df: df.agg(F.var_samp("stat")).first()[0]
+    assert spread(private) > 1.3 * spread(plain)
+
+
+def test_person_weights(spark):
+    raw = spark.createDataFrame([(1, 40.0, 500.0, 40.0, 0), (2, 40.0, 500.0, 40.0, 3)], "id long, AGEP double, PINCP double, WKHP double, PWGTP int")
+    assert [r.id for r in survey.adult_filter(raw).collect()] == [2] and survey.adult_filter(raw.drop("PWGTP")).count() == 2
+
+
+def test_shared_folder_of_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from veilstat.functions.session import shared_folder
+
+    session = lambda master, named: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: named), sparkContext=SimpleNamespace(master=master))
+    assert shared_folder(session("spark://x:7077", "hdfs://y/c")) == "hdfs://y/c"
+    with pytest.raises(RuntimeError):
+        shared_folder(session("spark://x:7077", None))
+    assert shared_folder(session("local[2]", None)) == shared_folder(session("local", None))

@@ -107,6 +107,11 @@ def variance_bound(n: int, sd: float | None = None, width: float | None = None)
     return (50 * sd) ** 2 / n if sd is not None else (width / 4 * 10) ** 2 / n
 
 
+def granularity(n: int) -> float:
+    """How far the private median of variances spreads values apart: n^-1.5."""
+    return n**-1.5
+
+
 def spread(column: Column, low: float, high: float, bins: int) -> Column:
     """Bin of a bounded value."""
     return F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((column - F.lit(low)) / F.lit((high - low) / bins)))).cast("int")

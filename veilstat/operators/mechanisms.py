@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilstat.functions.keyed import gumbel, laplace, uniform
+from veilstat.functions.special import symmetric_root
 from veilstat.operators.chunking import spread
 
 
@@ -46,6 +48,14 @@ def std_sensitivity(low: float, high: float, n):
     return float(m * m) / n + 2.0 * m * (high - low) / (n * (n - 1.0))
 
 
+def deviation_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
+    """Root of the sample covariance of columns; the driver holds one number a pair of them."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    row = df.agg(*[F.covar_samp(a, b).alias(f"{a}|{b}") for a, b in pairs]).first()
+    found = {frozenset((a, b)): row[f"{a}|{b}"] for a, b in pairs}
+    return symmetric_root(np.array([[found[frozenset((a, b))] for b in columns] for a in columns], float))
+
+
 def below(high: Column, x: Column) -> Column:
     """An interval as a whole is below a number: its upper end is."""
     return (high < x).cast("int")

@@ -4,12 +4,13 @@ A trial samples n rows, forms the interval of every method, and evaluates all of
 tiny and independent, so they fill any number of cores; the generator of a group depends on its key alone.
 
 The zCDP interval (gvdp) has a study of its own (`zcdp=True`), with its own chunks and one interval a trial, which all
-resamples of the trial repeat. The studies of logistic coefficients (all dimensions; gvdp) are not built.
+resamples of the trial repeat. The studies of logistic coefficients are in `logistic_trial`.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,13 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilstat.functions.special import normal_quantile, student_quantile
-from veilstat.operators.chunking import chunk_count, sizing, variance_bound, zcdp_sizing
+from veilstat.operators.chunking import chunk_count, granularity, sizing, variance_bound, zcdp_sizing
+from veilstat.operators.histograms import Bins
 from veilstat.operators.resampling import weighted_mean, weighted_median
 from veilstat.operators.zcdp import budgets, eps_to_rho, gaussian_tailbound, weighted
 from veilstat.sources.distributions import Distribution, study_distribution
 
+SET_TYPES = ("symm", "eqtail", "short", "low", "up")
 METHODS = ("proper_unstud", "normal_proper_blb", "normal_proper_adhoc", "boot_unstud_priv")
-ZCDP_STEPS, OVERESTIMATE, FAILURE = 5, 10, 0.01
+ZCDP_STEPS, OVERESTIMATE, FAILURE, SEARCH = 5, 10, 0.01, 5
 
 
 @dataclass(frozen=True)
@@ -34,7 +37,7 @@ class Study:
     task: str = "mean"
     dist: str = "truncnorm_assym"
     alpha: float = 0.05
-    share: float = 0.2
+    share: float = 0.5
     set_type: str = "symm"
     resamples: int = 100
     max_boot: int = 10_000
@@ -43,7 +46,10 @@ class Study:
     def __post_init__(self):
         if self.task not in ("mean", "median"):
             raise ValueError(f"no one-dimensional task {self.task!r}")
-        study_distribution(self.dist)
+        if self.set_type not in SET_TYPES:
+            raise ValueError(f"no set type {self.set_type!r}")
+        if not all(map(math.isfinite, study_distribution(self.dist).bounds)):
+            raise ValueError(f"the study needs a bounded distribution, {self.dist!r} is not")
 
     @property
     def methods(self) -> tuple[str, ...]:
@@ -52,8 +58,8 @@ class Study:
         return METHODS if self.task == "mean" else tuple(m for m in METHODS if m != "normal_proper_adhoc")
 
     def truth(self, dist: Distribution) -> tuple[float, float]:
-        """(parameter, deviation of its estimate times the root of n)."""
-        return (dist.mean, dist.std) if self.task == "mean" else (dist.median, dist.median_std)
+        """(parameter, deviation of the values, which the search range and the variance bound follow)."""
+        return (dist.mean if self.task == "mean" else dist.median), dist.std
 
 
 def rank_distance(i: np.ndarray, n: int) -> np.ndarray:
@@ -64,6 +70,12 @@ def rank_distance(i: np.ndarray, n: int) -> np.ndarray:
     return np.where((i == 0) | (i == n), (n + 1) / 2, inner)
 
 
+def spread_apart(x: np.ndarray, rho: float, low: float, high: float) -> np.ndarray:
+    """Sorted values with the lower half moved down and the upper half moved up by rho, within bounds."""
+    x, half = np.sort(x), len(x) // 2
+    return np.clip(np.concatenate([x[:half] - rho, x[half : len(x) - half], x[len(x) - half :] + rho]), low, high)
+
+
 def private_medians(x: np.ndarray, w: np.ndarray, eps: float, low: float, high: float, rng: np.random.Generator) -> np.ndarray:
     """Exponential-mechanism median of each row of counts w over the values x."""
     order = np.argsort(x, kind="stable")
@@ -88,34 +100,62 @@ def estimates(x: np.ndarray, w: np.ndarray, study: Study, eps: float, dist: Dist
     return weighted_median(x[:, None], w)[:, 0] if math.isinf(eps) else private_medians(x, w, eps, low, high, rng)
 
 
-def noisy_middle(values: np.ndarray, g: float, l_: float, rng: np.random.Generator) -> float:
-    i = math.trunc(len(values) / 2 + rng.laplace(0, 1 / g) + rng.laplace(0, 1 / l_))
-    return 0.0 if i < 1 else 1.0 if i > len(values) else float(np.sort(values)[i - 1])
+def noisy_middles(values: np.ndarray, g: float, l_: float, rng: np.random.Generator) -> np.ndarray:
+    """Order statistics at noisy middle ranks of each column: below 1 gives 0, above all gives 1."""
+    n, k = values.shape
+    i = np.trunc(n / 2 + rng.laplace(0, 1 / g, k) + rng.laplace(0, 1 / l_, k)).astype(int)
+    picked = np.sort(values, axis=0)[np.clip(i - 1, 0, n - 1), np.arange(k)]
+    return np.where(i < 1, 0.0, np.where(i > n, 1.0, picked))
 
 
-def orders(kind: str, m: int):
-    """(first, last) bins of the candidates in their order."""
+def orders(kind: str, m: int, least: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(first, last) bins of the candidates in their order, in blocks: short ones by width, others all at once."""
     if kind == "symm":
         q, odd = divmod(m, 2)
-        yield from (((q if odd else q - 1) - i, q + i) for i in range(q if odd else q - 1))
+        i = np.arange(least // 2, q if odd else q - 1)
+        yield (q if odd else q - 1) - i, q + i
     elif kind == "low":
-        yield from ((i, m - 1) for i in range(m // 2, -1, -1))
+        first = np.arange(m // 2, -1, -1)
+        yield first, np.full(len(first), m - 1)
     elif kind == "up":
-        yield from ((0, i) for i in range(m // 2, m))
+        last = np.arange(m // 2, m)
+        yield np.zeros(len(last), int), last
+    elif kind == "short":
+        for w in range(least, m):
+            k = m - w
+            t = np.arange(k)
+            place = np.where(t % 2 == 0, k // 2 - t // 2, k // 2 + t // 2) if k % 2 == 0 else np.where(t % 2 == 1, k // 2 - (t + 1) // 2, k // 2 + t // 2)
+            yield place, place + w
     else:
         raise ValueError(f"no set type {kind!r}")
 
 
-def searched(stats: list[np.ndarray], low: float, high: float, m: int, alpha: float, eps: float, kind: str, rng: np.random.Generator) -> tuple[float, float]:
-    """AboveThreshold over the chunks' histograms, stopping at the first candidate."""
+def searched(stats: list[np.ndarray], low: float, high: float, m: int, alpha: float, eps: float, kind: str, rng: np.random.Generator, least: int = 0) -> tuple[float, float]:
+    """AboveThreshold over the chunks' histograms: the first accepted candidate, else the whole range."""
+    if kind == "eqtail":
+        return searched(stats, low, high, m, alpha / 2, eps / 2, "low", rng)[0], searched(stats, low, high, m, alpha / 2, eps / 2, "up", rng)[1]
     edges = np.linspace(low, high, m + 1)
     cum = np.array([np.concatenate([[0], np.histogram(s[(s >= low) & (s < high)], edges)[0].cumsum()]) / len(s) for s in stats])
-    for first, last in orders(kind, m):
-        if noisy_middle(cum[:, last + 1] - cum[:, first], eps / 2, eps / 4, rng) > 1 - alpha:
-            return float(edges[first]), float(edges[last + 1])
+    for first, last in orders(kind, m, least):
+        hit = np.flatnonzero(noisy_middles(cum[:, last + 1] - cum[:, first], eps / 2, eps / 4, rng) > 1 - alpha)
+        if len(hit):
+            return float(edges[first[hit[0]]]), float(edges[last[hit[0]] + 1])
     return low, high
 
 
+def quantiles(stats: np.ndarray, alpha: float, kind: str) -> tuple[float, float]:
+    """The bootstrap's interval of a set type; the shortest is not defined for it and counts as symmetric."""
+    q = lambda x, p: float(np.quantile(x, p, method="inverted_cdf"))
+    if kind == "eqtail":
+        return q(stats, alpha / 2), q(stats, 1 - alpha / 2)
+    if kind == "low":
+        return q(stats, alpha), math.inf
+    if kind == "up":
+        return -math.inf, q(stats, 1 - alpha)
+    half = q(np.abs(stats), 1 - alpha)
+    return -half, half
+
+
 def clipped_means(values: np.ndarray, c: float, r: float, cov: float, betas: list[float], rhos: list[float], rng: np.random.Generator) -> list[dict[str, float]]:
     """zcdp.mean_iterative over an array, with a generator's noise."""
     root, mid, s = math.sqrt(cov), float(values.mean()), len(values)
@@ -128,8 +168,9 @@ def clipped_means(values: np.ndarray, c: float, r: float, cov: float, betas: lis
     return out
 
 
-def zcdp_set(x: np.ndarray, eps: float, study: Study, dist: Distribution, rng: np.random.Generator) -> tuple[float, float]:
-    """The zCDP interval of the parameter: clipped Gaussian means of the chunks' bootstrap means and variances.
+def zcdp_set(x: np.ndarray, eps: float, alpha: float, estimate: Callable[[np.ndarray, np.ndarray], np.ndarray], rng: np.random.Generator, steps: int = ZCDP_STEPS) -> tuple[float, float]:
+    """The zCDP interval of the parameter that `estimate` gives for rows and each row of their counts: clipped Gaussian
+    means of the chunks' bootstrap means and variances.
 
     The bounds of the clipping come from a little bootstrap of its own on the same rows, as the study has it.
     """
@@ -138,19 +179,19 @@ def zcdp_set(x: np.ndarray, eps: float, study: Study, dist: Distribution, rng: n
     b, chunks = size["b"], chunk_count(n, size["b"], "drop")
 
     def little() -> tuple[np.ndarray, np.ndarray]:
-        parts = rng.permutation(x)[: chunks * b].reshape(chunks, b)
-        est = [estimates(c, rng.multinomial(n, np.full(b, 1 / b), size=size["runs"]).astype(float), study, math.inf, dist, rng) for c in parts]
+        parts = rng.permutation(x)[: chunks * b].reshape(chunks, b, *x.shape[1:])
+        est = [estimate(c, rng.multinomial(n, np.full(b, 1 / b), size=size["runs"]).astype(float)) for c in parts]
         return np.array([e.mean() for e in est]), np.array([e.var(ddof=1) for e in est])
 
     (guess_m, guess_v), (m, v) = little(), little()
     rho, beta = eps_to_rho(eps, n**-1.1) / 2, FAILURE / 2
     center = float(guess_v.mean())
-    releases = clipped_means(v, center, OVERESTIMATE * center, OVERESTIMATE * float(guess_v.var(ddof=1)), budgets(beta / 4, ZCDP_STEPS), budgets(rho, ZCDP_STEPS), rng)
+    releases = clipped_means(v, center, OVERESTIMATE * center, OVERESTIMATE * float(guess_v.var(ddof=1)), budgets(beta / 4, steps), budgets(rho, steps), rng)
     est, var = weighted(releases)
     est = max(0.0, max(0.0, est) + normal_quantile(1 - beta / 2, math.sqrt(var)))
-    releases = clipped_means(m, float(guess_m.mean()), OVERESTIMATE * float(np.abs(guess_m).max()), chunks * est, budgets(beta, ZCDP_STEPS), budgets(rho, ZCDP_STEPS), rng)
+    releases = clipped_means(m, float(guess_m.mean()), OVERESTIMATE * float(np.abs(guess_m).max()), chunks * est, budgets(beta, steps), budgets(rho, steps), rng)
     value, noise = weighted(releases, est)
-    half = normal_quantile(1 - study.alpha / 2, math.sqrt(est + noise))
+    half = normal_quantile(1 - alpha / 2, math.sqrt(est + noise))
     return value - half, value + half
 
 
@@ -165,10 +206,10 @@ def one_trial(n: int, eps: float, trial: int, study: Study) -> pd.DataFrame:
     truth, sd = study.truth(dist)
     low, high = dist.bounds
     if study.zcdp:
-        lo, hi = zcdp_set(draw(), eps, study, dist, rng)
+        lo, hi = zcdp_set(draw(), eps, study.alpha, lambda c, w: estimates(c, w, study, math.inf, dist, rng), rng)
         return pd.DataFrame([(n, eps, trial, "gvdp", k, int(lo <= truth <= hi), hi - lo) for k in range(study.resamples)], columns=COLUMNS)
     own, rest = study.share * eps, (1 - study.share) * eps
-    size = sizing(n, rest)
+    size = sizing(n, rest, study.set_type)
     x, root = draw(), math.sqrt(n)
     s = chunk_count(n, size["b"])
     perm = rng.permutation(x)
@@ -180,11 +221,12 @@ def one_trial(n: int, eps: float, trial: int, study: Study) -> pd.DataFrame:
         theta = estimates(c, np.ones((1, len(c))), study, math.inf, dist, rng)
         stats.append(root * (theta - estimates(c, w, study, own, dist, rng)))
     found: dict[str, tuple[float, float]] = {}
-    bins = 2 ** math.ceil(math.log2(10 * sd * root / 1)) if sd * root > 1 else 16
-    found["proper_unstud"] = searched(stats, -5 * sd, 5 * sd, min(bins, 1024), study.alpha, rest, study.set_type, rng)
+    bins = Bins.of_precision(-SEARCH * sd, SEARCH * sd, size["precision"], True)
+    found["proper_unstud"] = searched(stats, bins.low, bins.high, bins.count, study.alpha, rest, study.set_type, rng)
+    # Variances and their bound are those of the estimate times n, and so is the granularity n^-1.5 of the median.
     variances = np.clip(np.nan_to_num([v.var(ddof=1) for v in stats], nan=1e9), 0, top := variance_bound(n, sd=sd) * n)
-    middle = private_medians(variances, np.ones((1, s)), rest, 0.0, top, rng)[0]
-    half = student_quantile(1 - study.alpha / 2, max(1, s - 1)) * math.sqrt(middle)
+    middle = private_medians(spread_apart(variances, granularity(n) * n, 0.0, top), np.ones((1, s)), rest, 0.0, top, rng)[0]
+    half = student_quantile(1 - study.alpha / 2, n - 1) * math.sqrt(middle)
     found["normal_proper_blb"] = (-half, half)
     if "normal_proper_adhoc" in study.methods:
         m = max(abs(low), abs(high))
@@ -193,8 +235,7 @@ def one_trial(n: int, eps: float, trial: int, study: Study) -> pd.DataFrame:
         found["normal_proper_adhoc"] = (-half, half)
     w = rng.multinomial(n, np.full(n, 1 / n), size=min(size["boot_runs"], study.max_boot)).astype(float)
     boot = root * (estimates(x, np.ones((1, n)), study, math.inf, dist, rng) - estimates(x, w, study, own, dist, rng))
-    q = float(np.quantile(np.abs(boot), 1 - study.alpha, method="inverted_cdf"))
-    found["boot_unstud_priv"] = (-q, q)
+    found["boot_unstud_priv"] = quantiles(boot, study.alpha, study.set_type)
     rows = []
     for k in range(study.resamples):
         est = float(estimates(draw(), np.ones((1, n)), study, own, dist, rng)[0])

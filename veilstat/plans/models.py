@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from veilstat.functions.keyed import KeyedSql as K
 from veilstat.functions.session import checkpointed
 from veilstat.functions.special import normal_quantile
-from veilstat.operators import chunking, intervals, logistic, private_logistic, resampling, variance, zcdp
+from veilstat.operators import chunking, intervals, logistic, private_logistic, resampling, survey, variance, zcdp
 from veilstat.operators.histograms import Bins
+from veilstat.operators.logistic_trial import LogisticStudy, run_logistic_trials, run_zcdp_survey, run_zcdp_synthetic
+from veilstat.operators.trial import Study, run_trials, study_summary
 from veilstat.plans import resampling as R
 from veilstat.plans import sqltext as S
 from veilstat.plans.registry import query
@@ -64,6 +67,34 @@ def sandwich(spark, d):
     return spark.createDataFrame([(round(float(s[0, 0]), 4), round(float(s[0, 1]), 4), round(float(s[1, 1]), 4))], "s00 double, s01 double, s11 double")
 
 
+_root2 = lambda a, b, c: (f"sqrt({a} * {c} - {b} * {b})", f"sqrt({a} + {c} + 2 * sqrt({a} * {c} - {b} * {b}))")
+
+
+@query("hess_inv_square", f"WITH {_gh.replace('1e-6', '1e-10')}, i AS (SELECT h11 / (h00 * h11 - h01 * h01) AS a, -h01 / (h00 * h11 - h01 * h01) AS b, h00 / (h00 * h11 - h01 * h01) AS c FROM a) SELECT round(a * a + b * b, 4) AS q00, round(a * b + b * c, 4) AS q01, round(b * b + c * c, 4) AS q11 FROM i")
+def hess_inv_square(spark, d):
+    q = logistic.inverse_hessian_square(lines(spark, d), BETA)
+    return spark.createDataFrame([(round(float(q[0, 0]), 4), round(float(q[0, 1]), 4), round(float(q[1, 1]), 4))], "q00 double, q01 double, q11 double")
+
+
+_sand = f"""WITH {_gh.replace('1e-6', '1e-10')}, i AS (SELECT h11 / (h00 * h11 - h01 * h01) AS a, -h01 / (h00 * h11 - h01 * h01) AS b, h00 / (h00 * h11 - h01 * h01) AS c, o00, o01, o11 FROM a),
+s AS (SELECT a * a * o00 + 2 * a * b * o01 + b * b * o11 AS x, a * b * o00 + (a * c + b * b) * o01 + b * c * o11 AS y, b * b * o00 + 2 * b * c * o01 + c * c * o11 AS z FROM i)"""
+
+
+@query("logreg_std", f"{_sand} SELECT round((x + {_root2('x', 'y', 'z')[0]}) / {_root2('x', 'y', 'z')[1]}, 4) AS r00, round(y / {_root2('x', 'y', 'z')[1]}, 4) AS r01, round((z + {_root2('x', 'y', 'z')[0]}) / {_root2('x', 'y', 'z')[1]}, 4) AS r11 FROM s")
+def logreg_std(spark, d):
+    r = logistic.deviation(lines(spark, d), BETA)
+    return spark.createDataFrame([(round(float(r[0, 0]), 4), round(float(r[0, 1]), 4), round(float(r[1, 1]), 4))], "r00 double, r01 double, r11 double")
+
+
+_steps = [[0.1 * k - 0.4, 0.3 - 0.05 * k] for k in range(8)]
+_each = " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS step, CAST({i} AS INTEGER) AS dim, round(-avg(y * x{i} / (1 + exp(y * (CAST({b[0]!r} AS DOUBLE) * x0 + CAST({b[1]!r} AS DOUBLE) * x1)))), 6) AS value FROM rows" for k, b in enumerate(_steps) for i in (0, 1))
+
+
+@query("logreg_gradients", f"WITH {_rows} {_each}")
+def logreg_gradients(spark, d):
+    return logistic.gradients(lines(spark, d), np.array(_steps)).withColumn("value", _r(F.col("value")))
+
+
 @query("logreg_fit")
 def logreg_fit(spark, d):
     rows = logistic.with_intercept(lines(spark, d))
@@ -233,8 +264,6 @@ STUDY_TRIALS = 16  # the reference has 1,000; see the README
 @query("study_mean")
 def study_mean(spark, d):
     """Monte-Carlo coverage and width of the five one-dimensional methods on generated samples."""
-    from veilstat.operators.trial import Study, run_trials, study_summary
-
     first = run_trials(spark, Study(), STUDY_ROWS, STUDY_BUDGETS, STUDY_TRIALS)
     return study_summary(first.unionByName(run_trials(spark, Study(resamples=1, zcdp=True), STUDY_ROWS, STUDY_BUDGETS, STUDY_TRIALS)))
 
@@ -242,7 +271,39 @@ def study_mean(spark, d):
 @query("study_median")
 def study_median(spark, d):
     """Monte-Carlo coverage and width of the four one-dimensional methods for the median on generated samples."""
-    from veilstat.operators.trial import Study, run_trials, study_summary
-
     first = run_trials(spark, Study(task="median"), STUDY_ROWS, STUDY_BUDGETS, STUDY_TRIALS)
     return study_summary(first.unionByName(run_trials(spark, Study(task="median", resamples=1, zcdp=True), STUDY_ROWS, STUDY_BUDGETS, STUDY_TRIALS)))
+
+
+def survey_population(spark, d):
+    """Survey rows made from the orders, prepared, as (o_orderkey, x, y): x of age, schooling, hours and sex, y whether the income is high."""
+    k = F.col("o_orderkey")
+    age, school, hours, sex = F.lit(17) + F.col("o_custkey") % 70, k % 25, F.lit(1) + F.floor(F.col("o_totalprice")).cast("long") % 89, F.lit(1) + k % 2
+    income = F.lit(8000.0) + F.lit(300.0) * age + F.lit(900.0) * school + F.lit(100.0) * hours + F.lit(9000.0) * (F.col("o_totalprice") % 7.0 - F.lit(3.0))
+    raw = table(spark, d, "orders").select(
+        "o_orderkey", age.cast("double").alias("AGEP"), F.lit(1.0).alias("COW"), school.cast("double").alias("SCHL"), F.lit(1.0).alias("MAR"), hours.cast("double").alias("WKHP"), sex.cast("double").alias("SEX"),
+        F.greatest(F.lit(101.0), income).alias("PINCP"),
+    )
+    return survey.feature_rows(survey.prepare(raw), ["AGEP", "SCHL", "WKHP", "SEX"], "PINCP", "o_orderkey")
+
+
+LOGISTIC_TRIALS, LOGISTIC_RESAMPLES = 4, 320  # the reference has 240 trials; see the README
+
+
+@query("study_logreg_alldim")
+def study_logreg_alldim(spark, d):
+    """Coverage and width of the three methods for all logistic coefficients, on rows drawn from the survey population."""
+    rows = survey_population(spark, d)
+    n = min(2000, rows.count() // 2)
+    out = run_logistic_trials(rows, "o_orderkey", LogisticStudy(resamples=LOGISTIC_RESAMPLES), [n], LOGISTIC_TRIALS)
+    return study_summary(out.withColumn("method", F.concat_ws("-", "method", "dim")))
+
+
+@query("study_logreg_gvdp")
+def study_logreg_gvdp(spark, d):
+    """Coverage and width of the zCDP interval of a logistic coefficient: survey rows, and made ones."""
+    rows = survey_population(spark, d)
+    n = min(2000, rows.count() // 2)
+    one = run_zcdp_survey(rows, "o_orderkey", [n], [8.0, 5.0], LOGISTIC_TRIALS)
+    two = run_zcdp_synthetic(spark, [0.5, -1.0, 0.8, 0.0], [1000], STUDY_BUDGETS, LOGISTIC_TRIALS)
+    return study_summary(one.withColumn("method", F.lit("gvdp-survey")).unionByName(two.withColumn("method", F.lit("gvdp-synthetic"))))

@@ -46,6 +46,17 @@ def cov_matrix(spark, d):
     )
 
 
+@query(
+    "cov_root",
+    """WITH c AS (SELECT covar_samp(l_quantity, l_quantity) AS x, covar_samp(l_quantity, l_discount * 100) AS y, covar_samp(l_discount * 100, l_discount * 100) AS z FROM lineitem)
+SELECT round((x + sqrt(x * z - y * y)) / sqrt(x + z + 2 * sqrt(x * z - y * y)), 5) AS r00, round(y / sqrt(x + z + 2 * sqrt(x * z - y * y)), 5) AS r01, round((z + sqrt(x * z - y * y)) / sqrt(x + z + 2 * sqrt(x * z - y * y)), 5) AS r11 FROM c""",
+)
+def cov_root(spark, d):
+    rows = table(spark, d, "lineitem").select("l_quantity", (F.col("l_discount") * 100).alias("l_discount"))
+    r = mechanisms.deviation_matrix(rows, ["l_quantity", "l_discount"])
+    return spark.createDataFrame([(round(float(r[0, 0]), 5), round(float(r[0, 1]), 5), round(float(r[1, 1]), 5))], "r00 double, r01 double, r11 double")
+
+
 @query("laplace_noise", f"SELECT c_custkey, round({K.laplace('0.5', 'lap', '7', 'c_custkey')}, 6) AS noise FROM customer")
 def laplace_noise(spark, d):
     return table(spark, d, "customer").select("c_custkey", _r(laplace(0.5, "lap", 7, F.col("c_custkey"))).alias("noise"))

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
 from veilstat.functions.keyed import KeyedSql as K
+from veilstat.functions.session import checkpointed, removed, shared_folder
 from veilstat.functions.special import normal_quantile_sql
-from veilstat.operators import experiment, survey
+from veilstat.operators import chunking, experiment, mechanisms, survey
+from veilstat.operators.ledger import study_ledger
 from veilstat.plans.registry import query
 from veilstat.sources import distributions as D
+from veilstat.sources import files
 from veilstat.sources.tables import table
 
 _r = lambda c, n=6: F.round(c, n)
@@ -178,3 +182,81 @@ def coverage_eval(spark, d):
     intervals = spark.createDataFrame([("narrow", -400.0, 400.0), ("wide", -900.0, 1200.0), ("low", -600.0, float("inf"))], "method string, l double, u double")
     out = experiment.evaluate(trials(spark, d).select("id", "n", F.col("proper_unstud").alias("est")), intervals, [], 150.0, 400)
     return out.groupBy("method", "n").agg(_r(F.avg("covered")).alias("coverage"), _r(F.avg("width")).alias("width"))
+
+
+# Files: written to the shared folder, read back, and cut from it by a checkpoint before the folder goes.
+def through_files(spark, write, read):
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    write(folder)
+    out = checkpointed(read(folder))
+    removed(spark, folder)
+    return out
+
+
+@query("csv_scan", f"""WITH {_raw} SELECT id, "AGEP", "SCHL", "WKHP" FROM raw""")
+def csv_scan(spark, d):
+    """Sink and scan of CSV with a choice of columns."""
+    return through_files(spark, lambda f: files.write_csv(raw(spark, d), f), lambda f: files.read_csv(spark, f, raw(spark, d).schema).select("id", "AGEP", "SCHL", "WKHP"))
+
+
+@query("survey_scan", f"""WITH {_raw} SELECT "AGEP", "COW", "SCHL", "MAR", "WKHP", "SEX", "PINCP" FROM raw""")
+def survey_scan(spark, d):
+    own = raw(spark, d).select(*[f.name for f in survey.RAW.fields])
+    return through_files(spark, lambda f: files.write_csv(own, f), lambda f: files.read_survey(spark, f))
+
+
+@query("run_directory", f"WITH {_trials} SELECT n, kind, run_id, count(*) AS rows, round(sum(proper_unstud), 3) AS total FROM (SELECT n, 'len' AS kind, CASE WHEN resamp = 0 THEN 'm1d1v0' ELSE 'm1d1v1' END AS run_id, proper_unstud FROM t) WHERE n = 500 GROUP BY ALL")
+def run_directory(spark, d):
+    """Runs written one after another under the next free id, partitioned by kind, run and n; one n read back."""
+    t = trials(spark, d)
+
+    def write(folder):
+        used = []
+        for part in ("resamp = 0", "resamp <> 0"):
+            used.append(experiment.next_run_id(used, "m1d1"))
+            experiment.write_run(t.filter(part), folder, used[-1], "len")
+
+    out = through_files(spark, write, lambda f: experiment.read_runs(spark, f, "len", 500))
+    return out.groupBy(F.col("n").cast("long").alias("n"), "kind", "run_id").agg(F.count("*").alias("rows"), _r(F.sum("proper_unstud"), 3).alias("total"))
+
+
+_ns, _eps = [300, 500, 1000, 1500, 2000], [10.0, 8.0, 5.0]
+_cases = f"c AS (SELECT CAST(n AS BIGINT) AS n, CAST(e AS DOUBLE) AS eps FROM (VALUES {', '.join(f'({n}, {e})' for n in _ns for e in _eps)}) v(n, e))"
+_clamp = lambda x: f"CAST(floor(least(greatest({x}, 100), 10000)) AS BIGINT)"
+
+
+@query(
+    "study_sizes",
+    f"""WITH {_cases}, k AS (SELECT n, eps, CAST(ceil(10 * ln(n) / (eps / 2)) AS BIGINT) AS s, CAST(ceil(20 * ln(n) / (eps / 2)) AS BIGINT) AS s2, CAST(ceil(least(5 / eps * sqrt(n), n / 5.0)) AS BIGINT) AS z FROM c)
+SELECT n, eps, s AS chunks, n // s AS b, {_clamp('sqrt(n) * (n // s) / ln(n)')} AS runs, {_clamp('pow(n, 1.5) / ln(n)')} AS boot_runs, s2 AS chunks_eqtail, z AS chunks_zcdp, n // z AS b_zcdp, CAST(floor(sqrt(n) * (n // z) / ln(n)) AS BIGINT) AS runs_zcdp,
+CAST(floor(least(sqrt(n) * (n // s) / ln(n), 1e6 * (n // s) / n)) AS BIGINT) AS runs_survey, round(2500 * 4.0 / n, 9) AS bound_by_sd, round(pow(140.0 / 4 * 10, 2) / n, 6) AS bound_by_width, round(pow(n, -1.5), 12) AS granularity FROM k""",
+)
+def study_sizes(spark, d):
+    """The sizing rules of all studies over their lists of n and budgets."""
+    rows = []
+    for n in _ns:
+        for e in _eps:
+            one, two, z, s = chunking.sizing(n, e / 2), chunking.sizing(n, e / 2, "eqtail"), chunking.zcdp_sizing(n, e), chunking.survey_sizing(n, e / 2)
+            rows.append((n, e, one["chunks"], one["b"], one["runs"], one["boot_runs"], two["chunks"], z["chunks"], z["b"], z["runs"], s["runs"], round(chunking.variance_bound(n, sd=2.0), 9), round(chunking.variance_bound(n, width=140.0), 6), round(chunking.granularity(n), 12)))
+    names = "n long, eps double, chunks long, b long, runs long, boot_runs long, chunks_eqtail long, chunks_zcdp long, b_zcdp long, runs_zcdp long, runs_survey long, bound_by_sd double, bound_by_width double, granularity double"
+    return spark.createDataFrame(rows, names)
+
+
+@query(
+    "budget_ledger",
+    f"""WITH {_cases}, d AS (SELECT DISTINCT eps FROM c), r AS (SELECT eps, 'estimate' AS release, eps * 0.5 AS each, 5 AS uses FROM d UNION ALL SELECT eps, 'threshold', eps / 4, 5 * 31 FROM d UNION ALL SELECT eps, 'queries', eps / 4, 5 FROM d)
+SELECT eps, release, each, CAST(uses AS INTEGER) AS uses, each * uses AS spent FROM r""",
+)
+def budget_ledger(spark, d):
+    """What a search over 31 candidates in five dimensions spends for each budget, threshold redraws charged."""
+    out = None
+    for e in _eps:
+        one = study_ledger(e, 0.5, 31, 5).table(spark).select(F.lit(e).alias("eps"), "release", F.col("eps").alias("each"), "uses", (F.col("eps") * F.col("uses")).alias("spent"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("interval_order", "SELECT o_orderkey, CAST(o_totalprice * 1.1 < 150000 AS INTEGER) AS below, CAST(o_totalprice * 0.9 > 150000 AS INTEGER) AS above, CAST(150000 BETWEEN o_totalprice * 0.9 AND o_totalprice * 1.1 AS INTEGER) AS holds FROM orders")
+def interval_order(spark, d):
+    low, high, x = F.col("o_totalprice") * F.lit(0.9), F.col("o_totalprice") * F.lit(1.1), F.lit(150000.0)
+    return table(spark, d, "orders").select("o_orderkey", mechanisms.below(high, x).alias("below"), mechanisms.above(low, x).alias("above"), mechanisms.in_interval(x, low, high).alias("holds"))
