@@ -24,7 +24,7 @@ from veilstat.operators.chunking import SURVEY_RANGES, chunk_count, granularity,
 from veilstat.operators.histograms import Bins
 from veilstat.operators.logistic import fit, private_weighted, weighted_newton, with_intercept
 from veilstat.operators.mechanisms import in_interval
-from veilstat.operators.trial import private_medians, quantiles, searched, spread_apart, zcdp_set
+from veilstat.operators.trial import dealt, private_medians, quantiles, searched, spread_apart, zcdp_set
 
 METHODS = ("proper_unstud", "normal_proper_blb", "boot_unstud_priv")
 BLOCK = 256
@@ -126,9 +126,9 @@ def run_logistic_trials(population: DataFrame, key: str, study: LogisticStudy, n
         return pd.DataFrame({"n": n, "trial": t, "resample": k, "dim": np.arange(d), "est": est, "truth": truth})
 
     first = drawn(population, key, grid.withColumn("resample", F.lit(-1)))
-    sets = checkpointed(first.groupBy("n", "trial").applyInPandas(form, "n int, trial int, method string, dim int, l double, u double"))
+    sets = checkpointed(dealt(first, len(ns) * trials, "n", "trial").groupBy("n", "trial").applyInPandas(form, "n int, trial int, method string, dim int, l double, u double"))
     again = drawn(population, key, grid.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(study.resamples - 1)))))
-    released = again.groupBy("n", "trial", "resample").applyInPandas(release, "n int, trial int, resample int, dim int, est double, truth double")
+    released = dealt(again, len(ns) * trials * study.resamples, "n", "trial", "resample").groupBy("n", "trial", "resample").applyInPandas(release, "n int, trial int, resample int, dim int, est double, truth double")
     root = F.sqrt(F.col("n"))
     return released.join(sets, ["n", "trial", "dim"]).select(
         "n", F.lit(study.eps).alias("eps"), "trial", "method", "dim", "resample",
@@ -161,7 +161,7 @@ def run_zcdp_survey(population: DataFrame, key: str, ns: list[int], budgets: lis
         made = [zcdp_row(int(key[0]), e, int(key[1]), dim, np.hstack([x, y[:, None]]), truth, alpha) for e in budgets]
         return pd.DataFrame(made, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return drawn(population, key, grid).groupBy("n", "trial").applyInPandas(run, SCHEMA)
+    return dealt(drawn(population, key, grid), len(ns) * trials, "n", "trial").groupBy("n", "trial").applyInPandas(run, SCHEMA)
 
 
 def run_zcdp_synthetic(spark: SparkSession, beta: list[float], ns: list[int], budgets: list[float], trials: int, dim: int = 0, dist: str = "uniform", alpha: float = 0.05) -> DataFrame:
@@ -179,4 +179,4 @@ def run_zcdp_synthetic(spark: SparkSession, beta: list[float], ns: list[int], bu
         y = np.where(rng.random(n) < 1 / (1 + np.exp(-(x @ truth))), 1.0, -1.0)
         return pd.DataFrame([zcdp_row(n, eps, t, dim, np.hstack([x, y[:, None]]), truth, alpha)], columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return cells.select("c.n", "c.eps", "trial").groupBy("n", "eps", "trial").applyInPandas(run, SCHEMA)
+    return dealt(cells.select("c.n", "c.eps", "trial"), len(ns) * len(budgets) * trials, "n", "eps", "trial").groupBy("n", "eps", "trial").applyInPandas(run, SCHEMA)

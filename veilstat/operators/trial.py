@@ -246,6 +246,15 @@ def one_trial(n: int, eps: float, trial: int, study: Study) -> pd.DataFrame:
 SCHEMA = "n int, eps double, trial int, method string, resample int, covered int, width double"
 
 
+MOST_TASKS = 2048
+
+
+def dealt(rows: DataFrame, groups: int, *keys: str) -> DataFrame:
+    """rows by their keys in a task a group, up to MOST_TASKS: the size of the rows says nothing of the work on a group,
+    so adaptive execution must not join partitions here."""
+    return rows.repartition(max(1, min(groups, MOST_TASKS)), *keys)
+
+
 def run_trials(spark: SparkSession, study: Study, ns: list[int], budgets: list[float], trials: int) -> DataFrame:
     """All trials of a study as one frame."""
     cases = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(float(e)).alias("eps")) for n in ns for e in budgets])
@@ -254,7 +263,7 @@ def run_trials(spark: SparkSession, study: Study, ns: list[int], budgets: list[f
     def run(key: tuple, _: pd.DataFrame) -> pd.DataFrame:
         return one_trial(int(key[0]), float(key[1]), int(key[2]), study)
 
-    return cells.groupBy("n", "eps", "trial").applyInPandas(run, SCHEMA)
+    return dealt(cells, len(ns) * len(budgets) * trials, "n", "eps", "trial").groupBy("n", "eps", "trial").applyInPandas(run, SCHEMA)
 
 
 def study_summary(results: DataFrame) -> DataFrame:
