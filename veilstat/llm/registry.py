@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilstat.llm import bpe, html_extract, lang_id, media_columns, ngram_join, packing, pii, topk, toxicity, url_filter
+from veilstat.llm import alignment, bpe, html_extract, lang_id, media_columns, ngram_join, packing, pii, resampling, sharding, topk, toxicity, url_filter
 
 QUERIES = {
     "op9_ngram_join": (ngram_join.query, ngram_join.ORACLE_SQL),
@@ -15,4 +15,7 @@ QUERIES = {
     "op7_lang_id": (lang_id.query, None),
     "op8_url_filter": (url_filter.query, url_filter.ORACLE_SQL),
     "op10_media_columns": (media_columns.query, None),
+    "op11_alignment": (alignment.query, None),
+    "op12_sharding": (sharding.query, sharding.ORACLE_SQL),
+    "op13_resampling": (resampling.query, resampling.ORACLE_SQL),
 }
