@@ -25,6 +25,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,16 +43,27 @@ CACHE_FIELDS, CACHE_CHARS = 200_000, 64
 FIELD = re.compile(r"(?<=[!-~\w]) (?!\Z)")  # a blank after a character that no tokenizer takes for white space, with more after it
 INNER = re.compile(r"[!-~\w] ")
 BLANK = "▁"
+Field = tuple[str, bytes, int, int]
 
 
 @dataclass
 class Side:
     """Tokens of a run of fields: ids, bytes of each token, tokens of each field."""
 
-    ids: np.ndarray
+    ids: list[int]
     sizes: np.ndarray
     counts: np.ndarray
 
+    def lengths(self) -> np.ndarray:
+        """Bytes of each field."""
+        ends = np.append(0, self.sizes.cumsum())[np.append(0, self.counts.cumsum())]
+        return np.diff(ends)
+
+
+def side(ids: list[list[int]], size: np.ndarray) -> Side:
+    flat = list(chain.from_iterable(ids))
+    return Side(flat, size[flat], np.array([*map(len, ids)], np.int64))
+
 
 def owners(sizes: np.ndarray) -> np.ndarray:
     """The token of every byte."""
@@ -90,61 +102,71 @@ class Aligner:
         # Texts of each id with the mark after it: within a side, between the sides, after a group.
         self.a_next, self.a_last = (np.array([f"{i}{m}" for i in range(len(self.a_bytes))], object) for m in ",|")
         self.b_next, self.b_last = (np.array([f"{i}{m}" for i in range(self.b_count)], object) for m in ",;")
-        self.cache: dict[str, tuple[str, bytes, int, int]] = {}
+        self.young: dict[str, Field | None] = {}
+        self.old: dict[str, Field | None] = {}
+
+    def encoded(self, fields: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        return [e.ids for e in self.a.encode_batch([" " + f for f in fields], add_special_tokens=False)], self.b.encode(fields, num_threads=1)
 
-    def side(self, ids: list[list[int]], size: np.ndarray) -> Side:
-        flat = np.fromiter((i for own in ids for i in own), np.int64)
-        return Side(flat, size[flat], np.fromiter(map(len, ids), np.int64, len(ids)))
+    def whole(self, fields: list[str], a_ids: list[list[int]], b_ids: list[list[int]]) -> list[bool]:
+        """Whether both sides give back the bytes of each field."""
+        wanted = [b" " + f.encode() for f in fields]
+        return [b"".join([self.a_bytes[i] for i in a]) == b"".join([self.b_bytes[i] for i in b]) == w for a, b, w in zip(a_ids, b_ids, wanted, strict=True)]
 
-    def aligned(self, fields: list[str]) -> list[tuple[str, bytes, int, int] | None]:
+    def aligned(self, fields: list[str]) -> list[Field | None]:
         """(groups, links packed as A id * B's vocabulary + B id, A tokens, B tokens) of each field, None where a side's bytes are not the field's."""
-        a_ids = [e.ids for e in self.a.encode_batch([" " + f for f in fields], add_special_tokens=False)]
-        b_ids = self.b.encode(fields, num_threads=1)
-        good = []
-        for k, f in enumerate(fields):
-            want = b" " + f.encode()
-            if b"".join([self.a_bytes[i] for i in a_ids[k]]) == want and b"".join([self.b_bytes[i] for i in b_ids[k]]) == want:
-                good.append(k)
-        out: list[tuple[str, bytes, int, int] | None] = [None] * len(fields)
-        if not good:
-            return out
-        a, b = self.side([a_ids[k] for k in good], self.a_size), self.side([b_ids[k] for k in good], self.b_size)
+        if not fields:
+            return []
+        a_ids, b_ids = self.encoded(fields)
+        a, b = side(a_ids, self.a_size), side(b_ids, self.b_size)
+        # All fields at once: the same bytes, and as many of them in each field on both sides.
+        text = b"".join([b" " + f.encode() for f in fields])
+        same = text == b"".join([self.a_bytes[i] for i in a.ids]) == b"".join([self.b_bytes[i] for i in b.ids])
+        if not same or not np.array_equal(a.lengths(), b.lengths()) or not np.array_equal(a.lengths(), [len(f.encode()) + 1 for f in fields]):
+            good = self.whole(fields, a_ids, b_ids)
+            if not all(good):
+                done = iter(self.aligned([f for f, ok in zip(fields, good, strict=True) if ok]))
+                return [next(done) if ok else None for ok in good]
         at_a, at_b, cut = overlaps(owners(a.sizes), owners(b.sizes))
         last_a, last_b = at_a[cut], at_b[cut]  # the linked tokens; fields end at cuts too
         # Each group's A tokens, then its B tokens, as one string of marked ids.
+        ids_a, ids_b = np.array(a.ids), np.array(b.ids)
         n_a, n_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
         before_a, before_b = n_b.cumsum() - n_b, n_a.cumsum()
-        text = np.empty(len(a.ids) + len(b.ids), object)
-        mark_a, mark_b = self.a_next[a.ids], self.b_next[b.ids]
-        mark_a[last_a], mark_b[last_b] = self.a_last[a.ids[last_a]], self.b_last[b.ids[last_b]]
-        text[np.arange(len(a.ids)) + np.repeat(before_a, n_a)] = mark_a
-        text[np.arange(len(b.ids)) + np.repeat(before_b, n_b)] = mark_b
-        links = (a.ids[last_a] * self.b_count + b.ids[last_b]).astype("<u8")
-        ends_a, ends_b = a.counts.cumsum(), b.counts.cumsum()
-        ends = np.searchsorted(last_a, ends_a - 1) + 1
-        pieces, lo_t, lo_l = text.tolist(), 0, 0
-        for k, hi_t, hi_l, na, nb in zip(good, (ends_a + ends_b).tolist(), ends.tolist(), a.counts.tolist(), b.counts.tolist(), strict=True):
-            out[k] = "".join(pieces[lo_t:hi_t]), links[lo_l:hi_l].tobytes(), na, nb
-            lo_t, lo_l = hi_t, hi_l
-        return out
-
-    def texts(self, texts: list[str | None]) -> Iterator[tuple[str, bytes, int, int]]:
+        marked = np.empty(len(ids_a) + len(ids_b), object)
+        mark_a, mark_b = self.a_next[ids_a], self.b_next[ids_b]
+        mark_a[last_a], mark_b[last_b] = self.a_last[ids_a[last_a]], self.b_last[ids_b[last_b]]
+        marked[np.arange(len(ids_a)) + np.repeat(before_a, n_a)] = mark_a
+        marked[np.arange(len(ids_b)) + np.repeat(before_b, n_b)] = mark_b
+        links = (ids_a[last_a] * self.b_count + ids_b[last_b]).astype("<u8").tobytes()
+        ends_a = a.counts.cumsum()
+        ends = (8 * (np.searchsorted(last_a, ends_a - 1) + 1)).tolist()
+        texts, pieces = (ends_a + b.counts.cumsum()).tolist(), marked.tolist()
+        return [("".join(pieces[p:q]), links[r:z], na, nb) for p, q, r, z, na, nb in zip([0, *texts], texts, [0, *ends], ends, a.counts.tolist(), b.counts.tolist())]  # noqa: B905
+
+    def texts(self, texts: list[str | None]) -> Iterator[Field]:
         """(groups, links in order, A tokens, B tokens) of each text."""
         fields = [FIELD.split(t) if t else [] for t in texts]
-        known = self.cache
-        new = list({f for own in fields for f in own if f not in known})
-        fresh = dict(zip(new, self.aligned(new), strict=True))
-        if len(known) + len(new) > CACHE_FIELDS:
-            fresh |= {f: known[f] for own in fields for f in own if f in known}
-            known.clear()
-        known.update((f, v) for f, v in fresh.items() if len(f) <= CACHE_CHARS)
+        if len(self.young) > CACHE_FIELDS:  # the fields of the last while stay, older ones go
+            self.young, self.old = {}, self.young
+        young, old, new = self.young, self.old, []
+        for f in dict.fromkeys(chain.from_iterable(fields)):
+            if f not in young:
+                if f in old:
+                    young[f] = old[f]
+                else:
+                    new.append(f)
+        young.update(zip(new, self.aligned(new), strict=True))
         for own in fields:
-            found = [known[f] if f in known else fresh[f] for f in own]
+            found = [young[f] for f in own]
             if not found or None in found:
                 yield "", b"", 0, 0
                 continue
             groups, links, na, nb = zip(*found, strict=True)
             yield "".join(groups)[:-1], b"".join(links), sum(na), sum(nb)
+        for f in new:
+            if len(f) > CACHE_CHARS:
+                del young[f]
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
