@@ -34,8 +34,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _store(spark: SparkSession, path: str):
+    """(path, its file system) as Spark's own readers see them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared store, if it is there."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    where, store = _store(spark, path)
+    store.delete(where, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, store = _store(spark, path)
+    return store.exists(where)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Paths in a folder of the shared store, in order; none if it is not there."""
+    where, store = _store(spark, path)
+    return sorted(s.getPath().toString() for s in store.listStatus(where)) if store.exists(where) else []
+
+
+def claimed(spark: SparkSession, path: str) -> bool:
+    """Whether this call made the file; of several writers one gets True, where the store makes new files atomically."""
+    where, store = _store(spark, path)
+    return store.createNewFile(where)

@@ -41,6 +41,15 @@ def beta_regularized(a: float, b: float, x: float) -> float:
     return front * total / a
 
 
+def beta_quantile(p: float, a: float, b: float) -> float:
+    """Bisection on the regularised incomplete beta."""
+    lo, hi = 0.0, 1.0
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if beta_regularized(a, b, mid) < p else (lo, mid)
+    return (lo + hi) / 2
+
+
 def student_cdf(t: float, df: float) -> float:
     tail = 0.5 * beta_regularized(df / 2, 0.5, df / (df + t * t))
     return 1 - tail if t > 0 else tail

@@ -82,6 +82,27 @@ def sizing(n: int, eps_cdf: float, set_type: str = "symm") -> dict[str, float]:
     return {"chunks": s, "b": b, "runs": clamp(math.sqrt(n) * b / math.log(n)), "boot_runs": clamp(n**1.5 / math.log(n)), "precision": 1 / math.sqrt(n)}
 
 
+def sizing_columns(n: Column, eps_cdf: Column, set_type: str = "symm") -> dict[str, Column]:
+    """`sizing` of every row."""
+    s = F.ceil(F.lit(20 if set_type == "eqtail" else 10) * F.log(n) / eps_cdf)
+    b = F.floor(n / s)
+    clamp = lambda x: F.floor(F.least(F.greatest(x, F.lit(100.0)), F.lit(10_000.0)))
+    return {"chunks": s, "b": b, "runs": clamp(F.sqrt(n) * b / F.log(n)), "boot_runs": clamp(F.pow(n, F.lit(1.5)) / F.log(n)), "precision": F.lit(1.0) / F.sqrt(n)}
+
+
+def zcdp_sizing_columns(n: Column, eps: Column) -> dict[str, Column]:
+    """`zcdp_sizing` of every row."""
+    s = F.ceil(F.least(F.lit(5.0) / eps * F.sqrt(n), n / F.lit(5.0)))
+    b = F.floor(n / s)
+    return {"chunks": s, "b": b, "runs": F.floor(F.sqrt(n) * b / F.log(n))}
+
+
+def survey_runs_column(n: Column, eps_cdf: Column) -> Column:
+    """Resamples of a chunk by `survey_sizing` of every row."""
+    b = F.floor(n / F.ceil(F.lit(10) * F.log(n) / eps_cdf))
+    return F.floor(F.least(F.sqrt(n) * b / F.log(n), F.lit(1e6) * b / n))
+
+
 def zcdp_sizing(n: int, eps: float) -> dict[str, int]:
     """Sizes of the zCDP study."""
     s = math.ceil(min(5 / eps * math.sqrt(n), n / 5))
@@ -100,18 +121,14 @@ def survey_sizing(n: int, eps_cdf: float) -> dict[str, float]:
     return {"chunks": s, "b": b, "runs": int(min(math.sqrt(n) * b / math.log(n), 1e6 * b / n)), "boot_runs": int(min(n**1.5 / math.log(n), 1e6)), "precision": 10 / math.sqrt(n)}
 
 
-def variance_bound(n: int, sd: float | None = None, width: float | None = None) -> float:
-    """Upper limit of a chunk's variance in the private median: (50 sd)^2 / n, or ((width / 4) 10)^2 / n."""
+def variance_bound(n, sd: float | None = None, width: float | None = None):
+    """Upper limit of a chunk's variance in the private median: (50 sd)^2 / n, or ((width / 4) 10)^2 / n; n is a number or a column."""
     if (sd is None) == (width is None):
         raise ValueError("give either sd or width")
     return (50 * sd) ** 2 / n if sd is not None else (width / 4 * 10) ** 2 / n
 
 
-def granularity(n: int) -> float:
-    """How far the private median of variances spreads values apart: n^-1.5."""
+def granularity(n):
+    """How far the private median of variances spreads values apart: n^-1.5; n is a number or a column."""
     return n**-1.5
 
-
-def spread(column: Column, low: float, high: float, bins: int) -> Column:
-    """Bin of a bounded value."""
-    return F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((column - F.lit(low)) / F.lit((high - low) / bins)))).cast("int")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veilstat.functions.session import children, claimed
 from veilstat.operators.mechanisms import in_interval
+from veilstat.operators.selection import medians
 
 
 MOST_METHODS = 1000
@@ -39,8 +41,10 @@ def long_form(df: DataFrame, keys: list[str], methods: list[str]) -> DataFrame:
 
 def summary(df: DataFrame, by: list[str], x: str, center: str = "mean") -> DataFrame:
     """Mean or median per group with the standard error of the mean."""
-    mid = {"mean": F.avg, "median": F.median}[center](x)
-    return df.groupBy(*by).agg(mid.alias("value"), (F.stddev_samp(x) / F.sqrt(F.count(x))).alias("se"), F.count(x).alias("rows"))
+    if center not in ("mean", "median"):
+        raise ValueError(f"no centre {center!r}")
+    out = df.groupBy(*by).agg(F.avg(x).alias("value"), (F.stddev_samp(x) / F.sqrt(F.count(x))).alias("se"), F.count(x).alias("rows"))
+    return out if center == "mean" else medians(df, x, by).join(out.drop("value"), by)
 
 
 def write_run(df: DataFrame, path: str, run_id: str, kind: str) -> None:
@@ -58,3 +62,12 @@ def next_run_id(existing: list[str], day: str) -> str:
     """day + v + the number after the largest used that day; exact match of the day, not a substring."""
     used = [int(r.rpartition("v")[2]) for r in existing if r.rpartition("v")[0] == day and r.rpartition("v")[2].isdigit()]
     return f"{day}v{max(used, default=-1) + 1}"
+
+
+def claim_run_id(spark: SparkSession, path: str, day: str) -> str:
+    """The next run id of a day under a folder, for this writer alone: an id is its claim file, and whoever made that has it."""
+    while True:
+        names = [p.rpartition("/")[2] for p in children(spark, f"{path}/_claims")]
+        own = next_run_id(names, day)
+        if claimed(spark, f"{path}/_claims/{own}"):
+            return own

@@ -9,9 +9,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilstat.functions.session import checkpointed
+
 
 @dataclass(frozen=True)
 class Bins:
@@ -76,6 +80,51 @@ def cumulative(hist: DataFrame, groups: DataFrame, bins: Bins, by: list[str], va
     return joined.select(*by, "bin", F.sum(F.coalesce(F.col(value), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"))
 
 
+BLOCK = 4096
+
+
+def prefix_sums(hist: DataFrame, bins: Bins) -> DataFrame:
+    """(bin, ct, before, cum) of every bin: its count, the counts below it, and those with its own; blocks of bins first, so no task holds more
+    than a block, or a number a block."""
+    grid = hist.sparkSession.range(bins.count).select(F.col("id").cast("int").alias("bin"))
+    full = grid.join(hist, "bin", "left").select("bin", F.coalesce("ct", F.lit(0)).cast("bigint").alias("ct"), (F.col("bin") / BLOCK).cast("int").alias("_block"))
+    blocks = full.groupBy("_block").agg(F.sum("ct").alias("_s"))
+    below = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    blocks = blocks.select("_block", F.coalesce(F.sum("_s").over(below), F.lit(0)).alias("_offset"))
+    own = Window.partitionBy("_block").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    out = full.join(blocks, "_block").withColumn("cum", F.col("_offset") + F.sum("ct").over(own))
+    return checkpointed(out.select("bin", "ct", (F.col("cum") - F.col("ct")).alias("before"), "cum"))
+
+
+def least_mass(share: float, total: int) -> int:
+    """The smallest count whose share of the total is at least this one, as doubles compare."""
+    m = max(0, int(share * total) - 2)
+    while m / total < share:
+        m += 1
+    return m
+
+
+def first_at_least(df: DataFrame, sums: DataFrame, bins: Bins, target: str) -> DataFrame:
+    """df with `j`, the first bin whose prefix sum reaches the target; rows without one go.
+
+    A binary search in the blocks' last sums, a number for BLOCK bins, which all tasks get; then an equi-join with the block and a binary
+    search in it. No row meets more than one block.
+    """
+    blocks = sums.groupBy((F.col("bin") / BLOCK).cast("int").alias("_block")).agg(F.array_sort(F.collect_list("cum")).alias("_cums"))
+    tops = np.array([r[0] for r in sums.groupBy((F.col("bin") / BLOCK).cast("int").alias("b")).agg(F.max("cum").alias("c")).orderBy("b").select("c").collect()], np.int64)
+
+    @F.pandas_udf("int")
+    def block_of(t: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(tops, t.to_numpy(np.int64)).astype(np.int32))
+
+    @F.pandas_udf("int")
+    def place_in(t: pd.Series, block: pd.Series, cums: pd.Series) -> pd.Series:
+        return pd.Series([b * BLOCK + int(np.searchsorted(c, v)) for v, b, c in zip(t, block, cums, strict=True)], dtype="int32")
+
+    near = df.withColumn("_block", block_of(F.col(target))).filter(F.col("_block") < len(tops))
+    return near.join(blocks, "_block").withColumn("j", place_in(F.col(target), F.col("_block"), F.col("_cums"))).drop("_block", "_cums")
+
+
 def range_mass(cum: DataFrame, candidates: DataFrame, by: list[str]) -> DataFrame:
     """Mass of bins first..last of every candidate in every group, by two look-ups in the prefix sums."""
     end = cum.withColumnRenamed("bin", "last").withColumnRenamed("cum", "_hi")

@@ -1,17 +1,23 @@
 """Confidence sets read off a histogram, and private interval search by AboveThreshold.
 
-The search scores every candidate interval in every chunk by prefix sums, takes a noisy order statistic of the chunk
+The search scores candidate intervals in every chunk by prefix sums, takes a noisy order statistic of the chunk
 coverages per candidate, and keeps the first candidate over the threshold. The noise of a candidate depends on its
-number alone, so looking at all candidates at once has the law of stopping at the first.
+number alone, so scoring candidates in ranges of doubling size has the law of stopping at the first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilstat.operators.histograms import Bins, cover_nodes, cumulative, range_mass
+from veilstat.functions.session import checkpointed
+from veilstat.operators.histograms import Bins, cover_nodes, cumulative, first_at_least, least_mass, prefix_sums, range_mass
 from veilstat.operators.mechanisms import noisy_order_statistic
+from veilstat.operators.selection import at_ranks
+
+FIRST = 4096  # candidates that a search scores at first
 
 
 def shares(hist: DataFrame, bins: Bins, total: int) -> DataFrame:
@@ -53,27 +59,39 @@ def middle_sets(hist: DataFrame, bins: Bins, total: int, alpha: float, error: fl
 
 
 def short_sets(hist: DataFrame, bins: Bins, total: int, alpha: float) -> DataFrame:
-    """(kind, l, u): of the sets whose coverage falls under 1 - alpha if either end moves in, the shortest and the one of middle length."""
-    below = shares(hist, bins, total).select("bin", F.round(F.col("below") * F.lit(float(total))).cast("long").alias("cum"))
-    i = below.select(F.col("bin").alias("i"), (F.coalesce(F.lag("cum").over(Window.orderBy("bin")), F.lit(0))).alias("before"), F.col("cum").alias("own"))
-    j = below.select(F.col("bin").alias("j"), F.col("cum").alias("upto"))
-    need = F.lit(1 - alpha)
-    pairs = i.join(j, F.col("j") > F.col("i")).withColumn("cov", (F.col("upto") - F.col("before")) / F.lit(float(total)))
-    scan = Window.orderBy("i", F.col("j").desc())
-    lagged = pairs.select(
-        "i", "j", "cov",
-        F.coalesce(F.lag("i").over(scan), F.lit(0)).alias("pi"), F.coalesce(F.lag("j").over(scan), F.lit(bins.count - 1)).alias("pj"), F.coalesce(F.lag("cov").over(scan), F.lit(1.0)).alias("pcov"),
-    )
-    inner = lagged.join(i.select(F.col("i").alias("pi"), F.col("own").alias("pown")), "pi").join(j.select(F.col("j").alias("pj"), F.col("upto").alias("pup")), "pj")
-    valid = inner.filter((F.col("cov") < need) & (F.col("pcov") >= need) & ((F.col("pup") - F.col("pown")) / F.lit(float(total)) < need))
-    by_length = Window.orderBy(F.col("pj") - F.col("pi"), "i", F.col("j").desc())
-    ranked = valid.select("pi", "pj", (F.row_number().over(by_length) - 1).alias("k"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("n"))
-    kinds = ranked.filter("k = 0").select(F.lit("shortest").alias("kind"), "pi", "pj").union(ranked.filter("k = floor(n / 2)").select(F.lit("middle"), "pi", "pj"))
-    return kinds.select("kind", bins.left(F.col("pi")).alias("l"), bins.right(F.col("pj")).alias("u"))
+    """(kind, l, u): of the sets whose coverage falls under 1 - alpha if either end moves in, the shortest and the one of middle length.
+
+    For each left end the first right end that covers enough comes from a binary search in the prefix sums, so there are at most two sets
+    a bin: that one, and the set of the bin with its left neighbour where the range on its right does not cover enough. The
+    middle one in the order of (length, left end) is found by counts. Nothing where no set qualifies.
+    """
+    sums = prefix_sums(hist, bins)
+    need = least_mass(1 - alpha, total)
+    own = sums.select(F.col("bin").alias("i"), "before", F.col("cum").alias("upto"), F.col("ct").alias("own"))
+    found = first_at_least(own.withColumn("target", F.col("before") + F.lit(need)), sums, bins, "target")
+    # Moving in the right end is the search's own condition; moving in the left end must lose too much as well.
+    reach = found.filter("j >= i + 2").join(sums.select(F.col("bin").alias("j"), F.col("cum").alias("end")), "j").filter(F.col("end") - F.col("before") - F.col("own") < need)
+    one = reach.select(F.col("i").alias("pi"), F.col("j").alias("pj"), (F.col("i") * 2 + 1).alias("turn"))
+    # Where the range from a bin on does not cover enough: the bin with its left neighbour; for the first bin the whole range.
+    all_mass = sums.agg(F.max("cum").alias("all"))
+    left = own.select((F.col("i") + 1).alias("i"), F.col("before").alias("lbefore"))
+    tails = own.filter(F.col("i") < bins.count - 1).join(left, "i", "left").crossJoin(F.broadcast(all_mass)).filter(F.col("all") - F.col("before") < need)
+    first = F.col("i") == 0
+    kept = tails.filter(F.when(first, F.col("all") - F.col("own") < need).otherwise((F.col("upto") - F.col("lbefore") >= need) & (F.col("own") < need)))
+    two = kept.select(F.greatest(F.col("i") - 1, F.lit(0)).alias("pi"), F.when(first, F.lit(bins.count - 1)).otherwise(F.col("i")).alias("pj"), (F.col("i") * 2).alias("turn"))
+    valid = checkpointed(one.unionByName(two).withColumn("long", (F.col("pj") - F.col("pi")).cast("long")))
+    short = valid.agg(F.min(F.struct("long", "turn", "pi", "pj")).alias("r")).filter("r is not null").select(F.lit("shortest").alias("kind"), "r.pi", "r.pj")
+    half = at_ranks(valid, "long", [], {"w": F.floor(F.col("_n") / 2) + 1}).select("w", F.floor(F.col("_n") / 2).alias("k"))
+    below = valid.crossJoin(F.broadcast(half)).agg(F.count_if(F.col("long") < F.col("w")).alias("less"), F.max("k").alias("k"), F.max("w").cast("long").alias("w"))
+    alike = valid.crossJoin(F.broadcast(below)).filter(F.col("long") == F.col("w"))
+    place = (below.first()["k"] or 0) - below.first()["less"] + 1
+    turn = at_ranks(alike, "turn", [], {"turn": F.lit(place)}).select(F.col("turn").cast("int").alias("turn"))
+    middle = alike.withColumn("turn", F.col("turn").cast("int")).join(F.broadcast(turn), "turn").select(F.lit("middle").alias("kind"), "pi", "pj")
+    return short.unionByName(middle).select("kind", bins.left(F.col("pi")).alias("l"), bins.right(F.col("pj")).alias("u"))
 
 
-def candidates(spark: SparkSession, kind: str, m: int, least: int = 0) -> DataFrame:
-    """(ord, first, last) of the intervals that a search tries, in its order, over m bins.
+def candidates(spark: SparkSession, kind: str, m: int, least: int = 0, lo: int = 0, hi: int | None = None) -> DataFrame:
+    """(ord, first, last) of the intervals that a search tries, in its order, over m bins; those numbered lo to hi - 1 only if given.
 
     symm: growing around the centre, without the outermost pair. short: by width from `least`, each width from the
     middle outwards; where a width has an even number of places the middle is tried twice and the first never. low:
@@ -88,7 +106,8 @@ def candidates(spark: SparkSession, kind: str, m: int, least: int = 0) -> DataFr
     elif kind == "up":
         base = spark.range(m - m // 2).select(F.col("id").alias("ord"), F.lit(0).alias("first"), (F.lit(m // 2) + F.col("id")).cast("int").alias("last"))
     elif kind == "short":
-        widths = spark.range(least, m).select(F.col("id").cast("int").alias("w"), (F.lit(m) - F.col("id")).cast("int").alias("k"))
+        a, b = (least, m) if hi is None else (width_of(lo, m, least), min(m, width_of(hi - 1, m, least) + 1))
+        widths = spark.range(a, b).select(F.col("id").cast("int").alias("w"), (F.lit(m) - F.col("id")).cast("int").alias("k"))
         each = widths.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
         q = F.floor(F.col("k") / 2).cast("int")
         even = F.when(F.col("t") % 2 == 0, q - F.floor(F.col("t") / 2)).otherwise(q + F.floor(F.col("t") / 2))
@@ -98,7 +117,43 @@ def candidates(spark: SparkSession, kind: str, m: int, least: int = 0) -> DataFr
         base = each.select((before + F.col("t")).cast("long").alias("ord"), place.alias("first"), (place + F.col("w")).alias("last"))
     else:
         raise ValueError(f"no set type {kind!r}")
-    return base
+    return base if hi is None else base.filter((F.col("ord") >= lo) & (F.col("ord") < hi))
+
+
+def before_width(w: int, m: int, least: int) -> int:
+    """How many candidates of `short` are narrower than w bins more than one."""
+    return (w - least) * m - (w * (w - 1) - least * (least - 1)) // 2
+
+
+def width_of(at: int, m: int, least: int) -> int:
+    """The width of the candidate of `short` with this number."""
+    lo, hi = least, m
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if before_width(mid, m, least) <= at else (lo, mid)
+    return lo
+
+
+def numbers(kind: str, m: int, least: int = 0) -> tuple[int, int]:
+    """The number of the first candidate and that after the last."""
+    if kind == "symm":
+        q, odd = divmod(m, 2)
+        start = least // 2
+        return start, max(start, q if odd else q - 1)
+    if kind == "short":
+        return 0, before_width(m, m, least) if m > least else 0
+    if kind in ("low", "up"):
+        return 0, m // 2 + 1 if kind == "low" else m - m // 2
+    raise ValueError(f"no set type {kind!r}")
+
+
+def frontier(start: int, stop: int, first: int = FIRST) -> Iterator[tuple[int, int]]:
+    """Ranges of candidates to score one after another: at first `first`, then as many as before, so at most twice those up to any of them."""
+    at = start
+    while at < stop:
+        end = min(stop, at + max(first, at - start))
+        yield at, end
+        at = end
 
 
 def accepted(coverage: DataFrame, alpha: float, global_eps: float, local_eps: float, error: float, seed, fixed: bool = False) -> DataFrame:
@@ -110,7 +165,12 @@ def accepted(coverage: DataFrame, alpha: float, global_eps: float, local_eps: fl
 def coverages(stats: DataFrame, hist: DataFrame, cand: DataFrame, bins: Bins, runs: int, by: list[str]) -> DataFrame:
     """(by..., ord, chunk, cov) from flat histograms (by..., chunk, bin, ct); chunks without mass in a candidate stay."""
     keys = [*by, "chunk"]
-    mass = range_mass(cumulative(hist, stats.select(*keys), bins, keys), cand, keys)
+    return covered(cumulative(hist, stats.select(*keys), bins, keys), cand, runs, by)
+
+
+def covered(cum: DataFrame, cand: DataFrame, runs: int, by: list[str]) -> DataFrame:
+    """`coverages` from prefix sums (by..., chunk, bin, cum)."""
+    mass = range_mass(cum, cand, [*by, "chunk"])
     return mass.select(*by, "ord", "chunk", (F.col("mass") / F.lit(float(runs))).alias("cov"))
 
 
@@ -122,70 +182,91 @@ def dyadic_coverages(hist: DataFrame, groups: DataFrame, cand: DataFrame, bins:
     return grid.join(hit, ["ord", "chunk"], "left").select("ord", "chunk", (F.coalesce("ct", F.lit(0)) / F.lit(float(runs))).alias("cov"))
 
 
-def search(stats: DataFrame, hist: DataFrame, bins: Bins, runs: int, alpha: float, eps: float, kind: str, least: int = 0, error: float = 0.0, seed: int = 0, tree: bool = False, fixed: bool = False) -> DataFrame:
+def search(stats: DataFrame, hist: DataFrame, bins: Bins, runs: int, alpha: float, eps: float, kind: str, least: int = 0, error: float = 0.0, seed: int = 0, tree: bool = False, fixed: bool = False, first: int = FIRST) -> DataFrame:
     """One row (l, u, ord, released): the first accepted candidate, else the whole range with nulls.
 
-    eqtail halves eps and alpha and searches both sides on their own; then ord and released are those of the low side.
+    Candidates are scored range by range (`frontier`) until one is accepted; the histograms are a checkpoint, so a range costs its own candidates
+    only. eqtail halves eps and alpha and searches both sides on their own; then ord and released are those of the low side.
     """
     spark = stats.sparkSession
     sides = [("low", alpha / 2, eps / 2), ("up", alpha / 2, eps / 2)] if kind == "eqtail" else [(kind, alpha, eps)]
-    best = None
+    groups = checkpointed(stats.select("chunk").distinct())
+    held = checkpointed(hist if tree else cumulative(hist, groups, bins, ["chunk"]))
+    found: dict[str, Row | None] = {}
     for side, a, e in sides:
-        cand = candidates(spark, side, bins.count, least)
-        cov = dyadic_coverages(hist, stats, cand, bins, runs) if tree else coverages(stats, hist, cand, bins, runs, [])
-        found = accepted(cov, a, e / 2, e / 4, error, f"{seed}-{side}", fixed).join(cand, "ord")
-        one = found.agg(F.min(F.struct("ord", "first", "last", "released")).alias(side))
-        best = one if best is None else best.crossJoin(one)
-    low = F.col(f"{sides[0][0]}.first")
-    high = F.col(f"{sides[-1][0]}.last")
-    return best.select(
-        F.coalesce(bins.left(low), F.lit(float(bins.low))).alias("l"), F.coalesce(bins.right(high), F.lit(float(bins.high))).alias("u"),
-        F.col(f"{sides[0][0]}.ord").alias("ord"), F.col(f"{sides[0][0]}.released").alias("released"),
+        found[side] = None
+        for lo, hi in frontier(*numbers(side, bins.count, least), first):
+            cand = candidates(spark, side, bins.count, least, lo, hi)
+            cov = dyadic_coverages(held, groups, cand, bins, runs) if tree else covered(held, cand, runs, [])
+            best = accepted(cov, a, e / 2, e / 4, error, f"{seed}-{side}", fixed).join(cand, "ord").agg(F.min(F.struct("ord", "first", "last", "released")).alias("b")).first()["b"]
+            if best is not None:
+                found[side] = best
+                break
+    low, high = found[sides[0][0]], found[sides[-1][0]]
+    number = lambda row, name, kind: F.lit(None if row is None else row[name]).cast(kind)
+    return spark.range(1).select(
+        F.coalesce(bins.left(number(low, "first", "int")), F.lit(float(bins.low))).alias("l"), F.coalesce(bins.right(number(high, "last", "int")), F.lit(float(bins.high))).alias("u"),
+        number(low, "ord", "bigint").alias("ord"), number(low, "released", "double").alias("released"),
     )
 
 
 def search_dims(
-    stats: DataFrame, bins: dict[int, Bins], runs: int, alpha: float, eps: float, kind: str, least: dict[int, int] | None = None, error: float = 0.0, seed: int = 0, tree: bool = False, fixed: bool = False
+    stats: DataFrame, bins: dict[int, Bins], runs: int, alpha: float, eps: float, kind: str, least: dict[int, int] | None = None, error: float = 0.0, seed: int = 0, tree: bool = False, fixed: bool = False, first: int = FIRST
 ) -> DataFrame:
     """(dim, l, u, ord, released) from (chunk, dim, stat): every dimension with its own bins and least length; each spends the whole eps.
 
-    All dimensions go through the same aggregates, keyed by `dim`; with `tree` the coverages come from dyadic histograms.
+    All dimensions go through the same aggregates, keyed by `dim`; with `tree` the coverages come from dyadic histograms. Candidates are
+    scored range by range (`frontier`), and a dimension leaves the search when one of its own is accepted.
     """
     if kind not in ("symm", "short"):
         raise ValueError(f"set type {kind!r} is not for all dimensions")
     spark = stats.sparkSession
     dims = F.broadcast(spark.createDataFrame([(d, float(b.low), float(b.high), b.count, b.depth) for d, b in sorted(bins.items())], "dim int, low double, high double, bins int, depth int"))
-    cand = nodes = None
-    for d, own in sorted(bins.items()):  # a bounded table of candidates each
-        mine = candidates(spark, kind, own.count, (least or {}).get(d, 0))
-        one = mine.select(F.lit(d).alias("dim"), "ord", "first", "last")
-        cand = one if cand is None else cand.union(one)
-        if tree:
-            one = cover_nodes(mine, own).select(F.lit(d).alias("dim"), "ord", "level", "bin")
-            nodes = one if nodes is None else nodes.union(one)
     known = stats.join(dims, "dim").filter((F.col("stat") >= F.col("low")) & (F.col("stat") < F.col("high")))
     number = F.floor((F.col("stat") - F.col("low")) * F.col("bins") / (F.col("high") - F.col("low"))).cast("int")
     hist = known.groupBy("dim", "chunk", "depth", number.alias("bin")).agg(F.count("*").alias("ct"))
-    groups = stats.join(dims, "dim").select("dim", "chunk", "bins").distinct()
+    groups = checkpointed(stats.join(dims, "dim").select("dim", "chunk", "bins").distinct())
     if tree:
         each = hist.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("depth") - 1)))
-        levels = each.groupBy("dim", "chunk", "level", F.expr("shiftright(bin, depth - 1 - level)").alias("_b")).agg(F.sum("ct").alias("ct")).withColumnRenamed("_b", "bin")
-        hit = nodes.join(levels, ["dim", "level", "bin"]).groupBy("dim", "ord", "chunk").agg(F.sum("ct").alias("mass"))
-        cov = cand.join(groups, "dim").join(hit, ["dim", "ord", "chunk"], "left")
+        held = each.groupBy("dim", "chunk", "level", F.expr("shiftright(bin, depth - 1 - level)").alias("_b")).agg(F.sum("ct").alias("ct")).withColumnRenamed("_b", "bin")
     else:
         full = groups.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1))).join(hist, ["dim", "chunk", "bin"], "left")
         upto = Window.partitionBy("dim", "chunk").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # a row a bin
-        cum = full.select("dim", "chunk", "bin", F.sum(F.coalesce("ct", F.lit(0))).over(upto).alias("cum"))
-        end = cum.select("dim", "chunk", F.col("bin").alias("last"), F.col("cum").alias("_hi"))
-        start = cum.select("dim", "chunk", (F.col("bin") + 1).alias("first"), F.col("cum").alias("_lo"))
-        cov = cand.join(end, ["dim", "last"]).join(start, ["dim", "chunk", "first"], "left").withColumn("mass", F.col("_hi") - F.coalesce("_lo", F.lit(0)))
-    cov = cov.select("dim", "ord", "chunk", (F.coalesce("mass", F.lit(0)) / F.lit(float(runs))).alias("cov"))
-    released = noisy_order_statistic(cov, "cov", ["dim", "ord"], eps / 2, eps / 4, 1.0, seed, fixed).filter(F.col("value") > F.lit(1 - alpha + error))
-    best = released.join(cand, ["dim", "ord"]).groupBy("dim").agg(F.min(F.struct("ord", "first", "last", "value")).alias("b"))
+        held = full.select("dim", "chunk", "bin", F.sum(F.coalesce("ct", F.lit(0))).over(upto).alias("cum"))
+    held = checkpointed(held)
+    left = {d: frontier(*numbers(kind, own.count, (least or {}).get(d, 0)), first) for d, own in bins.items()}
+    found: list[tuple] = []
+    while left:
+        cand = nodes = None
+        for d, ranges in sorted(left.items()):
+            if (own := next(ranges, None)) is None:
+                del left[d]
+                continue
+            mine = candidates(spark, kind, bins[d].count, (least or {}).get(d, 0), *own)
+            one = mine.select(F.lit(d).alias("dim"), "ord", "first", "last")
+            cand = one if cand is None else cand.union(one)
+            if tree:
+                one = cover_nodes(mine, bins[d]).select(F.lit(d).alias("dim"), "ord", "level", "bin")
+                nodes = one if nodes is None else nodes.union(one)
+        if cand is None:
+            break
+        if tree:
+            hit = nodes.join(held, ["dim", "level", "bin"]).groupBy("dim", "ord", "chunk").agg(F.sum("ct").alias("mass"))
+            cov = cand.join(groups, "dim").join(hit, ["dim", "ord", "chunk"], "left")
+        else:
+            end = held.select("dim", "chunk", F.col("bin").alias("last"), F.col("cum").alias("_hi"))
+            start = held.select("dim", "chunk", (F.col("bin") + 1).alias("first"), F.col("cum").alias("_lo"))
+            cov = cand.join(end, ["dim", "last"]).join(start, ["dim", "chunk", "first"], "left").withColumn("mass", F.col("_hi") - F.coalesce("_lo", F.lit(0)))
+        cov = cov.select("dim", "ord", "chunk", (F.coalesce("mass", F.lit(0)) / F.lit(float(runs))).alias("cov"))
+        released = noisy_order_statistic(cov, "cov", ["dim", "ord"], eps / 2, eps / 4, 1.0, seed, fixed).filter(F.col("value") > F.lit(1 - alpha + error))
+        for r in released.join(cand, ["dim", "ord"]).groupBy("dim").agg(F.min(F.struct("ord", "first", "last", "value")).alias("b")).collect():  # a row a dimension
+            found.append((r.dim, *r.b))
+            del left[r.dim]
+    best = spark.createDataFrame(found, "dim int, ord long, first int, last int, value double")
     width = (F.col("high") - F.col("low")) / F.col("bins")
     edge = lambda b: F.round(F.col("low") + b * width, 13)
     return dims.join(best, "dim", "left").select(
-        "dim", F.coalesce(edge(F.col("b.first")), F.col("low")).alias("l"), F.coalesce(edge(F.col("b.last") + 1), F.col("high")).alias("u"), F.col("b.ord").alias("ord"), F.col("b.value").alias("released")
+        "dim", F.coalesce(edge(F.col("first")), F.col("low")).alias("l"), F.coalesce(edge(F.col("last") + 1), F.col("high")).alias("u"), "ord", F.col("value").alias("released")
     )
 
 

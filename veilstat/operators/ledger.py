@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veilstat.operators.zcdp import eps_to_rho
 
@@ -52,3 +53,10 @@ def study_ledger(eps: float, share: float, search_candidates: int, dims: int = 1
     book.spend("threshold", "AboveThreshold", rest / 2, uses=dims if fixed else dims * max(1, search_candidates))
     book.spend("queries", "AboveThreshold", rest / 2, uses=dims)
     return book
+
+
+def study_releases(eps: Column, share: float, search_candidates: int, dims: int = 1, fixed: bool = False) -> Column:
+    """`study_ledger` of every row: an array of (release, each, uses, spent)."""
+    entry = lambda name, part, uses: F.struct(F.lit(name).alias("release"), (eps * F.lit(part)).alias("each"), F.lit(uses).alias("uses"), (eps * F.lit(part) * F.lit(uses)).alias("spent"))
+    own, rest = split(1.0, share)
+    return F.array(entry("estimate", own, dims), entry("threshold", rest / 2, dims if fixed else dims * max(1, search_candidates)), entry("queries", rest / 2, dims))

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from veilstat.functions.special import symmetric_root
 
 
+NEWTON_RIDGE = 1e-6
+
+
 def with_intercept(df: DataFrame, x: str = "x") -> DataFrame:
     return df.withColumn(x, F.array_append(F.col(x), F.lit(1.0)))
 
@@ -75,12 +78,12 @@ def derivatives(df: DataFrame, beta: list[float]) -> tuple[np.ndarray, np.ndarra
     return np.array([row[f"g{i}"] for i in range(d)], float), _matrix(row, "h", d)
 
 
-def newton_step(df: DataFrame, beta: list[float], ridge: float = 1e-6) -> list[float]:
+def newton_step(df: DataFrame, beta: list[float], ridge: float = NEWTON_RIDGE) -> list[float]:
     g, h = derivatives(df, beta)
     return (np.array(beta) - np.linalg.solve(h + ridge * np.eye(len(beta)), g)).tolist()
 
 
-def fit(df: DataFrame, d: int, start: list[float] | None = None, tolerance: float = 1e-3, steps: int = 100, ridge: float = 1e-6, solver: str = "newton") -> list[float]:
+def fit(df: DataFrame, d: int, start: list[float] | None = None, tolerance: float = 1e-3, steps: int = 100, ridge: float = NEWTON_RIDGE, solver: str = "newton") -> list[float]:
     """The estimate; `newton` by default, `lbfgs` by Spark's own optimiser."""
     if solver == "lbfgs":
         from pyspark.ml.classification import LogisticRegression
@@ -118,17 +121,33 @@ def inverse_hessian_square(df: DataFrame, beta: list[float], ridge: float = 1e-1
     return inverse @ inverse.T
 
 
-def weighted_newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, start: np.ndarray, tolerance: float = 1e-6, steps: int = 100, ridge: float = 1e-6) -> np.ndarray:
+def _pairs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Products of the columns of x, pair by pair, and the pairs."""
+    i, j = np.triu_indices(x.shape[1])
+    return x[:, i] * x[:, j], i, j
+
+
+def _matrices(sums: np.ndarray, i: np.ndarray, j: np.ndarray, d: int) -> np.ndarray:
+    """Symmetric matrices from rows of their upper triangles."""
+    out = np.empty((len(sums), d, d))
+    out[:, i, j] = sums
+    out[:, j, i] = sums
+    return out
+
+
+def weighted_newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, start: np.ndarray, tolerance: float = 1e-6, steps: int = 100, ridge: float = NEWTON_RIDGE) -> np.ndarray:
     """One estimate a row of weights, all rows of weights at once: (runs, d)."""
-    n = w.sum(1)[:, None]
+    d = x.shape[1]
+    share = w / w.sum(1)[:, None]
     beta = np.tile(start.astype(float), (len(w), 1))
     active = np.arange(len(w))
+    signed, (products, i, j) = y[:, None] * x, _pairs(x)
     for _ in range(steps):
-        b = beta[active]
-        m = y * (b @ x.T)
-        s = 1 / (1 + np.exp(np.clip(-m, -700, 700)))
-        g = -((w[active] * (1 - s) * y) @ x) / n[active]
-        h = np.einsum("rb,bi,bj->rij", w[active] * s * (1 - s), x, x, optimize=True) / n[active][:, :, None] + ridge * np.eye(x.shape[1])
+        b, own = beta[active], share if len(active) == len(share) else share[active]
+        s = 1 / (1 + np.exp(np.clip(b @ signed.T, -700, 700)))
+        pull = own * s
+        g = -(pull @ signed)
+        h = _matrices((pull * (1 - s)) @ products, i, j, d) + ridge * np.eye(d)
         step = np.linalg.solve(h, g[:, :, None])[:, :, 0]
         beta[active] = b - step
         active = active[np.linalg.norm(step, axis=1) > tolerance]
@@ -143,7 +162,8 @@ def private_weighted(x: np.ndarray, y: np.ndarray, w: np.ndarray, start: np.ndar
     runs, d = beta.shape
     n = w.sum(1)
     s = 1 / (1 + np.exp(np.clip(-(beta @ x.T), -700, 700)))
-    h = np.einsum("rb,bi,bj->rij", w * s * (1 - s), x, x, optimize=True) / n[:, None, None] + 1e-7 * np.eye(d)
+    products, i, j = _pairs(x)
+    h = _matrices((w * s * (1 - s)) @ products / n[:, None], i, j, d) + 1e-7 * np.eye(d)
     v = rng.normal(size=(runs, d))
     v *= (2 * norm_bound / (n * eps) * rng.gamma(d, size=runs) / np.linalg.norm(v, axis=1))[:, None]
     return beta + np.linalg.solve(h, v[:, :, None])[:, :, 0]

@@ -24,6 +24,7 @@ from veilstat.operators.chunking import SURVEY_RANGES, chunk_count, granularity,
 from veilstat.operators.histograms import Bins
 from veilstat.operators.logistic import fit, private_weighted, weighted_newton, with_intercept
 from veilstat.operators.mechanisms import in_interval
+from veilstat.operators.resampling import resample_counts
 from veilstat.operators.trial import dealt, private_medians, quantiles, searched, spread_apart, zcdp_set
 
 METHODS = ("proper_unstud", "normal_proper_blb", "boot_unstud_priv")
@@ -48,23 +49,6 @@ class LogisticStudy:
             raise ValueError(f"set type {self.set_type!r} is not for all dimensions")
 
 
-def drawn(population: DataFrame, key: str, cases: DataFrame) -> DataFrame:
-    """(n, trial, resample, x, y) of the cases (n, trial, resample): n rows of (key, x, y) for each, without replacement."""
-    total = population.count()
-    placed = checkpointed(permutation_rank(population.select(key, "x", "y"), key, purpose="population", n=total).select("pos", "x", "y"))
-
-    def places(frames):
-        for frame in frames:
-            for n, t, k in frame.itertuples(index=False):
-                if n > total:
-                    raise ValueError(f"the population has {total} rows, a trial asks for {n}")
-                at = np.random.default_rng([n, t, k + 1]).choice(total, n, replace=False)
-                yield pd.DataFrame({"n": n, "trial": t, "resample": k, "pos": at})
-
-    rows = cases.repartition("n", "trial", "resample").mapInPandas(places, "n int, trial int, resample int, pos long")
-    return rows.join(placed, "pos").select("n", "trial", "resample", "x", "y")
-
-
 def arrays(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """x with a last column of ones, and y, in one order whatever the order of the rows."""
     x, y = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy(float)
@@ -76,7 +60,7 @@ def resampled(x: np.ndarray, y: np.ndarray, n: int, runs: int, start: np.ndarray
     """Released estimates of `runs` resamples of n rows; infinite eps gives the plain ones."""
     out = []
     for lo in range(0, runs, BLOCK):
-        w = rng.multinomial(n, np.full(len(x), 1 / len(x)), size=min(BLOCK, runs - lo)).astype(float)
+        w = resample_counts(n, len(x), min(BLOCK, runs - lo), rng)
         out.append(weighted_newton(x, y, w, start) if math.isinf(eps) else private_weighted(x, y, w, start, eps, norm_bound, rng))
     return np.concatenate(out)
 
@@ -109,10 +93,39 @@ def sets_of(x: np.ndarray, y: np.ndarray, study: LogisticStudy, start: np.ndarra
 
 
 def run_logistic_trials(population: DataFrame, key: str, study: LogisticStudy, ns: list[int], trials: int) -> DataFrame:
-    """(n, eps, trial, method, dim, resample, covered, width) over a population of (key, x, y); each dimension spends the whole budget."""
-    spark, d = population.sparkSession, len(study.ranges)
-    truth = np.array(fit(with_intercept(population), d, tolerance=1e-6))
-    grid = spark.range(trials).select(F.explode(F.array(*[F.lit(n) for n in ns])).alias("n"), F.col("id").cast("int").alias("trial"))
+    """All trials of a study as one frame."""
+    grid = population.sparkSession.range(trials).select(F.explode(F.array(*[F.lit(n) for n in ns])).alias("n"), F.col("id").cast("int").alias("trial"))
+    return logistic_trials_of(Population(population, key), study, grid)
+
+
+class Population:
+    """Rows (key, x, y) to draw from, with their places in a keyed permutation and the coefficients of all of them: found once, used by every part of a study."""
+
+    def __init__(self, rows: DataFrame, key: str):
+        self.rows, self.total = rows, rows.count()
+        self.placed = checkpointed(permutation_rank(rows.select(key, "x", "y"), key, purpose="population", n=self.total).select("pos", "x", "y"))
+        self.d = rows.select(F.size("x")).first()[0] + 1
+        self.truth = np.array(fit(with_intercept(rows), self.d, tolerance=1e-6))
+
+    def drawn(self, cases: DataFrame) -> DataFrame:
+        """(n, trial, resample, x, y) of the cases (n, trial, resample): n rows for each, without replacement."""
+        total = self.total
+
+        def places(frames):
+            for frame in frames:
+                for n, t, k in frame.itertuples(index=False):
+                    if n > total:
+                        raise ValueError(f"the population has {total} rows, a trial asks for {n}")
+                    at = np.random.default_rng([n, t, k + 1]).choice(total, n, replace=False)
+                    yield pd.DataFrame({"n": n, "trial": t, "resample": k, "pos": at})
+
+        rows = cases.repartition("n", "trial", "resample").mapInPandas(places, "n int, trial int, resample int, pos long")
+        return rows.join(self.placed, "pos").select("n", "trial", "resample", "x", "y")
+
+
+def logistic_trials_of(population: Population, study: LogisticStudy, grid: DataFrame) -> DataFrame:
+    """(n, eps, trial, method, dim, resample, covered, width) of the trials (n, trial); each dimension spends the whole budget."""
+    d, truth, cells = len(study.ranges), population.truth, grid.count()
 
     def form(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         n, t = int(key[0]), int(key[1])
@@ -125,10 +138,10 @@ def run_logistic_trials(population: DataFrame, key: str, study: LogisticStudy, n
         est = private_weighted(x, y, np.ones((1, n)), truth, study.share * study.eps, study.norm_bound, np.random.default_rng([n, t, k, 11]))[0]
         return pd.DataFrame({"n": n, "trial": t, "resample": k, "dim": np.arange(d), "est": est, "truth": truth})
 
-    first = drawn(population, key, grid.withColumn("resample", F.lit(-1)))
-    sets = checkpointed(dealt(first, len(ns) * trials, "n", "trial").groupBy("n", "trial").applyInPandas(form, "n int, trial int, method string, dim int, l double, u double"))
-    again = drawn(population, key, grid.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(study.resamples - 1)))))
-    released = dealt(again, len(ns) * trials * study.resamples, "n", "trial", "resample").groupBy("n", "trial", "resample").applyInPandas(release, "n int, trial int, resample int, dim int, est double, truth double")
+    first = population.drawn(grid.withColumn("resample", F.lit(-1)))
+    sets = checkpointed(dealt(first, cells, "n", "trial").groupBy("n", "trial").applyInPandas(form, "n int, trial int, method string, dim int, l double, u double"))
+    again = population.drawn(grid.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(study.resamples - 1)))))
+    released = dealt(again, cells * study.resamples, "n", "trial", "resample").groupBy("n", "trial", "resample").applyInPandas(release, "n int, trial int, resample int, dim int, est double, truth double")
     root = F.sqrt(F.col("n"))
     return released.join(sets, ["n", "trial", "dim"]).select(
         "n", F.lit(study.eps).alias("eps"), "trial", "method", "dim", "resample",
@@ -150,26 +163,39 @@ def zcdp_row(n: int, eps: float, trial: int, dim: int, rows: np.ndarray, truth:
 
 
 def run_zcdp_survey(population: DataFrame, key: str, ns: list[int], budgets: list[float], trials: int, dim: int = 0, alpha: float = 0.05) -> DataFrame:
-    """The zCDP interval of one coefficient on rows drawn from a population of (key, x, y)."""
-    spark = population.sparkSession
-    d = population.select(F.size("x")).first()[0] + 1
-    truth = np.array(fit(with_intercept(population), d, tolerance=1e-6))
-    grid = spark.range(trials).select(F.explode(F.array(*[F.lit(n) for n in ns])).alias("n"), F.col("id").cast("int").alias("trial"), F.lit(-1).alias("resample"))
+    """The zCDP interval of one coefficient on rows drawn from a population of (key, x, y): all trials as one frame."""
+    return zcdp_survey_of(Population(population, key), _cells(population.sparkSession, ns, budgets, trials), dim, alpha)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = arrays(rows)
-        made = [zcdp_row(int(key[0]), e, int(key[1]), dim, np.hstack([x, y[:, None]]), truth, alpha) for e in budgets]
+
+def _cells(spark: SparkSession, ns: list[int], budgets: list[float], trials: int) -> DataFrame:
+    cases = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(float(e)).alias("eps")) for n in ns for e in budgets])
+    return spark.range(trials).select(F.col("id").cast("int").alias("trial"), F.explode(cases).alias("c")).select("c.n", "c.eps", "trial")
+
+
+def zcdp_survey_of(population: Population, cells: DataFrame, dim: int = 0, alpha: float = 0.05) -> DataFrame:
+    """The rows of the trials (n, eps, trial); the budgets of a trial share its rows."""
+    truth = population.truth
+    grid = cells.groupBy("n", "trial").agg(F.sort_array(F.collect_set("eps")).alias("budgets"))
+    rows = population.drawn(grid.select("n", "trial", F.lit(-1).alias("resample"))).join(grid, ["n", "trial"])
+
+    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        x, y = arrays(own)
+        made = [zcdp_row(int(key[0]), float(e), int(key[1]), dim, np.hstack([x, y[:, None]]), truth, alpha) for e in own["budgets"].iloc[0]]
         return pd.DataFrame(made, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return dealt(drawn(population, key, grid), len(ns) * trials, "n", "trial").groupBy("n", "trial").applyInPandas(run, SCHEMA)
+    return dealt(rows, grid.count(), "n", "trial").groupBy("n", "trial").applyInPandas(run, SCHEMA)
 
 
 def run_zcdp_synthetic(spark: SparkSession, beta: list[float], ns: list[int], budgets: list[float], trials: int, dim: int = 0, dist: str = "uniform", alpha: float = 0.05) -> DataFrame:
-    """The zCDP interval of one coefficient (the last of beta is the intercept) on rows made in each trial."""
+    """The zCDP interval of one coefficient (the last of beta is the intercept) on rows made in each trial: all trials as one frame."""
+    return zcdp_synthetic_of(_cells(spark, ns, budgets, trials), beta, dim, dist, alpha)
+
+
+def zcdp_synthetic_of(cells: DataFrame, beta: list[float], dim: int = 0, dist: str = "uniform", alpha: float = 0.05) -> DataFrame:
+    """The rows of the trials (n, eps, trial)."""
     if dist not in ("uniform", "normal"):
         raise ValueError(f"no distribution {dist!r}")
     truth = np.array(beta, float)
-    cells = spark.range(trials).select(F.col("id").cast("int").alias("trial"), F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(float(e)).alias("eps")) for n in ns for e in budgets])).alias("c"))
 
     def run(key: tuple, _: pd.DataFrame) -> pd.DataFrame:
         n, eps, t = int(key[0]), float(key[1]), int(key[2])
@@ -179,4 +205,4 @@ def run_zcdp_synthetic(spark: SparkSession, beta: list[float], ns: list[int], bu
         y = np.where(rng.random(n) < 1 / (1 + np.exp(-(x @ truth))), 1.0, -1.0)
         return pd.DataFrame([zcdp_row(n, eps, t, dim, np.hstack([x, y[:, None]]), truth, alpha)], columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return dealt(cells.select("c.n", "c.eps", "trial"), len(ns) * len(budgets) * trials, "n", "eps", "trial").groupBy("n", "eps", "trial").applyInPandas(run, SCHEMA)
+    return dealt(cells, cells.count(), "n", "eps", "trial").groupBy("n", "eps", "trial").applyInPandas(run, SCHEMA)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from veilstat.functions.keyed import gumbel, laplace, uniform
 from veilstat.functions.special import symmetric_root
-from veilstat.operators.chunking import spread
+from veilstat.operators.ranges import ordered
+from veilstat.operators.selection import medians
 
 
 def noisy(value: Column, eps: float, sensitivity: Column | float, purpose: str, *keys) -> Column:
@@ -66,44 +67,32 @@ def above(low: Column, x: Column) -> Column:
     return (low > x).cast("int")
 
 
-def ordered(df: DataFrame, x: str, by: list[str], low: float, high: float, bins: int = 1024) -> DataFrame:
-    """df with `_rank` (0-based, ties by `_tie`), `_next` (the following value) and `_n` in each group.
-
-    The bounded range is cut into bins; a rank is the bin's offset plus the rank within the bin, so a group of any
-    size is spread over its bins. The table of bins has `bins` rows a group.
-    """
-    binned = df.withColumn("_bin", spread(F.col(x), low, high, bins))
-    sizes = binned.groupBy(*by, "_bin").agg(F.count("*").alias("_k"), F.min(x).alias("_first"))
-    over = Window.partitionBy(*by).orderBy("_bin") if by else Window.orderBy("_bin")
-    everything = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    sizes = sizes.select(
-        *by, "_bin", F.coalesce(F.sum("_k").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
-        F.lead("_first").over(over).alias("_after"), F.sum("_k").over(everything).alias("_n"),
-    )
-    within = Window.partitionBy(*by, "_bin").orderBy(x)
-    joined = binned.join(sizes, [*by, "_bin"])
-    return joined.select(*df.columns, (F.col("_offset") + F.row_number().over(within) - 1).alias("_rank"), F.coalesce(F.lead(x).over(within), F.col("_after")).alias("_next"), "_n")
-
-
 def private_median(df: DataFrame, x: str, low: float, high: float, eps: float, by: list[str], rho: float = 0.0, seed: int = 0) -> DataFrame:
     """Median per group by the exponential mechanism over the gaps between sorted values, then a uniform point in the gap.
 
     With rho > 0 the lower half is first moved down and the upper half up by rho, within bounds. Score of a gap:
     ln(width) - eps / 2 * distance in ranks from the median; zero-width gaps cannot be chosen. Choice by Gumbel-max.
+
+    Equal values are counted first: between two of them a gap has a width only where one is moved and the other is not, at the
+    ends of the halves. So a value is one row however often it comes, with its last gap and at most two more.
     """
-    ranked = ordered(df.select(*by, F.col(x).cast("double").alias("_x")), "_x", by, low, high)
-    half = F.floor(F.col("_n") / 2)
-    shift = lambda v, r: F.when(r < half, v - F.lit(rho)).when(r >= F.col("_n") - half, v + F.lit(rho)).otherwise(v)
+    runs = ordered(df.select(*by, F.col(x).cast("double").alias("_x")).filter("_x is not null"), "_x", by)
+    n, half = F.col("_n"), F.floor(F.col("_n") / 2)
+    shift = lambda v, r: F.when(r < half, v - F.lit(rho)).when(r >= n - half, v + F.lit(rho)).otherwise(v)
     clipped = lambda v: F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), v)) if rho > 0 else v
-    here, after = clipped(shift(F.col("_x"), F.col("_rank"))), clipped(shift(F.col("_next"), F.col("_rank") + 1))
-    n = F.col("_n").cast("double")
-    gap = lambda i: F.when(F.col("_n") % 2 == 0, F.when((i > 0) & (i < F.col("_n")), F.abs(n / 2 - i)).otherwise(n / 2)).otherwise(
-        F.when((i == 0) | (i == F.col("_n")), (n + 1) / 2).when(i < (n + 1) / 2, (n + 1) / 2 - i).otherwise(i - (n - 1) / 2)
+    size = n.cast("double")
+    far = lambda i: F.when(n % 2 == 0, F.when((i > 0) & (i < n), F.abs(size / 2 - i)).otherwise(size / 2)).otherwise(
+        F.when((i == 0) | (i == n), (size + 1) / 2).when(i < (size + 1) / 2, (size + 1) / 2 - i).otherwise(i - (size - 1) / 2)
     )
-    number = F.col("_rank") + 1
-    gaps = ranked.select(*by, number.alias("gap"), here.alias("lo"), F.when(number == F.col("_n"), F.lit(float(high))).otherwise(after).alias("hi"), gap(number).alias("far"))
-    first = ranked.filter("_rank = 0").select(*by, F.lit(0).cast("bigint").alias("gap"), F.lit(float(low)).alias("lo"), here.alias("hi"), gap(F.lit(0)).alias("far"))
-    scored = gaps.unionByName(first).filter("hi > lo").withColumn("score", F.log(F.col("hi") - F.col("lo")) - F.col("far") * F.lit(eps / 2) + gumbel("median-gap", seed, *map(F.col, by), F.col("gap")))
+    first, last = F.col("_before"), F.col("_before") + F.col("_ct") - 1
+    inner = F.filter(F.array(half, n - half), lambda i: (i > first) & (i <= last))  # gaps between two equal values
+    starts = F.filter(F.array(F.lit(0).cast("bigint")), lambda i: first == i)  # the gap below the smallest
+    each = runs.withColumn("_gap", F.explode(F.array_distinct(F.concat(starts, inner, F.array(last + 1)))))
+    gap, v = F.col("_gap"), F.col("_x")
+    lo = F.when(gap == 0, F.lit(float(low))).otherwise(clipped(shift(v, gap - 1)))
+    hi = F.when(gap == n, F.lit(float(high))).when(gap > last, clipped(shift(F.col("_next"), gap))).otherwise(clipped(shift(v, gap)))
+    gaps = each.select(*by, gap.alias("gap"), lo.alias("lo"), hi.alias("hi"), far(gap).alias("far"))
+    scored = gaps.filter("hi > lo").withColumn("score", F.log(F.col("hi") - F.col("lo")) - F.col("far") * F.lit(eps / 2) + gumbel("median-gap", seed, *map(F.col, by), F.col("gap")))
     # max_by with the gap as tie-break is a partial aggregation; no group is sorted as a whole.
     best = scored.groupBy(*by).agg(F.max(F.struct("score", "gap", "lo", "hi")).alias("b"))
     return best.select(*by, (F.col("b.lo") + uniform("median-point", seed, *map(F.col, by)) * (F.col("b.hi") - F.col("b.lo"))).alias("value"))
@@ -126,7 +115,7 @@ def noisy_order_statistic(df: DataFrame, x: str, by: list[str], global_eps: floa
     range tell the bin of the rank, and only that bin's distinct values are sorted. Else each group is sorted whole.
     """
     if math.isinf(global_eps):
-        return df.groupBy(*by).agg(F.median(x).alias("value"))
+        return medians(df, x, by)
     counts = df.groupBy(*by).agg(F.count(x).alias("_n"))
     index = counts.select(*by, "_n", noisy_index(F.col("_n"), global_eps, local_eps, seed, *map(F.col, by), fixed=fixed).alias("_ix"))
     if bins:

@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from veilstat.functions.keyed import index
 from veilstat.operators.mechanisms import noisy, std_sensitivity
+from veilstat.operators.selection import quantiles
 
 DRAWS = 65_536
+RUNS = 256
 
 
 def draws(chunked: DataFrame, n: int, runs: int, seed: int = 0) -> DataFrame:
@@ -58,6 +60,17 @@ def boot_stats(chunked: DataFrame, x: str, n: int, runs: int, seed: int = 0, rel
     return est.join(theta, "chunk").select("chunk", "run", "est", (gap / F.col("_s") if release.studentize else gap).alias("stat"))
 
 
+OFTEN = 8  # draws a row from which on a row's count is drawn as a binomial
+
+
+def resample_counts(n: int, b: int, runs: int, rng: np.random.Generator) -> np.ndarray:
+    """How often each of b rows comes in each of `runs` resamples of n: row by row where rows come often, else draw by draw."""
+    if n > OFTEN * b:
+        return rng.multinomial(n, np.full(b, 1 / b), size=runs).astype(float)
+    place = rng.integers(0, b, (runs, n)) + np.arange(runs)[:, None] * b
+    return np.bincount(place.ravel(), minlength=runs * b).reshape(runs, b).astype(float)
+
+
 Weighted = Callable[[np.ndarray, np.ndarray], np.ndarray]
 Private = Callable[[np.ndarray, np.ndarray, np.random.Generator], np.ndarray]
 
@@ -76,17 +89,17 @@ def weighted_median(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return ((v[lower] + v[upper]) / 2)[:, None]
 
 
-def weighted_stats(chunked: DataFrame, columns: list[str], n: int, runs: int, estimator: Weighted = weighted_mean, seed: int = 0, block: int = 256, scale: Weighted | None = None, private: Private | None = None) -> DataFrame:
+def weighted_stats(chunked: DataFrame, columns: list[str], n: int, runs: int, estimator: Weighted = weighted_mean, seed: int = 0, scale: Weighted | None = None, private: Private | None = None) -> DataFrame:
     """(chunk, run, dim, est, stat) by multinomial weights.
 
     `private`: the released estimates of the resamples, in place of the estimator's (which still gives the chunk's own).
     `scale`: estimates of the deviation that the statistic is multiplied by the inverse of: a number, or a matrix in
     several dimensions.
 
-    A group is a chunk and a block of runs, so chunks fewer than cores still fill them. The generator of a group depends
-    on its key alone.
+    A group is a chunk and a block of RUNS runs, so chunks fewer than cores still fill them. Each run's counts come from a generator
+    of its own, keyed by (seed, chunk, run); the noise of `private` from one a block. Chunks larger than a task are for `tree_resampling`.
     """
-    spark = chunked.sparkSession
+    spark, block = chunked.sparkSession, RUNS
     blocks = spark.range(-(-runs // block)).select(F.col("id").cast("int").alias("block"))
     grouped = chunked.select("chunk", "slot", *columns).crossJoin(F.broadcast(blocks))
 
@@ -95,9 +108,9 @@ def weighted_stats(chunked: DataFrame, columns: list[str], n: int, runs: int, es
         x = rows.sort_values("slot")[columns].to_numpy(float)
         first = k * block
         count = min(block, runs - first)
-        rng = np.random.default_rng([seed, c, k])
-        w = rng.multinomial(n, np.full(len(x), 1 / len(x)), size=count).astype(float)
-        est = estimator(x, w) if private is None else private(x, w, rng)
+        share = np.full(len(x), 1 / len(x))
+        w = np.stack([np.random.default_rng([seed, c, r, 1]).multinomial(n, share) for r in range(first, first + count)]).astype(float)
+        est = estimator(x, w) if private is None else private(x, w, np.random.default_rng([seed, c, k, 2]))
         theta = estimator(x, np.ones((1, len(x))))
         stat = np.sqrt(n) * (theta - est)
         if scale is not None:
@@ -110,20 +123,17 @@ def weighted_stats(chunked: DataFrame, columns: list[str], n: int, runs: int, es
 
 
 def quantile_interval(stats: DataFrame, alpha: float, kind: str, by: list[str] | None = None, x: str = "stat") -> DataFrame:
-    """(l, u) per group from the inverse-distribution quantiles: eqtail, symm, low or up."""
-    q = lambda p, c: F.expr(f"percentile_disc({p!r}) WITHIN GROUP (ORDER BY {c})")
-    inf = F.lit(float("inf"))
+    """(l, u) per group from the inverse-distribution quantiles: eqtail, symm, low or up; no group is held as a whole."""
+    by, inf = by or [], F.lit(float("inf"))
     if kind == "eqtail":
-        low, high = q(alpha / 2, x), q(1 - alpha / 2, x)
-    elif kind == "symm":
-        low, high = -q(1 - alpha, f"abs({x})"), q(1 - alpha, f"abs({x})")
-    elif kind == "low":
-        low, high = q(alpha, x), F.max(inf)
-    elif kind == "up":
-        low, high = F.max(-inf), q(1 - alpha, x)
-    else:
-        raise ValueError(f"no interval kind {kind!r}")
-    return stats.groupBy(*(by or [])).agg(low.alias("l"), high.alias("u"))
+        return quantiles(stats, x, by, {"l": alpha / 2, "u": 1 - alpha / 2})
+    if kind == "symm":
+        return quantiles(stats, F.abs(F.col(x)), by, {"u": 1 - alpha}).select(*by, (-F.col("u")).alias("l"), "u")
+    if kind == "low":
+        return quantiles(stats, x, by, {"l": alpha}).withColumn("u", inf)
+    if kind == "up":
+        return quantiles(stats, x, by, {"u": 1 - alpha}).select(*by, (-inf).alias("l"), "u")
+    raise ValueError(f"no interval kind {kind!r}")
 
 
 def means_and_variances(stats: DataFrame, by: list[str]) -> DataFrame:

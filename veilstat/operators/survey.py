@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 # Columns of the person survey and the divisors of its numeric ones.
 RAW = T.StructType([T.StructField(c, T.DoubleType()) for c in ("AGEP", "COW", "SCHL", "MAR", "WKHP", "SEX", "PINCP")])
+WEIGHT = "PWGTP"  # weights of persons; not every file has them
 SCALES = {"AGEP": 99.0, "WKHP": 99.0, "SCHL": 24.0}
 GROUPS = {"MAR_married": ("MAR", (1, 2)), "MAR_divorced": ("MAR", (3, 4)), "COW_private": ("COW", (1, 2)), "COW_public": ("COW", (3, 4, 5)), "COW_self": ("COW", (6, 7))}
 
@@ -15,7 +16,7 @@ GROUPS = {"MAR_married": ("MAR", (1, 2)), "MAR_divorced": ("MAR", (3, 4)), "COW_
 def adult_filter(df: DataFrame) -> DataFrame:
     """Persons over 16 with income over 100 who work; where the table has person weights, those of weight 1 or more."""
     kept = (F.col("AGEP") > 16) & (F.col("PINCP") > 100) & (F.col("WKHP") > 0)
-    return df.filter(kept & (F.col("PWGTP") >= 1) if "PWGTP" in df.columns else kept)
+    return df.filter(kept & (F.col(WEIGHT) >= 1) if WEIGHT in df.columns else kept)
 
 
 def fill(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -41,7 +42,7 @@ def prepare(raw: DataFrame) -> DataFrame:
     df = fill(adult_filter(raw), [f.name for f in RAW.fields])
     df = guarded_scale(df, SCALES, {"SEX": 1.0})
     label = (F.when(F.col("PINCP") > 30000, 1).otherwise(-1)).alias("PINCP")
-    keys = [c for c in raw.columns if c not in RAW.names and c != "PWGTP"]
+    keys = [c for c in raw.columns if c not in RAW.names and c != WEIGHT]
     return df.select(*keys, "AGEP", "SCHL", "WKHP", "SEX", *[one_hot(F.col(c), codes).alias(name) for name, (c, codes) in GROUPS.items()], label)
 
 

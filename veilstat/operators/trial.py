@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from veilstat.functions.special import normal_quantile, student_quantile
 from veilstat.operators.chunking import chunk_count, granularity, sizing, variance_bound, zcdp_sizing
 from veilstat.operators.histograms import Bins
-from veilstat.operators.resampling import weighted_mean, weighted_median
+from veilstat.operators.resampling import RUNS, resample_counts, weighted_mean, weighted_median
 from veilstat.operators.zcdp import budgets, eps_to_rho, gaussian_tailbound, weighted
 from veilstat.sources.distributions import Distribution, study_distribution
 
@@ -180,7 +180,7 @@ def zcdp_set(x: np.ndarray, eps: float, alpha: float, estimate: Callable[[np.nda
 
     def little() -> tuple[np.ndarray, np.ndarray]:
         parts = rng.permutation(x)[: chunks * b].reshape(chunks, b, *x.shape[1:])
-        est = [estimate(c, rng.multinomial(n, np.full(b, 1 / b), size=size["runs"]).astype(float)) for c in parts]
+        est = [estimate(c, resample_counts(n, b, size["runs"], rng)) for c in parts]
         return np.array([e.mean() for e in est]), np.array([e.var(ddof=1) for e in est])
 
     (guess_m, guess_v), (m, v) = little(), little()
@@ -217,7 +217,7 @@ def one_trial(n: int, eps: float, trial: int, study: Study) -> pd.DataFrame:
     runs = min(size["runs"], study.max_boot)
     stats = []
     for c in chunks:
-        w = rng.multinomial(n, np.full(len(c), 1 / len(c)), size=runs).astype(float)
+        w = resample_counts(n, len(c), runs, rng)
         theta = estimates(c, np.ones((1, len(c))), study, math.inf, dist, rng)
         stats.append(root * (theta - estimates(c, w, study, own, dist, rng)))
     found: dict[str, tuple[float, float]] = {}
@@ -233,8 +233,9 @@ def one_trial(n: int, eps: float, trial: int, study: Study) -> pd.DataFrame:
         std = x.std(ddof=1) + rng.laplace(0, (m * m / n + 2 * m * (high - low) / (n * (n - 1))) / rest)
         half = student_quantile(1 - study.alpha / 2, n - 1) * math.hypot(std, math.sqrt(2) * (high - low) / (n * own) * root)
         found["normal_proper_adhoc"] = (-half, half)
-    w = rng.multinomial(n, np.full(n, 1 / n), size=min(size["boot_runs"], study.max_boot)).astype(float)
-    boot = root * (estimates(x, np.ones((1, n)), study, math.inf, dist, rng) - estimates(x, w, study, own, dist, rng))
+    most = min(size["boot_runs"], study.max_boot)
+    released = [estimates(x, resample_counts(n, n, min(RUNS, most - at), rng), study, own, dist, rng) for at in range(0, most, RUNS)]
+    boot = root * (estimates(x, np.ones((1, n)), study, math.inf, dist, rng) - np.concatenate(released))
     found["boot_unstud_priv"] = quantiles(boot, study.alpha, study.set_type)
     rows = []
     for k in range(study.resamples):
@@ -258,12 +259,16 @@ def dealt(rows: DataFrame, groups: int, *keys: str) -> DataFrame:
 def run_trials(spark: SparkSession, study: Study, ns: list[int], budgets: list[float], trials: int) -> DataFrame:
     """All trials of a study as one frame."""
     cases = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(float(e)).alias("eps")) for n in ns for e in budgets])
-    cells = spark.range(trials).select(F.col("id").cast("int").alias("trial"), F.explode(cases).alias("c")).select("c.n", "c.eps", "trial")
+    return trials_of(spark.range(trials).select(F.col("id").cast("int").alias("trial"), F.explode(cases).alias("c")).select("c.n", "c.eps", "trial"), study)
+
+
+def trials_of(cells: DataFrame, study: Study) -> DataFrame:
+    """The rows of the trials (n, eps, trial)."""
 
     def run(key: tuple, _: pd.DataFrame) -> pd.DataFrame:
         return one_trial(int(key[0]), float(key[1]), int(key[2]), study)
 
-    return dealt(cells, len(ns) * len(budgets) * trials, "n", "eps", "trial").groupBy("n", "eps", "trial").applyInPandas(run, SCHEMA)
+    return dealt(cells, cells.count(), "n", "eps", "trial").groupBy("n", "eps", "trial").applyInPandas(run, SCHEMA)
 
 
 def study_summary(results: DataFrame) -> DataFrame:

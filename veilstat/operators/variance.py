@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilstat.functions.special import normal_quantile, student_quantile
 from veilstat.operators.mechanisms import clip_variance, private_median
+from veilstat.operators.selection import medians
 
 
 def private_deviation(stats: DataFrame, by: list[str], top: float, eps: float, rho: float = 0.0, seed: int = 0) -> DataFrame:
@@ -18,7 +19,7 @@ def private_deviation(stats: DataFrame, by: list[str], top: float, eps: float, r
     """
     per_chunk = stats.groupBy(*by, "chunk").agg(F.var_samp("stat").alias("v"))
     if math.isinf(eps):
-        return per_chunk.groupBy(*by).agg(F.sqrt(F.median("v")).alias("value"))
+        return medians(per_chunk, "v", by).withColumn("value", F.sqrt("value"))
     clipped = per_chunk.withColumn("v", clip_variance(F.col("v"), top))
     return private_median(clipped, "v", 0.0, top, eps, by, rho, seed).withColumn("value", F.sqrt("value"))
 

@@ -1,3 +1,3 @@
 """Imports the modules that register queries."""
 
-from veilstat.plans import models, resampling, statistics, tables  # noqa: F401
+from veilstat.plans import large, models, resampling, statistics, tables  # noqa: F401

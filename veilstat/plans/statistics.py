@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veilstat.functions.keyed import KeyedSql as K
 from veilstat.functions.keyed import laplace
-from veilstat.operators import histograms, mechanisms
+from veilstat.operators import histograms, mechanisms, selection
 from veilstat.operators.histograms import Bins
 from veilstat.plans.registry import query
 from veilstat.sources.tables import table
@@ -26,13 +26,12 @@ def std_by_group(spark, d):
 
 @query("median_by_group", "SELECT event_type, round(median(value), 6) AS median FROM events GROUP BY event_type")
 def median_by_group(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(_r(F.median("value")).alias("median"))
+    return selection.medians(table(spark, d, "events"), "value", ["event_type"]).select("event_type", _r(F.col("value")).alias("median"))
 
 
 @query("quantile_disc", "SELECT event_type, quantile_disc(value, 0.025) AS q025, quantile_disc(value, 0.5) AS q500, quantile_disc(value, 0.975) AS q975 FROM events GROUP BY event_type")
 def quantile_disc(spark, d):
-    q = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-    return table(spark, d, "events").groupBy("event_type").agg(q(0.025).alias("q025"), q(0.5).alias("q500"), q(0.975).alias("q975"))
+    return selection.quantiles(table(spark, d, "events"), "value", ["event_type"], {"q025": 0.025, "q500": 0.5, "q975": 0.975})
 
 
 @query(
@@ -181,10 +180,12 @@ def dyadic_coverage(spark, d):
     return cand.select("ord").join(hit, "ord", "left").select("ord", F.coalesce("ct", F.lit(0)).alias("ct"))
 
 
-@query("bin_edges", "SELECT CAST(g AS INTEGER) AS bin, round(g * CAST(0.1 AS DOUBLE) - 1, 9) AS l, round((g + 1) * CAST(0.1 AS DOUBLE) - 1, 9) AS u FROM (SELECT unnest(generate_series(0, 19)) AS g)")
+@query("bin_edges", "SELECT p_partkey, CAST(floor((p_retailprice - 900) * 1000 / 100) AS INTEGER) AS bin, round(900 + floor((p_retailprice - 900) * 1000 / 100) * CAST(0.1 AS DOUBLE), 9) AS l, round(900 + (floor((p_retailprice - 900) * 1000 / 100) + 1) * CAST(0.1 AS DOUBLE), 9) AS u FROM part")
 def bin_edges(spark, d):
-    bins = Bins.of_precision(-1.0, 1.0, 0.1)
-    return spark.range(bins.count).select(F.col("id").cast("int").alias("bin"), _r(bins.left(F.col("id")), 9).alias("l"), _r(bins.right(F.col("id")), 9).alias("u"))
+    """The bin of each price and its edges."""
+    bins = Bins.of_precision(900.0, 1000.0, 0.1)
+    rows = table(spark, d, "part").select("p_partkey", bins.number(F.col("p_retailprice")).alias("bin"))
+    return rows.select("p_partkey", "bin", _r(bins.left(F.col("bin")), 9).alias("l"), _r(bins.right(F.col("bin")), 9).alias("u"))
 
 
 @query("density_hist", "SELECT bin, round(ct / (sum(ct) OVER () * CAST(5 AS DOUBLE)), 9) AS density FROM (SELECT CAST(least(floor(l_quantity / 5), 9) AS INTEGER) AS bin, count(*) AS ct FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY 1)")

@@ -11,19 +11,23 @@ from veilstat.functions.keyed import KeyedSql as K
 from veilstat.functions.session import checkpointed, removed, shared_folder
 from veilstat.functions.special import normal_quantile_sql
 from veilstat.operators import chunking, experiment, mechanisms, survey
-from veilstat.operators.ledger import study_ledger
+from veilstat.operators.ledger import study_releases
 from veilstat.plans.registry import query
 from veilstat.sources import distributions as D
 from veilstat.sources import files
 from veilstat.sources.tables import table
 
 _r = lambda c, n=6: F.round(c, n)
-ROWS = 2000
 _u = lambda p, *k: K.uniform(p, "5", *k, "row_id")
 _z = lambda p, *k: K.normal(p, "5", *k, "row_id")
 _delta = 2 / math.sqrt(5)
 
 
+def keys(spark, d):
+    """A key an order: generators make a row for each, in the task that reads it."""
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"))
+
+
 @query(
     "dist_samples",
     f"""SELECT row_id, round(1 + 2 * {_z('gauss')}, 6) AS gauss,
@@ -32,30 +36,30 @@ round(CASE WHEN {_u('mixture-side')} <= 0.3 THEN 4 + 0.5 * {_z('mixture')} ELSE
 round(pow(-ln(1 - {_u('weibull')}), CAST({1 / 1.5!r} AS DOUBLE)), 6) AS weibull, round(pow(1 - {_u('pareto')}, CAST({-1 / 3!r} AS DOUBLE)), 6) AS pareto,
 round(pow({K.normal('chi2', '5', '0', 'row_id')}, 2) + pow({K.normal('chi2', '5', '1', 'row_id')}, 2), 6) AS chi2,
 round({_delta!r} * abs({_z('skew-0')}) + {math.sqrt(1 - _delta**2)!r} * {_z('skew-1')}, 6) AS skew
-FROM (SELECT unnest(generate_series(0, {ROWS - 1})) AS row_id)""",
+FROM (SELECT o_orderkey AS row_id FROM orders)""",
 )
 def dist_samples(spark, d):
     kinds = {"gauss": D.Gauss(1, 2), "triang": D.Triangular(0.2, -5, 5), "mixture": D.GaussMixture(4, 0.5, 0.3), "weibull": D.Weibull(1.5), "pareto": D.Pareto(3), "chi2": D.ChiSquare(2), "skew": D.SkewNormal(2)}
-    return spark.range(ROWS).select(F.col("id").alias("row_id"), *[_r(k.expression(5, F.col("id"))).alias(name) for name, k in kinds.items()])
+    return keys(spark, d).select("row_id", *[_r(k.expression(5, F.col("row_id"))).alias(name) for name, k in kinds.items()])
 
 
 _trunc = D.study_distribution("truncnorm_assym")
 _trunc_u = f"(CAST({_trunc._lo!r} AS DOUBLE) + {_u('trunc')} * CAST({_trunc._hi - _trunc._lo!r} AS DOUBLE))"
 
 
-@query("truncated_gauss", f"SELECT row_id, round({_trunc.mu!r} + {_trunc.sigma!r} * ({normal_quantile_sql('p')}), 6) AS x FROM (SELECT row_id, {_trunc_u} AS p FROM (SELECT unnest(generate_series(0, {ROWS - 1})) AS row_id))")
+@query("truncated_gauss", f"SELECT row_id, round({_trunc.mu!r} + {_trunc.sigma!r} * ({normal_quantile_sql('p')}), 6) AS x FROM (SELECT row_id, {_trunc_u} AS p FROM (SELECT o_orderkey AS row_id FROM orders))")
 def truncated_gauss(spark, d):
-    return _trunc.sample(spark, ROWS, 5).withColumn("x", _r(F.col("x")))
+    return keys(spark, d).select("row_id", _r(_trunc.expression(5, F.col("row_id"))).alias("x"))
 
 
-@query("gauss_vectors", f"SELECT row_id, round(1 + {K.normal('gauss-d', '5', '0', 'row_id')}, 6) AS x0, round(0.5 * {K.normal('gauss-d', '5', '0', 'row_id')} + {math.sqrt(0.75)!r} * {K.normal('gauss-d', '5', '1', 'row_id')}, 6) AS x1 FROM (SELECT unnest(generate_series(0, {ROWS - 1})) AS row_id)")
+@query("gauss_vectors", f"SELECT row_id, round(1 + {K.normal('gauss-d', '5', '0', 'row_id')}, 6) AS x0, round(0.5 * {K.normal('gauss-d', '5', '0', 'row_id')} + {math.sqrt(0.75)!r} * {K.normal('gauss-d', '5', '1', 'row_id')}, 6) AS x1 FROM (SELECT o_orderkey AS row_id FROM orders)")
 def gauss_vectors(spark, d):
-    return D.gauss_vectors(spark, ROWS, [1.0, 0.0], [[1.0, 0.5], [0.5, 1.0]], 5).select("row_id", _r(F.col("x")[0]).alias("x0"), _r(F.col("x")[1]).alias("x1"))
+    return keys(spark, d).withColumn("x", D.gauss_vector([1.0, 0.0], [[1.0, 0.5], [0.5, 1.0]], 5, F.col("row_id"))).select("row_id", _r(F.col("x")[0]).alias("x0"), _r(F.col("x")[1]).alias("x1"))
 
 
-@query("mixture_vectors", f"SELECT row_id, round(CASE WHEN {_u('mixture-d-side')} <= 0.3 THEN 4 + 0.5 * {K.normal('mixture-d', '5', '1', 'row_id')} ELSE {K.normal('mixture-d', '5', '1', 'row_id')} END, 6) AS x1 FROM (SELECT unnest(generate_series(0, {ROWS - 1})) AS row_id)")
+@query("mixture_vectors", f"SELECT row_id, round(CASE WHEN {_u('mixture-d-side')} <= 0.3 THEN 4 + 0.5 * {K.normal('mixture-d', '5', '0', 'row_id')} ELSE {K.normal('mixture-d', '5', '0', 'row_id')} END, 6) AS x0, round(CASE WHEN {_u('mixture-d-side')} <= 0.3 THEN 4 + 0.5 * {K.normal('mixture-d', '5', '1', 'row_id')} ELSE {K.normal('mixture-d', '5', '1', 'row_id')} END, 6) AS x1 FROM (SELECT o_orderkey AS row_id FROM orders)")
 def mixture_vectors(spark, d):
-    return D.mixture_vectors(spark, ROWS, 2, 4.0, 0.5, 0.3, 5).select("row_id", _r(F.col("x")[1]).alias("x1"))
+    return keys(spark, d).withColumn("x", D.mixture_vector(2, 4.0, 0.5, 0.3, 5, F.col("row_id"))).select("row_id", _r(F.col("x")[0]).alias("x0"), _r(F.col("x")[1]).alias("x1"))
 
 
 _x = lambda i: f"(2 * {K.uniform('logreg-x', '5', str(i), 'row_id')} - 1)"
@@ -63,10 +67,27 @@ _x = lambda i: f"(2 * {K.uniform('logreg-x', '5', str(i), 'row_id')} - 1)"  # no
 
 @query(
     "logreg_data",
-    f"SELECT row_id, round({_x(0)}, 6) AS x0, round({_x(1)}, 6) AS x1, CAST(CASE WHEN {K.uniform('logreg-y', '5', 'row_id')} < 1 / (1 + exp(-({_x(0)} - 2 * {_x(1)} + CAST(0.5 AS DOUBLE)))) THEN 1 ELSE -1 END AS DOUBLE) AS y FROM (SELECT unnest(generate_series(0, {ROWS - 1})) AS row_id)",
+    f"SELECT row_id, round({_x(0)}, 6) AS x0, round({_x(1)}, 6) AS x1, CAST(CASE WHEN {K.uniform('logreg-y', '5', 'row_id')} < 1 / (1 + exp(-({_x(0)} - 2 * {_x(1)} + CAST(0.5 AS DOUBLE)))) THEN 1 ELSE -1 END AS DOUBLE) AS y FROM (SELECT o_orderkey AS row_id FROM orders)",
 )
 def logreg_data(spark, d):
-    return D.logistic_rows(spark, ROWS, [1.0, -2.0], 0.5, "uniform", 5).select("row_id", _r(F.col("x")[0]).alias("x0"), _r(F.col("x")[1]).alias("x1"), "y")
+    return made_rows(spark, d, 0.5, "uniform")
+
+
+def made_rows(spark, d, intercept: float, kind: str):
+    x, y = D.logistic_row([1.0, -2.0], intercept, kind, 5, F.col("row_id"))
+    return keys(spark, d).select("row_id", _r(x[0]).alias("x0"), _r(x[1]).alias("x1"), y.alias("y"))
+
+
+_n = lambda i: K.normal("logreg-x", "5", str(i), "row_id")
+
+
+@query(
+    "logreg_data_normal",
+    f"SELECT row_id, round({_n(0)}, 6) AS x0, round({_n(1)}, 6) AS x1, CAST(CASE WHEN {K.uniform('logreg-y', '5', 'row_id')} < 1 / (1 + exp(-({_n(0)} - 2 * {_n(1)}))) THEN 1 ELSE -1 END AS DOUBLE) AS y FROM (SELECT o_orderkey AS row_id FROM orders)",
+)
+def logreg_data_normal(spark, d):
+    """Normal rows without an intercept."""
+    return made_rows(spark, d, 0.0, "normal")
 
 
 _raw = """raw AS (SELECT c_custkey AS id, CAST(17 + c_custkey % 70 AS DOUBLE) AS "AGEP", CAST(1 + c_custkey % 8 AS DOUBLE) AS "COW", CAST(c_custkey % 25 AS DOUBLE) AS "SCHL", CAST(1 + c_custkey % 5 AS DOUBLE) AS "MAR",
@@ -199,61 +220,70 @@ def csv_scan(spark, d):
     return through_files(spark, lambda f: files.write_csv(raw(spark, d), f), lambda f: files.read_csv(spark, f, raw(spark, d).schema).select("id", "AGEP", "SCHL", "WKHP"))
 
 
-@query("survey_scan", f"""WITH {_raw} SELECT "AGEP", "COW", "SCHL", "MAR", "WKHP", "SEX", "PINCP" FROM raw""")
+@query("survey_scan", f"""WITH {_raw} SELECT "AGEP", "COW", "SCHL", "MAR", "WKHP", "SEX", "PINCP", CAST(id % 3 AS DOUBLE) AS "PWGTP" FROM raw""")
 def survey_scan(spark, d):
-    own = raw(spark, d).select(*[f.name for f in survey.RAW.fields])
+    """A survey file with columns in another order, one that is not asked for, and person weights."""
+    own = raw(spark, d).select((F.col("id") % 3).alias("PWGTP"), F.col("id").alias("SERIALNO"), *reversed(survey.RAW.names))
     return through_files(spark, lambda f: files.write_csv(own, f), lambda f: files.read_survey(spark, f))
 
 
+@query(
+    "survey_weighted",
+    f"""WITH {_raw} SELECT CAST("SEX" - 1 AS INTEGER) AS sex, count(*) AS persons, CAST(sum(CASE WHEN "PINCP" > 30000 THEN 1 ELSE 0 END) AS BIGINT) AS high FROM raw WHERE "AGEP" > 16 AND ("PINCP" > 100 OR isnan("PINCP")) AND "WKHP" > 0 AND id % 3 >= 1 GROUP BY 1""",
+)
+def survey_weighted(spark, d):
+    """The prepared survey of a file with person weights: persons without weight are out."""
+    own = raw(spark, d).withColumn("PWGTP", F.col("id") % 3)
+    read = through_files(spark, lambda f: files.write_csv(own, f), lambda f: files.read_survey(spark, f))
+    return survey.prepare(read).groupBy(F.col("SEX").cast("int").alias("sex")).agg(F.count("*").alias("persons"), F.count_if(F.col("PINCP") == 1).alias("high"))
+
+
 @query("run_directory", f"WITH {_trials} SELECT n, kind, run_id, count(*) AS rows, round(sum(proper_unstud), 3) AS total FROM (SELECT n, 'len' AS kind, CASE WHEN resamp = 0 THEN 'm1d1v0' ELSE 'm1d1v1' END AS run_id, proper_unstud FROM t) WHERE n = 500 GROUP BY ALL")
 def run_directory(spark, d):
     """Runs written one after another under the next free id, partitioned by kind, run and n; one n read back."""
     t = trials(spark, d)
 
     def write(folder):
-        used = []
         for part in ("resamp = 0", "resamp <> 0"):
-            used.append(experiment.next_run_id(used, "m1d1"))
-            experiment.write_run(t.filter(part), folder, used[-1], "len")
+            experiment.write_run(t.filter(part), folder, experiment.claim_run_id(spark, folder, "m1d1"), "len")
 
     out = through_files(spark, write, lambda f: experiment.read_runs(spark, f, "len", 500))
     return out.groupBy(F.col("n").cast("long").alias("n"), "kind", "run_id").agg(F.count("*").alias("rows"), _r(F.sum("proper_unstud"), 3).alias("total"))
 
 
-_ns, _eps = [300, 500, 1000, 1500, 2000], [10.0, 8.0, 5.0]
-_cases = f"c AS (SELECT CAST(n AS BIGINT) AS n, CAST(e AS DOUBLE) AS eps FROM (VALUES {', '.join(f'({n}, {e})' for n in _ns for e in _eps)}) v(n, e))"
+# Sizes of studies on the lines of each ship date and flag: n is how many there are.
+_budgets = [10.0, 8.0, 5.0]
+_cases = f"c AS (SELECT l_shipdate, l_returnflag, CAST(count(*) AS DOUBLE) AS n, CAST(e AS DOUBLE) AS eps FROM lineitem, (VALUES {', '.join(f'({e})' for e in _budgets)}) v(e) GROUP BY 1, 2, 4 HAVING count(*) >= 10)"
 _clamp = lambda x: f"CAST(floor(least(greatest({x}, 100), 10000)) AS BIGINT)"
 
 
 @query(
     "study_sizes",
-    f"""WITH {_cases}, k AS (SELECT n, eps, CAST(ceil(10 * ln(n) / (eps / 2)) AS BIGINT) AS s, CAST(ceil(20 * ln(n) / (eps / 2)) AS BIGINT) AS s2, CAST(ceil(least(5 / eps * sqrt(n), n / 5.0)) AS BIGINT) AS z FROM c)
-SELECT n, eps, s AS chunks, n // s AS b, {_clamp('sqrt(n) * (n // s) / ln(n)')} AS runs, {_clamp('pow(n, 1.5) / ln(n)')} AS boot_runs, s2 AS chunks_eqtail, z AS chunks_zcdp, n // z AS b_zcdp, CAST(floor(sqrt(n) * (n // z) / ln(n)) AS BIGINT) AS runs_zcdp,
-CAST(floor(least(sqrt(n) * (n // s) / ln(n), 1e6 * (n // s) / n)) AS BIGINT) AS runs_survey, round(2500 * 4.0 / n, 9) AS bound_by_sd, round(pow(140.0 / 4 * 10, 2) / n, 6) AS bound_by_width, round(pow(n, -1.5), 12) AS granularity FROM k""",
+    f"""WITH {_cases}, k AS (SELECT *, CAST(ceil(10 * ln(n) / (eps / 2)) AS BIGINT) AS s, CAST(ceil(20 * ln(n) / (eps / 2)) AS BIGINT) AS s2, CAST(ceil(least(5 / eps * sqrt(n), n / 5.0)) AS BIGINT) AS z FROM c),
+m AS (SELECT *, floor(n / s) AS b, floor(n / z) AS bz FROM k)
+SELECT l_shipdate, l_returnflag, CAST(n AS BIGINT) AS n, eps, s AS chunks, CAST(b AS BIGINT) AS b, {_clamp('sqrt(n) * b / ln(n)')} AS runs, {_clamp('pow(n, 1.5) / ln(n)')} AS boot_runs, s2 AS chunks_eqtail, z AS chunks_zcdp, CAST(bz AS BIGINT) AS b_zcdp, CAST(floor(sqrt(n) * bz / ln(n)) AS BIGINT) AS runs_zcdp,
+CAST(floor(least(sqrt(n) * b / ln(n), 1e6 * b / n)) AS BIGINT) AS runs_survey, round(2500 * 4.0 / n, 9) AS bound_by_sd, round(pow(140.0 / 4 * 10, 2) / n, 6) AS bound_by_width, round(pow(n, -1.5), 12) AS granularity FROM m""",
 )
 def study_sizes(spark, d):
-    """The sizing rules of all studies over their lists of n and budgets."""
-    rows = []
-    for n in _ns:
-        for e in _eps:
-            one, two, z, s = chunking.sizing(n, e / 2), chunking.sizing(n, e / 2, "eqtail"), chunking.zcdp_sizing(n, e), chunking.survey_sizing(n, e / 2)
-            rows.append((n, e, one["chunks"], one["b"], one["runs"], one["boot_runs"], two["chunks"], z["chunks"], z["b"], z["runs"], s["runs"], round(chunking.variance_bound(n, sd=2.0), 9), round(chunking.variance_bound(n, width=140.0), 6), round(chunking.granularity(n), 12)))
-    names = "n long, eps double, chunks long, b long, runs long, boot_runs long, chunks_eqtail long, chunks_zcdp long, b_zcdp long, runs_zcdp long, runs_survey long, bound_by_sd double, bound_by_width double, granularity double"
-    return spark.createDataFrame(rows, names)
+    """The sizing rules of all studies for every group of lines and every budget."""
+    groups = table(spark, d, "lineitem").groupBy("l_shipdate", "l_returnflag").agg(F.count("*").alias("n")).filter("n >= 10")
+    cases = groups.withColumn("eps", F.explode(F.array(*[F.lit(e) for e in _budgets])))
+    n, eps = F.col("n").cast("double"), F.col("eps")
+    one, two, z = chunking.sizing_columns(n, eps / 2), chunking.sizing_columns(n, eps / 2, "eqtail"), chunking.zcdp_sizing_columns(n, eps)
+    whole = {"chunks": one["chunks"], "b": one["b"], "runs": one["runs"], "boot_runs": one["boot_runs"], "chunks_eqtail": two["chunks"], "chunks_zcdp": z["chunks"], "b_zcdp": z["b"], "runs_zcdp": z["runs"], "runs_survey": chunking.survey_runs_column(n, eps / 2)}
+    bounds = {"bound_by_sd": _r(chunking.variance_bound(n, sd=2.0), 9), "bound_by_width": _r(chunking.variance_bound(n, width=140.0)), "granularity": _r(chunking.granularity(n), 12)}
+    return cases.select("l_shipdate", "l_returnflag", "n", "eps", *[c.cast("long").alias(k) for k, c in whole.items()], *[c.alias(k) for k, c in bounds.items()])
 
 
 @query(
     "budget_ledger",
-    f"""WITH {_cases}, d AS (SELECT DISTINCT eps FROM c), r AS (SELECT eps, 'estimate' AS release, eps * 0.5 AS each, 5 AS uses FROM d UNION ALL SELECT eps, 'threshold', eps / 4, 5 * 31 FROM d UNION ALL SELECT eps, 'queries', eps / 4, 5 FROM d)
-SELECT eps, release, each, CAST(uses AS INTEGER) AS uses, each * uses AS spent FROM r""",
+    """WITH d AS (SELECT c_custkey, 1 + (c_custkey % 20) / CAST(2 AS DOUBLE) AS eps FROM customer)
+SELECT c_custkey, eps, 'estimate' AS release, eps * 0.5 AS each, CAST(5 AS INTEGER) AS uses, eps * 0.5 * 5 AS spent FROM d UNION ALL SELECT c_custkey, eps, 'threshold', eps / 4, CAST(155 AS INTEGER), eps / 4 * 155 FROM d UNION ALL SELECT c_custkey, eps, 'queries', eps / 4, CAST(5 AS INTEGER), eps / 4 * 5 FROM d""",
 )
 def budget_ledger(spark, d):
-    """What a search over 31 candidates in five dimensions spends for each budget, threshold redraws charged."""
-    out = None
-    for e in _eps:
-        one = study_ledger(e, 0.5, 31, 5).table(spark).select(F.lit(e).alias("eps"), "release", F.col("eps").alias("each"), "uses", (F.col("eps") * F.col("uses")).alias("spent"))
-        out = one if out is None else out.union(one)
-    return out
+    """What a search over 31 candidates in five dimensions spends for the budget of each customer, threshold redraws charged."""
+    rows = table(spark, d, "customer").select("c_custkey", (F.lit(1.0) + (F.col("c_custkey") % 20) / F.lit(2.0)).alias("eps"))
+    return rows.select("c_custkey", "eps", F.explode(study_releases(F.col("eps"), 0.5, 31, 5)).alias("e")).select("c_custkey", "eps", "e.*")
 
 
 @query("interval_order", "SELECT o_orderkey, CAST(o_totalprice * 1.1 < 150000 AS INTEGER) AS below, CAST(o_totalprice * 0.9 > 150000 AS INTEGER) AS above, CAST(150000 BETWEEN o_totalprice * 0.9 AND o_totalprice * 1.1 AS INTEGER) AS holds FROM orders")

@@ -208,28 +208,35 @@ class SkewNormal(Distribution):
         return F.lit(self._delta) * F.abs(normal("skew-0", seed, key)) + F.lit(math.sqrt(1 - self._delta**2)) * normal("skew-1", seed, key)
 
 
-def gauss_vectors(spark: SparkSession, n: int, mu: list[float], sigma: list[list[float]], seed: int = 0) -> DataFrame:
-    """(row_id, x array) of multivariate normals: Cholesky factor times independent normals."""
+def gauss_vector(mu: list[float], sigma: list[list[float]], seed: int, key: Column) -> Column:
+    """A multivariate normal for the row with that key: Cholesky factor times independent normals."""
     factor = np.linalg.cholesky(np.array(sigma, float))
-    z = [normal("gauss-d", seed, i, F.col("id")) for i in range(len(mu))]
+    z = [normal("gauss-d", seed, i, key) for i in range(len(mu))]
     row = lambda i: sum((F.lit(float(factor[i, j])) * z[j] for j in range(i + 1)), F.lit(float(mu[i])))
-    return spark.range(n).select(F.col("id").alias("row_id"), F.array(*[row(i) for i in range(len(mu))]).alias("x"))
+    return F.array(*[row(i) for i in range(len(mu))])
 
 
-def mixture_vectors(spark: SparkSession, n: int, d: int, mu: float, sigma: float, p: float, seed: int = 0) -> DataFrame:
-    """(row_id, x array): the d coordinates of a row are mixtures that share the side."""
-    z = [normal("mixture-d", seed, i, F.col("id")) for i in range(d)]
-    side = uniform("mixture-d-side", seed, F.col("id")) <= F.lit(p)
-    return spark.range(n).select(F.col("id").alias("row_id"), F.array(*[F.when(side, F.lit(mu) + F.lit(sigma) * v).otherwise(v) for v in z]).alias("x"))
+def mixture_vector(d: int, mu: float, sigma: float, p: float, seed: int, key: Column) -> Column:
+    """d coordinates that are mixtures and share the side."""
+    z = [normal("mixture-d", seed, i, key) for i in range(d)]
+    side = uniform("mixture-d-side", seed, key) <= F.lit(p)
+    return F.array(*[F.when(side, F.lit(mu) + F.lit(sigma) * v).otherwise(v) for v in z])
 
 
-def logistic_rows(spark: SparkSession, n: int, beta: list[float], intercept: float = 0.0, kind: str = "uniform", seed: int = 0) -> DataFrame:
-    """(row_id, x array, y): x uniform on (-1, 1) or standard normal, y = 1 with probability sigmoid(x beta + intercept), else -1."""
-    one = {"uniform": lambda i: F.lit(2.0) * uniform("logreg-x", seed, i, F.col("id")) - F.lit(1.0), "normal": lambda i: normal("logreg-x", seed, i, F.col("id"))}[kind]
-    x = [one(i) for i in range(len(beta))]
+def logistic_row(beta: list[float], intercept: float, kind: str, seed: int, key: Column) -> tuple[Column, Column]:
+    """(x, y): x uniform on (-1, 1) or standard normal, y = 1 with probability sigmoid(x beta + intercept), else -1."""
+    draw = {"uniform": lambda i: F.lit(2.0) * uniform("logreg-x", seed, i, key) - F.lit(1.0), "normal": lambda i: normal("logreg-x", seed, i, key)}
+    if kind not in draw:
+        raise ValueError(f"no kind of rows {kind!r}")
+    x = [draw[kind](i) for i in range(len(beta))]
     z = sum((F.lit(float(b)) * v for b, v in zip(beta, x, strict=True)), F.lit(float(intercept)))
-    y = F.when(uniform("logreg-y", seed, F.col("id")) < F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), F.lit(1.0)).otherwise(F.lit(-1.0))
-    return spark.range(n).select(F.col("id").alias("row_id"), F.array(*x).alias("x"), y.alias("y"))
+    return F.array(*x), F.when(uniform("logreg-y", seed, key) < F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), F.lit(1.0)).otherwise(F.lit(-1.0))
+
+
+def logistic_rows(spark: SparkSession, n: int, beta: list[float], intercept: float = 0.0, kind: str = "uniform", seed: int = 0) -> DataFrame:
+    """(row_id, x array, y) of n made rows."""
+    x, y = logistic_row(beta, intercept, kind, seed, F.col("id"))
+    return spark.range(n).select(F.col("id").alias("row_id"), x.alias("x"), y.alias("y"))
 
 
 # The distributions of the one-dimensional study.
