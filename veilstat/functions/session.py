@@ -57,7 +57,7 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().toString() for s in store.listStatus(where)) if store.exists(where) else []
 
 
-def claimed(spark: SparkSession, path: str) -> bool:
-    """Whether this call made the file; of several writers one gets True, where the store makes new files atomically."""
+def touched(spark: SparkSession, path: str) -> None:
+    """Makes an empty file in the shared store."""
     where, store = _store(spark, path)
-    return store.createNewFile(where)
+    store.create(where).close()

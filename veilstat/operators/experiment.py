@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilstat.functions.session import children, claimed
+from veilstat.functions.session import children, touched
 from veilstat.operators.mechanisms import in_interval
 from veilstat.operators.selection import medians
 
@@ -65,9 +67,15 @@ def next_run_id(existing: list[str], day: str) -> str:
 
 
 def claim_run_id(spark: SparkSession, path: str, day: str) -> str:
-    """The next run id of a day under a folder, for this writer alone: an id is its claim file, and whoever made that has it."""
+    """A run id of a day under a folder, after all used ones, for this writer alone.
+
+    A writer puts a claim of its own on an id and looks again: alone on it, the id is its own; else all that see each other leave the id and
+    go on. Of two claims the later one sees the earlier, so two writers never have the same id, on any store that lists what it holds; an id
+    that several wanted may stay unused.
+    """
+    folder, token = f"{path}/_claims", uuid.uuid4().hex
     while True:
-        names = [p.rpartition("/")[2] for p in children(spark, f"{path}/_claims")]
-        own = next_run_id(names, day)
-        if claimed(spark, f"{path}/_claims/{own}"):
+        own = next_run_id([p.rpartition("/")[2].partition(".")[0] for p in children(spark, folder)], day)
+        touched(spark, f"{folder}/{own}.{token}")
+        if sum(p.rpartition("/")[2].partition(".")[0] == own for p in children(spark, folder)) == 1:
             return own
