@@ -229,7 +229,7 @@ def survey_scan(spark, d):
 
 @query(
     "survey_weighted",
-    f"""WITH {_raw} SELECT CAST("SEX" - 1 AS INTEGER) AS sex, count(*) AS persons, CAST(sum(CASE WHEN "PINCP" > 30000 THEN 1 ELSE 0 END) AS BIGINT) AS high FROM raw WHERE "AGEP" > 16 AND ("PINCP" > 100 OR isnan("PINCP")) AND "WKHP" > 0 AND id % 3 >= 1 GROUP BY 1""",
+    f"""WITH {_raw} SELECT CAST("SEX" - 1 AS INTEGER) AS sex, count(*) AS persons, CAST(sum(CASE WHEN "PINCP" > 30000 AND NOT isnan("PINCP") THEN 1 ELSE 0 END) AS BIGINT) AS high FROM raw WHERE "AGEP" > 16 AND ("PINCP" > 100 OR isnan("PINCP")) AND "WKHP" > 0 AND id % 3 >= 1 GROUP BY 1""",
 )
 def survey_weighted(spark, d):
     """The prepared survey of a file with person weights: persons without weight are out."""
