@@ -15,6 +15,7 @@ from veilstat.operators.ledger import study_releases
 from veilstat.plans.registry import query
 from veilstat.sources import distributions as D
 from veilstat.sources import files
+from veilstat.sources.datasource import samples
 from veilstat.sources.tables import table
 
 _r = lambda c, n=6: F.round(c, n)
@@ -52,6 +53,18 @@ def truncated_gauss(spark, d):
     return keys(spark, d).select("row_id", _r(_trunc.expression(5, F.col("row_id"))).alias("x"))
 
 
+@query(
+    "samples_joined",
+    f"SELECT o_orderkey, round(o_totalprice + {_trunc.mu!r} + {_trunc.sigma!r} * ({normal_quantile_sql('p')}), 4) AS noisy FROM (SELECT o_orderkey, o_totalprice, {_trunc_u.replace('row_id', 'o_orderkey')} AS p FROM orders WHERE o_orderkey >= 100)",
+)
+def samples_joined(spark, d):
+    """Rows of the sample source next to the orders with their number; those below 100 are never made."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    last = orders.agg(F.max("o_orderkey")).first()[0]
+    made = samples(spark, "truncnorm_assym", (last or 0) + 1, 5).filter("row_id >= 100")
+    return orders.join(made, F.col("o_orderkey") == F.col("row_id")).select("o_orderkey", F.round(F.col("o_totalprice") + F.col("x"), 4).alias("noisy"))
+
+
 @query("gauss_vectors", f"SELECT row_id, round(1 + {K.normal('gauss-d', '5', '0', 'row_id')}, 6) AS x0, round(0.5 * {K.normal('gauss-d', '5', '0', 'row_id')} + {math.sqrt(0.75)!r} * {K.normal('gauss-d', '5', '1', 'row_id')}, 6) AS x1 FROM (SELECT o_orderkey AS row_id FROM orders)")
 def gauss_vectors(spark, d):
     return keys(spark, d).withColumn("x", D.gauss_vector([1.0, 0.0], [[1.0, 0.5], [0.5, 1.0]], 5, F.col("row_id"))).select("row_id", _r(F.col("x")[0]).alias("x0"), _r(F.col("x")[1]).alias("x1"))

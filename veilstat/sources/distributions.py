@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilstat.functions.keyed import normal, uniform
+from veilstat.functions.keyed import normal, normal_py, uniform, uniform_py
 from veilstat.functions.special import normal_quantile_column
 
 _unit = NormalDist()
@@ -33,6 +33,12 @@ class Distribution:
     def quantile(self, u: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
+    purpose = ""  # of the uniform that `expression` turns into a draw
+
+    def at(self, seed: int, keys: np.ndarray) -> np.ndarray:
+        """The draws of `expression` for whole keys, in Python."""
+        return self.quantile(np.array([uniform_py(self.purpose, seed, int(k)) for k in keys], float))
+
     def draw(self, rng: np.random.Generator, n: int) -> np.ndarray:
         """n draws in numpy, for trials inside one task."""
         return self.quantile(rng.random(n))
@@ -58,6 +64,9 @@ class Gauss(Distribution):
     def expression(self, seed, key):
         return F.lit(self.mu) + F.lit(self.sigma) * normal("gauss", seed, key)
 
+    def at(self, seed, keys):
+        return self.mu + self.sigma * np.array([normal_py("gauss", seed, int(k)) for k in keys], float)
+
     def density(self, x):
         return NormalDist(self.mu, self.sigma).pdf(x)
 
@@ -85,6 +94,8 @@ class TruncatedGauss(Distribution):
     def expression(self, seed, key):
         return F.lit(self.mu) + F.lit(self.sigma) * normal_quantile_column(F.lit(self._lo) + uniform("trunc", seed, key) * F.lit(self._hi - self._lo))
 
+    purpose = "trunc"
+
     def quantile(self, u):
         return self.mu + self.sigma * np.array([_unit.inv_cdf(v) for v in self._lo + u * (self._hi - self._lo)])
 
@@ -111,6 +122,8 @@ class Triangular(Distribution):
         u, w = uniform("triang", seed, key), F.lit(self.right - self.left)
         return F.when(u < F.lit(self.c), F.lit(self.left) + w * F.sqrt(u * F.lit(self.c))).otherwise(F.lit(self.right) - w * F.sqrt((F.lit(1.0) - u) * F.lit(1 - self.c)))
 
+    purpose = "triang"
+
     def quantile(self, u):
         w = self.right - self.left
         return np.where(u < self.c, self.left + w * np.sqrt(u * self.c), self.right - w * np.sqrt((1 - u) * (1 - self.c)))
