@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilstat.functions.keyed import KeyedSql as K
-from veilstat.operators import chunking, ranges
+from veilstat.operators import chunking, ranges, wide
 from veilstat.operators.tree_resampling import Tree, tree_logistic, tree_means, tree_medians
 from veilstat.plans.registry import query
 from veilstat.sources.tables import table
@@ -88,3 +88,31 @@ def set_hist_many(spark, d):
     low = F.floor(F.col("o_totalprice") / 10)
     sets = table(spark, d, "orders").select(F.col("o_orderkey").alias("set"), low.alias("low"), (low + 1000 + F.col("o_custkey") % 500).alias("high"))
     return ranges.within_sets(table(spark, d, "lineitem"), "l_extendedprice", sets, ["l_returnflag"])
+
+
+# 500 indicators of a line: part, supplier, quantity, discount, and one for all.
+WIDE = 500
+
+
+def wide_lines(spark, d):
+    rows = table(spark, d, "lineitem")
+    idx = F.array(*[c.cast("int") for c in (F.col("l_partkey") % 300, F.lit(300) + F.col("l_suppkey") % 100, F.lit(399) + F.col("l_quantity"), F.lit(450) + F.round(F.col("l_discount") * 100), F.lit(WIDE - 1))])
+    return rows.select(idx.alias("idx"), F.array(*[F.lit(1.0)] * 5).alias("val"), F.when(F.col("l_returnflag") == "R", 1.0).otherwise(-1.0).alias("y"))
+
+
+_ones = "o AS (SELECT row, unnest([CAST(l_partkey % 300 AS INTEGER), CAST(300 + l_suppkey % 100 AS INTEGER), CAST(399 + l_quantity AS INTEGER), CAST(450 + round(l_discount * 100) AS INTEGER), 499]) AS k FROM (SELECT *, row_number() OVER () AS row FROM lineitem))"
+
+
+@query("gram_wide", f"WITH {_ones} SELECT a.k AS i, b.k AS j, CAST(count(*) AS DOUBLE) AS value FROM o a JOIN o b ON a.row = b.row AND a.k <= b.k GROUP BY 1, 2")
+def gram_wide(spark, d):
+    """The Gram matrix of 500 indicators of the lines, in tiles."""
+    return wide.tile_entries(wide.gram_tiles(wide_lines(spark, d), WIDE), WIDE)
+
+
+@query("logreg_wide")
+def logreg_wide(spark, d):
+    """The fit of 500 coefficients on all lines, with the gradient's largest entry there."""
+    rows = wide_lines(spark, d)
+    beta = wide.wide_fit(rows, WIDE, ridge=1e-3, tolerance=1e-5)
+    (g,), n = wide.pass_sums(rows, WIDE, 1, lambda block: -block.back(block.chances(beta) * block.y, WIDE)[None, :])
+    return spark.createDataFrame([(k, float(b), float(s / n)) for k, (b, s) in enumerate(zip(beta, g, strict=True))], "dim int, value double, slope double")
