@@ -98,25 +98,76 @@ def logreg_gradients(spark, d):
     return logistic.gradients(lines(spark, d), np.array(_steps)).withColumn("value", _r(F.col("value")))
 
 
-@query("logreg_fit")
+# Newton steps unrolled: each is one aggregate at the point of the step before, solved by cofactors.
+_wide_rows = f"{_rows}, data AS (SELECT x0, x1, CAST(1 AS DOUBLE) AS x2, y FROM rows)"
+
+
+def derivative_sql(name: str, point: str, d: int, source: str = "data") -> str:
+    """CTE `name`: the point b0.., gradient g0.. and Hessian h00.. at it, and the sandwich's middle o00..; means over the rows."""
+    m = " + ".join(f"b{i} * x{i}" for i in range(d))
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    columns = [f"avg(-s * y * x{i}) AS g{i}" for i in range(d)] + [f"avg(s * (1 - s) * x{i} * x{j}) AS h{i}{j}" for i, j in pairs] + [f"avg(s * s * x{i} * x{j}) AS o{i}{j}" for i, j in pairs]
+    at = ", ".join(f"any_value(b{i}) AS b{i}" for i in range(d))
+    return f"{name} AS (SELECT {at}, {', '.join(columns)} FROM (SELECT *, 1 / (1 + exp(y * ({m}))) AS s FROM {source}, {point}))"
+
+
+def solved_sql(name: str, source: str, d: int, ridge: str, right: list[str], out: list[str]) -> str:
+    """CTE `name`: all of `source`, and as `out` the solution for the Hessian h00.. plus ridge and a right side."""
+    h = lambda i, j: f"(h{min(i, j)}{max(i, j)}{f' + {ridge}' if i == j else ''})"
+    if d == 2:
+        det, inverse = f"({h(0, 0)} * {h(1, 1)} - {h(0, 1)} * {h(0, 1)})", {(0, 0): h(1, 1), (0, 1): f"(-{h(0, 1)})", (1, 1): h(0, 0)}
+    else:
+        minor = lambda a, b, c, e: f"({h(*a)} * {h(*b)} - {h(*c)} * {h(*e)})"
+        inverse = {
+            (0, 0): minor((1, 1), (2, 2), (1, 2), (1, 2)), (0, 1): minor((0, 2), (1, 2), (0, 1), (2, 2)), (0, 2): minor((0, 1), (1, 2), (0, 2), (1, 1)),
+            (1, 1): minor((0, 0), (2, 2), (0, 2), (0, 2)), (1, 2): minor((0, 1), (0, 2), (0, 0), (1, 2)), (2, 2): minor((0, 0), (1, 1), (0, 1), (0, 1)),
+        }
+        det = "(" + " + ".join(f"{h(0, j)} * {inverse[0, j]}" for j in range(3)) + ")"
+    rows = [" + ".join(f"{inverse[min(i, j), max(i, j)]} * ({right[j]})" for j in range(d)) for i in range(d)]
+    return f"{name} AS (SELECT *, {', '.join(f'({r}) / {det} AS {o}' for r, o in zip(rows, out, strict=True))} FROM {source})"
+
+
+def fitted_sql(d: int, steps: int = 9) -> str:
+    """CTEs up to `fitted` (b0..): Newton steps from zero with the fit's ridge."""
+    out, point = [], f"(SELECT {', '.join(f'CAST(0 AS DOUBLE) AS b{i}' for i in range(d))})"
+    for k in range(steps):
+        out += [derivative_sql(f"d{k}", point, d), solved_sql(f"s{k}", f"d{k}", d, "1e-6", [f"g{i}" for i in range(d)], [f"q{i}" for i in range(d)])]
+        out.append(f"p{k} AS (SELECT {', '.join(f'b{i} - q{i} AS b{i}' for i in range(d))} FROM s{k})")
+        point = f"p{k}"
+    return ", ".join([*out, f"fitted AS (SELECT * FROM {point})"])
+
+
+def _dims(spark, values):
+    return spark.createDataFrame([(i, round(float(v), 5)) for i, v in enumerate(values)], "dim int, value double")
+
+
+@query("logreg_fit", f"WITH {_wide_rows}, {fitted_sql(3)} {' UNION ALL '.join(f'SELECT CAST({i} AS INTEGER) AS dim, round(b{i}, 5) AS value FROM fitted' for i in range(3))}")
 def logreg_fit(spark, d):
-    rows = logistic.with_intercept(lines(spark, d))
-    b = logistic.fit(rows, 3, tolerance=1e-8)
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(b)], "dim int, value double")
+    return _dims(spark, logistic.fit(logistic.with_intercept(lines(spark, d)), 3, tolerance=1e-8))
 
 
-@query("logreg_deviation")
+_at_fit = f"WITH {_wide_rows}, {fitted_sql(2)}, {derivative_sql('a', 'fitted', 2)}, i AS (SELECT *, (h11 + 1e-10) / v AS u, -h01 / v AS m, (h00 + 1e-10) / v AS w FROM (SELECT *, (h00 + 1e-10) * (h11 + 1e-10) - h01 * h01 AS v FROM a)), s AS (SELECT *, u * u * o00 + 2 * u * m * o01 + m * m * o11 AS x, u * m * o00 + (u * w + m * m) * o01 + m * w * o11 AS y, m * m * o00 + 2 * m * w * o01 + w * w * o11 AS z FROM i)"
+_roots = _root2("x", "y", "z")
+_cells = [(0, 0, f"(x + {_roots[0]}) / {_roots[1]}", "u * u + m * m"), (0, 1, f"y / {_roots[1]}", "u * m + m * w"), (1, 0, f"y / {_roots[1]}", "u * m + m * w"), (1, 1, f"(z + {_roots[0]}) / {_roots[1]}", "m * m + w * w")]
+
+
+@query("logreg_deviation", f"{_at_fit} {' UNION ALL '.join(f'SELECT CAST({i} AS INTEGER) AS i, CAST({j} AS INTEGER) AS j, round({a}, 4) AS deviation, round({b}, 4) AS hess_inv_square FROM s' for i, j, a, b in _cells)}")
 def logreg_deviation(spark, d):
     rows = lines(spark, d)
     b = logistic.fit(rows, 2, tolerance=1e-8)
     dev, square = logistic.deviation(rows, b), logistic.inverse_hessian_square(rows, b)
-    return spark.createDataFrame([(i, j, float(dev[i, j]), float(square[i, j])) for i in range(2) for j in range(2)], "i int, j int, deviation double, hess_inv_square double")
+    return spark.createDataFrame([(i, j, round(float(dev[i, j]), 4), round(float(square[i, j]), 4)) for i in range(2) for j in range(2)], "i int, j int, deviation double, hess_inv_square double")
+
+
+_gamma = "gamma"
+_z = [K.normal("sphere", "1", str(i)) for i in range(3)]
+_scale = f"(2 * 1.5 / ((SELECT count(*) FROM rows) * CAST(8 AS DOUBLE)) * ({' + '.join(f'(-ln({K.uniform(_gamma, str(1), str(i))}))' for i in range(3))}) / sqrt({' + '.join(f'{z} * {z}' for z in _z)}))"
+_private = f"WITH {_wide_rows}, {fitted_sql(3)}, {derivative_sql('a', 'fitted', 3)}, {solved_sql('r', 'a', 3, '1e-7', _z, ['q0', 'q1', 'q2'])}"
 
 
-@query("private_logreg")
+@query("private_logreg", f"{_private} {' UNION ALL '.join(f'SELECT CAST({i} AS INTEGER) AS dim, round(b{i} + {_scale} * q{i}, 5) AS value FROM r' for i in range(3))}")
 def private_logreg(spark, d):
-    b = private_logistic.private_fit(lines(spark, d), 2, 8.0, 1.5, 1, intercept=True)
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(b)], "dim int, value double")
+    return _dims(spark, private_logistic.private_fit(lines(spark, d), 2, 8.0, 1.5, 1, intercept=True, tolerance=1e-8))
 
 
 def documents_rows(spark, d):
@@ -184,7 +235,7 @@ def blb_std_alldim(spark, d):
 
 @query("boot_ci_alldim")
 def boot_ci_alldim(spark, d):
-    return resampling.quantile_interval(logistic_stats(spark, d), S.ALPHA, "eqtail", ["chunk", "dim"])
+    return resampling.quantile_interval(checkpointed(logistic_stats(spark, d)), S.ALPHA, "eqtail", ["chunk", "dim"])
 
 
 # zCDP: one value a chunk.

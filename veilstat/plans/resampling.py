@@ -128,7 +128,7 @@ _kinds = {
 for _kind, (_low, _high) in _kinds.items():
 
     def boot_ci(spark, d, kind=_kind):
-        out = resampling.quantile_interval(stats(spark, d, PRIVATE), S.ALPHA, kind, ["chunk"])
+        out = resampling.quantile_interval(checkpointed(stats(spark, d, PRIVATE)), S.ALPHA, kind, ["chunk"])  # read twice
         return out.select("chunk", _r(F.col("l"), 5).alias("l"), _r(F.col("u"), 5).alias("u"))
 
     query(f"boot_ci_{_kind}", f"WITH {S.PRIVATE} SELECT chunk, round({_low}, 5) AS l, round({_high}, 5) AS u FROM stats GROUP BY chunk")(boot_ci)
