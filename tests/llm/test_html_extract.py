@@ -198,3 +198,18 @@ def test_many_skeletons_of_a_host_are_aligned_in_groups(spark):
         pages.append("<body><div class='text'>" + "".join(f"<{k}>{t}</{k}><hr>" for k, t in zip(kinds, texts, strict=True)) + "</div><div class='low'>The same line stands on every page</div></body>")
         want.append("\n".join(texts))
     assert extracted(spark, pages) == want
+
+
+def cards(n, rows=9):
+    """A page with n cards of 5 * rows + 13 nodes each, which repeat nothing of up to twelve nodes but themselves."""
+    one = "".join(f"<div class=card><h3>T{k}</h3><ul>" + "".join(f"<li class=c{j}><p>x{k}-{j}</p></li>" for j in range(rows)) + f"</ul><div><span>q</span><p>z{k}</p></div></div>" for k in range(n))
+    return f"<html><body><div class=menu><p>menu</p></div><article><h1>Title {n}</h1><p>Body text of {n} here</p></article>{one}<div class=foot>f</div></body></html>"
+
+
+def test_repeats_of_any_length_are_groups():
+    for rows in (3, 9, 30):
+        forms = {n: he.structure(he.tokens(cards(n, rows))) for n in range(2, 10)}
+        assert len({he.skeleton(f) for f in forms.values()}) == 1
+        assert all(len([x for x in f if x[0] == "r"]) >= 1 for f in forms.values())
+    assert he.long_repeat(["<a", "x", "<b", "</b", "<a", "x", "<b", "</b", "<a"], 2) == (0, 4, 2)
+    assert he.long_repeat(["<a", "x", "y", "<a", "x", "z"], 2) is None and he.long_repeat([], 2) is None

@@ -11,14 +11,16 @@ slot or group has the same words there, in the article too (seen on LEAST_INVARI
 of a page count once); content if it lies in the article, where the articles hold at least half of the open text, or
 else in the container with most open text. Landmarks decide nothing on a page; they are evidence for the roles.
 
-A page is read against its template's wrapper in one deterministic pass (a union-free expression needs one token of
-look-ahead); a text that this pass does not meet is content if it lies within the elements around the wrapper's
+A page is read against its template's wrapper in one deterministic pass: one token decides on optional and repeated groups, and a tag
+that the page does not have at its place is looked for among the next eight tokens, end tags and landmarks in the whole rest. A text that this pass does not meet is content if it lies within the elements around the wrapper's
 content, however short it is. Content texts make blocks: character references decoded, white space as one space,
 trimmed, joined by line feeds.
 
 Null or empty html: empty text. A host with one page has a wrapper of that page. Repeated rows stay, extra columns
 are ignored, an empty table gives an empty result. No part of a page is cut, however long: reading is linear in its
-length, and a page is held whole with its tokens.
+length, and a page is held whole with its tokens. What is left to align of two structures, equal ends apart, is halved in the middle
+where its sizes' product is beyond ALIGN_CELLS (two stretches of 1,024 nodes without a repetition): then a match across the halves is missed
+and becomes two optional groups.
 """
 
 from __future__ import annotations
@@ -264,7 +266,7 @@ def structure(stream: list[Token]) -> list[list]:
 
 
 def collapse(nodes: list[list], width: int = 12) -> list[list]:
-    """Runs of the same short pattern, starting with an opening tag, as one repeated group."""
+    """Runs of the same pattern, starting with an opening tag, as one repeated group: patterns of up to `width` nodes one length after another, longer ones by their distance."""
     for w in range(1, width + 1):
         keys = [shape(n) for n in nodes]
         out, i = [], 0
@@ -281,9 +283,44 @@ def collapse(nodes: list[list], width: int = 12) -> list[list]:
                 out.append(nodes[i])
                 i += 1
         nodes = out
+    while (found := long_repeat([shape(n) for n in nodes], width)) is not None:
+        start, w, times = found
+        group = [json.loads(json.dumps(n)) for n in nodes[start : start + w]]
+        for at in range(start + w, start + w * times, w):
+            group = [merge_node(a, b, True) for a, b in zip(group, nodes[at : at + w], strict=True)]
+        nodes = [*nodes[:start], ["r", group], *nodes[start + w * times :]]
     return nodes
 
 
+def long_repeat(keys: list[str], width: int) -> tuple[int, int, int] | None:
+    """(start, period, times) of the shortest period beyond `width` at which keys repeat, its leftmost place; None if nothing repeats.
+
+    A period is the distance between an opening tag and its next likeness; around such a pair the stretch that agrees with
+    itself one period on is followed both ways, once, and holds a repetition if it is as long as the period. Linear in the keys for each period.
+    """
+    later: dict[str, int] = {}
+    pairs = []
+    for i in range(len(keys) - 1, -1, -1):
+        if keys[i][:1] == "<" and keys[i][1] != "/":
+            if keys[i] in later and later[keys[i]] - i > width:
+                pairs.append((later[keys[i]] - i, i))
+            later[keys[i]] = i
+    seen: dict[int, int] = {}  # of each period, up to where stretches are known
+    for w, i in sorted(pairs):
+        if i < seen.get(w, 0):
+            continue
+        lo, hi = i, i
+        while lo > seen.get(w, 0) and keys[lo - 1] == keys[lo - 1 + w]:
+            lo -= 1
+        while hi + w < len(keys) and keys[hi] == keys[hi + w]:
+            hi += 1
+        seen[w] = hi
+        for start in range(lo, hi - w + 1):
+            if keys[start][:1] == "<" and keys[start][1] != "/":
+                return start, w, 1 + (hi - start) // w
+    return None
+
+
 def merge_node(a: list, b: list, within: bool = False) -> list:
     """One node for two of the same shape, of two sets of pages or within one page."""
     if a[0] == "t":
