@@ -75,6 +75,15 @@ Weighted = Callable[[np.ndarray, np.ndarray], np.ndarray]
 Private = Callable[[np.ndarray, np.ndarray, np.random.Generator], np.ndarray]
 
 
+def of_rows(estimator: Callable[[np.ndarray], np.ndarray | float]) -> Weighted:
+    """The weighted form of a plain function of rows, which gets the rows of each resample, as often as they come, one resample at a time."""
+
+    def run(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return np.stack([np.atleast_1d(np.asarray(estimator(np.repeat(x, row.astype(int), axis=0)), float)) for row in w])
+
+    return run
+
+
 def weighted_mean(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     """One row of estimates a row of weights."""
     return (w @ x) / w.sum(1, keepdims=True)
