@@ -120,3 +120,33 @@ def test_cells_are_pruned(spark, monkeypatch):
     got = topk.top_k(df, F.col("vec_id") % 10 == 0)
     assert sorted(tuple(r) for r in got.collect()) == brute(x, 10, 5)
     assert sent[0] == 120 and sent[1] < 120 * 59 / 5  # 60 cells
+
+
+def share(x, q, leaf):
+    ids = np.arange(len(x))
+    s = topk.Search(x[q], ids[q], x, ids, 5, tree=topk.cover_tree(x, leaf))
+    s.run()
+    return s.scored / (q.sum() * len(x))
+
+
+def test_what_the_bounds_prune(spark):
+    """Tight clusters in few dimensions let node pairs go; the given vectors, which have none, let nothing go (README)."""
+    rng = np.random.default_rng(0)
+    clusters = np.floor(256 * (rng.normal(0, 1, (40, 3))[rng.integers(0, 40, 4000)] + 0.01 * rng.normal(0, 1, (4000, 3))))
+    assert share(clusters, np.arange(4000) % 50 == 0, 16) < 0.6  # 0.51 when this was written
+    given = np.floor(256 * np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").collect()], float))
+    assert share(given, np.arange(len(given)) % 50 == 0, 16) > 0.9
+
+
+def test_leaves_of_any_size():
+    x = np.random.default_rng(1).normal(0, 1, (200, 8))
+    for leaf in (1, 2, 3, 7):
+        found: list[int] = []
+
+        def walk(node, found=found):
+            found += node.points.tolist() if node.points is not None else []
+            for c in node.children:
+                walk(c)
+
+        walk(topk.cover_tree(x, leaf))
+        assert sorted(found) == list(range(200))

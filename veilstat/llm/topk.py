@@ -85,7 +85,8 @@ def cover_tree(x: np.ndarray, leaf: int = LEAF, width: int = MAX_CHILDREN) -> No
         far = np.sqrt(((x[rows] - one) ** 2).sum(1))
         side = far - np.sqrt(((x[rows] - x[rows[far.argmax()]]) ** 2).sum(1))
         order = np.argsort(side, kind="stable")
-        low, high = len(rows) // 4, len(rows) - len(rows) // 4
+        low = max(1, len(rows) // 4)
+        high = max(low + 1, len(rows) - low)
         cut = low + int(np.diff(side[order][low - 1 : high]).argmax())
         return halves(rows[order[:cut]]) + halves(rows[order[cut:]])
 
