@@ -327,7 +327,7 @@ def gvdp_ci(spark, d):
 
 STUDY_ROWS, STUDY_BUDGETS = [300, 500, 1000, 1500, 2000], [10.0, 8.0, 5.0]
 # Half widths that the queries ask for, and the reference's numbers of trials as bounds; see the README for what a smaller half width costs.
-STUDY_GOAL, ZCDP_GOAL = Goal(half_width=0.13, most=1000), Goal(half_width=0.09, most=10_000)
+STUDY_GOAL, ZCDP_GOAL = Goal(half_width=0.14, most=1000), Goal(half_width=0.12, most=10_000)
 
 
 def through_study(spark, name: str, cells, simulate, goal: Goal, keys=None):
