@@ -113,6 +113,6 @@ def gram_wide(spark, d):
 def logreg_wide(spark, d):
     """The fit of 500 coefficients on all lines, with the gradient's largest entry there."""
     rows = wide_lines(spark, d)
-    beta = wide.wide_fit(rows, WIDE, ridge=1e-3, tolerance=1e-5)
+    beta = wide.wide_fit(rows, WIDE, tolerance=1e-4)
     (g,), n = wide.pass_sums(rows, WIDE, 1, lambda block: -block.back(block.chances(beta) * block.y, WIDE)[None, :])
     return spark.createDataFrame([(k, float(b), float(s / n)) for k, (b, s) in enumerate(zip(beta, g, strict=True))], "dim int, value double, slope double")
