@@ -389,3 +389,27 @@ def test_shared_folder_of_a_cluster(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         shared_folder(session("spark://x:7077", None))
     assert shared_folder(session("local[2]", None)) == shared_folder(session("local", None))
+
+
+def test_draws_are_counted_where_they_are_made(spark):
+    """Pages of 8 slots and parts of 50 draws, dense and sparse, nulls, copies of the whole table: as index by index; no join has a row a draw."""
+    x = [None if i % 7 == 0 else float(i * i % 23) for i in range(60)]
+    chunked = spark.createDataFrame(list(enumerate(x)), "id long, x double").select((F.col("id") % 2).cast("int").alias("chunk"), F.floor(F.col("id") / 2).alias("slot"), "x")
+    whole = spark.createDataFrame(list(enumerate(x)), "slot long, x double")
+    for df, copies, of in ((chunked, 0, lambda c: x[c::2]), (whole, 3, lambda c: x)):
+        got = resampling.boot_stats(df, "x", 130, 40, 5, resampling.Release(0, 23, studentize=True), copies=copies, page=8, span=50)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "explode(sequence(0, 129" not in plan
+        rows = got.collect()
+        assert len(rows) == 40 * (copies or 2)
+        for r in rows:
+            own = of(r.chunk)
+            drawn = [own[math.floor(keyed.uniform_py("boot", 5, r.chunk, r.run, k) * len(own))] for k in range(130)]
+            drawn, known = np.array([v for v in drawn if v is not None]), [v for v in own if v is not None]
+            assert r.est == pytest.approx(drawn.mean(), rel=1e-12) and r.stat == pytest.approx(math.sqrt(130) * (np.mean(known) - drawn.mean()) / drawn.std(ddof=1), rel=1e-9, abs=1e-9)
+
+
+def test_uniforms_as_an_array():
+    for first, last in ((0, 1), (7, 1203), (99_990, 100_020), (1_234_567, 1_234_999)):
+        assert keyed.uniforms_np(first, last, "boot", 0, 3, 17).tolist() == [keyed.uniform_py("boot", 0, 3, 17, k) for k in range(first, last)]
+    assert keyed.uniforms_np(5, 8, "boot", "a seed of more than fifty bytes, which is more than a block holds").tolist() == [keyed.uniform_py("boot", "a seed of more than fifty bytes, which is more than a block holds", k) for k in range(5, 8)]
