@@ -413,3 +413,16 @@ def test_uniforms_as_an_array():
     for first, last in ((0, 1), (7, 1203), (99_990, 100_020), (1_234_567, 1_234_999)):
         assert keyed.uniforms_np(first, last, "boot", 0, 3, 17).tolist() == [keyed.uniform_py("boot", 0, 3, 17, k) for k in range(first, last)]
     assert keyed.uniforms_np(5, 8, "boot", "a seed of more than fifty bytes, which is more than a block holds").tolist() == [keyed.uniform_py("boot", "a seed of more than fifty bytes, which is more than a block holds", k) for k in range(5, 8)]
+
+
+def test_a_block_of_runs_is_weighted_in_steps(spark):
+    """What a task holds of a block's counts is bounded, and decides no result."""
+    chunked = chunking.chunk(numbers(spark, np.random.default_rng(6).normal(0, 2, 90)), "id", 90, 30, 1)
+
+    def counted(x, w):
+        if w.size > 100:
+            raise ValueError("more counts at a time than asked for")
+        return resampling.weighted_median(x, w)
+
+    rows = lambda f, **k: sorted(resampling.weighted_stats(chunked, ["x"], 90, 20, f, seed=3, **k).collect())
+    assert rows(counted, held=100) == rows(resampling.weighted_median)
