@@ -231,3 +231,13 @@ def test_search_of_dimensions_stops(spark):
     for tree in (False, True):
         few, all_ = (intervals.search_dims(stats, bins, 60, 0.3, 30.0, "short", {0: 2}, seed=2, tree=tree, first=n).orderBy("dim").collect() for n in (2, 4096))
         assert few == all_ and few[0].ord is not None and few[1].ord is None and (few[1].l, few[1].u) == (-0.1, 0.1)
+
+
+def test_rounds_move_no_rows(rows, spark):
+    """The blocks are written once: neither the chunks' window nor a row's exchange is part of a later round."""
+    df = rows[0]
+    held = tree_resampling.packed(df, ["x"], TREE)
+    state = tree_resampling.all_runs(held, TREE.runs).withColumn("state", F.array().cast("array<double>"))
+    plan = tree_resampling.block_sums(held, 1, TREE, lambda x, w, *_: (np.arange(len(w)), np.zeros(len(w), int), w.sum(1)), state)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "CoGroup" not in plan
+    assert sorted(r.x for r in tree_resampling.unpacked(held, ["x"]).collect()) == sorted(r.x for r in df.collect())

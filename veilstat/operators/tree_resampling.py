@@ -7,7 +7,7 @@ run's counts depend neither on the number of runs nor on which rows a task holds
 leaves by walking down from the root.
 
 A group is a chunk and a block of BLOCK_LEAVES leaves: at most BLOCK_LEAVES * LEAF rows, and RUNS runs' counts of one leaf at a
-time. What it gives are partial sums a run; one chunk is spread over as many tasks as it has blocks. Estimators are sums
+time. Blocks are packed once (`packed`) and stay where they are. What a block gives are partial sums a run; one chunk is spread over as many tasks as it has blocks. Estimators are sums
 (mean), rounds of counts by digits of the values' bits (median), or rounds of gradients and Hessians (logistic).
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from veilstat.functions.session import checkpointed
 from veilstat.operators.logistic import NEWTON_RIDGE
-from veilstat.operators.selection import medians
+from veilstat.operators.selection import MOST_BROADCAST, medians
 
 LEAF, BLOCK_LEAVES, RUNS = 4096, 32, 128
 OFTEN = 8  # draws a slot from which on a slot's count is drawn as a binomial
@@ -49,10 +49,6 @@ class Tree:
     def block_rows(self) -> int:
         return self.leaf * self.block
 
-    def blocks(self) -> Column:
-        """Numbers of the blocks of a chunk of b slots."""
-        return F.sequence(F.lit(0), ((F.col("b") - 1) / F.lit(self.block_rows)).cast("int"))
-
     def block_of(self) -> Column:
         return (F.col("slot") / F.lit(self.block_rows)).cast("int")
 
@@ -87,26 +83,65 @@ def leaf_weights(tree: Tree, chunk: int, b: int, leaf: int, count: np.ndarray) -
             yield at, np.bincount(place, minlength=len(own) * size).reshape(len(own), size)
 
 
-def chunk_sizes(chunked: DataFrame) -> DataFrame:
-    return chunked.groupBy("chunk").agg(F.count("*").alias("b"))
+PAGES = 4  # blocks of a partition, about
+
+
+def packed(chunked: DataFrame, columns: list[str], tree: Tree) -> DataFrame:
+    """(chunk, block, size, x) of each block: its rows in the order of their slots, as packed doubles; a checkpoint, so that a round reads numbers and moves none."""
+    spark, d = chunked.sparkSession, len(columns)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-tree.n // (PAGES * tree.block_rows)))
+    rows = chunked.select("chunk", tree.block_of().alias("block"), "slot", *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)]).repartition(tasks, "chunk", "block")
+
+    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        x = own.sort_values("slot")[[f"_{i}" for i in range(d)]].to_numpy(float)
+        return pd.DataFrame([(*key, len(x), np.ascontiguousarray(x).tobytes())], columns=["chunk", "block", "size", "x"])
+
+    return checkpointed(rows.groupBy("chunk", "block").applyInPandas(run, "chunk int, block int, size long, x binary"))
+
+
+def unpacked(held: DataFrame, columns: list[str]) -> DataFrame:
+    """(chunk, columns...) of packed blocks."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for chunk, x in zip(frame["chunk"], frame["x"], strict=True):
+                yield pd.DataFrame(np.frombuffer(x).reshape(-1, len(columns)), columns=columns).assign(chunk=chunk)[["chunk", *columns]]
+
+    return held.select("chunk", "x").mapInPandas(run, ", ".join(["chunk int", *(f"{c} double" for c in columns)]))
+
 
+def chunk_sizes(held: DataFrame) -> DataFrame:
+    return held.groupBy("chunk").agg(F.sum("size").alias("b"))
 
-def block_sums(chunked: DataFrame, columns: list[str], tree: Tree, partial: Partial, state: DataFrame, width: int) -> DataFrame:
-    """(chunk, run, k, value): the sums over a chunk's blocks of what `partial` finds in each; no row where nothing was found.
 
-    `state` is (chunk, b, run, state array of `width`). partial(x, w, first run, state of these runs) gives rows of runs, numbers k and values; equal ones add up.
+def on_blocks(held: DataFrame, d: int, state: DataFrame, find: Callable[[int, int, int, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame]) -> DataFrame:
+    """(chunk, run, k, value): the sums of what find(chunk, block, b, x, runs, states) gives for each block.
+
+    `state` is (chunk, b, run, state array). A chunk's runs are one row, and go to the blocks; the blocks move only where chunks are many.
     """
-    held = state.withColumn("block", F.explode(tree.blocks()))  # the runs once for each block
-    rows = chunked.select("chunk", "slot", *columns, tree.block_of().alias("block"))
-
-    def run(key: tuple, own: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        chunk, block = int(key[0]), int(key[1])
-        if not len(own) or not len(states):
-            return pd.DataFrame({"chunk": [], "run": [], "k": [], "value": []})
-        own, states = own.sort_values("slot"), states.sort_values("run")
-        x, b = own[columns].to_numpy(float), int(states["b"].iloc[0])
-        known = np.stack(states["state"].to_numpy()) if width else np.zeros((len(states), 0))
-        active = states["run"].to_numpy(int)
+    each = F.sort_array(F.collect_list(F.struct("run", "state")))
+    of_chunk = state.groupBy("chunk", "b").agg(each.alias("_s")).select("chunk", "b", F.col("_s.run").alias("runs"), F.flatten(F.col("_s.state")).alias("state"))
+    small = state.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    rows = held.select("chunk", "block", "x").join(F.broadcast(of_chunk) if small else of_chunk, "chunk")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                runs = np.asarray(r.runs, int)
+                found = find(int(r.chunk), int(r.block), int(r.b), np.frombuffer(r.x).reshape(-1, d), runs, np.asarray(r.state, float).reshape(len(runs), -1))
+                yield found.assign(chunk=int(r.chunk))[["chunk", "run", "k", "value"]]
+
+    parts = rows.mapInPandas(run, "chunk int, run int, k long, value double")
+    return parts.groupBy("chunk", "run", "k").agg(F.sum("value").alias("value"))
+
+
+def block_sums(held: DataFrame, d: int, tree: Tree, partial: Partial, state: DataFrame) -> DataFrame:
+    """(chunk, run, k, value): the sums over a chunk's packed blocks of d columns of what `partial` finds in each; no row where nothing was found.
+
+    `state` is (chunk, b, run, state array). partial(x, w, first run, state of these runs) gives rows of runs, numbers k and values; equal ones add up.
+    """
+
+    def find(chunk: int, block: int, b: int, x: np.ndarray, active: np.ndarray, known: np.ndarray) -> pd.DataFrame:
         first = block * tree.block
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for leaf, count in leaf_counts(tree, chunk, b, first, first + tree.block):
@@ -117,15 +152,14 @@ def block_sums(chunked: DataFrame, columns: list[str], tree: Tree, partial: Part
                     r, k, v = partial(x[at : at + w.shape[1]], w[active[a:z] - lo], a, known[a:z])
                     found.append((active[r + a], k, v))
         r, k, v = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
-        return pd.DataFrame({"chunk": chunk, "run": r, "k": k, "value": np.asarray(v, float)}).groupby(["chunk", "run", "k"], as_index=False).sum()
+        return pd.DataFrame({"run": r, "k": k, "value": np.asarray(v, float)}).groupby(["run", "k"], as_index=False).sum()
 
-    parts = rows.groupBy("chunk", "block").cogroup(held.groupBy("chunk", "block")).applyInPandas(run, "chunk int, run int, k long, value double")
-    return parts.groupBy("chunk", "run", "k").agg(F.sum("value").alias("value"))
+    return on_blocks(held, d, state, find)
 
 
-def all_runs(chunked: DataFrame, runs: int) -> DataFrame:
-    """(chunk, b, run) of every chunk and run, as a checkpoint: its rows meet those of the chunks it was counted from."""
-    return checkpointed(chunk_sizes(chunked).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))))
+def all_runs(held: DataFrame, runs: int) -> DataFrame:
+    """(chunk, b, run) of every chunk and run."""
+    return chunk_sizes(held).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
 
 
 def _dense(rows: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,10 +174,11 @@ def tree_means(chunked: DataFrame, columns: list[str], tree: Tree) -> DataFrame:
     def partial(x, w, _, __):
         return _dense(len(w), np.hstack([w.sum(1, keepdims=True), w @ x, w @ (x * x)]))
 
-    state = all_runs(chunked, tree.runs).withColumn("state", F.array().cast("array<double>"))
-    sums = block_sums(chunked, columns, tree, partial, state, 0)
+    held = packed(chunked, columns, tree)
+    state = all_runs(held, tree.runs).withColumn("state", F.array().cast("array<double>"))
+    sums = block_sums(held, d, tree, partial, state)
     wide = sums.groupBy("chunk", "run").agg(F.map_from_entries(F.collect_list(F.struct("k", "value"))).alias("m"))  # 2 d + 1 numbers a run
-    own = chunked.groupBy("chunk").agg(F.array(*[F.avg(c) for c in columns]).alias("theta"))
+    own = unpacked(held, columns).groupBy("chunk").agg(F.array(*[F.avg(c) for c in columns]).alias("theta"))
     each = wide.join(own, "chunk").withColumn("dim", F.explode(F.sequence(F.lit(0), F.lit(d - 1))))
     at = lambda k: F.coalesce(F.try_element_at("m", k.cast("bigint")), F.lit(0.0))
     weight, total, square = at(F.lit(0)), at(F.col("dim") + 1), at(F.col("dim") + 1 + d)
@@ -172,11 +207,12 @@ def tree_medians(chunked: DataFrame, column: str, tree: Tree) -> DataFrame:
     The digits found and the rank left are two numbers a run and rank; a number of 64 bits travels as two of 32.
     """
     ranks = [(tree.n + 1) // 2, tree.n // 2 + 1]
-    targets = all_runs(chunked, tree.runs).withColumn("t", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.lit(r).alias("left")) for i, r in enumerate(ranks)])))
+    held = packed(chunked, [column], tree)
+    targets = all_runs(held, tree.runs).withColumn("t", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.lit(r).alias("left")) for i, r in enumerate(ranks)])))
     state = targets.select("chunk", "b", "run", F.col("t.t").alias("t"), F.lit(0).cast("long").alias("high"), F.lit(0).cast("long").alias("low"), F.col("t.left").cast("long").alias("left"))
     for shift in range(64 - DIGIT, -1, -DIGIT):
         # One row a run: the digits found for both ranks.
-        held = state.groupBy("chunk", "b", "run").agg(F.sort_array(F.collect_list(F.struct("t", "high", "low"))).alias("s")).select("chunk", "b", "run", F.flatten(F.transform("s", lambda v: F.array(v["high"].cast("double"), v["low"].cast("double")))).alias("state"))
+        digits = state.groupBy("chunk", "b", "run").agg(F.sort_array(F.collect_list(F.struct("t", "high", "low"))).alias("s")).select("chunk", "b", "run", F.flatten(F.transform("s", lambda v: F.array(v["high"].cast("double"), v["low"].cast("double")))).alias("state"))
 
         def partial(x, w, _, known, shift=shift):
             bits = ordered_bits(x[:, 0])
@@ -199,7 +235,7 @@ def tree_medians(chunked: DataFrame, column: str, tree: Tree) -> DataFrame:
                     out.append((mine[r[keep]], t * 2**DIGIT + digit[starts][k[keep]], v[keep]))
             return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 3
 
-        counts = block_sums(chunked, [column], tree, partial, held, 4)
+        counts = block_sums(held, 1, tree, partial, digits)
         # At most 256 digits a run and rank: the first whose counts reach the rank.
         listed = counts.groupBy("chunk", "run", F.floor(F.col("k") / 2**DIGIT).cast("int").alias("t")).agg(F.sort_array(F.collect_list(F.struct((F.col("k") % 2**DIGIT).alias("digit"), F.col("value").cast("long").alias("ct")))).alias("c"))
         start = F.struct(F.col("left").alias("left"), F.lit(-1).cast("long").alias("digit"))
@@ -214,7 +250,7 @@ def tree_medians(chunked: DataFrame, column: str, tree: Tree) -> DataFrame:
         return pd.Series(from_bits((high.to_numpy().astype(np.uint64) << np.uint64(32)) | low.to_numpy().astype(np.uint64)))
 
     est = state.select("chunk", "run", value("high", "low").alias("v")).groupBy("chunk", "run").agg(F.avg("v").alias("est"))
-    own = medians(chunked, column, ["chunk"]).withColumnRenamed("value", "theta")
+    own = medians(unpacked(held, [column]), column, ["chunk"]).withColumnRenamed("value", "theta")
     return est.join(own, "chunk").select("chunk", "run", "est", (F.sqrt(F.lit(float(tree.n))) * (F.col("theta") - F.col("est"))).alias("stat"))
 
 
@@ -251,11 +287,12 @@ def tree_logistic(chunked: DataFrame, columns: list[str], label: str, tree: Tree
     def resampled(x, w, _, beta):
         return _dense(len(w), terms(x, w, beta))
 
-    sizes = all_runs(chunked, tree.runs).withColumn("state", first)
-    state, done = checkpointed(sizes.unionByName(chunk_sizes(chunked).select("chunk", "b", F.lit(-1).alias("run"), first.alias("state")))), None
+    held = packed(chunked, [*columns, label], tree)
+    sizes = all_runs(held, tree.runs).withColumn("state", first)
+    state, done = checkpointed(sizes.unionByName(chunk_sizes(held).select("chunk", "b", F.lit(-1).alias("run"), first.alias("state")))), None
     for _ in range(steps):
-        sums = block_sums(chunked, [*columns, label], tree, resampled, state.filter("run >= 0"), d)
-        whole = plain_sums(chunked, [*columns, label], tree, terms, state.filter("run < 0"))
+        sums = block_sums(held, d + 1, tree, resampled, state.filter("run >= 0"))
+        whole = plain_sums(held, d + 1, terms, state.filter("run < 0"))
         joined = state.join(sums.unionByName(whole), ["chunk", "run"]).withColumn("_r", F.floor(F.col("run") / RUNS))
         moved = checkpointed(joined.groupBy("chunk", "_r").applyInPandas(stepped, "chunk int, b long, run int, state array<double>, step double"))
         ended = moved.filter(F.col("step") <= tolerance).drop("step")
@@ -270,16 +307,11 @@ def tree_logistic(chunked: DataFrame, columns: list[str], label: str, tree: Tree
     return each.select("chunk", "run", "dim", "est", (F.sqrt(F.lit(float(tree.n))) * (F.col("theta")[F.col("dim")] - F.col("est"))).alias("stat"))
 
 
-def plain_sums(chunked: DataFrame, columns: list[str], tree: Tree, terms: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], state: DataFrame) -> DataFrame:
+def plain_sums(held: DataFrame, d: int, terms: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], state: DataFrame) -> DataFrame:
     """(chunk, run, k, value) of each chunk with every row once; `state` has one row a chunk at most."""
-    rows = chunked.select("chunk", "slot", *columns, tree.block_of().alias("block"))
 
-    def run(key: tuple, own: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(states):
-            return pd.DataFrame({"chunk": [], "run": [], "k": [], "value": []})
-        x = own.sort_values("slot")[columns].to_numpy(float)
-        v = terms(x, np.ones((1, len(x))), np.array([states["state"].iloc[0]]))[0]
-        return pd.DataFrame({"chunk": int(key[0]), "run": int(states["run"].iloc[0]), "k": np.arange(len(v)), "value": v})
+    def find(_: int, __: int, ___: int, x: np.ndarray, runs: np.ndarray, states: np.ndarray) -> pd.DataFrame:
+        v = terms(x, np.ones((1, len(x))), states)[0]
+        return pd.DataFrame({"run": runs[0], "k": np.arange(len(v)), "value": v})
 
-    parts = rows.groupBy("chunk", "block").cogroup(state.withColumn("block", F.explode(tree.blocks())).groupBy("chunk", "block")).applyInPandas(run, "chunk int, run int, k long, value double")
-    return parts.groupBy("chunk", "run", "k").agg(F.sum("value").alias("value"))
+    return on_blocks(held, d, state, find)
