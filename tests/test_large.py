@@ -241,3 +241,15 @@ def test_rounds_move_no_rows(rows, spark):
     plan = tree_resampling.block_sums(held, 1, TREE, lambda x, w, *_: (np.arange(len(w)), np.zeros(len(w), int), w.sum(1)), state)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "CoGroup" not in plan
     assert sorted(r.x for r in tree_resampling.unpacked(held, ["x"]).collect()) == sorted(r.x for r in df.collect())
+
+
+def test_ranges_grow_in_number_with_the_rows(spark):
+    """No task gets a larger share when there are more rows, and the few totals are not joined to the answers."""
+    assert ranges.ranges_of(spark.range(5000), rows=100) == 50 and ranges.ranges_of(spark.range(10)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), (F.col("id") % 101).cast("double").alias("x"))
+    assert ranges.running(df.withColumn("v", F.lit(1)), ["g"], ["x"], "v", "before", 40).select("_part").distinct().count() > 10
+    sets = spark.range(200).select(F.col("id").alias("set"), (F.col("id") % 50).alias("low"), (F.col("id") % 50 + 20).alias("high"))
+    out = ranges.within_sets(df, "x", sets, ["g"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and out.count() == 600
+    assert out.filter("g = 1 and set = 7").first().ct == df.filter("g = 1 and x between 7 and 27").count()

@@ -12,16 +12,24 @@ from pyspark.sql import functions as F
 
 from veilstat.functions.session import checkpointed
 
+ROWS = 1_000_000  # rows of a range, about
 
-def running(df: DataFrame, by: list[str], order: list[str | Column], value: str, name: str) -> DataFrame:
+
+def ranges_of(df: DataFrame, rows: int = ROWS) -> int:
+    """How many ranges the rows of a frame are dealt to: as many as shuffles have partitions, more where these would be large."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
+def running(df: DataFrame, by: list[str], order: list[str | Column], value: str, name: str, count: int | None = None) -> DataFrame:
     """df with `name`, the sum of `value` over the rows before in (by, order), and `_part`, its range. Rows that are equal in both come in no stated order."""
     keys = [F.col(c) for c in by] + [F.col(c) if isinstance(c, str) else c for c in order]
-    placed = checkpointed(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    count = count or ranges_of(df)
+    placed = checkpointed(df.repartitionByRange(count, *keys).withColumn("_part", F.spark_partition_id()))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy(*by, "_part").agg(F.sum(value).alias("_s"))
     offsets = offsets.select(*by, "_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_offset"))  # a row a partition and group
     within = Window.partitionBy(*by, "_part").orderBy(*[c for c in keys[len(by) :]]).rowsBetween(Window.unboundedPreceding, -1)
-    joined = placed.join(offsets, [*by, "_part"])
+    joined = placed.repartition(count, *by, "_part").join(offsets, [*by, "_part"])  # in as many tasks as there are ranges
     return joined.withColumn(name, F.col("_offset") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_offset")
 
 
@@ -51,12 +59,14 @@ def within_sets(df: DataFrame, x: str, sets: DataFrame, by: list[str]) -> DataFr
     totals = rows.groupBy(*group).agg(F.count("*").alias("total"))
     values = rows.filter(F.col("_x").isNotNull() & ~F.isnan("_x")).groupBy(*group, "_x").agg(F.count("*").alias("_ct"))
     none = F.lit(None).cast("bigint")
-    known = values.select(*group, (F.col("_x") + F.lit(0.0)).alias("_x"), F.lit(1).alias("_o"), none.alias("_set"), "_ct")
+    known = values.select(*group, (F.col("_x") + F.lit(0.0)).alias("_x"), F.lit(1).alias("_o"), none.alias("_set"), "_ct", none.alias("total"))
     ends = F.explode(F.array(F.struct(F.col("low").alias("x"), F.lit(0).alias("o")), F.struct(F.col("high").alias("x"), F.lit(2).alias("o"))))
-    asked = sets.select(F.col("set").cast("bigint").alias("_set"), ends.alias("_e")).crossJoin(F.broadcast(totals.select(*group)) if not by else totals.select(*group))
-    asked = asked.select(*group, (F.col("_e.x").cast("double") + F.lit(0.0)).alias("_x"), F.col("_e.o").alias("_o"), "_set", F.lit(0).cast("bigint").alias("_ct"))
-    placed = running(known.unionByName(asked), group, ["_x", "_o", F.xxhash64("_set")], "_ct", "_before")
-    answers = placed.filter(F.col("_set").isNotNull()).groupBy(*group, F.col("_set").alias("set"))
-    counted = answers.agg(F.greatest(F.lit(0), F.sum(F.when(F.col("_o") == 2, F.col("_before")).otherwise(-F.col("_before")))).alias("ct"))
-    out = counted.join(totals, group)
+    asked = sets.select(F.col("set").cast("bigint").alias("_set"), ends.alias("_e")).crossJoin(F.broadcast(totals) if not by else totals)
+    asked = asked.select(*group, (F.col("_e.x").cast("double") + F.lit(0.0)).alias("_x"), F.col("_e.o").alias("_o"), "_set", F.lit(0).cast("bigint").alias("_ct"), "total")
+    both = known.unionByName(asked)
+    count = ranges_of(both)
+    placed = running(both, group, ["_x", "_o", F.xxhash64("_set")], "_ct", "_before", count)
+    # A question carries its group's size: a join with few groups would bring all their answers to few tasks.
+    answers = placed.filter(F.col("_set").isNotNull()).repartition(count, *group, "_set").groupBy(*group, F.col("_set").alias("set"))
+    out = answers.agg(F.greatest(F.lit(0), F.sum(F.when(F.col("_o") == 2, F.col("_before")).otherwise(-F.col("_before")))).alias("ct"), F.max("total").alias("total"))
     return out if by else out.drop("_g")
