@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veilstat.functions.special import beta_quantile, beta_regularized
 from veilstat.operators import chunking, experiment, study, trial
 from veilstat.operators.ledger import study_ledger, study_releases
+from veilstat.operators.logistic_trial import Population
 from veilstat.operators.study import Goal
 from veilstat.sources import files
 
@@ -132,3 +133,11 @@ def test_survey_by_header(spark, tmp_path):
     files.write_csv(df.drop("WKHP"), f"{tmp_path}/less")
     with pytest.raises(ValueError, match="WKHP"):
         files.read_survey(spark, f"{tmp_path}/less")
+
+
+def test_drawn_rows_are_not_broadcast(spark):
+    """The plan's estimate of the draws is that of their cases; a broadcast of them, or of the population, would go through the driver."""
+    rows = spark.range(200).select("id", F.array(F.col("id") / 200).alias("x"), F.when(F.col("id") % 3 == 0, 1.0).otherwise(-1.0).alias("y"))
+    cases = spark.createDataFrame([(20, t, k) for t in range(2) for k in range(3)], "n int, trial int, resample int")
+    out = Population(rows, "id").drawn(cases)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString() and out.groupBy("trial", "resample").count().filter("count = 20").count() == 6
