@@ -1,6 +1,7 @@
 """Fits and Gram matrices of many features against numpy."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,11 @@ def test_conjugate_gradients():
     a = rng.normal(0, 1, (30, 30))
     h, g = a @ a.T + np.eye(30), rng.normal(0, 1, 30)
     assert np.allclose(wide.conjugate(lambda v: h @ v, g, np.diag(h), 1e-12, 500), np.linalg.solve(h, g)) and (wide.conjugate(lambda v: h @ v, np.zeros(30), np.diag(h), 0.1, 9) == 0).all()
+
+
+def test_products_of_sparse_rows_go_pair_by_pair():
+    """Rows without values, with one, with a value twice."""
+    idx, val = [[0, 3], [], [2], [3, 3, 1]], [[1.0, 2.0], [], [-1.5], [1.0, 0.5, 2.0]]
+    block = wide.Block(pa.RecordBatch.from_arrays([pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float64())), pa.array([1.0, -1.0, 1.0, 1.0])], names=["idx", "val", "y"]))
+    x, w = block.dense(5), np.array([1.0, 2.0, 3.0, 0.5])
+    assert np.allclose(block.square(5, w), x.T @ (x * w[:, None]))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from veilstat.operators.logistic import NEWTON_RIDGE
 
 TILE, FAN, ROWS = 256, 64, 2048
+SPARSE = 1.0  # pairs of values a row and feature up to which products go pair by pair
 HELD = 2048  # features up to which the driver holds a Hessian: 32 MB
 
 
@@ -48,6 +49,19 @@ class Block:
         np.add.at(out, (self.row, self.idx), self.val)
         return out
 
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places a, b of all pairs of a row's values, in either order and with itself."""
+        size = np.bincount(self.row, minlength=self.n)
+        each = size[self.row]
+        first, end = np.cumsum(size) - size, np.cumsum(each)
+        a = np.repeat(np.arange(len(self.row)), each)
+        return a, np.repeat(first[self.row] - end + each, each) + np.arange(len(a))
+
+    def square(self, d: int, weight: np.ndarray) -> np.ndarray:
+        """X' W X from the pairs of each row's values; what is not there costs nothing."""
+        a, b = self.pairs()
+        return np.bincount(self.idx[a].astype(np.int64) * d + self.idx[b], self.val[a] * self.val[b] * weight[self.row[a]], d * d).reshape(d, d)
+
     def chances(self, beta: np.ndarray) -> np.ndarray:
         """Of the label that a row does not have."""
         return 1 / (1 + np.exp(np.clip(self.y * self.times(beta), -700, 700)))
@@ -132,16 +146,24 @@ def gram_tiles(df: DataFrame, d: int, weight: Callable[[Block], np.ndarray] | No
     """(ti, tj, tile): the tiles ti <= tj of X' W X, row by row as packed doubles; tiles at the border are smaller. Without a weight every row counts once."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, any_rows = {}, False
+        total, any_rows, whole = {}, False, None
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
-                block = Block(batch.slice(at, ROWS))
-                x, any_rows = block.dense(d), True
+                block, any_rows = Block(batch.slice(at, ROWS)), True
+                if d <= HELD and np.square(np.bincount(block.row, minlength=1)).sum() <= SPARSE * block.n * d:
+                    own = block.square(d, np.ones(block.n) if weight is None else weight(block))
+                    whole = own if whole is None else whole + own
+                    continue
+                x = block.dense(d)
                 wx = x if weight is None else x * weight(block)[:, None]
                 for i in range(0, d, tile):
                     for j in range(i, d, tile):
                         part = x[:, i : i + tile].T @ wx[:, j : j + tile]
                         total[i // tile, j // tile] = part if (i // tile, j // tile) not in total else total[i // tile, j // tile] + part
+        for i in range(0, d, tile) if whole is not None else ():
+            for j in range(i, d, tile):
+                part = whole[i : i + tile, j : j + tile].copy()
+                total[i // tile, j // tile] = part if (i // tile, j // tile) not in total else total[i // tile, j // tile] + part
         fan = TaskContext.get().partitionId() % FAN
         for (i, j), m in total.items() if any_rows else ():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([fan], pa.int32()), pa.array([m.tobytes()], pa.binary())], names=["ti", "tj", "fan", "tile"])
