@@ -2,6 +2,7 @@
 
 import math
 import statistics
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -415,6 +416,19 @@ def test_uniforms_as_an_array():
     assert keyed.uniforms_np(5, 8, "boot", "a seed of more than fifty bytes, which is more than a block holds").tolist() == [keyed.uniform_py("boot", "a seed of more than fifty bytes, which is more than a block holds", k) for k in range(5, 8)]
 
 
+def test_uniforms_are_made_in_small_blocks():
+    """Steps of the digest work on arrays that a core's cache holds, whatever the length of a word's prefix; the numbers across a block's ends are as ever."""
+    for keys in (("boot", 0, 3, 17), ("boot", 0, 3, 171), ("boot", 0, 31, 171), ("boot", 10, 31, 171)):
+        for first in (keyed.BLOCK, 100_000 + keyed.BLOCK, 1_000_000):
+            assert keyed.uniforms_np(first - 2, first + 2, *keys).tolist() == [keyed.uniform_py(*keys, k) for k in range(first - 2, first + 2)]
+    keyed._chars.cache_clear()
+    tracemalloc.start()
+    out = keyed.uniforms_np(100_000, 300_000, "boot", 0, 3, 17)
+    peak = tracemalloc.get_traced_memory()[1] - out.nbytes
+    tracemalloc.stop()
+    assert peak < 4_000_000
+
+
 def test_a_block_of_runs_is_weighted_in_steps(spark):
     """What a task holds of a block's counts is bounded, and decides no result."""
     chunked = chunking.chunk(numbers(spark, np.random.default_rng(6).normal(0, 2, 90)), "id", 90, 30, 1)
