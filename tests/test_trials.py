@@ -101,6 +101,19 @@ def test_draws_without_replacement(spark):
         population.drawn(spark.createDataFrame([(400, 0, 0)], "n int, trial int, resample int")).count()
 
 
+def test_few_draws_leave_the_population_where_it_is(spark):
+    """Draws up to the bound are broadcast, so no round sorts or sends the population; more meet it by a merge join, with the same rows."""
+    rows = logistic_rows(spark, 300, [1.0], 0.0, "uniform", 4)
+    cases = spark.createDataFrame([(200, 0, -1), (150, 1, 0)], "n int, trial int, resample int")
+    found, plans = [], []
+    for few in (350, 349):
+        got = logistic_trial.Population(rows, "row_id", few).drawn(cases)
+        found.append(sorted(map(tuple, got.collect())))
+        plans.append(got._jdf.queryExecution().sparkPlan().toString())
+    assert found[0] == found[1] and len(found[0]) == 350
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0] and "SortMergeJoin" in plans[1]
+
+
 def test_rank_distance():
     assert trial.rank_distance(np.arange(5), 4).tolist() == [2, 1, 0, 1, 2]
     assert trial.rank_distance(np.arange(6), 5).tolist() == [3, 2, 1, 1, 2, 3]
