@@ -1,8 +1,10 @@
 import math
 import random
+import tracemalloc
 from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veilstat.llm import lang_id, toxicity
@@ -231,3 +233,20 @@ def test_null_ids_are_scored_and_not_learned(spark, labelled):
     assert one.lexicon.weights == two.lexicon.weights
     got = toxicity.score(more, two).filter("doc_id is null").collect()
     assert len(got) == 50 and all(0 <= r.score <= 1 for r in got)
+
+
+def test_training_holds_no_dense_matrix():
+    """The driver's memory follows the counts of the training rows, not rows times buckets; the order in which rows come decides nothing."""
+    rng = np.random.default_rng(3)
+    made = []
+    for i in range(1500):
+        own = np.sort(rng.choice(lang_id.BUCKETS // 2, 20, replace=False)) + i % 2 * lang_id.BUCKETS // 2
+        made.append({"lang": "ab"[i % 2], "held": i % 5 == 0, "noise": False, "buckets": own.astype("<u2").tobytes(), "counts": rng.integers(1, 9, 20).astype("<f4").tobytes()})
+    kinds = pa.schema([("lang", pa.string()), ("held", pa.bool_()), ("noise", pa.bool_()), ("buckets", pa.binary()), ("counts", pa.binary())])
+    tracemalloc.start()
+    one = lang_id.trained(pa.Table.from_pylist(made, kinds))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1500 * lang_id.BUCKETS * 4 and one.langs == ["a", "b"]
+    two = lang_id.trained(pa.Table.from_pylist(made[::-1], kinds))
+    assert all(np.array_equal(v, vars(two)[k]) for k, v in vars(one).items())

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -106,3 +107,11 @@ def test_one_id_many_times(spark):
     ids = spark.createDataFrame([(1,), (2,)], "doc_id long")
     assert one_row_an_id(docs, ids, ["text"]).count() == 2
     assert pii.find(docs, pii.fit(docs)).count() == len(rows)
+
+
+def test_training_rows_in_order():
+    rng = np.random.default_rng(2)
+    rows = [(bool(rng.integers(2)), [float(v) for v in rng.integers(0, 3, 3)], int(rng.integers(2))) for _ in range(200)]
+    held, x, y = pii.in_order(pa.Table.from_pylist([{"held": h, "x": v, "y": k} for h, v, k in rows], pa.schema([("held", pa.bool_()), ("x", pa.list_(pa.float64())), ("y", pa.int32())])))
+    assert [(bool(h), v.tolist(), int(k)) for h, v, k in zip(held, x, y, strict=True)] == sorted(rows) and x.dtype == np.float64
+    assert len(pii.in_order(pa.table({"held": pa.array([], pa.bool_()), "x": pa.array([], pa.list_(pa.float64())), "y": pa.array([], pa.int32())}))[2]) == 0

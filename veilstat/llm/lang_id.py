@@ -139,17 +139,26 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     usable = F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id")) != 0)
     ids = docs.filter(usable).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     chosen = one_row_an_id(docs.filter(usable), ids, ["lang", "text"])
-    rows = chosen.select("lang", "text").mapInArrow(_samples, SAMPLE).collect()
-    rows.sort(key=lambda r: (r["noise"], r["lang"], bytes(r["buckets"]), bytes(r["counts"])))
-    langs = sorted({r["lang"] for r in rows})
+    return trained(chosen.select("lang", "text").mapInArrow(_samples, SAMPLE).toArrow())  # as Arrow: no rows as objects, in either process of the driver
+
+
+def trained(rows: pa.Table) -> Model:
+    """Model of rows of SAMPLE, in whatever order they come; only the rows of a step are dense."""
+    columns = [rows.column(c).to_pylist() for c in ("noise", "lang", "buckets", "counts", "held")]
+    got = sorted(zip(*columns, strict=True), key=lambda r: r[:4])
+    langs = sorted({r[1] for r in got})
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
-    x = np.zeros((len(rows), BUCKETS), np.float32)
-    for i, r in enumerate(rows):
-        c = np.frombuffer(r["counts"], "<f4")
-        x[i, np.frombuffer(r["buckets"], "<u2")] = c / max(c.sum(), 1)
-    y = np.array([langs.index(r["lang"]) for r in rows])
-    noise, calibrates = (np.array([r[c] for r in rows]) for c in ("noise", "held"))
+
+    def dense(own: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(own), BUCKETS), np.float32)
+        for k, i in enumerate(own):
+            c = np.frombuffer(got[i][3], "<f4")
+            x[k, np.frombuffer(got[i][2], "<u2")] = c / max(c.sum(), 1)
+        return x
+
+    y = np.array([langs.index(r[1]) for r in got])
+    noise, calibrates = (np.array([r[k] for r in got]) for k in (0, 4))
     held, wild = np.flatnonzero(calibrates & ~noise), np.flatnonzero(noise)
     train = np.flatnonzero(~calibrates) if not calibrates.all() else held  # a few rows may all calibrate
     rng = np.random.default_rng(7)
@@ -162,7 +171,8 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
         order = rng.permutation(train)
         for at in range(0, len(order), BATCH):
             own = order[at : at + BATCH]
-            h = x[own] @ embed
+            x = dense(own)
+            h = x @ embed
             z = h @ weight + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -171,11 +181,11 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
             back = p @ weight.T
             weight -= rate * h.T @ p / len(own)
             bias -= 0.1 * rate * p.mean(0)
-            seen = x[own] > 0  # as in subword models, a row's update goes to each of its subwords in full
+            seen = x > 0  # as in subword models, a row's update goes to each of its subwords in full
             embed -= rate * (seen.T.astype(np.float32) @ back) / len(own)
             step += 1
     logits = embed @ weight
-    z = x[held] @ logits + bias if len(held) else np.zeros((0, len(langs)))
+    z = dense(held) @ logits + bias if len(held) else np.zeros((0, len(langs)))
 
     def loss(t: float) -> float:
         s = z / t - (z / t).max(1, keepdims=True)
@@ -184,7 +194,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     temperature = min((0.5 * 1.25**k for k in range(16)), key=loss) if len(held) else 1.0
     sure = lambda own: np.exp(own / temperature - np.logaddexp.reduce(own / temperature, 1, keepdims=True)).max(1)
     right = z.argmax(1) == y[held]
-    return Model(langs, logits.astype(np.float32), bias.astype(np.float64), float(temperature), rejection(sure(z[right]), np.concatenate([sure(z[~right]), sure(x[wild] @ logits + bias)])))
+    return Model(langs, logits.astype(np.float32), bias.astype(np.float64), float(temperature), rejection(sure(z[right]), np.concatenate([sure(z[~right]), sure(dense(wild) @ logits + bias)])))
 
 
 def rejection(right: np.ndarray, wrong: np.ndarray) -> float:

@@ -262,6 +262,14 @@ class Model:
         return out
 
 
+def in_order(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(held, x, y) of rows (held, x, y), by these; numbers stay in arrays, whatever the number of rows."""
+    held, y = (rows.column(c).to_numpy() for c in ("held", "y"))
+    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), -1) if len(y) else np.zeros((0, 0))
+    order = np.lexsort((y, *x.T[::-1], held))
+    return held[order].astype(bool), x[order], y[order]
+
+
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Model from planted data; ids first, then only the chosen texts, one an id."""
     small_batches(docs.sparkSession)
@@ -275,11 +283,10 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _, _ in found], pa.bool_()), pa.array([x for _, x, _ in found], pa.list_(pa.float64())), pa.array([y for *_, y in found], pa.int32())], names=["held", "x", "y"])
 
     chosen = one_row_an_id(docs.filter("text is not null"), ids, ["text"]).select("text")
-    got = sorted((r["held"], tuple(r["x"]), r["y"]) for r in chosen.mapInArrow(rows, "held boolean, x array<double>, y int").collect())
+    held, x, y = in_order(chosen.mapInArrow(rows, "held boolean, x array<double>, y int").toArrow())
     none = [(np.array([]), np.array([]))] * 4
-    if len({y for h, _, y in got if not h}) < 2:
+    if len(set(y[~held].tolist())) < 2:
         return Model(None, none, [2.0] * 4)
-    held, x, y = np.array([r[0] for r in got]), np.array([r[1] for r in got]), np.array([r[2] for r in got])
     trees = fit_boosted(x[~held], y[~held], trees=80, depth=4)
     model = Model(trees, list(none), [2.0] * 4)
     for k in range(4):
