@@ -184,3 +184,26 @@ def test_repeated_shingles_across_very_long_texts(spark):
     rows = [(1, base), (2, base + " end"), (3, " ".join(f"u{i}" for i in range(200_000)))]
     got = nj.link(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()
     assert sorted(map(tuple, got)) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_components_of_few_edges_take_few_tasks(spark):
+    """However many partitions a session's shuffles have; a path, a star, a triangle and both directions of one edge."""
+    from veilstat.llm._components import components
+
+    edges = [(k, k + 1) for k in range(40)] + [(100 + k, 100) for k in range(1, 30)] + [(200, 201), (201, 202), (202, 200), (300, 301), (301, 300), (7, 7)]
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    tracker, group = spark.sparkContext.statusTracker(), "components of few edges"
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.sparkContext.setJobGroup(group, group)
+        got = components(spark.createDataFrame(edges, "a long, b long").coalesce(1)).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    labels = [(k, 0) for k in range(41)] + [(100 + k, 100) for k in range(30)] + [(200, 200), (201, 200), (202, 200), (300, 300), (301, 300)]
+    assert sorted(tuple(r) for r in got) == labels
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+    assert 0 < tasks < 1000, tasks

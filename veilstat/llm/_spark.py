@@ -13,6 +13,7 @@ from veilstat.functions.session import checkpointed  # noqa: F401
 from veilstat.llm._arrow import byte_view, slices
 
 BATCH_ROWS = 512
+PART_ROWS = 1 << 17  # of a frame of a few numbers a row
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -62,6 +63,11 @@ def with_text_columns(df: DataFrame, text_col: str, added: T.StructType, compute
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *added.fields]))
 
 
+def parts_for(rows: int) -> int:
+    """Partitions that so many short rows need. A shuffle writes files for each partition it reads, however small."""
+    return max(1, -(-rows // PART_ROWS))
+
+
 def shared(spark: SparkSession, value):
     """A broadcast of a fitted model, whose size its parameters bound."""
     return spark.sparkContext.broadcast(value)

@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from veilstat.llm._arrow import byte_view, row_sums, slices
 from veilstat.llm._components import components
-from veilstat.llm._spark import checkpointed, shared, small_batches, with_text_columns
+from veilstat.llm._spark import checkpointed, parts_for, shared, small_batches, with_text_columns
 from veilstat.sources.tables import table
 
 WORDS = 5
@@ -471,17 +471,22 @@ def _verified(names: list[str]):
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The (a, b) of pairs (a, fa, b, fb) that are links; each text travels once per leader and at most MEMBERS share one copy of it."""
+    """The (a, b) of checkpointed pairs (a, fa, b, fb) that are links; each text travels once per leader and at most MEMBERS share one copy of it.
+
+    Where rows of docs are repeated, links are too.
+    """
+    count = pairs.count()
+    parts, few = parts_for(2 * count), 2 * count <= BROADCAST_ROWS  # a pair has a member, and at most a leader of its own
+    pairs = pairs.coalesce(parts)
     counts = pairs.groupBy("a", "fa").agg(F.ceil(F.count("*") / MEMBERS).alias("salts"))
     group = [F.col("a").alias("lead"), F.col("fa").alias("lead_fp")]  # an id can come with several texts that lead
     members = pairs.join(counts, ["a", "fa"]).select(F.col("b").alias("doc_id"), F.col("fb").alias("fp1"), *group, F.pmod(F.xxhash64("b"), "salts").alias("salt"))
     leaders = counts.select(F.col("a").alias("doc_id"), F.col("fa").alias("fp1"), *group, F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    wanted = checkpointed(members.union(leaders))
-    few = wanted.count() <= BROADCAST_ROWS
+    wanted = checkpointed(members.union(leaders).coalesce(parts))
     routed = docs.join(F.broadcast(wanted) if few else wanted, "doc_id")
     names = ["lead", "lead_fp", "salt", "doc_id", "fp1", "text"]
     routed = routed.select(*names, ((F.col("lead") != F.col("doc_id")) | (F.col("lead_fp") != F.col("fp1"))).alias("_after"))
-    return routed.repartition("lead", "lead_fp", "salt").sortWithinPartitions("lead", "lead_fp", "salt", "_after").select(*names).mapInArrow(_verified(names), "a long, b long").distinct()
+    return routed.repartition("lead", "lead_fp", "salt").sortWithinPartitions("lead", "lead_fp", "salt", "_after").select(*names).mapInArrow(_verified(names), "a long, b long")
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -572,6 +577,12 @@ def _tile(block: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _labels(edges: DataFrame) -> DataFrame:
+    """The components' (node, label), checkpointed; broadcast where they are few."""
+    labels = checkpointed(components(edges))
+    return F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels
+
+
 def link(docs: DataFrame, coarse: float = 1.0) -> DataFrame:
     """doc_id, n_shingles, fp1 and component_id of every row of docs (doc_id, text).
 
@@ -617,7 +628,7 @@ def link(docs: DataFrame, coarse: float = 1.0) -> DataFrame:
     pool = checkpointed(plausible(star, classes))
     fresh = checkpointed(pool.groupBy("b", "fb").agg(F.min(F.struct("ka", "a", "fa")).alias("m")).select("m.a", "m.fa", "b", "fb"))
     edges = checkpointed(verify(fresh, docs) if longer is None else verify(fresh, docs).union(longer))
-    labels = checkpointed(components(edges))
+    labels = _labels(edges)
     label = lambda df, c, to: df.withColumn("_c", c).join(labels.withColumnRenamed("node", "_c"), "_c", "left").withColumn(to, F.coalesce("label", "_c")).drop("_c", "label")
     rest = label(label(pool.filter("two"), F.col("a"), "la"), F.col("b"), "lb").filter("la <> lb").select("a", "fa", "b", "fb").join(fresh, ["a", "fa", "b", "fb"], "left_anti")
     edges = edges.union(verify(checkpointed(rest), docs))
@@ -631,7 +642,7 @@ def link(docs: DataFrame, coarse: float = 1.0) -> DataFrame:
     few_rows = screened.count() <= BROADCAST_ROWS
     texts = docs.join(F.broadcast(screened) if few_rows else screened, docs["doc_id"] == screened["rep"]).select("main", "i", "j", "rep", "fp1", "l", "text")
     edges = checkpointed(edges.union(texts.groupBy("main", "i", "j").applyInArrow(_tile, "a long, b long")))
-    labels = checkpointed(components(edges))
+    labels = _labels(edges)
     # Singletons keep their own id; only classes of several rows or with links are joined.
     known = classes.join(labels, classes["rep"] == labels["node"], "left").filter("rows > 1 or label is not null").select("fp1", "fp2", F.coalesce("label", "rep").alias("component_id"))
     return sets.join(known, ["fp1", "fp2"], "left").select("doc_id", "n_shingles", "fp1", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
