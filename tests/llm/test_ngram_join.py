@@ -207,3 +207,12 @@ def test_components_of_few_edges_take_few_tasks(spark):
     stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
     tasks = sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
     assert 0 < tasks < 1000, tasks
+
+
+def test_many_parts_without_broadcasts(spark, monkeypatch):
+    """Edges and candidates of more rows than one partition holds, and labels joined by equi-joins."""
+    monkeypatch.setattr("veilstat.llm._spark.PART_ROWS", 16)
+    monkeypatch.setattr(nj, "BROADCAST_ROWS", 0)
+    rows = made(3, 200)
+    got = nj.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).select("doc_id", "n_shingles", "component_id")
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
